@@ -7,8 +7,14 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navloom.llm import pieces
-from navloom.llm.common import read
+from navloom.llm import pieces, quality_rules, ranking, shards, urls
+from navloom.llm.common import read, text_crc32
+
+#: Rules (verdict, host, path) of the URL filter. Fixed values.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+#: Pages on hosts with a label that starts so make up the list of URLs.
+LISTED_HOSTS = r"(^|\.)spam"
+N_SHARDS = 8
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -25,8 +31,65 @@ def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.token_digests(pieces.encode_documents(read(spark, sf_dir, "documents"), model_path()))
 
 
+def op3_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = shards.shuffle_shards(read(spark, sf_dir, "documents"), N_SHARDS)
+    return dealt.select(
+        "doc_id",
+        shards.record_bytes("text").alias("size"),
+        text_crc32().alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op6_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return judged.drop("n_lines", "n_upper")
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    listed = pages.where(urls.host_of(F.col("url")).rlike(LISTED_HOSTS))
+    return urls.url_verdicts(pages, listed, URL_RULES).drop("canonical", "listed")
+
+
 QUERIES = {
+    "op3_shuffle_shards": op3_shuffle_shards,
+    "op6_pairwise_quality": op6_pairwise_quality,
+    "op7_quality_rules": op7_quality_rules,
+    "op10_url_filter": op10_url_filter,
     "op8_piece_codec": op8_piece_codec,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_CANONICAL = r"""
+    select page_id, url, host, path,
+           case when host = '' then '' else regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '')
+                || case when query <> '' then '?' || query else '' end end as canonical
+    from (select page_id, url,
+                 translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+                 regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path,
+                 regexp_replace(regexp_replace(regexp_extract(coalesce(url, ''), '(?s)^.*?://[^?#]*\?([^#]*)', 1), '(^|&)utm_[^&]*', '', 'g'), '^&+', '') as query
+          from pages)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op10_url_filter": rf"""
+with c as ({_CANONICAL}),
+rules(what, rule_host, rule_path) as (values ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+                                             ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+best as (select page_id, url, arg_max(rule_host || rule_path, length(rule_host || rule_path)) as rule, arg_max(what, length(rule_host || rule_path)) as what
+         from (select distinct page_id, url, host, path from c) p join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)
+         group by page_id, url),
+listed as (select distinct canonical from c where regexp_matches(host, '(^|\.)spam') and canonical <> '')
+select c.page_id, c.host, c.path, best.rule,
+       coalesce(best.what, case when listed.canonical is not null then 'block' else 'allow' end) as verdict
+from c left join best on c.page_id is not distinct from best.page_id and c.url is not distinct from best.url
+left join listed on c.canonical = listed.canonical
+""",
+}
