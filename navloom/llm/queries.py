@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navloom.llm import pieces, quality_rules, ranking, shards, urls
-from navloom.llm.common import read, text_crc32
+from navloom.llm import languages, pieces, quality_rules, ranking, shards, urls
+from navloom.llm.common import id_remainder, read, text_crc32
 
 #: Rules (verdict, host, path) of the URL filter. Fixed values.
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -53,6 +53,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("n_lines", "n_upper")
 
 
+def op9_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    labelled = languages.label_documents(docs, languages.fit_languages(docs))
+    return labelled.select("doc_id", (id_remainder(3) == 1).alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     listed = pages.where(urls.host_of(F.col("url")).rlike(LISTED_HOSTS))
@@ -63,6 +69,7 @@ QUERIES = {
     "op3_shuffle_shards": op3_shuffle_shards,
     "op6_pairwise_quality": op6_pairwise_quality,
     "op7_quality_rules": op7_quality_rules,
+    "op9_language_spans": op9_language_spans,
     "op10_url_filter": op10_url_filter,
     "op8_piece_codec": op8_piece_codec,
 }
