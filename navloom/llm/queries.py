@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navloom.llm import languages, pieces, quality_rules, ranking, shards, urls
+from navloom.llm import languages, pieces, quality_rules, ranking, shards, toxicity, urls
 from navloom.llm.common import id_remainder, read, text_crc32
 
 #: Rules (verdict, host, path) of the URL filter. Fixed values.
@@ -44,6 +44,11 @@ def op3_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return scored.withColumn("evidence", F.transform("evidence", lambda e: e["doc_id"]))
+
+
 def op6_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.rank_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -67,6 +72,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_shuffle_shards": op3_shuffle_shards,
+    "op5_toxic_neighbours": op5_toxic_neighbours,
     "op6_pairwise_quality": op6_pairwise_quality,
     "op7_quality_rules": op7_quality_rules,
     "op9_language_spans": op9_language_spans,
