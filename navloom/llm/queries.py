@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navloom.llm import languages, pieces, quality_rules, ranking, shards, toxicity, urls
+from navloom.llm import languages, licenses, pieces, quality_rules, ranking, shards, toxicity, urls
 from navloom.llm.common import id_remainder, read, text_crc32
 
 #: Rules (verdict, host, path) of the URL filter. Fixed values.
@@ -31,6 +31,10 @@ def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.token_digests(pieces.encode_documents(read(spark, sf_dir, "documents"), model_path()))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read(spark, sf_dir, "documents"))
+
+
 def op3_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = shards.shuffle_shards(read(spark, sf_dir, "documents"), N_SHARDS)
     return dealt.select(
@@ -71,6 +75,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_license_scan": op2_license_scan,
     "op3_shuffle_shards": op3_shuffle_shards,
     "op5_toxic_neighbours": op5_toxic_neighbours,
     "op6_pairwise_quality": op6_pairwise_quality,
@@ -92,6 +97,7 @@ _CANONICAL = r"""
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_license_scan": licenses.oracle_sql(),
     "op10_url_filter": rf"""
 with c as ({_CANONICAL}),
 rules(what, rule_host, rule_path) as (values ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),

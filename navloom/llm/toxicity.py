@@ -23,8 +23,9 @@ from navloom.llm.ranking import labelled_sample
 
 #: Labelled rows that terms are chosen on and that are the examples, at most about so many (by a hash of the id).
 MOST_LABELLED = 12_000
-#: Terms kept have at least this likelihood ratio and this many labelled documents; terms at most.
-LEAST_RATIO, LEAST_DOCUMENTS, MOST_TERMS = 30.0, 5, 20_000
+#: Terms kept have at least this likelihood ratio, this many labelled documents and this share of the rarer label's (a few copies of
+#: one text prove nothing); terms at most.
+LEAST_RATIO, LEAST_DOCUMENTS, LEAST_SHARE, MOST_TERMS = 35.0, 5, 0.015, 20_000
 NEIGHBOURS, BLOCK = 15, 32
 BEGINNINGS = (4, 5, 6, 7)
 
@@ -100,7 +101,7 @@ def choose_terms(sample: DataFrame) -> np.ndarray:
 
     p = f"(x + y) / {n1 + n0}"
     ratio = " + ".join((part("x", f"{n1} * {p}"), part("y", f"{n0} * {p}"), part(f"({n1} - x)", f"{n1} * (1 - {p})"), part(f"({n0} - y)", f"{n0} * (1 - {p})")))
-    chosen = counts.where(F.col("x") + F.col("y") >= LEAST_DOCUMENTS).withColumn("r", F.expr(ratio)).where(F.col("r") >= LEAST_RATIO)
+    chosen = counts.where(F.col("x") + F.col("y") >= max(LEAST_DOCUMENTS, LEAST_SHARE * min(n1, n0))).withColumn("r", F.expr(ratio)).where(F.col("r") >= LEAST_RATIO)
     rows = chosen.orderBy(F.desc("r"), "term").limit(MOST_TERMS).select("term").collect()
     return np.array(sorted(r["term"] for r in rows), np.int64)
 
