@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navloom.llm import languages, licenses, pieces, quality_rules, ranking, shards, toxicity, urls
+from navloom.llm import contamination, languages, licenses, pieces, quality_rules, ranking, shards, toxicity, urls
 from navloom.llm.common import id_remainder, read, text_crc32
 
 #: Rules (verdict, host, path) of the URL filter. Fixed values.
@@ -48,6 +48,10 @@ def op3_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op5_toxic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return scored.withColumn("evidence", F.transform("evidence", lambda e: e["doc_id"]))
@@ -77,6 +81,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_license_scan": op2_license_scan,
     "op3_shuffle_shards": op3_shuffle_shards,
+    "op4_decontamination": op4_decontamination,
     "op5_toxic_neighbours": op5_toxic_neighbours,
     "op6_pairwise_quality": op6_pairwise_quality,
     "op7_quality_rules": op7_quality_rules,
@@ -98,6 +103,7 @@ _CANONICAL = r"""
 
 ORACLE_SQL: dict[str, str] = {
     "op2_license_scan": licenses.oracle_sql(),
+    "op4_decontamination": contamination.oracle_sql(),
     "op10_url_filter": rf"""
 with c as ({_CANONICAL}),
 rules(what, rule_host, rule_path) as (values ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
