@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navloom.llm import contamination, languages, licenses, pieces, quality_rules, ranking, shards, toxicity, urls
+from navloom.llm import contamination, languages, licenses, near_join, pieces, quality_rules, ranking, shards, toxicity, urls
 from navloom.llm.common import id_remainder, read, text_crc32
 
 #: Rules (verdict, host, path) of the URL filter. Fixed values.
@@ -31,6 +31,10 @@ def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.token_digests(pieces.encode_documents(read(spark, sf_dir, "documents"), model_path()))
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.near_join(read(spark, sf_dir, "documents"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read(spark, sf_dir, "documents"))
 
@@ -79,6 +83,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_license_scan": op2_license_scan,
     "op3_shuffle_shards": op3_shuffle_shards,
     "op4_decontamination": op4_decontamination,
@@ -102,6 +107,7 @@ _CANONICAL = r"""
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_join": near_join.oracle_sql(),
     "op2_license_scan": licenses.oracle_sql(),
     "op4_decontamination": contamination.oracle_sql(),
     "op10_url_filter": rf"""
