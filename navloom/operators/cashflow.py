@@ -1,3 +1,21 @@
-"""Soon."""
+"""Dated cash flows: internal rates of return by a fixed number of halvings, rolling monthly purchase plans, their summaries."""
 
-OPERATORS = []
+from navloom.plans.text import Operator
+
+_HOLD = "select a.fund_id, a.m as start, [[flows|case when b.ra - a.ra < 12 then -1e0 else u.units * b.nav end|([[day|b.m]] - [[day|a.m]]) / 365e0|b.ra]] as flows from mon a join mon b on a.fund_id = b.fund_id and (b.ra between a.ra and a.ra + 11 or b.ra = a.ra + 24) join (select fund_id, ra, units, n, lead(ra, 24) over (partition by fund_id order by ra) as last_ra from sipu) u on u.fund_id = a.fund_id and u.ra = a.ra where u.n = 12 and u.last_ra = a.ra + 24 group by a.fund_id, a.m"
+_HOLDX = f"select fund_id, start, [[xirr|flows|-0.95|20.0]] as xirr from ({_HOLD}) h"
+#: The same plan on the sector's index.
+_BMON = "select index_id, m, nav, row_number() over (partition by index_id order by m) as ra from (select index_id, cast(date_trunc('month', ts) as date) as m, min_by(nav, ts) as nav from index_nav where nav > 0 group by 1, 2) x"
+_BX = f"select index_id, start, [[xirr|flows]] as xirr from (select a.index_id, a.m as start, [[flows|case when b.ra - a.ra < 12 then -1e0 else u.units * b.nav end|[[day|b.m]] * 1e0 / 365.25e0 - [[day|a.m]] / 365.25e0|b.ra]] as flows from ({_BMON}) a join ({_BMON}) b on a.index_id = b.index_id and b.ra between a.ra and a.ra + 12 join (select index_id, ra, sum(1 / nav) over (partition by index_id order by ra rows between current row and 11 following) as units, lead(nav, 12) over (partition by index_id order by ra) as later from ({_BMON}) m) u on u.index_id = a.index_id and u.ra = a.ra where u.later is not null group by a.index_id, a.m) s"
+
+OPERATORS = [
+    Operator("cf01_xirr", "Rate of return of dated flows: a purchase at each year's first value, sold at the last; null without a change of sign.", "with y as (select fund_id, cast(date_trunc('year', ts) as date) as y, min_by(nav, ts) as nav, min(ts) as ts from nav where nav > 0 group by 1, 2), e as (select fund_id, max_by(nav, ts) as nav, max(ts) as ts from nav where nav > 0 group by 1), t as (select y.fund_id, y.ts, -1e0 as a, 0 as k, e.ts as t1 from y join e on e.fund_id = y.fund_id union all select e.fund_id, e.ts, e.nav * u.units, 1, e.ts from e join (select fund_id, sum(1 / nav) as units from y group by 1) u on u.fund_id = e.fund_id), g as (select fund_id, [[flows|a|([[day|ts]] - [[day|t1]]) / 365.25e0|k * 1000000 + [[day|ts]]]] as flows from t group by fund_id) select fund_id, round([[xirr|flows]], 6) as xirr from g"),
+    Operator("cf02_monthly_irr", "Rate of equally spaced monthly flows of the newest plan, annualised; without a change of sign from the totals.", "with s as (select fund_id, max(ra) as ra from sip group by 1), f as (select a.fund_id, [[flows|case when b.ra - a.ra < 12 then -1e0 else u.units * b.nav end|(b.ra - a.ra) * 1e0|b.ra]] as flows, max(u.units * b.nav) as value from mon a join s on s.fund_id = a.fund_id and s.ra = a.ra join mon b on b.fund_id = a.fund_id and b.ra between a.ra and a.ra + 12 join sipu u on u.fund_id = a.fund_id and u.ra = a.ra group by a.fund_id) select fund_id, round(coalesce(pow(1 + [[xirr|flows|-0.9|1.0]], 12) - 1, pow(value / 12, 12 / 12e0) - 1), 6) as irr from f"),
+    Operator("cf03_rolling_sip_xirr", "Rate of return of every 12-month plan.", "select fund_id, start, round(xirr, 6) as xirr from sipx"),
+    Operator("cf04_dated_sip_xirr", "Plans that start every third month, bought at the first observed value of a month and valued at the last of the year.", "with m as (select fund_id, cast(date_trunc('month', ts) as date) as m, min_by(nav, ts) as nav, min([[day|ts]]) as d, max_by(nav, ts) as last_nav, max([[day|ts]]) as last_d from nav where nav > 0 group by 1, 2), n as (select *, row_number() over (partition by fund_id order by m) as ra, count(*) over (partition by fund_id) as n from m), t as (select a.fund_id, a.m as start, b.d - a.d as t, -1e0 as a, 1 / b.nav as units, b.ra from n a join n b on b.fund_id = a.fund_id and b.ra between a.ra and a.ra + 11 where a.ra % 3 = 1 and a.ra + 11 <= a.n), e as (select a.fund_id, a.m as start, b.last_d - a.d as t, b.last_nav from n a join n b on b.fund_id = a.fund_id and b.ra = a.ra + 11 where a.ra % 3 = 1), u as (select fund_id, start, t, a, ra from t union all select e.fund_id, e.start, e.t, e.last_nav * x.units, 1000000 from e join (select fund_id, start, sum(units) as units from t group by 1, 2) x on x.fund_id = e.fund_id and x.start = e.start), g as (select fund_id, start, [[flows|a|t / 365.25e0|ra]] as flows from u group by 1, 2) select fund_id, start, round([[xirr|flows]], 6) as xirr from g"),
+    Operator("cf05_sip_then_hold", "Twelve monthly purchases, held for twelve months more and sold: rate of return for every start.", f"select fund_id, start, round(xirr, 6) as xirr from ({_HOLDX}) x"),
+    Operator("cf06_rolling_sip_return", "Simple return of every plan, and its level and trend by fund.", "with r as (select fund_id, ra, (units * later - 12) / 12 as ret, row_number() over (partition by fund_id order by ra desc) as k from sipu where n = 12 and later is not null) select fund_id, count(*) as n_windows, round(avg(ret), 6) as mean_ret, round(case when count(*) >= 12 then avg(ret) / case when stddev_samp(ret) > 1e-12 then stddev_samp(ret) end end, 5) as stability, round(case when count(*) >= 12 then regr_slope(case when k <= 12 then ret end, case when k <= 12 then cast(ra as double) end) end, 6) as trend from r group by fund_id"),
+    Operator("cf07_sip_summary", "Summary of a fund's rolling rates of return.", "with r as (select fund_id, xirr, row_number() over (partition by fund_id order by ra desc) as k from sipx where xirr is not null) select fund_id, count(*) as n_windows, round(median(xirr), 6) as median_x, round([[q|xirr|0.25]], 6) as p25, round([[q|xirr|0.05]], 6) as p5, round(min(xirr), 6) as worst, round(avg(xirr), 6) as mean_x, round(stddev_samp(xirr), 6) as std_x, round(max(case when k = 1 then xirr end), 6) as latest, round(avg(case when k <= 3 then xirr end), 6) as newest_3, round(avg(case when xirr > 8e-2 then 1e0 else 0e0 end), 6) as share_8 from r group by fund_id"),
+    Operator("cf08_hit_rate", "Share of shared starts at which the fund's plan beats the index's.", f"select sipx.fund_id, count(*) as n_shared, round(avg(case when round(sipx.xirr, 9) > round(b.xirr, 9) then 1e0 else 0e0 end), 6) as hit_rate from sipx join fund on fund.fund_id = sipx.fund_id join ({_BX}) b on b.index_id = fund.sector and b.start = sipx.start where sipx.xirr is not null and b.xirr is not null group by sipx.fund_id"),
+    Operator("cf09_peer_hit_rate", "Share of a fund's starts above the median of its peers at the start, five peers at least.", "with x as (select sipx.fund_id, fund.sector, start, xirr from sipx join fund on fund.fund_id = sipx.fund_id where xirr is not null), m as (select sector, start, median(xirr) as peer from x group by 1, 2 having count(*) >= 5) select x.fund_id, count(*) as n_windows, round(avg(case when round(xirr, 9) > round(peer, 9) then 1e0 else 0e0 end), 6) as hit_rate from x join m on m.sector = x.sector and m.start = x.start group by x.fund_id"),
+]

@@ -15,8 +15,8 @@ def change(n: int) -> str:
 OPERATORS = [
     Operator("rt01_period_return", "Changes over the last 4, 13, 26 and 52 weeks.", f"select fund_id, round({change(4)}, 8) as r4, round({change(13)}, 8) as r13, round({change(26)}, 8) as r26, round({change(52)}, 8) as r52 from wkn group by fund_id"),
     Operator("rt02_cagr_periods", "Annual growth over 52, 156 and 260 weeks.", f"select fund_id, round(pow({at(1)} / {at(53)}, 1e0) - 1, 8) as cagr_1y, round(pow({at(1)} / {at(157)}, 1 / 3e0) - 1, 8) as cagr_3y, round(pow({at(1)} / {at(261)}, 1 / 5e0) - 1, 8) as cagr_5y from wkn group by fund_id"),
-    Operator("rt03_cagr_calendar", "Annual growth over the last {years} years by the calendar, where the window covers {share} of it.", "with e as (select navd.fund_id, day, nav, d1 from navd join span on span.fund_id = navd.fund_id where day >= d1 - cast(floor({years} * 365.25) as int)) select fund_id, round(case when max(day) - min(day) >= {share} * {years} * 365.25 then pow(max_by(nav, day) / min_by(nav, day), 365.25 / nullif(max(day) - min(day), 0)) - 1 end, 8) as cagr from e group by fund_id", {"years": 3, "share": "0.85"}),
-    Operator("rt04_cagr_whole", "Annual growth of the whole series, from a year on.", "select fund_id, round(case when max(day) - min(day) >= 365 then pow(max_by(nav, day) / min_by(nav, day), 365.25 / nullif(max(day) - min(day), 0)) - 1 end, 8) as cagr, max(day) - min(day) as days from navd group by fund_id"),
+    Operator("rt03_cagr_calendar", "Annual growth over the last {years} years by the calendar, where the window covers {share} of it.", "with e as (select navd.fund_id, day, nav, d1 from navd join span on span.fund_id = navd.fund_id where day >= d1 - cast(floor({years} * 365.25) as int)) select fund_id, round(case when max(day) - min(day) >= {share} * {years} * 365.25 then pow(max_by(nav, day) / min_by(nav, day), 365.25e0 / nullif(max(day) - min(day), 0)) - 1 end, 8) as cagr from e group by fund_id", {"years": 3, "share": "0.85"}),
+    Operator("rt04_cagr_whole", "Annual growth of the whole series, from a year on.", "select fund_id, round(case when max(day) - min(day) >= 365 then pow(max_by(nav, day) / min_by(nav, day), 365.25e0 / nullif(max(day) - min(day), 0)) - 1 end, 8) as cagr, max(day) - min(day) as days from navd group by fund_id"),
     Operator("rt05_trailing_return", "Absolute change in percent over 1, 3 and 5 years to the last day, start value at or before.", "with t as (select fund_id, d1, y, d1 - cast(floor(y * 365.25) as int) as t0 from span cross join (select 1 as y union all select 3 union all select 5) k), s as (select t.fund_id, t.y, max_by(navd.nav, navd.day) as v0 from t join navd on navd.fund_id = t.fund_id and navd.day <= t.t0 group by 1, 2), e as (select fund_id, max_by(nav, day) as v1 from navd group by 1) select e.fund_id, round(100 * (max(case when y = 1 then v1 / v0 end) - 1), 2) as ret_1y, round(100 * (max(case when y = 3 then v1 / v0 end) - 1), 2) as ret_3y, round(100 * (max(case when y = 5 then v1 / v0 end) - 1), 2) as ret_5y from e left join s on s.fund_id = e.fund_id group by e.fund_id"),
     Operator("rt06_first_date", "First day of each fund.", "select fund_id, [[ymd|min(ts)]] as first_date from nav group by fund_id"),
     Operator("rt07_momentum_180d", "Change over the last 180 days, from five rows on.", "select navd.fund_id, round(case when count(*) >= 5 then max_by(nav, day) / min_by(nav, day) - 1 end, 8) as momentum from navd join span on span.fund_id = navd.fund_id where day >= d1 - 180 group by navd.fund_id"),

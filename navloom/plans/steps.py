@@ -38,9 +38,14 @@ STEPS = {
     # Average-rank percentile of each measure within a sector; nulls stay.
     "pct": "select featl.fund_id, fund.sector, metric, weight, x, case when x is not null then 100 * (rank() over (partition by fund.sector, metric, x is null order by x) + (count(*) over (partition by fund.sector, metric, x) - 1) / 2e0) / count(x) over (partition by fund.sector, metric) end as p from featl join fund on featl.fund_id = fund.fund_id",
     # Twelve monthly buys of 1 and a sale in the thirteenth month, for every start.
-    "sip": "select a.fund_id, a.m as start, a.ra, [[flows|case when b.ra - a.ra < 12 then -1e0 else u.units * b.nav end|[[day|b.m]] * 1e0 / 365.25 - [[day|a.m]] / 365.25|b.ra]] as flows, max(u.units * b.nav) as value from mon a join mon b on a.fund_id = b.fund_id and b.ra between a.ra and a.ra + 12 join sipu u on u.fund_id = a.fund_id and u.ra = a.ra where u.n = 12 and u.later is not null group by a.fund_id, a.m, a.ra",
+    "sip": "select a.fund_id, a.m as start, a.ra, [[flows|case when b.ra - a.ra < 12 then -1e0 else u.units * b.nav end|[[day|b.m]] * 1e0 / 365.25e0 - [[day|a.m]] / 365.25e0|b.ra]] as flows, max(u.units * b.nav) as value from mon a join mon b on a.fund_id = b.fund_id and b.ra between a.ra and a.ra + 12 join sipu u on u.fund_id = a.fund_id and u.ra = a.ra where u.n = 12 and u.later is not null group by a.fund_id, a.m, a.ra",
     "sipu": "select fund_id, ra, sum(1 / nav) over (partition by fund_id order by ra rows between current row and 11 following) as units, count(*) over (partition by fund_id order by ra rows between current row and 11 following) as n, lead(nav, 12) over (partition by fund_id order by ra) as later from mon",
     "sipx": "select fund_id, start, ra, [[xirr|flows]] as xirr from sip",
+    # Point-in-time panel: features of a fund from months up to m, and the outcome of the plan that starts in m.
+    "monr": "select fund_id, m, ra, nav, nav / lag(nav) over (partition by fund_id order by m) - 1 as r, nav / lag(nav, 12) over (partition by fund_id order by m) - 1 as mom, nav / max(nav) over (partition by fund_id order by m rows between unbounded preceding and current row) - 1 as dd from mon",
+    "panel": "select x.fund_id, x.m, x.mom, x.dd, x.steady, sipx.xirr as y from (select fund_id, m, mom, dd, ra, -stddev_samp(r) over (partition by fund_id order by m rows between 11 preceding and current row) as steady from monr) x join sipx on sipx.fund_id = x.fund_id and sipx.start = x.m where x.ra >= 13 and sipx.xirr is not null",
+    "panell": "select fund_id, m, 'mom' as metric, round(mom, 12) as x, round(y, 9) as y from panel union all select fund_id, m, 'dd', round(dd, 12), round(y, 9) from panel union all select fund_id, m, 'steady', round(steady, 12), round(y, 9) from panel",
+    "panelr": "select fund_id, m, metric, x, y, count(*) over (partition by metric, m) as peers, rank() over (partition by metric, m order by x) + (count(*) over (partition by metric, m, x) - 1) / 2e0 as rx, rank() over (partition by metric, m order by y) + (count(*) over (partition by metric, m, y) - 1) / 2e0 as ry from panell",
     # Market regimes of each index by momentum of 26 weeks and drawdown.
     "reg": "select index_id, w, case when dd <= -10e-2 then 'Bear' when dd <= -5e-2 then 'Correction' when mom >= 5e-2 then 'StrongBull' when mom is not null then 'MildBull' end as regime from (select index_id, w, dd, nav / lag(nav, 26) over (partition by index_id order by w) - 1 as mom from bdd) x",
     "alreg": "select al.fund_id, al.w, al.f, al.b, al.rd, reg.regime from al join fund on al.fund_id = fund.fund_id join reg on reg.index_id = fund.sector and reg.w = al.w where reg.regime is not null",
