@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from navloom.operators import ALL
 from navloom.plans.fixtures import INPUTS, fund_tables
 from navloom.plans.text import Operator, written
+from navloom.sources import queries as sources
 
 
 def selected(sql: str) -> list[str]:
@@ -44,7 +45,7 @@ def query(op: Operator):
     return run
 
 
-QUERIES = {name: query(op) for name, op in ALL.items()}
+QUERIES = {**sources.QUERIES, **{name: query(op) for name, op in ALL.items()}}
 
 
 def oracle(op: Operator) -> str:
@@ -53,4 +54,4 @@ def oracle(op: Operator) -> str:
     return f"select * replace ({dates}) from ({text}) q" if dates else text
 
 
-ORACLE_SQL = {name: oracle(op) for name, op in ALL.items()}
+ORACLE_SQL = {**sources.ORACLE_SQL, **{name: oracle(op) for name, op in ALL.items()}}
