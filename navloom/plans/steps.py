@@ -34,7 +34,8 @@ STEPS = {
     "ab": "select fund_id, case when count(*) >= 20 and var_samp(b) > 1e-12 then regr_slope(f, b) end as beta, case when count(*) >= 20 and var_samp(b) > 1e-12 then 52 * (avg(f) - 65e-3 / 52 - regr_slope(f, b) * (avg(b) - 65e-3 / 52)) end as alpha, case when count(*) >= 12 and stddev_samp(f - b) > 1e-12 then avg(f - b) / stddev_samp(f - b) * sqrt(52) end as ir, stddev_samp(f - b) * sqrt(52) as te from al group by fund_id",
     # Five measures of each fund, long, with the direction that is better.
     "feat": "select cagr3.fund_id, cagr, vol.vol, mdd, alpha, ir, beta from cagr3 left join vol on cagr3.fund_id = vol.fund_id left join mdd on cagr3.fund_id = mdd.fund_id left join ab on cagr3.fund_id = ab.fund_id",
-    "featl": "select fund_id, 'cagr' as metric, cagr as x, 30e-2 as weight from feat union all select fund_id, 'vol', -vol, 15e-2 from feat union all select fund_id, 'mdd', mdd, 15e-2 from feat union all select fund_id, 'alpha', alpha, 25e-2 from feat union all select fund_id, 'ir', ir, 15e-2 from feat",
+    "weights": "select 'cagr' as metric, 30e-2 as weight union all select 'vol', 15e-2 union all select 'mdd', 15e-2 union all select 'alpha', 25e-2 union all select 'ir', 15e-2",
+    "featl": "select fund_id, metric, case metric when 'cagr' then cagr when 'vol' then -vol when 'mdd' then mdd when 'alpha' then alpha else ir end as x, weight from feat cross join weights",
     # Average-rank percentile of each measure within a sector; nulls stay.
     "pct": "select featl.fund_id, fund.sector, metric, weight, x, case when x is not null then 100 * (rank() over (partition by fund.sector, metric, x is null order by x) + (count(*) over (partition by fund.sector, metric, x) - 1) / 2e0) / count(x) over (partition by fund.sector, metric) end as p from featl join fund on featl.fund_id = fund.fund_id",
     # Twelve monthly buys of 1 and a sale in the thirteenth month, for every start.
@@ -44,7 +45,8 @@ STEPS = {
     # Point-in-time panel: features of a fund from months up to m, and the outcome of the plan that starts in m.
     "monr": "select fund_id, m, ra, nav, nav / lag(nav) over (partition by fund_id order by m) - 1 as r, nav / lag(nav, 12) over (partition by fund_id order by m) - 1 as mom, nav / max(nav) over (partition by fund_id order by m rows between unbounded preceding and current row) - 1 as dd from mon",
     "panel": "select x.fund_id, x.m, x.mom, x.dd, x.steady, sipx.xirr as y from (select fund_id, m, mom, dd, ra, -stddev_samp(r) over (partition by fund_id order by m rows between 11 preceding and current row) as steady from monr) x join sipx on sipx.fund_id = x.fund_id and sipx.start = x.m where x.ra >= 13 and sipx.xirr is not null",
-    "panell": "select fund_id, m, 'mom' as metric, round(mom, 12) as x, round(y, 9) as y from panel union all select fund_id, m, 'dd', round(dd, 12), round(y, 9) from panel union all select fund_id, m, 'steady', round(steady, 12), round(y, 9) from panel",
+    "panelm": "select 'mom' as metric union all select 'dd' union all select 'steady'",
+    "panell": "select fund_id, m, metric, round(case metric when 'mom' then mom when 'dd' then dd else steady end, 12) as x, round(y, 9) as y from panel cross join panelm",
     "panelr": "select fund_id, m, metric, x, y, count(*) over (partition by metric, m) as peers, rank() over (partition by metric, m order by x) + (count(*) over (partition by metric, m, x) - 1) / 2e0 as rx, rank() over (partition by metric, m order by y) + (count(*) over (partition by metric, m, y) - 1) / 2e0 as ry from panell",
     # Market regimes of each index by momentum of 26 weeks and drawdown.
     "reg": "select index_id, w, case when dd <= -10e-2 then 'Bear' when dd <= -5e-2 then 'Correction' when mom >= 5e-2 then 'StrongBull' when mom is not null then 'MildBull' end as regime from (select index_id, w, dd, nav / lag(nav, 26) over (partition by index_id order by w) - 1 as mom from bdd) x",

@@ -64,9 +64,10 @@ def discover_scores(files: DataFrame, column: str = "file") -> DataFrame:
 
 
 def missing_columns(table: DataFrame, name: str, required: tuple[str, ...] = CONTRACT) -> DataFrame:
-    """(table_name, missing): a row for each required column that the table lacks. Looks at the schema only."""
+    """(table_name, missing, n_rows): for each required column that the table lacks, how many rows would go without it."""
     missing = [c for c in required if c not in table.columns]
-    return table.sparkSession.createDataFrame([(name, c) for c in missing], "table_name string, missing string")
+    rows = table.agg(F.count(F.lit(1)).alias("n_rows"))
+    return rows.select(F.lit(name).alias("table_name"), F.explode(F.array(*map(F.lit, missing)).cast("array<string>")).alias("missing"), "n_rows")
 
 
 def need_list(wanted: DataFrame, landed: DataFrame, key: str, refresh: bool = False) -> DataFrame:

@@ -123,6 +123,7 @@ ORACLE_SQL = {
     "src04_entity_files": f"select index_id, strftime(ts, '%Y-%m-%d') as ts, nav from {_I} i",
     "src05_snapshot": f"select fund_id, strftime(ts, '%Y-%m-%d') as ts, nav, '2001-12-31' as snapshot_date from {_N} n where year(ts) = 2001",
     "src06_discover": f"select distinct f.sector, m.model from ({written(MODEL_SCORE, 'duckdb')}) m join {_F} f on f.fund_id = m.fund_id",
+    "src07_contract": f"select 'model_score' as table_name, x as missing, count(*) as n_rows from ({written(MODEL_SCORE, 'duckdb')}) m, (select unnest(['name']) as x) u group by x",
     "src08_load_report": f"select case when l.fund_id is not null then 'skipped' when f.aum is null then 'failed' else 'success' end as status, count(*) as n from {_F} f left join (select distinct fund_id from {_H} h where cast(fund_id as int) % 2 = 0) l on l.fund_id = f.fund_id group by 1",
     "src09_index_lookup": f"select fund_id, case when cast(fund_id as int) % 3 = 0 then 'IDX_ASIA' else sector end as name, case when cast(fund_id as int) % 3 = 0 then 'IDX_ASIA' else 'IDX_' || substr(sector, 1, 4) end as index_id from {_F} f",
     "src11_ranked_sink": f"select f.sector, m.model, m.fund_id, m.score from ({written(MODEL_SCORE, 'duckdb')}) m join {_F} f on f.fund_id = m.fund_id",

@@ -36,4 +36,4 @@ def test_query(spark, duck, sf_dir, name):
         assert sorted(want.columns) == sorted(df.columns)
         assert cells(got, df.columns) == cells(want.fetchall(), want.columns)
     else:
-        assert name in {"fx04_style_weights", "fx05_attribution", "src07_contract"}
+        assert name in {"fx04_style_weights", "fx05_attribution"}
