@@ -3,8 +3,15 @@
 from navloom.operators import benchmark, cashflow, factors, regimes, returns, risk, scoring
 from navloom.plans.text import Operator
 
-_WITHIN = "select metric, corr(rx / peers, ry / peers) as rho from panelr where peers >= 5 group by metric having count(*) >= 50"
-_POOLED = "select metric, corr(rx, ry) as rho, count(*) as n from (select metric, rank() over (partition by metric order by x) + (count(*) over (partition by metric, x) - 1) / 2e0 as rx, rank() over (partition by metric order by y) + (count(*) over (partition by metric, y) - 1) / 2e0 as ry from panell) p group by metric having count(*) >= 60"
+
+
+def _corr(a: str, b: str) -> str:
+    """Correlation, null where a side doesn't vary."""
+    return f"case when stddev_samp({a}) > 1e-9 and stddev_samp({b}) > 1e-9 then corr({a}, {b}) end"
+
+
+_WITHIN = f"select metric, {_corr('rx / peers', 'ry / peers')} as rho from panelr where peers >= 5 group by metric having count(*) >= 50"
+_POOLED = f"select metric, {_corr('rx', 'ry')} as rho, count(*) as n from (select metric, rank() over (partition by metric order by x) + (count(*) over (partition by metric, x) - 1) / 2e0 as rx, rank() over (partition by metric order by y) + (count(*) over (partition by metric, y) - 1) / 2e0 as ry from panell) p group by metric having count(*) >= 60"
 _PRIOR = "select 'mom' as metric, 1 as sign, 5e-1 as prior union all select 'dd', 1, 3e-1 union all select 'steady', 0, 2e-1"
 _RESOLVED = f"select p.metric, p.sign, w.rho, case when p.sign <> 0 and (p.sign * w.rho > 0 or abs(w.rho) < 5e-2) then greatest(abs(w.rho), 5e-2) when p.sign = 0 and abs(w.rho) >= 5e-2 then abs(w.rho) else 0e0 end as raw from ({_PRIOR}) p left join ({_WITHIN}) w on w.metric = p.metric"
 _BLOCKS = next(o.sql for o in benchmark.OPERATORS if o.name == "bm19_block_alphas")
@@ -48,9 +55,9 @@ OPERATORS = [
     Operator("lb03_within_date_spearman", "Correlation of percentile ranks within each month, five funds at least, pooled.", f"select metric, round(rho, 6) as rho from ({_WITHIN}) w"),
     Operator("lb04_resolved_weights", "Weights by agreement with a prior sign: kept, dropped or kept if strong; normalised, with the reason.", f"select metric, sign, round(rho, 6) as rho, round(raw / nullif(sum(raw) over (), 0), 6) as weight, case when raw = 0 then 'dropped' when abs(rho) < 5e-2 then 'prior' else 'learned' end as status from ({_RESOLVED}) r"),
     Operator("lb05_blended_weights", "Learned shares blended with priors, capped, what is left spread by room once.", f"with b as (select p.metric, 42e-2 * abs(w.rho) / nullif(sum(abs(w.rho)) over (), 0) + 58e-2 * prior as b from ({_PRIOR}) p join ({_POOLED}) w on w.metric = p.metric), c as (select metric, least(b, {{cap}}) as c, {{cap}} - least(b, {{cap}}) as room from b) select metric, round(c + room * least(greatest(1 - sum(c) over (), 0e0) / nullif(sum(room) over (), 0), 1e0), 6) as weight from c".replace("{{cap}}", "{cap}"), {"cap": "40e-2"}),
-    Operator("lb06_ic_weights", "Mean rank correlation at the last two months with a panel, floor 0.01, normalised.", "with d as (select m, row_number() over (order by m desc) as k from (select m from panelr group by m having count(*) >= 15) x), i as (select metric, panelr.m, corr(rx, ry) as ic from panelr join d on d.m = panelr.m where d.k in (1, 2) group by 1, 2), a as (select metric, greatest(avg(ic), 1e-2) as w from i group by 1) select metric, round(w / sum(w) over (), 6) as weight from a"),
-    Operator("lb07_walk_forward_ic", "Rank correlation of each feature with the outcome by month, and its mean.", "with i as (select metric, m, corr(rx, ry) as ic from panelr where peers >= 5 group by 1, 2) select metric, cast(m as varchar(20)) as as_of_month, round(ic, 6) as ic, round(avg(ic) over (partition by metric), 6) as mean_ic from i"),
-    Operator("lb08_walk_forward_top", "By month: rank correlation of momentum, mean outcome of the best seven less the median, share of them above it; 12 funds at least.", "with r as (select *, row_number() over (partition by m order by x desc, fund_id) as place, rank() over (partition by m order by y) as ky from panelr where metric = 'mom' and peers >= 12), md as (select m, median(y) as med from r group by 1) select cast(r.m as varchar(20)) as as_of_month, round(corr(rx, ry), 6) as ic, round(avg(case when place <= 7 then y end) - max(med), 6) as top_less_median, round(avg(case when place <= 7 then case when y > med then 1e0 else 0e0 end end), 6) as hit_rate from r join md on md.m = r.m group by r.m"),
+    Operator("lb06_ic_weights", "Mean rank correlation at the last two months with a panel, floor 0.01, normalised.", f"with d as (select m, row_number() over (order by m desc) as k from (select m from panelr group by m having count(*) >= 15) x), i as (select metric, panelr.m, {_corr('rx', 'ry')} as ic from panelr join d on d.m = panelr.m where d.k in (1, 2) group by 1, 2), a as (select metric, greatest(avg(ic), 1e-2) as w from i group by 1) select metric, round(w / sum(w) over (), 6) as weight from a"),
+    Operator("lb07_walk_forward_ic", "Rank correlation of each feature with the outcome by month, and its mean.", f"with i as (select metric, m, {_corr('rx', 'ry')} as ic from panelr where peers >= 5 group by 1, 2) select metric, cast(m as varchar(20)) as as_of_month, round(ic, 6) + 0e0 as ic, round(avg(ic) over (partition by metric), 6) as mean_ic from i"),
+    Operator("lb08_walk_forward_top", "By month: rank correlation of momentum, mean outcome of the best seven less the median, share of them above it; 12 funds at least.", f"with r as (select *, row_number() over (partition by m order by x desc, fund_id) as place, rank() over (partition by m order by y) as ky from panelr where metric = 'mom' and peers >= 12), md as (select m, median(y) as med from r group by 1) select cast(r.m as varchar(20)) as as_of_month, round({_corr('rx', 'ry')}, 6) + 0e0 as ic, round(avg(case when place <= 7 then y end) - max(med), 6) as top_less_median, round(avg(case when place <= 7 then case when y > med then 1e0 else 0e0 end end), 6) as hit_rate from r join md on md.m = r.m group by r.m"),
     Operator("lb09_james_stein", "Block alphas shrunk towards the peers' mean by between over between plus within variance.", f"with g as (select fund_id, avg(alpha) as a, coalesce(var_samp(alpha), 16e-4) as within, count(*) as n from ({_BLOCKS}) b group by 1), t as (select *, avg(a) over () as mu, coalesce(var_samp(a) over (), 0e0) as between_var from g) select fund_id, round(mu + case when between_var + within / n < 1e-12 then 5e-1 else between_var / (between_var + within / n) end * (a - mu), 5) as shrunk from t"),
     Operator("e2e01_adaptive_plan", "Small-cap model: summary of the rolling plans, drawdown, capture and trend; 0.85 under three years.", composed([("cf07_sip_summary", "median_x", 0.25), ("cf07_sip_summary", "p25", 0.15), ("rk04_current_drawdown", "current_dd", 0.1), ("bm04_capture_means", "up_52", 0.15), ("bm04_capture_means", "down_52", -0.15), ("rt07_momentum_180d", "momentum", 0.2)], "percentile", "score * case when conf < 1 then 85e-2 else 1e0 end")),
     Operator("e2e02_regime_pillars", "Mid-cap model: expected regime alpha, block stability, drawdown at risk, skew, plan level, holdings.", composed([("rg05_expected_alpha", "expected", 0.25), ("bm20_block_stability", "stability", 0.2), ("rk07_cdar", "cdar_two", 0.2), ("rk17_skew", "skew", 0.1), ("cf06_rolling_sip_return", "mean_ret", 0.15), ("hd02_equity_profile", "top_10", -0.1)], "zscore", "least(greatest(score, 0e0), 100e0)")),
