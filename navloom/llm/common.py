@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +27,7 @@ def word_list(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """Word to a 64-bit hash that is the same in every process. Starts anew when it is full, so its memory is bounded."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
 
@@ -64,10 +63,6 @@ def shingle_hashes(words: np.ndarray, k: int = SHINGLE_WORDS) -> np.ndarray:
     return mixed(out)
 
 
-def text_strings(column: pa.Array) -> list[str | None]:
-    return column.to_pylist()
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset a new local one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -84,6 +79,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch between Spark and Python: whole texts are long, and two tasks share an executor's memory.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches have BATCH_ROWS rows at most."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key, "10000")) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def small_or_shuffled(df: DataFrame, most_rows: int) -> DataFrame:
     """df with a broadcast hint if it has most_rows rows at most (counted first), else as it is: then the join shuffles."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

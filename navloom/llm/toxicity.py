@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from navloom.llm.common import id_remainder, materialize, word_list
+from navloom.llm.common import bounded_batches, id_remainder, materialize, word_list
 from navloom.llm.ranking import labelled_sample
 
 #: Labelled rows that terms are chosen on and that are the examples, at most about so many (by a hash of the id).
@@ -43,7 +43,7 @@ def terms_of(word: bytes) -> list[int]:
 class TermPlaces(dict):
     """Word to the places of its terms in the vocabulary, mostly none; starts anew when full."""
 
-    def __init__(self, vocabulary: np.ndarray, most: int = 400_000):
+    def __init__(self, vocabulary: np.ndarray, most: int = 200_000):
         super().__init__()
         self.places, self.most = {int(t): i for i, t in enumerate(vocabulary)}, most
 
@@ -194,14 +194,28 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), self.index.ids[places], cosines
 
 
+def document_frequencies(vectors: DataFrame, n_terms: int) -> dict[int, int]:
+    """Documents that hold each term, over all rows of vectors (terms); tasks add up their own rows before the shuffle."""
+
+    def tally(batches):
+        total = np.zeros(n_terms, np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column(0).flatten().to_numpy(), minlength=n_terms)
+        there = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(total[there])], names=["term", "n"])
+
+    summed = vectors.select("terms").mapInArrow(tally, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    return {r["term"]: r["n"] for r in summed.collect()}
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_labelled: int = MOST_LABELLED) -> ToxicityModel:
     """Terms and examples from a bounded labelled sample without held-out rows; document frequencies from all of docs."""
     sample = labelled_sample(docs, labels, "toxic", most_labelled, id_col, text_col)
     vocabulary = choose_terms(sample)
     vectors = _vectors(vocabulary)
-    every = materialize(docs.select(vectors(F.col(text_col)).alias("v")).select("v.terms"), "toxic-terms")
+    every = materialize(bounded_batches(docs).select(vectors(F.col(text_col)).alias("v")).select("v.terms"), "toxic-terms")
     n = every.count()
-    df = {r["term"]: r["count"] for r in every.select(F.explode("terms").alias("term")).groupBy("term").count().collect()}
+    df = document_frequencies(every, len(vocabulary))
     idf = np.array([math.log((1 + n) / (1 + df.get(i, 0))) + 1e-3 for i in range(len(vocabulary))])
     got = sample.select("_id", "toxic", vectors("_text").alias("v")).select("_id", "toxic", "v.terms", "v.counts").toPandas().sort_values("_id", kind="stable")
     ids, y = got["_id"].tolist(), got["toxic"].to_numpy(int)
