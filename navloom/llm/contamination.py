@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from navloom.llm.common import NEAR, SHINGLE_WORDS, WordHashes, mixed, shingle_hashes, word_list
+from navloom.llm.common import NEAR, SHINGLE_WORDS, WordHashes, bounded_batches, mixed, shingle_hashes, word_list
 
 BANDS = 48
 #: Items that one pass over the documents carries; more are searched in several passes. About 2 KB an item.
@@ -161,7 +161,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = NEAR,
     """
     out = None
     for index in item_blocks(benchmark, item_id_col, item_text_col):
-        found = docs.select(F.col(id_col), F.explode(_hits(index, threshold)(F.col(text_col))).alias("_h")).select(id_col, "_h.*")
+        found = bounded_batches(docs).select(F.col(id_col), F.explode(_hits(index, threshold)(F.col(text_col))).alias("_h")).select(id_col, "_h.*")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -169,7 +169,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = NEAR,
 def keep_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = NEAR, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs that hold no item, all columns; texts are searched in place, not shuffled."""
     for index in item_blocks(benchmark, item_id_col, item_text_col):
-        docs = docs.where(F.size(_hits(index, threshold)(F.col(text_col))) == 0)
+        docs = bounded_batches(docs).where(F.size(_hits(index, threshold)(F.col(text_col))) == 0)
     return docs
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from navloom.llm.common import id_remainder
+from navloom.llm.common import bounded_batches, id_remainder
 
 #: Scripts as ranges of code points: (first, last, script). Fixed values; other letters count as script 0.
 SCRIPT_RANGES = (
@@ -97,7 +97,9 @@ def model_of(counts: pd.DataFrame, scripts: pd.DataFrame) -> LanguageModel:
     at = {name: i for i, name in enumerate(names)}
     n = np.zeros((SLOTS, len(names)))
     n[counts["slot"].to_numpy(int), counts["lang"].map(at).to_numpy(int)] = counts["n"].to_numpy(float)
-    logs = np.log((n + 0.1) / (n + 0.1).sum(0)) if names else n
+    if not names:
+        return LanguageModel([], n.astype(np.float32), np.zeros((N_SCRIPTS, 0), np.float32))
+    logs = np.log((n + 0.1) / (n + 0.1).sum(0))
     used = np.zeros((N_SCRIPTS, len(names)))
     used[scripts["script"].to_numpy(int), scripts["lang"].map(at).to_numpy(int)] = scripts["n"].to_numpy(float)
     written = used >= SCRIPT_SHARE * np.maximum(used.sum(0), 1)
@@ -111,7 +113,7 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     The counts are summed in Spark; languages x SLOTS rows at most reach the driver. Of more than MOST_LANGUAGES labels the most
     frequent are learned.
     """
-    known = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("lang"))
+    known = bounded_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("lang"))
     known = known.where(F.col("lang").isNotNull() & F.col("_text").isNotNull() & (id_remainder(fold, "_id") != held_out))
     by_lang = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     each = most_labelled / max(1, len(by_lang))
@@ -239,7 +241,7 @@ def label_documents(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id
                 out.append({"lang": model.names[top], "score": float(letters[top] / letters.sum()), "spans": spans})
         return pa.array(out, _ARROW_RESULT)
 
-    return docs.select(F.col(id_col), label(F.col(text_col)).alias("_r")).select(id_col, F.col("_r.lang").alias("lang_pred"), "_r.score", "_r.spans")
+    return bounded_batches(docs).select(F.col(id_col), label(F.col(text_col)).alias("_r")).select(id_col, F.col("_r.lang").alias("lang_pred"), "_r.score", "_r.spans")
 
 
 _ARROW_RESULT = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("n_words", pa.int32())])))])

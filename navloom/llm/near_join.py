@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from navloom.llm.common import WordHashes, materialize, mixed, shingle_hashes, small_or_shuffled, word_list
+from navloom.llm.common import WordHashes, bounded_batches, materialize, mixed, shingle_hashes, small_or_shuffled, word_list
 
 COORDINATES, RUNS, DEPTH, LEAF = 128, 8, 3, 512
 #: Share of equal coordinates from which two sets go to the exact comparison: four standard deviations below 0.8.
@@ -252,7 +252,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents, classes): (_id, _hash, key) for every row, and (key, class_id, class_hash, n_links, n_copies) for every set."""
-    keyed = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
+    keyed = bounded_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
     sketched = keyed.select("_id", "_hash", _sketches()(F.col("_text")).alias("_s")).select("_id", "_hash", "_s.*")
     sketched = materialize(sketched, "near-sketches")
     sets = sketched.where("key is not null").groupBy("key").agg(F.min(F.struct("_id", "_hash")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("mins").alias("mins"))

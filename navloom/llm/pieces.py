@@ -5,13 +5,12 @@ alone gives. So the encoder walks through the text, takes the longest piece that
 its left neighbour, and steps back when none does. The encoding of every prefix is unique; hence a position from which there
 was no way on never has to be tried again, and a bitfield of such positions keeps the work linear even for texts without
 any space. Pieces never hold a space mark after another character, so a text falls apart into independent chunks before each
-run of space marks, and around characters that no longer piece holds; chunks repeat and are kept in a bounded cache.
+run of space marks and after runs of letters and digits; chunks repeat and are kept in a bounded cache for each task.
 """
 
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 from itertools import chain
 
 import ahocorasick
@@ -20,9 +19,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from navloom.llm.common import bounded_batches
+
 SPACE = "▁"
 #: Longest chunk that goes to the cache, and how many chunks each of its two generations holds.
-_CACHED_CHARS, _CACHED_CHUNKS = 48, 250_000
+_CACHED_CHARS, _CACHED_CHUNKS = 48, 120_000
+
+
+def _cutter(pieces) -> re.Pattern:
+    """A pattern of chunks between which no merge can happen, because no piece holds the two characters side by side.
+
+    A chunk starts at a run of space marks, or where something else follows a run of letters and digits. Letters and digits
+    that do stand before something else in a piece count as something else; single ASCII characters that only ever stand alone
+    are chunks of their own.
+    """
+    pairs = {(a, b) for piece in pieces for a, b in zip(piece, piece[1:], strict=False)}
+    paired = {c for pair in pairs for c in pair}
+    letters = {c for c in paired if re.match(r"[^\W_]", c)}
+    other: set[str] = set()
+    while ends := {a for a, b in pairs if a in letters and b not in letters and b != SPACE}:
+        letters -= ends
+        other |= ends
+    alone = "".join(re.escape(c) for c in map(chr, range(128)) if c not in paired and not c.isalnum())
+    odd = "_" + "".join(re.escape(c) for c in sorted(other))
+    letter, rest = rf"[^\W{odd}]", rf"(?:(?![{SPACE}{alone}])[\W{odd}])"
+    return re.compile(f"{SPACE}*(?:{rest}*{letter}+|{rest}+)|{SPACE}+" + (f"|[{alone}]" if alone else ""))
 
 
 class MergeEncoder:
@@ -55,16 +76,14 @@ class MergeEncoder:
             self.texts[i] = piece.replace(SPACE, " ").encode()
         for b, i in byte_id.items():
             self.texts[i] = bytes([b])
-        self.found = ahocorasick.Automaton()
+        self.found, self.reach = ahocorasick.Automaton(), set()
         for piece in self.scores:
             if len(piece) > 1 and self.merged(piece) == [piece]:  # the others never come out of merging
                 self.found.add_word(piece, len(piece))
+                self.reach.add(piece)
         self.found.make_automaton()
         self.fits: dict[tuple[str, str], bool] = {}
-        joined = {c for piece in self.scores if len(piece) > 1 for c in piece}
-        alone = "".join(c for c in map(chr, range(128)) if c not in joined)  # never merged with anything
-        alone = "".join(f"\\x{ord(c):02x}" for c in alone)
-        self.cut = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + (f"|[{alone}]" if alone else ""))
+        self.cut = _cutter(self.scores)
         self.chunks: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
@@ -85,7 +104,7 @@ class MergeEncoder:
     def compatible(self, left: str, right: str) -> bool:
         known = self.fits.get((left, right))
         if known is None:
-            if len(self.fits) > 200_000:
+            if len(self.fits) > 100_000:
                 self.fits.clear()
             known = self.fits[left, right] = self.merged(left + right) == [left, right]
         return known
@@ -95,38 +114,36 @@ class MergeEncoder:
         n = len(text)
         if n < 2:
             return list(text)
-        starts: list[list[int]] = [[1] for _ in range(n)]  # lengths of the pieces from here, shortest first
+        longest = [1] * n  # length of the longest piece from each place; matches come by their ends, so later ones are longer
         for end, length in self.found.iter(text):
-            starts[end - length + 1].append(length)
-        fits = self.fits.get
+            longest[end - length + 1] = length
+        fits, reach = self.fits.get, self.reach
         failed = None  # bitfield of positions from which there is no way on
         out: list[str] = []
-        taken: list[int] = []
-        at, option, last = 0, len(starts[0]) - 1, ""
+        at, length, last = 0, longest[0], ""
         while at < n:
-            lengths = starts[at]
-            while option >= 0:
-                to = at + lengths[option]
-                if failed is None or not failed[to >> 3] >> (to & 7) & 1:
-                    piece = text[at:to]
+            while length:
+                to = at + length
+                piece = text[at:to]
+                if (length == 1 or piece in reach) and (failed is None or not failed[to >> 3] >> (to & 7) & 1):
                     if not last:
                         break
                     fit = fits((last, piece))
                     if self.compatible(last, piece) if fit is None else fit:
                         break
-                option -= 1
-            if option >= 0:
+                length -= 1
+            if length:
                 out.append(piece)
-                taken.append(option)
                 last, at = piece, to
                 if at < n:
-                    option = len(starts[at]) - 1
+                    length = longest[at]
             else:
                 if failed is None:
                     failed = bytearray(n // 8 + 1)
                 failed[at >> 3] |= 1 << (at & 7)
-                at -= len(out.pop())
-                option = taken.pop() - 1
+                length = len(out.pop())
+                at -= length
+                length -= 1
                 last = out[-1] if out else ""
         return out
 
@@ -169,18 +186,15 @@ class MergeEncoder:
         return self.decoded(ids).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
-def encoder(model_file: str) -> MergeEncoder:
-    """One encoder for each worker process and model."""
-    return MergeEncoder(model_file)
-
-
 def _encode_column(model_file: str):
     kind = pa.struct([("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
+    kept: list[MergeEncoder] = []  # for a task; its caches go with it
 
     @F.arrow_udf("struct<ids: array<int>, decoded: string>")
     def encode(texts: pa.Array) -> pa.Array:
-        enc = encoder(model_file)
+        if not kept:
+            kept.append(MergeEncoder(model_file))
+        enc = kept[0]
         lists, decoded = [], []
         for t in texts:
             ids = enc.encode(t.as_py())
@@ -201,18 +215,21 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
     other than the two named are not read. No shuffle: each text is encoded where it is read.
     """
     coded = _encode_column(model_file)(F.col(text_col))
-    return docs.select(F.col(id_col), coded.alias("_c")).select(id_col, "_c.ids", "_c.decoded")
+    return bounded_batches(docs).select(F.col(id_col), coded.alias("_c")).select(id_col, "_c.ids", "_c.decoded")
 
 
 def decode_ids(df: DataFrame, model_file: str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
     """Adds out_col: the text that the ids decode to (null ids: null). Control ids give nothing; unknown ids are an error."""
 
+    kept: list[MergeEncoder] = []
+
     @F.arrow_udf("string")
     def decode(ids: pa.Array) -> pa.Array:
-        enc = encoder(model_file)
-        return pa.array([None if x is None else enc.decode(x) for x in ids.to_pylist()], pa.string())
+        if not kept:
+            kept.append(MergeEncoder(model_file))
+        return pa.array([None if x is None else kept[0].decode(x) for x in ids.to_pylist()], pa.string())
 
-    return df.withColumn(out_col, decode(F.col(ids_col)))
+    return bounded_batches(df).withColumn(out_col, decode(F.col(ids_col)))
 
 
 def token_digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from navloom.llm.common import materialize
+from navloom.llm.common import bounded_batches, materialize
 
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 _SPACES = " \t\n\v\f\r"
@@ -151,7 +151,7 @@ def passes(cutoffs: dict[tuple[int, str], float]) -> Column:
 
 
 def measured_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return docs.select(F.col(id_col), measures(F.col(text_col)).alias("_m")).select(id_col, "_m.*")
+    return bounded_batches(docs).select(F.col(id_col), measures(F.col(text_col)).alias("_m")).select(id_col, "_m.*")
 
 
 def judge_documents(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,5 +171,5 @@ def keep_documents(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), id_c
     """The rows of docs that the base rule and the proven cutoffs keep, all columns; texts are measured in place, not shuffled."""
     cutoffs = proven_cutoffs(labelled_bins(measured_documents(docs, id_col, text_col), labels, id_col), risk)
     names = docs.columns
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), measures(F.col(text_col)).alias("_m")).select("_row", "_m.*")
+    whole = bounded_batches(docs).select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), measures(F.col(text_col)).alias("_m")).select("_row", "_m.*")
     return whole.where(~base_failed() & passes(cutoffs)).select("_row.*")
