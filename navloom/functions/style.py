@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CASH = 0.065 / 52
+CASH = 1.065 ** (1 / 52) - 1
 
 
 def simplex_weights(gram: np.ndarray, cross: np.ndarray) -> np.ndarray:

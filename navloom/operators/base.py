@@ -32,7 +32,7 @@ OPERATORS = [
     Operator("ts06_align_unlimited", "The same without a limit.", "with c as (select fund.fund_id, idxd.day from fund join idxd on idxd.index_id = fund.sector) select fund_id, [[date|day]] as ts, nav from (select c.fund_id, c.day, [[last|navd.nav]] over (partition by c.fund_id order by c.day rows between unbounded preceding and current row) as nav from c left join navd on navd.fund_id = c.fund_id and navd.day = c.day) x where nav is not null"),
     Operator("ts07_period_change", "Change over {n} rows; the first rows have none and are left out.", "select fund_id, ts, round(r, 10) as r from (select fund_id, ts, nav / lag(nav, {n}) over (partition by fund_id order by ts) - 1 as r from nav where nav > 0) x where r is not null", {"n": 1}),
     Operator("ts08_return_matrix", "All weeks of all funds by fund: change over 13 calendar rows; values are not filled, so a gap gives a null.", "with cal as (select distinct w from wk), g as (select fund_id, cal.w from fund cross join cal), r as (select g.fund_id, g.w, wk.nav / lag(wk.nav, 13) over (partition by g.fund_id order by g.w) - 1 as r from g left join wk on wk.fund_id = g.fund_id and wk.w = g.w) select [[date|w]] as week, round(max(case when fund_id = '1' then r end), 10) as fund_1, round(max(case when fund_id = '2' then r end), 10) as fund_2, round(max(case when fund_id = '3' then r end), 10) as fund_3, count(r) as n_funds, round(avg(r), 10) as mean_r from r group by w"),
-    Operator("ts09_blended_baseline", "Index of three proxies on weeks that all have, weights .58/.17/.10 and 15 % cash at the risk-free rate, from 100.", "select [[date|w]] as week, round(100 * exp(sum(ln(1 + r)) over (order by w rows between unbounded preceding and current row)), 6) as level from (select w, 58e-2 * x1 + 17e-2 * x2 + 10e-2 * x3 + 15e-2 * (65e-3 / 52) as r from fac) x"),
+    Operator("ts09_blended_baseline", "Index of three proxies on weeks that all have, weights .58/.17/.10 and 15 % cash at the risk-free rate, from 100.", "select [[date|w]] as week, round(100 * exp(sum(ln(1 + r)) over (order by w rows between unbounded preceding and current row)), 6) as level from (select w, 58e-2 * x1 + 17e-2 * x2 + 10e-2 * x3 + 15e-2 * ((pow(1065e-3, 1 / 52e0) - 1)) as r from fac) x"),
     Operator("jn01_aligned_returns", "Weekly returns of fund and benchmark on weeks that both have.", "select fund_id, [[date|w]] as week, round(f, 10) as fund_r, round(b, 10) as bench_r from al"),
     Operator("jn02_factor_join", "Fund returns with three factor returns on common weeks.", "select fund_id, [[date|w]] as week, round(f, 10) as r, round(x1, 10) as x1, round(x2, 10) as x2, round(x3, 10) as x3 from alf"),
     Operator("jn03_score_outer_join", "All funds of any model with the score of each; the name from the fund table.", "select model_score.fund_id, max(fund.name) as name, max(case when model = 'M1' then score end) as score_m1, max(case when model = 'M2' then score end) as score_m2, max(case when model = 'M3' then score end) as score_m3, max(case when model = 'M4' then score end) as score_m4 from model_score left join fund on fund.fund_id = model_score.fund_id group by model_score.fund_id"),
@@ -41,5 +41,5 @@ OPERATORS = [
     Operator("jn06_asof_backward", "Last value on or before each quarter start, at most {days} days earlier.", "with t as (select distinct [[day|cast(date_trunc('quarter', ts) as date)]] as t from nav), u as (select fund_id, day, nav, 0 as k, cast(null as int) as t from navd union all select span.fund_id, t.t, null, 1, t.t from span cross join t), w as (select fund_id, t, [[last|nav]] over (partition by fund_id order by day, k rows between unbounded preceding and current row) as nav, [[last|case when k = 0 then day end]] over (partition by fund_id order by day, k rows between unbounded preceding and current row) as hit from u) select fund_id, [[date|t]] as target, nav, [[date|hit]] as at_ts from w where t is not null and t - hit <= {days}", {"days": 10}),
     Operator("jn07_nearest", "For each fund and month start the nearest benchmark day within 21 days; of two as near the later.", "with t as (select distinct fund.fund_id, fund.sector, [[day|m]] as t from mon join fund on fund.fund_id = mon.fund_id), c as (select t.fund_id, t.t, idxd.day, row_number() over (partition by t.fund_id, t.t order by abs(idxd.day - t.t), idxd.day desc) as k from t join idxd on idxd.index_id = t.sector and idxd.day between t.t - 21 and t.t + 21) select fund_id, [[date|t]] as start, [[date|day]] as nearest from c where k = 1"),
     Operator("jn08_key_intersection", "Weeks with at least five funds that have both a value and a value a year later.", "with p as (select a.fund_id, a.w from wk a join wk b on a.fund_id = b.fund_id and b.w = a.w + 364) select [[date|w]] as week, count(*) as n_funds from p group by w having count(*) >= 5"),
-    Operator("jn09_calendar_union", "All weeks of three indices, with the constant weekly cash return.", "select [[date|w]] as week, round(65e-3 / 52, 10) as cash_r, count(*) as n_indices from (select distinct index_id, w from bwr where index_id in ('AFRICA', 'AMERICA', 'ASIA')) x group by w"),
+    Operator("jn09_calendar_union", "All weeks of three indices, with the constant weekly cash return.", "select [[date|w]] as week, round((pow(1065e-3, 1 / 52e0) - 1), 10) as cash_r, count(*) as n_indices from (select distinct index_id, w from bwr where index_id in ('AFRICA', 'AMERICA', 'ASIA')) x group by w"),
 ]

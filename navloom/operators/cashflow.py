@@ -14,7 +14,7 @@ OPERATORS = [
     Operator("cf03_rolling_sip_xirr", "Rate of return of every 12-month plan.", "select fund_id, start, round(xirr, 6) as xirr from sipx"),
     Operator("cf04_dated_sip_xirr", "Plans that start every third month, bought at the first observed value of a month and valued at the last of the year.", "with m as (select fund_id, cast(date_trunc('month', ts) as date) as m, min_by(nav, ts) as nav, min([[day|ts]]) as d, max_by(nav, ts) as last_nav, max([[day|ts]]) as last_d from nav where nav > 0 group by 1, 2), n as (select *, row_number() over (partition by fund_id order by m) as ra, count(*) over (partition by fund_id) as n from m), t as (select a.fund_id, a.m as start, b.d - a.d as t, -1e0 as a, 1 / b.nav as units, b.ra from n a join n b on b.fund_id = a.fund_id and b.ra between a.ra and a.ra + 11 where a.ra % 3 = 1 and a.ra + 11 <= a.n), e as (select a.fund_id, a.m as start, b.last_d - a.d as t, b.last_nav from n a join n b on b.fund_id = a.fund_id and b.ra = a.ra + 11 where a.ra % 3 = 1), u as (select fund_id, start, t, a, ra from t union all select e.fund_id, e.start, e.t, e.last_nav * x.units, 1000000 from e join (select fund_id, start, sum(units) as units from t group by 1, 2) x on x.fund_id = e.fund_id and x.start = e.start), g as (select fund_id, start, [[flows|a|t / 365.25e0|ra]] as flows from u group by 1, 2) select fund_id, start, round([[xirr|flows]], 6) as xirr from g"),
     Operator("cf05_sip_then_hold", "Twelve monthly purchases, held for twelve months more and sold: rate of return for every start.", f"select fund_id, start, round(xirr, 6) as xirr from ({_HOLDX}) x"),
-    Operator("cf06_rolling_sip_return", "Simple return of every plan, and its level and trend by fund.", "with r as (select fund_id, ra, (units * later - 12) / 12 as ret, row_number() over (partition by fund_id order by ra desc) as k from sipu where n = 12 and later is not null) select fund_id, count(*) as n_windows, round(avg(ret), 6) as mean_ret, round(case when count(*) >= 12 then avg(ret) / case when stddev_samp(ret) > 1e-12 then stddev_samp(ret) end end, 5) as stability, round(case when count(*) >= 12 then regr_slope(case when k <= 12 then ret end, case when k <= 12 then cast(ra as double) end) end, 6) as trend from r group by fund_id"),
+    Operator("cf06_rolling_sip_return", "Simple return of every 12-month plan at the first values of months, less that of the index's plan; level, stability from 12 plans on, trend of the last 12.", "with fm as (select fund_id, cast(date_trunc('month', ts) as date) as m, min_by(nav, ts) as f from nav where nav > 0 group by 1, 2), im as (select index_id, cast(date_trunc('month', ts) as date) as m, min_by(nav, ts) as b from index_nav where nav > 0 group by 1, 2), j as (select fm.fund_id, fm.m, f, b from fm join fund on fund.fund_id = fm.fund_id join im on im.index_id = fund.sector and im.m = fm.m), p as (select fund_id, m, sum(1 / f) over w12 * lead(f, 12) over (partition by fund_id order by m) / 12 - 1 as fr, sum(1 / b) over w12 * lead(b, 12) over (partition by fund_id order by m) / 12 - 1 as br from j window w12 as (partition by fund_id order by m rows between current row and 11 following)), r as (select fund_id, fr, fr - br as alpha, row_number() over (partition by fund_id order by m desc) as k, row_number() over (partition by fund_id order by m) as i from p where fr is not null) select fund_id, count(*) as n_windows, round(avg(fr), 6) as mean_ret, round(avg(alpha), 6) as mean_alpha, round(case when count(*) >= 12 then avg(fr) / case when stddev_samp(fr) > 1e-12 then stddev_samp(fr) end end, 5) as stability, round(case when count(*) >= 3 then regr_slope(case when k <= 12 then alpha end, case when k <= 12 then cast(i as double) end) end, 6) as trend from r group by fund_id"),
     Operator("cf07_sip_summary", "Summary of a fund's rolling rates of return.", "with r as (select fund_id, xirr, row_number() over (partition by fund_id order by ra desc) as k from sipx where xirr is not null) select fund_id, count(*) as n_windows, round(median(xirr), 6) as median_x, round([[q|xirr|0.25]], 6) as p25, round([[q|xirr|0.05]], 6) as p5, round(min(xirr), 6) as worst, round(avg(xirr), 6) as mean_x, round(stddev_samp(xirr), 6) as std_x, round(max(case when k = 1 then xirr end), 6) as latest, round(avg(case when k <= 3 then xirr end), 6) as newest_3, round(avg(case when xirr > 8e-2 then 1e0 else 0e0 end), 6) as share_8 from r group by fund_id"),
     Operator("cf08_hit_rate", "Share of shared starts at which the fund's plan beats the index's.", f"select sipx.fund_id, count(*) as n_shared, round(avg(case when round(sipx.xirr, 9) > round(b.xirr, 9) then 1e0 else 0e0 end), 6) as hit_rate from sipx join fund on fund.fund_id = sipx.fund_id join ({_BX}) b on b.index_id = fund.sector and b.start = sipx.start where sipx.xirr is not null and b.xirr is not null group by sipx.fund_id"),
     Operator("cf09_peer_hit_rate", "Share of a fund's starts above the median of its peers at the start, five peers at least.", "with x as (select sipx.fund_id, fund.sector, start, xirr from sipx join fund on fund.fund_id = sipx.fund_id where xirr is not null), m as (select sector, start, median(xirr) as peer from x group by 1, 2 having count(*) >= 5) select x.fund_id, count(*) as n_windows, round(avg(case when round(xirr, 9) > round(peer, 9) then 1e0 else 0e0 end), 6) as hit_rate from x join m on m.sector = x.sector and m.start = x.start group by x.fund_id"),

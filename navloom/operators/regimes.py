@@ -2,7 +2,8 @@
 
 from navloom.plans.text import Operator
 
-_ALPHA = "52 * (avg(f) - 65e-3 / 52 - regr_slope(f, b) * (avg(b) - 65e-3 / 52))"
+_RF = "(pow(1065e-3, 1 / 52e0) - 1)"
+_ALPHA = f"52 * (avg(f) - {_RF} - regr_slope(f, b) * (avg(b) - {_RF}))"
 _ORDERS = "select 'StrongBull' as regime union all select 'MildBull' union all select 'Correction' union all select 'Bear'"
 #: Alpha of each fund and regime, shrunk by the number of weeks and clipped.
 _PER = f"select fund_id, regime, count(*) as n, least(greatest({_ALPHA} / (1 + 4 / sqrt(count(*))), -5e-1), 5e-1) as alpha, regr_slope(f, b) as beta from alreg group by 1, 2 having count(*) >= 8 and var_samp(b) > 1e-12"
@@ -10,12 +11,12 @@ _MIX = f"select s.index_id, s.regime as from_regime, o.regime as to_regime, avg(
 _SOFT = f"select n.index_id, o.regime, avg(case when n.regime = o.regime then 1e0 else 0e0 end) as share from (select *, row_number() over (partition by index_id order by w desc) as k from reg where regime is not null) n cross join ({_ORDERS}) o where n.k <= 8 group by 1, 2"
 
 OPERATORS = [
-    Operator("rg01_regime_labels", "Regime of each index and week by momentum of 26 weeks and drawdown.", "select index_id, [[date|w]] as week, regime from reg where regime is not null"),
-    Operator("rg01_regime_counts_momentum", "Weeks of each regime by the rule of 12-week momentum and 26-week drawdown.", "with x as (select index_id, w, nav / lag(nav, 12) over (partition by index_id order by w) - 1 as mom, nav / max(nav) over (partition by index_id order by w rows between 25 preceding and current row) - 1 as dd from bwk), l as (select index_id, case when dd <= -8e-2 then 'Bear' when dd <= -4e-2 then 'Correction' when mom >= 3e-2 then 'Bull' else 'Sideways' end as regime from x where mom is not null) select index_id, regime, count(*) as weeks from l group by 1, 2"),
+    Operator("rg01_regime_labels", "Regime of each index and week by the change over 26 weeks and the drawdown from the peak of 52.", "select index_id, [[date|w]] as week, regime from reg"),
+    Operator("rg01_regime_counts_momentum", "Weeks of each regime by 13- and 26-week changes and the drawdown: bear before correction, then bull and recovery override.", "with x as (select index_id, w, nav / lag(nav, 13) over (partition by index_id order by w) - 1 as r13, nav / lag(nav, 26) over (partition by index_id order by w) - 1 as r26, dd from bdd), y as (select *, lag(r26, 13) over (partition by index_id order by w) as before from x), l as (select index_id, case when r13 >= 4e-2 and before < 0 and dd > -16e-2 then 'recovery' when r13 >= 8e-2 and dd > -8e-2 then 'bull' when dd <= -18e-2 or r26 <= -14e-2 then 'bear' when dd <= -8e-2 or r13 <= -6e-2 then 'correction' else 'sideways' end as regime from y) select index_id, regime, count(*) as weeks from l group by 1, 2"),
     Operator("rg02_forward_mix", "Mean share of the next 52 weeks in each regime, by the regime at the start.", f"select index_id, from_regime, to_regime, round(p, 8) as p from ({_MIX}) m"),
     Operator("rg03_current_mix", "Share of each regime in the last eight weeks.", f"select index_id, regime, round(share, 8) as share from ({_SOFT}) s"),
     Operator("rg04_regime_alphas", "Regression alpha of each fund in each regime, shrunk and clipped.", f"select fund_id, regime, n, round(alpha, 6) as alpha from ({_PER}) p"),
-    Operator("rg05_expected_alpha", "Regime alphas, gaps filled by the sector's mean, weighted by the current mix.", f"with p as ({_PER}), s as ({_SOFT}), f as (select fund_id, sector from fund where fund_id in (select fund_id from p group by fund_id having count(*) >= 2)), m as (select fund.sector, p.regime, avg(p.alpha) as mean_alpha from p join fund on fund.fund_id = p.fund_id group by 1, 2) select f.fund_id, round(sum(s.share * coalesce(p.alpha, m.mean_alpha)), 6) as expected from f join s on s.index_id = f.sector left join p on p.fund_id = f.fund_id and p.regime = s.regime left join m on m.sector = f.sector and m.regime = s.regime group by f.fund_id"),
+    Operator("rg05_expected_alpha", "Regime alphas, gaps filled by the sector's mean, weighted by the current mix times the forward mix; a start never seen has the overall mix.", f"with p as ({_PER}), s as ({_SOFT}), mx as ({_MIX}), un as (select index_id, regime, count(*) * 1e0 / sum(count(*)) over (partition by index_id) as share from reg group by 1, 2), o as ({_ORDERS}), fwd as (select s.index_id, o.regime, sum(s.share * coalesce(mx.p, case when known.k is null then coalesce(un.share, 0e0) else 0e0 end)) as share from s cross join o left join mx on mx.index_id = s.index_id and mx.from_regime = s.regime and mx.to_regime = o.regime left join (select distinct index_id, from_regime, 1 as k from mx) known on known.index_id = s.index_id and known.from_regime = s.regime left join un on un.index_id = s.index_id and un.regime = o.regime group by 1, 2), f as (select fund_id, sector from fund where fund_id in (select fund_id from p group by fund_id having count(*) >= 2)), m as (select fund.sector, p.regime, avg(p.alpha) as mean_alpha from p join fund on fund.fund_id = p.fund_id group by 1, 2) select f.fund_id, round(sum(fwd.share * coalesce(p.alpha, m.mean_alpha, 0e0)), 6) as expected from f join fwd on fwd.index_id = f.sector left join p on p.fund_id = f.fund_id and p.regime = fwd.regime left join m on m.sector = f.sector and m.regime = fwd.regime group by f.fund_id"),
     Operator("rg06_capture_spread", "Capture in bull regimes less capture in falling ones, eight weeks of each.", "select fund_id, round(case when count(case when regime like '%Bull' then 1 end) >= 8 and count(case when regime not like '%Bull' then 1 end) >= 8 then avg(case when regime like '%Bull' then f end) / nullif(avg(case when regime like '%Bull' then b end), 0) - avg(case when regime not like '%Bull' then f end) / nullif(avg(case when regime not like '%Bull' then b end), 0) end, 4) as spread from alreg group by fund_id"),
     Operator("rg07_masked_excess", "Annual mean excess in correction and bear weeks, six at least.", "select fund_id, round(case when count(*) >= 6 then 52 * avg(f - b) end, 8) as excess from alreg where regime in ('Correction', 'Bear') group by fund_id"),
     Operator("rg08_beta_stability", "1 over 1 + the deviation of the betas of the regimes, two at least.", f"select fund_id, round(1 / (1 + stddev_samp(beta)), 6) as stability from ({_PER}) p group by fund_id having count(*) >= 2"),

@@ -18,9 +18,9 @@ OPERATORS = [
     Operator("scr07_composite", "Weighted mean of the percentiles that a fund has; coverage below 35 % caps it at 45.", "select fund_id, sector, round(case when sum(case when p is not null then weight end) < 35e-2 then least(45e0, sum(weight * p) / nullif(sum(case when p is not null then weight end), 0)) else sum(weight * p) / nullif(sum(case when p is not null then weight end), 0) end, 5) as composite, round(sum(case when p is not null then weight else 0e0 end), 6) as coverage from pct group by fund_id, sector"),
     Operator("scr08_pillars", "Two pillars of the percentiles and their weighted sum; a pillar without any measure is 0.", "with p as (select fund_id, case when metric in ('cagr', 'alpha', 'ir') then 'return' else 'risk' end as pillar, sum(weight * p) / nullif(sum(case when p is not null then weight end), 0) as s from pct group by 1, 2) select fund_id, round(coalesce(max(case when pillar = 'return' then s end), 0e0), 5) as return_pillar, round(coalesce(max(case when pillar = 'risk' then s end), 0e0), 5) as risk_pillar, round(65e-2 * coalesce(max(case when pillar = 'return' then s end), 0e0) + 35e-2 * coalesce(max(case when pillar = 'risk' then s end), 0e0), 4) as score from p group by fund_id"),
     Operator("scr09_normal_map", "Normal distribution function of the mean z-score over 1.15, times 100, clipped to 22 .. 92 (rational approximation, error under 1.5e-7).", "with z as (select fund_id, avg((x - mu) / sd) / 1.15e0 as z from (select fund_id, x, avg(x) over (partition by metric) as mu, nullif(stddev_samp(x) over (partition by metric), 0) as sd from featl) a group by fund_id), t as (select fund_id, z, 1 / (1 + 3275911e-7 * abs(z) / sqrt(2e0)) as t from z), e as (select fund_id, z, 1 - t * (254829592e-9 + t * (-284496736e-9 + t * (1421413741e-9 + t * (-1453152027e-9 + t * 1061405429e-9)))) * exp(-z * z / 2) as erf from t) select fund_id, round(least(greatest(50 * (1 + case when z < 0 then -erf else erf end), 22e0), 92e0), 5) as score from e"),
-    Operator("scr10_history_confidence", "Confidence by years of history: steps, and linear up to three years.", "select fund_id, case when d1 - d0 >= 1826 then 1e0 when d1 - d0 >= 1096 then 9e-1 when d1 - d0 >= 731 then 75e-2 when d1 - d0 >= 365 then 5e-1 else 25e-2 end as step, round(least(greatest((d1 - d0) / 365.25e0 / 3, 0e0), 1e0), 8) as linear from span"),
-    Operator("scr11_capacity", "Capacity by assets: steps, a smooth form with a sweet spot, and a penalty by quantiles of log assets.", "with q as (select [[q|ln(1 + case when aum > 0 then aum end)|0.05]] as lo, [[q|ln(1 + case when aum > 0 then aum end)|0.95]] as hi from fund) select fund_id, case when aum is null or aum <= 0 then 85e-2 when aum < 5000 then 9e-1 when aum < 50000 then 1e0 else 95e-2 end as step, round(case when aum is null or aum <= 0 then 55e-2 else least(greatest(55e-2 + 35e-2 / (1 + exp(-(ln(aum) - ln(700e0)) * 2)) + 2e-1 * exp(-5e-1 * pow((ln(aum) - ln(12000e0)) / 1.45e0, 2)) - 18e-2 / (1 + exp(-(ln(aum) - ln(65000e0)) * 3)), 35e-2), 1e0) end, 6) as smooth, round(case when aum > 0 then 1 - 1e-1 * greatest(0e0, lo - ln(1 + aum)) - 1e-1 * greatest(0e0, ln(1 + aum) - hi) end, 6) as penalised from fund cross join q"),
-    Operator("scr12_adjusted", "Composite times a blend of history confidence, clipped to 0 .. 100.", "with c as (select fund_id, sum(weight * p) / nullif(sum(case when p is not null then weight end), 0) as s from pct group by 1) select c.fund_id, round(least(greatest(s * (45e-2 + 55e-2 * least((d1 - d0) / 365.25e0 / 7, 1e0)), 0e0), 100e0), 5) as adjusted from c join span on span.fund_id = c.fund_id"),
+    Operator("scr10_history_confidence", "Confidence by years of history: a step table, and linear up to three years.", "select fund_id, case when (d1 - d0) / 365.25e0 < 1 then 55e-2 when (d1 - d0) / 365.25e0 < 2 then 72e-2 when (d1 - d0) / 365.25e0 < 3 then 88e-2 when (d1 - d0) / 365.25e0 < 5 then 96e-2 else 1e0 end as step, round(least(greatest((d1 - d0) / 365.25e0 / 3, 0e0), 1e0), 8) as linear from span"),
+    Operator("scr11_capacity", "Capacity by assets: a step table, piecewise with a logarithmic tail, a smooth form with a sweet spot, and penalties by quantiles of log assets.", "with q as (select [[q|ln(1 + case when aum >= 0 then aum end)|0.05]] as q05, [[q|ln(1 + case when aum >= 0 then aum end)|0.25]] as q25, [[q|ln(1 + case when aum >= 0 then aum end)|0.75]] as q75, [[q|ln(1 + case when aum >= 0 then aum end)|0.95]] as q95 from fund) select fund_id, case when aum is null or aum <= 15000 then 1e0 when aum <= 25000 then 95e-2 when aum <= 40000 then 85e-2 when aum <= 60000 then 75e-2 else 65e-2 end as step, round(case when aum is null or aum <= 0 then 94e-2 when aum < 500 then 93e-2 when aum <= 25000 then 1e0 when aum <= 75000 then 98e-2 - 5e-2 * ((aum - 25000) / 50000) else greatest(86e-2, 93e-2 - 4e-2 * ln(aum / 75000 + 1) / ln(10e0)) end, 8) as piecewise, round(case when aum is null or aum <= 0 then 55e-2 else least(greatest(55e-2 + 35e-2 / (1 + exp(-(ln(aum) - ln(700e0)) * 2)) + 2e-1 * exp(-5e-1 * pow((ln(aum) - ln(12000e0)) / 1.45e0, 2)) - 18e-2 / (1 + exp(-(ln(aum) - ln(65000e0)) * 3)), 35e-2), 1e0) end, 6) as smooth, round(case when aum >= 0 then least(greatest(1 - 15e-2 * least(greatest((q25 - ln(1 + aum)) / greatest(q25 - q05, 1e-6), 0e0), 1e0) - 25e-2 * least(greatest((ln(1 + aum) - q75) / greatest(q95 - q75, 1e-6), 0e0), 1e0), 55e-2), 1e0) else 7e-1 end, 6) as penalised from fund cross join q"),
+    Operator("scr12_adjusted", "100 (0.88 base + 0.12 confidence) (0.78 + 0.22 confidence) times the evidence of plan windows, clipped to 0 .. 100.", "with c as (select fund_id, sum(weight * coalesce(p / 100, 45e-2)) / nullif(sum(weight), 0) as base from pct group by 1), k as (select fund_id, count(xirr) as n from sipx group by 1) select c.fund_id, round(least(greatest(100 * (88e-2 * base + 12e-2 * conf) * (78e-2 + 22e-2 * conf) * (55e-2 + 45e-2 * least(coalesce(k.n, 0) / 24e0, 1e0)), 0e0), 100e0), 5) as adjusted from c join (select fund_id, least(greatest((d1 - d0) / 365.25e0 / 3, 45e-2), 1e0) as conf from span) s on s.fund_id = c.fund_id left join k on k.fund_id = c.fund_id"),
     Operator("scr13_ranks", "Rank, dense rank and ordinal rank of the composite in its sector, ties by id.", "with c as (select fund_id, sector, round(sum(weight * p) / nullif(sum(case when p is not null then weight end), 0), 5) as s from pct group by 1, 2) select fund_id, sector, rank() over (partition by sector order by s desc) as rank_min, dense_rank() over (partition by sector order by s desc) as rank_dense, row_number() over (partition by sector order by s desc, fund_id) as rank_ordinal from c where s is not null"),
     Operator("scr14_top_k", "The {k} best funds of all by the composite.", "with c as (select fund_id, sector, round(sum(weight * p) / nullif(sum(case when p is not null then weight end), 0), 5) as score from pct group by 1, 2) select fund_id, sector, score from c where score is not null order by score desc, fund_id limit {k}", {"k": 10}),
     Operator("en01_compiled_score", "Mean over all models of the scaled scores.", f"select fund_id, final_score from ({_FINAL}) f"),

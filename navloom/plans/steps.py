@@ -27,11 +27,13 @@ STEPS = {
     # The three indices that stand for large, mid and small caps, and for equity, gold and silver.
     "fac": "select w, max(case when index_id = 'AFRICA' then r end) as x1, max(case when index_id = 'AMERICA' then r end) as x2, max(case when index_id = 'ASIA' then r end) as x3 from bwr group by w having count(case when index_id in ('AFRICA', 'AMERICA', 'ASIA') then 1 end) = 3",
     "alf": "select wr.fund_id, wr.w, wr.r as f, x1, x2, x3, row_number() over (partition by wr.fund_id order by wr.w desc) as rd, row_number() over (partition by wr.fund_id order by wr.w) as ra, count(*) over (partition by wr.fund_id) as n from wr join fac on wr.w = fac.w",
+    # Compounded aligned returns less 1, their peaks, and the drawdown relative to the peak.
+    "cum": "select fund_id, w, f, b, ra, n, cf, cb, max(cf) over (partition by fund_id order by w rows between unbounded preceding and current row) as pf, max(cb) over (partition by fund_id order by w rows between unbounded preceding and current row) as pb from (select fund_id, w, f, b, ra, n, exp(sum(ln(1 + f)) over (partition by fund_id order by w rows between unbounded preceding and current row)) - 1 as cf, exp(sum(ln(1 + b)) over (partition by fund_id order by w rows between unbounded preceding and current row)) - 1 as cb from al) x",
     # Three-year annual growth by weekly rows, volatility, deepest drawdown.
     "cagr3": "select fund_id, case when max(n) > 156 then pow(max(case when rd = 1 then nav end) / max(case when rd = 157 then nav end), 1 / 3e0) - 1 end as cagr from wkn group by fund_id",
     "vol": "select fund_id, stddev_samp(r) * sqrt(52) as vol, count(*) as n from wr group by fund_id",
     "mdd": "select fund_id, min(dd) as mdd, sqrt(avg(dd * dd * 1e4)) as ulcer, avg(dd) as pain from wdd group by fund_id",
-    "ab": "select fund_id, case when count(*) >= 20 and var_samp(b) > 1e-12 then regr_slope(f, b) end as beta, case when count(*) >= 20 and var_samp(b) > 1e-12 then 52 * (avg(f) - 65e-3 / 52 - regr_slope(f, b) * (avg(b) - 65e-3 / 52)) end as alpha, case when count(*) >= 12 and stddev_samp(f - b) > 1e-12 then avg(f - b) / stddev_samp(f - b) * sqrt(52) end as ir, stddev_samp(f - b) * sqrt(52) as te from al group by fund_id",
+    "ab": "select fund_id, case when count(*) >= 20 and var_samp(b) > 1e-12 then regr_slope(f, b) end as beta, case when count(*) >= 20 and var_samp(b) > 1e-12 then 52 * (avg(f) - (pow(1065e-3, 1 / 52e0) - 1) - regr_slope(f, b) * (avg(b) - (pow(1065e-3, 1 / 52e0) - 1))) end as alpha, case when count(*) >= 12 and stddev_samp(f - b) > 1e-12 then avg(f - b) / stddev_samp(f - b) * sqrt(52) end as ir, stddev_samp(f - b) * sqrt(52) as te from al group by fund_id",
     # Five measures of each fund, long, with the direction that is better.
     "feat": "select cagr3.fund_id, cagr, vol.vol, mdd, alpha, ir, beta from cagr3 left join vol on cagr3.fund_id = vol.fund_id left join mdd on cagr3.fund_id = mdd.fund_id left join ab on cagr3.fund_id = ab.fund_id",
     "weights": "select 'cagr' as metric, 30e-2 as weight union all select 'vol', 15e-2 union all select 'mdd', 15e-2 union all select 'alpha', 25e-2 union all select 'ir', 15e-2",
@@ -48,7 +50,7 @@ STEPS = {
     "panelm": "select 'mom' as metric union all select 'dd' union all select 'steady'",
     "panell": "select fund_id, m, metric, round(case metric when 'mom' then mom when 'dd' then dd else steady end, 12) as x, round(y, 9) as y from panel cross join panelm",
     "panelr": "select fund_id, m, metric, x, y, count(*) over (partition by metric, m) as peers, rank() over (partition by metric, m order by x) + (count(*) over (partition by metric, m, x) - 1) / 2e0 as rx, rank() over (partition by metric, m order by y) + (count(*) over (partition by metric, m, y) - 1) / 2e0 as ry from panell",
-    # Market regimes of each index by momentum of 26 weeks and drawdown.
-    "reg": "select index_id, w, case when dd <= -10e-2 then 'Bear' when dd <= -5e-2 then 'Correction' when mom >= 5e-2 then 'StrongBull' when mom is not null then 'MildBull' end as regime from (select index_id, w, dd, nav / lag(nav, 26) over (partition by index_id order by w) - 1 as mom from bdd) x",
+    # Market regimes of each index by the change over 26 weeks and the drawdown from the peak of 52.
+    "reg": "select index_id, w, case when dd <= -20e-2 or mom <= -10e-2 then 'Bear' when dd <= -10e-2 or mom < 0 then 'Correction' when mom >= 15e-2 and dd > -5e-2 then 'StrongBull' else 'MildBull' end as regime from (select index_id, w, nav / max(nav) over (partition by index_id order by w rows between 51 preceding and current row) - 1 as dd, nav / lag(nav, 26) over (partition by index_id order by w) - 1 as mom from bwk) x where mom is not null",
     "alreg": "select al.fund_id, al.w, al.f, al.b, al.rd, reg.regime from al join fund on al.fund_id = fund.fund_id join reg on reg.index_id = fund.sector and reg.w = al.w where reg.regime is not null",
 }
