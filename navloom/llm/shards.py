@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BUCKET_BYTES = 16 << 20
+#: Largest bucket on average; up to MOST_SMALL buckets they are smaller, so that all tasks have some.
+BUCKET_BYTES, SMALL_BYTES, MOST_SMALL = 16 << 20, 256 << 10, 4096
 
 
 def record_bytes(text_col: str) -> Column:
@@ -43,7 +44,7 @@ def shuffle_shards(docs: DataFrame, n_shards: int, seed: int = 17, id_col: str =
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     size = rows.agg(F.sum(record_bytes("_text"))).first()[0] or 0
-    n_buckets = max(1, -(-size // bucket_bytes))
+    n_buckets = max(1, -(-size // bucket_bytes), min(MOST_SMALL, -(-size // SMALL_BYTES)))
     no_id = F.xxhash64(F.lit(seed), F.col("_text"), F.monotonically_increasing_id())
     scatter = F.when(F.col("_id").isNull(), no_id).otherwise(F.xxhash64(F.lit(seed), F.col("_id").cast("string")))
     rows = rows.withColumn("_hash", scatter).withColumn("_bucket", F.pmod("_hash", F.lit(n_buckets)).cast("int"))
