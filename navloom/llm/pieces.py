@@ -11,6 +11,7 @@ run of space marks and after runs of letters and digits; chunks repeat and are k
 from __future__ import annotations
 
 import re
+from array import array
 from itertools import chain
 
 import ahocorasick
@@ -23,7 +24,9 @@ from navloom.llm.common import bounded_batches
 
 SPACE = "▁"
 #: Longest chunk that goes to the cache, and how many chunks each of its two generations holds.
-_CACHED_CHARS, _CACHED_CHUNKS = 48, 120_000
+_CACHED_CHARS, _CACHED_CHUNKS = 48, 250_000
+#: Up to this length the longest piece is only looked up where it is needed.
+_SHORT = 32
 
 
 def _cutter(pieces) -> re.Pattern:
@@ -82,6 +85,7 @@ class MergeEncoder:
                 self.found.add_word(piece, len(piece))
                 self.reach.add(piece)
         self.found.make_automaton()
+        self.most = max(map(len, self.reach))
         self.fits: dict[tuple[str, str], bool] = {}
         self.cut = _cutter(self.scores)
         self.chunks: dict[str, tuple[int, ...]] = {}
@@ -114,13 +118,16 @@ class MergeEncoder:
         n = len(text)
         if n < 2:
             return list(text)
-        longest = [1] * n  # length of the longest piece from each place; matches come by their ends, so later ones are longer
-        for end, length in self.found.iter(text):
-            longest[end - length + 1] = length
-        fits, reach = self.fits.get, self.reach
+        fits, reach, prefix, most = self.fits.get, self.reach, self.found.longest_prefix, self.most
+        longest = None
+        if n > _SHORT:
+            longest = [1] * n  # the longest piece from each place; matches come by their ends, so later ones are longer
+            for end, length in self.found.iter(text):
+                longest[end - length + 1] = length
         failed = None  # bitfield of positions from which there is no way on
         out: list[str] = []
-        at, length, last = 0, longest[0], ""
+        at, last = 0, ""
+        length = longest[0] if longest else prefix(text[:most]) or 1  # in the automaton's trie; what is no piece is passed over below
         while at < n:
             while length:
                 to = at + length
@@ -136,7 +143,7 @@ class MergeEncoder:
                 out.append(piece)
                 last, at = piece, to
                 if at < n:
-                    length = longest[at]
+                    length = longest[at] if longest else prefix(text[at : at + most]) or 1
             else:
                 if failed is None:
                     failed = bytearray(n // 8 + 1)
@@ -157,22 +164,23 @@ class MergeEncoder:
                 ids.append(known)
         return tuple(ids)
 
+    def learned(self, chunk: str) -> tuple[int, ...]:
+        """Ids of a chunk that wasn't in the newer cache, kept there if it is short."""
+        known = self.chunks.get(chunk) or self.older.get(chunk) or self.chunk_ids(chunk)
+        if len(chunk) <= _CACHED_CHARS:
+            if len(self.chunks) >= _CACHED_CHUNKS:
+                self.chunks, self.older = {}, self.chunks
+            self.chunks[chunk] = known
+        return known
+
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text with the end id last."""
         if not text:
             return [self.end_id]
-        parts = []
-        for chunk in self.cut.findall(SPACE + text.replace(" ", SPACE)):
-            known = self.chunks.get(chunk)
-            if known is None:
-                known = self.older.get(chunk)
-                if known is None:
-                    known = self.chunk_ids(chunk)
-                if len(chunk) <= _CACHED_CHARS:
-                    if len(self.chunks) >= _CACHED_CHUNKS:
-                        self.chunks, self.older = {}, self.chunks
-                    self.chunks[chunk] = known
-            parts.append(known)
+        found = self.cut.findall(SPACE + text.replace(" ", SPACE))
+        parts = list(map(self.chunks.get, found))
+        for i in [i for i, part in enumerate(parts) if part is None]:
+            parts[i] = self.learned(found[i])
         ids = list(chain.from_iterable(parts))
         ids.append(self.end_id)
         return ids
@@ -195,13 +203,13 @@ def _encode_column(model_file: str):
         if not kept:
             kept.append(MergeEncoder(model_file))
         enc = kept[0]
-        lists, decoded = [], []
+        values, ends, decoded = array("i"), [0], []
         for t in texts:
             ids = enc.encode(t.as_py())
-            lists.append(np.array(ids, np.int32))
+            values.extend(ids)
+            ends.append(len(values))
             decoded.append(enc.decode(ids))
-        offsets = np.cumsum([0, *map(len, lists)], dtype=np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists or [np.zeros(0, np.int32)])))
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(values, np.int32)))
         decoded = pa.array(decoded, pa.string())
         return pa.StructArray.from_arrays([lists, decoded], fields=list(kind))
 
