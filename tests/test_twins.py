@@ -6,7 +6,10 @@ import os
 import duckdb
 import pytest
 
+from navloom.plans import registry
+from navloom.plans.fixtures import fund_tables
 from navloom.plans.registry import ORACLE_SQL, QUERIES
+from navloom.sources import queries as sources
 
 
 def cells(rows, columns):
@@ -27,8 +30,20 @@ def duck(sf_dir):
     return con
 
 
+@pytest.fixture(scope="module")
+def tables(spark, sf_dir):
+    """The fund tables, computed once for all queries."""
+    return {name: df.cache() for name, df in fund_tables(spark, sf_dir).items()}
+
+
+@pytest.fixture
+def shared(tables, monkeypatch):
+    for module in (registry, sources):
+        monkeypatch.setattr(module, "fund_tables", lambda spark, sf_dir: tables)
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query(spark, duck, sf_dir, name):
+def test_query(spark, duck, sf_dir, shared, name):
     df = QUERIES[name](spark, sf_dir)
     got = df.collect()
     if name in ORACLE_SQL:
