@@ -11,7 +11,7 @@ HOLDINGS = "array<struct<type: string, title: string, latest: double, sid: strin
 #: Columns that every score table must have. Fixed values.
 CONTRACT = ("mfId", "name", "score", "data_days", "cagr_3y")
 #: Index ids and their display names. Fixed values.
-INDICES = ((".NSEI", "Large Cap"), (".NIMI150", "Mid Cap"), (".NISM250", "Small Cap"), ("_NIFTY500", "Total Market"), (".NIFTYGOLD", "Gold"))
+INDICES = ((".NSEI", "Large Cap"), (".NIMI150", "Mid Cap"), (".NISM250", "Small Cap"), (".NIFTY500", "Total Market"), ("GBES", "Gold"))
 
 
 def screener_funds(raw: DataFrame, column: str = "raw") -> DataFrame:

@@ -54,7 +54,7 @@ def src05_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def src06_discover(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = fund_tables(spark, sf_dir)
-    files = tables["model_score"].join(tables["fund"], "fund_id").select(F.concat(F.lit("results/"), "sector", F.lit("_"), "model", F.lit(".csv")).alias("file")).distinct()
+    files = tables["model_score"].join(tables["fund"], "fund_id").select(F.concat(F.lit("out/"), "sector", F.lit("_"), "model", F.lit(".csv")).alias("file")).distinct()
     return landing.discover_scores(files.union(tables["fund"].select(F.concat("sector", F.lit(".csv"))).distinct()))
 
 

@@ -155,8 +155,8 @@ def test_landing(spark, tmp_path):
     assert {tuple(r) for r in landing.screener_funds(raw).collect()} == {("1", "n", "s", 3.5, None), ("2", "m", None, None, None)}
     charts = spark.createDataFrame([("1", '{"data":[{"points":[{"ts":"2020-01-01T00:00:00Z","lp":1.5},{"ts":"bad","lp":2}]}]}'), ("2", '{"data":[]}')], "fund_id string, raw string")
     assert [(r["fund_id"], r["nav"], r["ts"] is None) for r in landing.chart_points(charts).collect()] == [("1", 1.5, False), ("1", 2.0, True)]
-    files = spark.createDataFrame([("results/Small Cap_GPT.csv",), ("results/A_B_C.csv",), ("results/Mid Cap.csv",)], "file string")
-    assert {tuple(r) for r in landing.discover_scores(files).collect()} == {("Small Cap", "GPT"), ("A_B", "C")}
+    files = spark.createDataFrame([("out/North East_M1.csv",), ("out/A_B_C.csv",), ("out/North East.csv",)], "file string")
+    assert {tuple(r) for r in landing.discover_scores(files).collect()} == {("North East", "M1"), ("A_B", "C")}
     wanted, landed = spark.createDataFrame([("a",), ("b",)], "k string"), spark.createDataFrame([("b",)], "k string")
     assert [r["k"] for r in landing.need_list(wanted, landed, "k").collect()] == ["a"]
     assert {r["missing"] for r in landing.missing_columns(wanted, "t").collect()} == set(landing.CONTRACT)
