@@ -10,7 +10,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,17 +71,20 @@ def style_weights(rows: DataFrame, by: list[str], y: str = "f", sleeves: tuple[s
 def attribution(aligned: DataFrame, weights: DataFrame, id_col: str = "fund_id") -> DataFrame:
     """(id, strategic, tactical, selection), annual, from 26 weeks on.
 
-    aligned: id, rd (weeks from the newest, 1 first), f, x1..x3. weights: id, e0 (rd of the window's newest week, every four weeks), w_*.
-    A week has the weights of the newest window that ended by then. strategic: mean weights against equal weights of the sleeves
-    with over 1 %; tactical: weights against mean weights; selection: the fund against its weights.
+    aligned: id, rd (weeks from the newest, 1 first), f, x1..x3. weights: id, e0 (rd of the window's newest week), w_*.
+    A week has the weights of the newest window that ended by then, so weeks before the end of the first window don't count.
+    strategic: mean weights of these weeks against equal weights of the sleeves with over 1 %; tactical: weights against mean
+    weights; selection: the fund against its weights.
     """
     names = ["x1", "x2", "x3", "cash"]
-    means = weights.groupBy(id_col).agg(*(F.avg(f"w_{s}").alias(f"m_{s}") for s in names))
-    rows = aligned.withColumn("e0", F.ceil((F.col("rd") - 1) / 4).cast("int") * 4 + 1).withColumn("cash", F.lit(CASH))
-    rows = rows.join(weights.withColumn("e0", F.col("e0").cast("int")), [id_col, "e0"]).join(means, id_col)
-    active = sum((F.when(F.col(f"m_{s}") > 0.01, 1).otherwise(0) for s in names), F.lit(0))
-    equal = sum((F.when(F.col(f"m_{s}") > 0.01, F.col(s)).otherwise(0.0) for s in names), F.lit(0.0)) / F.when(active > 0, active)
+    ended = weights.select(id_col, F.col("e0").cast("int").alias("rd"), *(F.col(f"w_{s}").alias(f"_{s}") for s in names))
+    rows = aligned.withColumn("rd", F.col("rd").cast("int")).withColumn("cash", F.lit(CASH)).join(ended, [id_col, "rd"], "left")
+    so_far = Window.partitionBy(id_col).orderBy(F.desc("rd")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select(id_col, "f", *names, *(F.last(f"_{s}", ignorenulls=True).over(so_far).alias(f"w_{s}") for s in names)).where("w_cash is not null")
     held = sum((F.col(f"w_{s}") * F.col(s) for s in names), F.lit(0.0))
-    mean = sum((F.col(f"m_{s}") * F.col(s) for s in names), F.lit(0.0))
-    out = rows.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"), *(F.round(52 * F.avg(e), 6).alias(a) for a, e in (("strategic", mean - equal), ("tactical", held - mean), ("selection", F.col("f") - held))))
-    return out.where("n >= 26").drop("n")
+    means = [F.avg(c).alias(a) for s in names for c, a in ((f"w_{s}", f"m_{s}"), (s, f"r_{s}"))]
+    by = rows.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"), *means, F.avg(held).alias("_held"), F.avg("f").alias("_f")).where("n >= 26")
+    active = sum((F.when(F.col(f"m_{s}") > 0.01, 1).otherwise(0) for s in names), F.lit(0))
+    equal = sum((F.when(F.col(f"m_{s}") > 0.01, F.col(f"r_{s}")).otherwise(0.0) for s in names), F.lit(0.0)) / F.when(active > 0, active)
+    mean = sum((F.col(f"m_{s}") * F.col(f"r_{s}") for s in names), F.lit(0.0))
+    return by.select(id_col, *(F.round(52 * e, 6).alias(a) for a, e in (("strategic", mean - equal), ("tactical", F.col("_held") - mean), ("selection", F.col("_f") - F.col("_held")))))

@@ -93,21 +93,25 @@ def src11_ranked_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Operator("aligned", "", "select fund_id, rd, f, x1, x2, x3 from alf")(fund_tables(spark, sf_dir))
+    return Operator("aligned", "", "select fund_id, rd, ra, n, f, x1, x2, x3 from alf")(fund_tables(spark, sf_dir))
 
 
 def _rolled(aligned: DataFrame) -> DataFrame:
-    ends = aligned.sparkSession.range(31).select((F.col("id") * 4 + 1).cast("int").alias("e0"))
-    rolled = aligned.join(F.broadcast(ends), F.col("rd").between(F.col("e0"), F.col("e0") + 51))  # 31 rows
+    """(fund_id, e0, n, w_*): style weights of each fund's windows of 52 weeks that end with its 52nd week and every four weeks after it; e0: rd of the newest week."""
+    k0, k1 = F.greatest(F.ceil((F.col("ra") - 52) / 4), F.lit(0)), F.least(F.floor((F.col("ra") - 1) / 4), F.floor((F.col("n") - 52) / 4))
+    held = aligned.select("*", k0.cast("int").alias("_k0"), k1.cast("int").alias("_k1")).where("n >= 52 and _k0 <= _k1")
+    rolled = held.select("*", F.explode(F.sequence("_k0", "_k1")).alias("_k")).withColumn("e0", (F.col("n") - 51 - 4 * F.col("_k")).cast("int"))
     return style_weights(rolled, ["fund_id", "e0"], least=52)
 
 
 def fx04_style_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Style weights of all rolling windows of each fund, from its 52nd common week to its last."""
     weights = _rolled(_aligned(spark, sf_dir))
     return weights.select("fund_id", "e0", *(F.round(f"w_{s}", 6).alias(f"w_{s}") for s in ("x1", "x2", "x3", "cash")))
 
 
 def fx05_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attribution of each fund over all weeks from the end of its first window on."""
     aligned = _aligned(spark, sf_dir)
     return attribution(aligned, _rolled(aligned))
 

@@ -150,6 +150,39 @@ def test_style_weights_are_the_best_on_the_simplex(spark):
     assert got["w_x1"] == pytest.approx(0.5, abs=1e-6) and got["w_x2"] == pytest.approx(0.5, abs=1e-6)
 
 
+def test_rolling_weights_reach_the_whole_series(spark):
+    from navloom.functions.style import CASH, attribution
+    from navloom.sources.queries import _rolled
+
+    rng, n_of, rows = np.random.default_rng(12), {"long": 315, "one": 55, "short": 51}, []
+    for fund, n in n_of.items():
+        x = rng.normal(0, 0.02, (n, 3))
+        y = np.where(np.arange(n) < n // 2, x[:, 0], 0.5 * x[:, 1] + 0.5 * x[:, 2]) + rng.normal(0, 1e-3, n)
+        rows += [(fund, n - i, i + 1, n, float(y[i]), *map(float, x[i])) for i in range(n)]
+    aligned = spark.createDataFrame(rows, "fund_id string, rd int, ra int, n int, f double, x1 double, x2 double, x3 double")
+    weights = _rolled(aligned)
+    got, split = weights.toPandas(), {r["fund_id"]: r for r in attribution(aligned, weights).collect()}
+    data = pd.DataFrame(rows, columns=aligned.columns).assign(cash=CASH)
+    names = ["x1", "x2", "x3", "cash"]
+    assert set(got.fund_id) == {"long", "one"} and set(split) == {"long"}
+    for fund, own in got.groupby("fund_id"):
+        d = data[data.fund_id == fund].set_index("ra")
+        want = {}
+        for end in range(52, n_of[fund] + 1, 4):
+            x, y = d.loc[end - 51 : end, names].to_numpy(), d.loc[end - 51 : end, "f"].to_numpy()
+            want[end] = simplex_weights((x.T @ x / 52)[None], (x.T @ y / 52)[None])[0]
+        mine = {n_of[fund] + 1 - r.e0: [r.w_x1, r.w_x2, r.w_x3, r.w_cash] for r in own.itertuples()}
+        assert mine.keys() == want.keys() and all(mine[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+        if fund == "long":
+            w = pd.DataFrame.from_dict(want, orient="index", columns=names).reindex(d.index).ffill().dropna()
+            d, mean = d.loc[w.index], w.mean()
+            equal = (mean > 0.01) / (mean > 0.01).sum()
+            held = (w * d[names]).sum(axis=1)
+            assert split[fund]["strategic"] == pytest.approx(52 * (d[names] @ (mean - equal)).mean(), abs=2e-6)
+            assert split[fund]["tactical"] == pytest.approx(52 * (held - d[names] @ mean).mean(), abs=2e-6)
+            assert split[fund]["selection"] == pytest.approx(52 * (d.f - held).mean(), abs=2e-6)
+
+
 def test_landing(spark, tmp_path):
     raw = spark.createDataFrame([('{"success":true,"data":{"result":[{"mfId":"1","name":"n","sector":"s","values":[{"filter":"aum","doubleVal":3.5}]},{"mfId":"2","name":"m","sector":null,"values":[]}]}}',), ("broken",), (None,)], "raw string")
     assert {tuple(r) for r in landing.screener_funds(raw).collect()} == {("1", "n", "s", 3.5, None), ("2", "m", None, None, None)}
