@@ -1,5 +1,8 @@
 """Cleaning, predicates, resampling, alignment and joins."""
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from navloom.plans.steps import WEEK
 from navloom.plans.text import Operator
 
@@ -10,6 +13,11 @@ def _week(anchor: int) -> str:
     return f"day + (({anchor} - day) % 7 + 7) % 7"
 
 
+def wide(rows: DataFrame, index: str, key: str, value: str) -> DataFrame:
+    """A row for each value of index, a column for each value that key has; Spark's limit is spark.sql.pivotMaxValues columns."""
+    return rows.groupBy(index).pivot(key).agg(F.first(value, ignorenulls=True))
+
+
 OPERATORS = [
     Operator("prj01_clean_nav_last", "One positive value for each fund and timestamp, the last landed.", _KEEP.replace("{order}", "desc")),
     Operator("prj01_clean_nav_first", "The same, the first landed.", _KEEP.replace("{order}", "asc")),
@@ -31,7 +39,8 @@ OPERATORS = [
     Operator("ts06_align_limit_one", "A fund's values on the benchmark's calendar: the last at or before, for one unmatched date after a match at most.", "with c as (select fund.fund_id, idxd.day from fund join idxd on idxd.index_id = fund.sector join span on span.fund_id = fund.fund_id and idxd.day >= d0), m as (select c.fund_id, c.day, navd.nav as exact from c left join navd on navd.fund_id = c.fund_id and navd.day = c.day), g as (select fund_id, day, exact, [[last|exact]] over (partition by fund_id order by day rows between 1 preceding and current row) as nav from m) select fund_id, [[date|day]] as ts, nav from g where nav is not null"),
     Operator("ts06_align_unlimited", "The same without a limit.", "with c as (select fund.fund_id, idxd.day from fund join idxd on idxd.index_id = fund.sector) select fund_id, [[date|day]] as ts, nav from (select c.fund_id, c.day, [[last|navd.nav]] over (partition by c.fund_id order by c.day rows between unbounded preceding and current row) as nav from c left join navd on navd.fund_id = c.fund_id and navd.day = c.day) x where nav is not null"),
     Operator("ts07_period_change", "Change over {n} rows; the first rows have none and are left out.", "select fund_id, ts, round(r, 10) as r from (select fund_id, ts, nav / lag(nav, {n}) over (partition by fund_id order by ts) - 1 as r from nav where nav > 0) x where r is not null", {"n": 1}),
-    Operator("ts08_return_matrix", "All weeks of all funds by fund: change over 13 calendar rows; values are not filled, so a gap gives a null.", "with cal as (select distinct w from wk), g as (select fund_id, cal.w from fund cross join cal), r as (select g.fund_id, g.w, wk.nav / lag(wk.nav, 13) over (partition by g.fund_id order by g.w) - 1 as r from g left join wk on wk.fund_id = g.fund_id and wk.w = g.w) select [[date|w]] as week, round(max(case when fund_id = '1' then r end), 10) as fund_1, round(max(case when fund_id = '2' then r end), 10) as fund_2, round(max(case when fund_id = '3' then r end), 10) as fund_3, count(r) as n_funds, round(avg(r), 10) as mean_r from r group by w"),
+    Operator("ts08_return_matrix", "Excerpt of ts08_period_changes: the change over 13 weeks of funds 1, 2 and 3, and number and mean over all funds.", "with cal as (select distinct w from wk), g as (select fund_id, cal.w from fund cross join cal), r as (select g.fund_id, g.w, wk.nav / lag(wk.nav, 13) over (partition by g.fund_id order by g.w) - 1 as r from g left join wk on wk.fund_id = g.fund_id and wk.w = g.w) select [[date|w]] as week, round(max(case when fund_id = '1' then r end), 10) as fund_1, round(max(case when fund_id = '2' then r end), 10) as fund_2, round(max(case when fund_id = '3' then r end), 10) as fund_3, count(r) as n_funds, round(avg(r), 10) as mean_r from r group by w"),
+    Operator("ts08_period_changes", "Each fund in each week that any fund has: change over 13 and over 26 calendar rows; values are not filled, so a gap gives a null. `wide` makes the matrix of it.", "with cal as (select distinct w from wk), f as (select distinct fund_id from wk), g as (select fund_id, cal.w from f cross join cal) select [[date|g.w]] as week, g.fund_id, round(wk.nav / lag(wk.nav, 13) over (partition by g.fund_id order by g.w) - 1, 10) as r13, round(wk.nav / lag(wk.nav, 26) over (partition by g.fund_id order by g.w) - 1, 10) as r26 from g left join wk on wk.fund_id = g.fund_id and wk.w = g.w"),
     Operator("ts09_blended_baseline", "Index of three proxies on weeks that all have, weights .58/.17/.10 and 15 % cash at the risk-free rate, from 100.", "select [[date|w]] as week, round(100 * exp(sum(ln(1 + r)) over (order by w rows between unbounded preceding and current row)), 6) as level from (select w, 58e-2 * x1 + 17e-2 * x2 + 10e-2 * x3 + 15e-2 * ((pow(1065e-3, 1 / 52e0) - 1)) as r from fac) x"),
     Operator("jn01_aligned_returns", "Weekly returns of fund and benchmark on weeks that both have.", "select fund_id, [[date|w]] as week, round(f, 10) as fund_r, round(b, 10) as bench_r from al"),
     Operator("jn02_factor_join", "Fund returns with three factor returns on common weeks.", "select fund_id, [[date|w]] as week, round(f, 10) as r, round(x1, 10) as x1, round(x2, 10) as x2, round(x3, 10) as x3 from alf"),

@@ -6,6 +6,8 @@ from navloom.plans.text import Operator
 _COMPILED = "select f.fund_id, m.model, s.score, case when s.score is null then 0e0 when sd is null or sd < 1e-12 then 5e-1 else (((s.score - mu) / sd) - zmin) / (zmax - zmin) end as scaled from (select distinct fund_id from model_score) f cross join (select model, avg(score) as mu, stddev_samp(score) as sd, (min(score) - avg(score)) / nullif(stddev_samp(score), 0) as zmin, (max(score) - avg(score)) / nullif(stddev_samp(score), 0) as zmax from model_score group by model) m left join model_score s on s.fund_id = f.fund_id and s.model = m.model"
 _FINAL = f"select fund_id, round(avg(scaled), 3) as final_score from ({_COMPILED}) c group by fund_id"
 _HISTORY = "select y.fund_id, y.y, row_number() over (partition by y.y order by y.ret desc, y.fund_id) as k from (select fund_id, y, round(max_by(nav, day) / min_by(nav, day) - 1, 9) as ret from (select fund_id, year([[date|day]]) as y, day, nav from navd) d group by 1, 2) y where y.y between 1997 and 2000"
+#: The same for all years.
+_RUNS = _HISTORY.replace(" where y.y between 1997 and 2000", "")
 _HR = "select fund_id, sid, title, type, sector, latest, change3m, row_number() over (partition by fund_id order by latest desc, sid) as k, sum(case when latest > 0 then latest end) over (partition by fund_id) as total from holding"
 
 OPERATORS = [
@@ -26,7 +28,8 @@ OPERATORS = [
     Operator("en01_compiled_score", "Mean over all models of the scaled scores.", f"select fund_id, final_score from ({_FINAL}) f"),
     Operator("en02_total_rank", "Ordinal rank of the compiled score.", f"select fund_id, final_score, row_number() over (order by final_score desc, fund_id) as total_rank from ({_FINAL}) f"),
     Operator("en03_row_averages", "Mean of what is a number over the models; text is left out.", "select fund_id, round(avg(try_cast(data_days as double)), 0) as avg_data_days, round(avg(try_cast(cagr_3y as double)), 2) as avg_cagr_3y from model_score group by fund_id"),
-    Operator("en04_rank_history", "Rank of each fund in each year, for the funds of the first year.", f"with h as ({_HISTORY}), b as (select fund_id from h where y = 1997) select b.fund_id, max(case when y = 1997 then k end) as rank_1997, max(case when y = 1998 then k end) as rank_1998, max(case when y = 1999 then k end) as rank_1999, max(case when y = 2000 then k end) as rank_2000 from b left join h on h.fund_id = b.fund_id group by b.fund_id"),
+    Operator("en04_rank_history", "Excerpt of en04_run_ranks: ranks of 1997 to 2000 for the funds of 1997.", f"with h as ({_HISTORY}), b as (select fund_id from h where y = 1997) select b.fund_id, max(case when y = 1997 then k end) as rank_1997, max(case when y = 1998 then k end) as rank_1998, max(case when y = 1999 then k end) as rank_1999, max(case when y = 2000 then k end) as rank_2000 from b left join h on h.fund_id = b.fund_id group by b.fund_id"),
+    Operator("en04_run_ranks", "Rank of each fund in each year that it has values in; in_first is 1 for the funds of the first year. `base.wide` makes the matrix of it.", f"with h as ({_RUNS}), b as (select min(y) as y0 from h) select fund_id, y as run_year, k as run_rank, max(case when y = y0 then 1 else 0 end) over (partition by fund_id) as in_first from h cross join b"),
     Operator("hd01_concentration", "Weight of the 5, 10 and 20 largest holdings.", f"select fund_id, round(sum(case when k <= 5 then latest end), 2) as top_5, round(sum(case when k <= 10 then latest end), 2) as top_10, round(sum(case when k <= 20 then latest end), 2) as top_20 from ({_HR}) h where latest > 0 group by fund_id"),
     Operator("hd02_equity_profile", "Equity holdings: weight of the 10 largest, number, mean size of the change.", "with e as (select *, row_number() over (partition by fund_id order by latest desc, sid) as k from holding where lower(type) = 'equity') select fund_id, round(sum(case when k <= 10 then latest end), 4) as top_10, count(case when latest > 0 then 1 end) as n_holdings, round(avg(abs(change3m)), 6) as mean_change from e group by fund_id"),
     Operator("hd03_conviction", "0.6 (1 - n/200) + 0.8 (top 10 - 0.4), clipped to 0 .. 1; 0.5 under five holdings.", f"select fund_id, round(case when count(*) < 5 then 5e-1 else least(greatest(6e-1 * (1 - count(*) / 200e0) + 8e-1 * (sum(case when k <= 10 then latest / total end) - 4e-1), 0e0), 1e0) end, 6) as conviction from ({_HR}) h where latest > 0 group by fund_id"),

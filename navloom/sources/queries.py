@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from navloom.functions.style import attribution, style_weights
@@ -11,6 +11,9 @@ from navloom.plans.text import Operator, written
 from navloom.sources import landing
 from navloom.sources.shared import new_folder
 
+#: The index that stands for each asset.
+PROXIES = {"equity": "AFRICA", "gold": "AMERICA", "silver": "ASIA"}
+
 
 def src01_screener(spark: SparkSession, sf_dir: str) -> DataFrame:
     fund = fund_tables(spark, sf_dir)["fund"]
@@ -78,12 +81,27 @@ def src09_index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def src10_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source that is too short, made of AFRICA's first days, and the one that takes its place; src10_fallback_all has all indices."""
     index = fund_tables(spark, sf_dir)["index_nav"]
     early = index.where("index_id = 'AFRICA' and ts < DATE'1995-01-20'").select(F.lit("equity").alias("asset"), F.lit(1).alias("priority"), F.lit("AFRICA").alias("source"), "ts", "nav")
     later = index.where("index_id = 'ASIA'").select(F.lit("equity"), F.lit(2), F.lit("ASIA"), "ts", "nav")
     return landing.first_source(early.union(later), 30).select("asset", "source", F.date_format("ts", "yyyy-MM-dd").alias("ts"), "nav")
 
 
+def candidates_by_asset(index: DataFrame) -> DataFrame:
+    """(asset, priority, source, ts, nav): every index as a candidate of each asset, its own proxy first, the others by name."""
+    proxies = index.sparkSession.createDataFrame(list(PROXIES.items()), "asset string, proxy string")
+    order = Window.partitionBy("asset").orderBy(F.col("index_id") != F.col("proxy"), "index_id")
+    ranked = index.select("index_id").distinct().crossJoin(F.broadcast(proxies)).select("asset", F.row_number().over(order).alias("priority"), F.col("index_id").alias("source"))
+    return index.withColumnRenamed("index_id", "source").join(F.broadcast(ranked), "source").select("asset", "priority", "source", "ts", "nav")
+
+
+def src10_fallback_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each asset all rows of its first candidate with enough points; all indices are candidates."""
+    found = landing.first_source(candidates_by_asset(fund_tables(spark, sf_dir)["index_nav"]), 30)
+    return found.select("asset", "source", F.date_format("ts", "yyyy-MM-dd").alias("ts"), "nav")
+
+
 def src11_ranked_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "ranked")
     tables = fund_tables(spark, sf_dir)
@@ -116,7 +134,7 @@ def fx05_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution(aligned, _rolled(aligned))
 
 
-QUERIES = {f.__name__: f for f in (src01_screener, src02_chart, src03_holdings, src04_entity_files, src05_snapshot, src06_discover, src07_contract, src08_load_report, src09_index_lookup, src10_fallback, src11_ranked_sink, fx04_style_weights, fx05_attribution)}
+QUERIES = {f.__name__: f for f in (src01_screener, src02_chart, src03_holdings, src04_entity_files, src05_snapshot, src06_discover, src07_contract, src08_load_report, src09_index_lookup, src10_fallback, src10_fallback_all, src11_ranked_sink, fx04_style_weights, fx05_attribution)}
 
 _F, _N, _I, _H = (f"({written(x, 'duckdb')})" for x in (FUND, NAV, INDEX_NAV, HOLDING))
 
@@ -130,6 +148,7 @@ ORACLE_SQL = {
     "src07_contract": f"select 'model_score' as table_name, x as missing, count(*) as n_rows from ({written(MODEL_SCORE, 'duckdb')}) m, (select unnest(['name']) as x) u group by x",
     "src08_load_report": f"select case when l.fund_id is not null then 'skipped' when f.aum is null then 'failed' else 'success' end as status, count(*) as n from {_F} f left join (select distinct fund_id from {_H} h where cast(fund_id as int) % 2 = 0) l on l.fund_id = f.fund_id group by 1",
     "src09_index_lookup": f"select fund_id, case when cast(fund_id as int) % 3 = 0 then 'IDX_ASIA' else sector end as name, case when cast(fund_id as int) % 3 = 0 then 'IDX_ASIA' else 'IDX_' || substr(sector, 1, 4) end as index_id from {_F} f",
+    "src10_fallback_all": f"with p as (select * from (values ('equity', 'AFRICA'), ('gold', 'AMERICA'), ('silver', 'ASIA')) v(asset, proxy)), n as (select index_id, count(*) as n from {_I} i group by 1), k as (select asset, index_id as source from p cross join n where n >= 30 qualify row_number() over (partition by asset order by index_id <> proxy, index_id) = 1) select asset, source, strftime(ts, '%Y-%m-%d') as ts, nav from k join {_I} j on j.index_id = k.source",
     "src11_ranked_sink": f"select f.sector, m.model, m.fund_id, m.score from ({written(MODEL_SCORE, 'duckdb')}) m join {_F} f on f.fund_id = m.fund_id",
     "src10_fallback": f"with c as (select 'equity' as asset, 1 as priority, 'AFRICA' as source, ts, nav from {_I} i where index_id = 'AFRICA' and ts < DATE '1995-01-20' union all select 'equity', 2, 'ASIA', ts, nav from {_I} j where index_id = 'ASIA'), k as (select source from c group by priority, source having count(*) >= 30 order by priority limit 1) select asset, source, strftime(ts, '%Y-%m-%d') as ts, nav from c join k using (source)",
 }

@@ -119,6 +119,36 @@ def test_percentile_rank_as_pandas(spark):
     assert ((got.p.dropna() > 0) & (got.p.dropna() <= 100)).all()
 
 
+def test_whole_matrices_in_long_form(spark):
+    from navloom.operators.base import wide
+
+    navs = {f"f{i}": walk(60 + i, 40 + 20 * i) for i in range(5)} | {"late": walk(70, 60)[53:]}
+    made = tables(spark, navs)
+    both = pd.DataFrame(navs).sort_index()
+    long = ALL["ts08_period_changes"](made)
+    for column, n in (("r13", 13), ("r26", 26)):
+        got = wide(long, "week", "fund_id", column).toPandas().set_index("week").sort_index()
+        assert sorted(got.columns) == sorted(navs)
+        pd.testing.assert_frame_equal(got[both.columns], both.pct_change(n, fill_method=None), check_names=False, check_index_type=False, atol=1e-9)
+    ranks = ALL["en04_run_ranks"](made)
+    years = {k: s.groupby(lambda d: d.year).agg(lambda x: round(x.iloc[-1] / x.iloc[0] - 1, 9)) for k, s in navs.items()}
+    want = pd.DataFrame(years).rank(axis=1, ascending=False).stack()
+    assert {(r["run_year"], r["fund_id"]): r["run_rank"] for r in ranks.collect()} == want.to_dict()
+    assert {r["fund_id"] for r in ranks.where("in_first = 0").collect()} == {k for k, s in navs.items() if s.index[0].year > 2015}
+    assert set(wide(ranks, "fund_id", "run_year", "run_rank").columns) == {"fund_id", *map(str, pd.DataFrame(years).index)}
+
+
+def test_fallback_over_all_indices(spark):
+    from navloom.sources.queries import candidates_by_asset
+
+    rows = [(k, FRIDAY + dt.timedelta(days=i), float(i)) for k, n in (("AFRICA", 5), ("AMERICA", 40), ("EUROPE", 50)) for i in range(n)]
+    index = spark.createDataFrame(rows, "index_id string, ts date, nav double")
+    got = landing.first_source(candidates_by_asset(index), 30).groupBy("asset", "source").count().collect()
+    assert {tuple(r) for r in got} == {("equity", "AMERICA", 40), ("gold", "AMERICA", 40), ("silver", "AMERICA", 40)}
+    got = landing.first_source(candidates_by_asset(index), 45).groupBy("asset", "source").count().collect()
+    assert {tuple(r) for r in got} == {(a, "EUROPE", 50) for a in ("equity", "gold", "silver")}
+
+
 def test_compiled_scores_by_hand(spark):
     rows = [("A", "x", 1.0), ("A", "y", 2.0), ("A", "z", 3.0), ("B", "x", 5.0), ("B", "y", 5.0), ("C", "z", 7.0)]
     scores = spark.createDataFrame([(m, f, s, "10", "5%") for m, f, s in rows], "model string, fund_id string, score double, data_days string, cagr_3y string")
