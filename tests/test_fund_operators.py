@@ -243,6 +243,20 @@ def test_stream_lands_new_files_once(spark, tmp_path):
     assert sorted(r["nav"] for r in spark.read.parquet(where[1]).collect()) == [1.0, 3.0]
 
 
+def test_stream_lands_old_rows_of_later_files(spark, tmp_path):
+    from navloom.streaming.landing import land_new_files
+
+    (tmp_path / "in").mkdir()
+    where = [str(tmp_path / x) for x in ("in", "out", "progress")]
+    (tmp_path / "in/1.csv").write_text("fund_id,ts,nav\na,2020-06-01,1.0\n,2020-06-01,4.0\n")
+    land_new_files(spark, *where)
+    (tmp_path / "in/2.csv").write_text("fund_id,ts,nav\nb,2015-01-01,2.0\nb,2015-01-01,2.0\na,2019-01-01,3.0\na,2020-06-01,9.0\n,2020-06-01,9.0\n")
+    land_new_files(spark, *where)
+    land_new_files(spark, *where[:2], str(tmp_path / "again"))
+    rows = spark.read.parquet(where[1]).collect()
+    assert sorted((r["fund_id"] or "", str(r["ts"].date()), r["nav"]) for r in rows) == [("", "2020-06-01", 4.0), ("a", "2019-01-01", 3.0), ("a", "2020-06-01", 1.0), ("b", "2015-01-01", 2.0)]
+
+
 def test_entry_without_text_operators(spark):
     import __spark_entry__ as entry
 
