@@ -40,8 +40,10 @@ N_SCRIPTS = 12
 MOST_LABELLED, SLOTS = 6_000, 1 << 16
 #: Texts that advance together.
 GROUP = 1024
-#: Cost of a change of language, share of a language's words from which it is written in a script, languages at most.
-SWITCH, SCRIPT_SHARE, MOST_LANGUAGES = 12.0, 0.01, 200
+#: Cost of a change of language, share of a language's words from which it is written in a script.
+SWITCH, SCRIPT_SHARE = 12.0, 0.01
+#: Cells of score tables that a task holds: fewer words are kept where there are many languages, and fewer texts advance together.
+MOST_CELLS = 50_000_000
 UNKNOWN = "und"
 #: Runs of letters; the parts of a word longer than this are scored as words of their own.
 _LETTERS = re.compile(r"[^\W\d_]{1,40}")
@@ -110,17 +112,16 @@ def model_of(counts: pd.DataFrame, scripts: pd.DataFrame) -> LanguageModel:
 def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_labelled: int = MOST_LABELLED, fold: int = 3, held_out: int = 1) -> LanguageModel:
     """Counts of letter runs by language over a bounded sample of labelled rows that are not held out.
 
-    The counts are summed in Spark; languages x SLOTS rows at most reach the driver. Of more than MOST_LANGUAGES labels the most
-    frequent are learned.
+    The counts are summed in Spark; languages x SLOTS rows at most reach the driver, and the model takes 256 KB a label. Every label
+    that has a row with letters is learned: of its rows those with a 64-bit hash in the label's share stay, the least one always.
     """
-    known = bounded_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("lang"))
-    known = known.where(F.col("lang").isNotNull() & F.col("_text").isNotNull() & (id_remainder(fold, "_id") != held_out))
-    by_lang = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    each = most_labelled / max(1, len(by_lang))
-    share = F.lit(0)
-    for r in by_lang:
-        share = F.when(F.col("lang") == r["lang"], F.lit(int(min(1.0, each / r["count"]) * 1_000_000))).otherwise(share)
-    sample = known.where(F.pmod(F.xxhash64("_id", F.lit("sample")), F.lit(1_000_000)) < share)
+    known = bounded_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("lang"))
+    known = known.where(F.col("lang").isNotNull() & F.col("_text").rlike(r"[\p{L}\p{Nl}\p{No}]") & (id_remainder(fold, "_id") != held_out))
+    known = known.withColumn("_h", F.xxhash64("_id", "_text", F.lit("sample")))
+    by_lang = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("_h").alias("least")).collect()
+    cutoffs = [(r["lang"], max(r["least"], min((1 << 63) - 1, (most_labelled << 64) // (r["n"] * len(by_lang)) - (1 << 63)))) for r in by_lang]
+    ends = F.broadcast(docs.sparkSession.createDataFrame(cutoffs, "_lang string, _to long"))  # a row for each label
+    sample = known.join(ends, (F.col("lang") == F.col("_lang")) & (F.col("_h") <= F.col("_to")))
 
     def count(batches):
         slots: dict[str, np.ndarray] = {}
@@ -146,9 +147,9 @@ class Labeller:
     """Viterbi over the words of many texts at a time; scores of words are kept in a bounded table."""
 
     def __init__(self, model: LanguageModel, most_words: int = 200_000):
-        self.model, self.most = model, most_words
+        self.model, self.most = model, max(1, min(most_words, MOST_CELLS // max(1, len(model.names))))
         self.rows: dict[str, int] = {}
-        self.table = np.zeros((most_words, len(model.names)), np.float32)
+        self.table = np.zeros((self.most, len(model.names)), np.float32)
 
     def _ids(self, words: list[str]) -> list[int]:
         rows = self.rows
@@ -161,8 +162,9 @@ class Labeller:
 
     def scores(self, words: list[str]) -> np.ndarray:
         parts = []
-        for start in range(0, len(words), 50_000):
-            part = words[start : start + 50_000]
+        step = min(50_000, self.most)
+        for start in range(0, len(words), step):
+            part = words[start : start + step]
             if len(self.rows) + len(part) > self.most:
                 self.rows.clear()
             parts.append(self.table[self._ids(part)])
@@ -170,10 +172,13 @@ class Labeller:
 
     def paths(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Best language of every word of each text. Texts advance together, the longest first."""
-        out: list[np.ndarray] = [np.zeros(0, np.uint8)] * len(texts)
+        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(texts)
         order = [i for i in sorted(range(len(texts)), key=lambda i: -len(texts[i])) if texts[i]]
-        for start in range(0, len(order), GROUP):
-            group = order[start : start + GROUP]
+        most = max(1, MOST_CELLS // max(1, len(self.model.names)))
+        start = 0
+        while start < len(order):  # the first is the longest: its length times the texts bounds the words
+            group = order[start : start + max(1, min(GROUP, most // len(texts[order[start]])))]
+            start += len(group)
             lengths = np.array([len(texts[i]) for i in group])
             every = list(chain.from_iterable([texts[i] for i in group]))
             steps, n_lang = int(lengths[0]), len(self.model.names)
@@ -181,7 +186,7 @@ class Labeller:
             flat = self.scores(every)
             first = np.cumsum([0, *lengths[:-1]])
             back = np.zeros((int(lengths.sum()), n_lang), bool)  # whether the path comes from the best language before
-            top = np.zeros(int(lengths.sum()), np.uint8)
+            top = np.zeros(int(lengths.sum()), np.int32)
             best = flat[first].copy()
             for t in range(1, steps):
                 k = alive[t]
@@ -200,7 +205,7 @@ class Labeller:
 
 def trace(state: int, back: np.ndarray, top: np.ndarray) -> np.ndarray:
     """The path that ends in a language: back to the last word where it was entered by a switch, again and again."""
-    path, end = np.zeros(len(top), np.uint8), len(top)
+    path, end = np.zeros(len(top), np.int32), len(top)
     while end > 0:
         entered = np.flatnonzero(back[:end, state])
         start = int(entered[-1]) if len(entered) else 0

@@ -33,6 +33,23 @@ def test_spans_and_scripts(spark, docs_of, clashes, odd_texts):
     assert {r["lang_pred"] for r in languages.label_documents(mixed, nothing).collect()} == {"und"}
 
 
+def test_every_label_is_learned(spark):
+    rng = np.random.default_rng(9)
+    words = ["".join(map(chr, rng.integers(97, 123, 12))) for _ in range(270 * 3)]
+    rows = [(f"l{k:03d}", " ".join(words[3 * k : 3 * k + 3])) for k in range(270)]
+    docs = spark.createDataFrame([(2 * k + i, t, lang) for k, (lang, t) in enumerate(rows) for i in range(2)] + [(None, "...", "l000"), (None, "1 2", "no words")], "doc_id bigint, text string, lang string")
+    fitted = languages.fit_languages(docs, held_out=-1)
+    assert fitted.names == [lang for lang, _ in rows]
+    got = languages.label_documents(docs.where("lang <> 'no words' and text <> '...'").select("doc_id", "text"), fitted).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == {2 * k + i: lang for k, (lang, _) in enumerate(rows) for i in range(2)}
+
+
+def test_large_labels_keep_a_sample(spark):
+    docs = model(spark, None)
+    assert languages.fit_languages(docs, most_labelled=0).names == ["de", "en", "ru"]
+    assert languages.fit_languages(docs, most_labelled=6).names == ["de", "en", "ru"]
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(4)
 
