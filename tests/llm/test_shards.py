@@ -31,6 +31,20 @@ def test_null_ids_repeated_rows_and_empty(docs_of):
     assert shards.shuffle_shards(docs_of([]), 8).count() == 0
 
 
+def test_no_bucket_is_filled_by_one_id(docs_of, monkeypatch):
+    monkeypatch.setattr(shards, "COPIES", 100)
+    for texts, ids in ((["same"] * 1501, [7] * 1501), ([f"own {i}" for i in range(1501)], [7] * 1501), (["same"] * 1501, [None] * 1501)):
+        docs = docs_of(texts + [f"text {i}" for i in range(1500)], ids=ids + list(range(10, 1510)))
+        got = shards.shuffle_shards(docs.repartition(3), 8, bucket_bytes=1000).collect()
+        assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted((r["doc_id"] or 0, r["text"]) for r in docs.collect())
+        assert sorted(r["position"] for r in got) == list(range(3001))
+        sizes = {}
+        for r in got:
+            sizes[r["bucket"]] = sizes.get(r["bucket"], 0) + 1
+        assert max(sizes.values()) < 3 * 3001 / len(sizes)
+        assert set(got) == set(shards.shuffle_shards(docs.repartition(5), 8, bucket_bytes=1000).collect())
+
+
 def test_fisher_yates_is_uniform():
     rng = np.random.default_rng(1)
     seen = {}
