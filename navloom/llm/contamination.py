@@ -35,16 +35,21 @@ def shingle_set(words: list[bytes]) -> set[bytes]:
     return {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)} if k else set()
 
 
+def _id_order(item_id: int | None) -> tuple[bool, int]:
+    """Sort key of ids, null first."""
+    return item_id is not None, item_id or 0
+
+
 @dataclass
 class ItemIndex:
     """Items by partition: their shingles, and for each band the minima with the items that have them."""
 
-    ids: list[int]
+    ids: list[int | None]
     sets: list[set[bytes]]
     partitions: dict[int, list[tuple[np.ndarray, np.ndarray, dict[int, list[int]]]]]  # bits: per band (table, minima, items)
 
     @classmethod
-    def build(cls, items: list[tuple[int, str | None]]) -> ItemIndex:
+    def build(cls, items: list[tuple[int | None, str | None]]) -> ItemIndex:
         hashes, ids, sets, parts = WordHashes(), [], [], defaultdict(lambda: [defaultdict(list) for _ in range(BANDS)])
         for item_id, text in items:
             words = word_list(text)
@@ -93,9 +98,9 @@ class ItemIndex:
                             out.update((d, i) for i in items[int(window[w])])
         return out
 
-    def search(self, texts: list[str | None], hashes: WordHashes, threshold: float) -> list[list[tuple[int, int, float]]]:
+    def search(self, texts: list[str | None], hashes: WordHashes, threshold: float) -> list[list[tuple[int | None, int, float]]]:
         """For each text the (item id, shared shingles, containment) of items with at least the threshold, by item id."""
-        out: list[list[tuple[int, int, float]]] = [[] for _ in texts]
+        out: list[list[tuple[int | None, int, float]]] = [[] for _ in texts]
         if not self.partitions:
             return out
         block = 1 << max(0, min(self.partitions))
@@ -120,7 +125,7 @@ class ItemIndex:
                         shared = len(self.sets[i] & there)
                         if shared >= threshold * len(self.sets[i]) - 1e-9:
                             out[k].append((self.ids[i], shared, shared / len(self.sets[i])))
-                    out[k].sort()
+                    out[k].sort(key=lambda hit: (*_id_order(hit[0]), *hit[1:]))
                 parts, owners, waiting = [], [], 0
                 words_of.clear()
         return out
@@ -143,13 +148,14 @@ def _hits(index: ItemIndex, threshold: float):
     return hits
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int = MOST_ITEMS):
-    """Indexes of the items, each of about `most` items; items with null ids are left out, ids with several texts are several."""
-    items = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i is not null").distinct()
+def item_blocks(benchmark: DataFrame, id_col: str | None, text_col: str, most: int = MOST_ITEMS):
+    """Indexes of the items with a text, each of about `most` items; an id with several texts is several items. Without id_col all ids are null."""
+    item_id = F.lit(None) if id_col is None else F.col(id_col)
+    items = benchmark.select(item_id.cast("long").alias("i"), F.col(text_col).alias("t")).where("t is not null").distinct()
     n_blocks = max(1, -(-items.count() // most))
     for b in range(n_blocks):
-        rows = items.where(F.pmod(F.xxhash64("i"), F.lit(n_blocks)) == b).collect()
-        yield ItemIndex.build(sorted((r["i"], r["t"]) for r in rows if r["t"] is not None))
+        rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == b).collect()
+        yield ItemIndex.build(sorted(((r["i"], r["t"]) for r in rows), key=lambda x: (*_id_order(x[0]), x[1])))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = NEAR, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -157,7 +163,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = NEAR,
 
     Shingles are distinct runs of five lower-cased words; texts of fewer words are one shingle, so short items are found only as
     whole texts. Null and empty texts and items hold nothing. Repeated rows of docs give repeated results; items with the same id
-    and different texts are each reported. Empty tables give an empty result; other columns are not read.
+    and different texts are each reported, those without an id with a null item_id. Empty tables give an empty result; other columns are not read.
     """
     out = None
     for index in item_blocks(benchmark, item_id_col, item_text_col):
@@ -167,8 +173,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = NEAR,
 
 
 def keep_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = NEAR, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of docs that hold no item, all columns; texts are searched in place, not shuffled."""
-    for index in item_blocks(benchmark, item_id_col, item_text_col):
+    """The rows of docs that hold no item, all columns; texts are searched in place, not shuffled. Ids of items are not read."""
+    for index in item_blocks(benchmark, None, item_text_col):
         docs = bounded_batches(docs).where(F.size(_hits(index, threshold)(F.col(text_col))) == 0)
     return docs
 

@@ -137,6 +137,17 @@ def test_licenses_as_sql(docs_of, odd_texts, clashes):
     assert licenses.scan_licenses(docs_of([])).count() == 0
 
 
+def test_items_without_an_id(spark, docs_of, monkeypatch):
+    one, two = ("a passage of the benchmark with more than five words", "another one that also has quite enough words")
+    docs = docs_of([f"start {one} end", f"start {two} end", "something else altogether with words"])
+    bench = spark.createDataFrame([(None, one), (None, two), (4, two), (5, None)], "item_id bigint, text string")
+    for most in (20_000, 1):
+        monkeypatch.setattr(contamination.item_blocks, "__defaults__", (most,))
+        got = sorted((r["doc_id"], r["item_id"] or 0) for r in contamination.contaminated(docs, bench).collect())
+        assert got == [(0, 0), (1, 0), (1, 4)]
+        assert [r["doc_id"] for r in contamination.keep_documents(docs, bench).collect()] == [2]
+
+
 def test_license_rows_with_equal_or_null_ids(docs_of):
     got = licenses.scan_licenses(docs_of(["under the mit license"] * 3 + ["released under the mit license"], ids=[None, 1, 1, None])).collect()
     assert len(got) == 4 and all(r["labels"] == "mit" for r in got)
