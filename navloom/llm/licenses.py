@@ -78,9 +78,14 @@ def scan_licenses(docs: DataFrame, phrases=PHRASES, notices=NOTICES, threshold:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score) for every row of docs.
 
     score is 1 with a base phrase, else the largest containment of a matched notice, else 0. Null and empty texts have no words,
-    null positions and empty label lists. Rows with equal id and text get equal results; null ids are rows of their own. An empty
+    null positions and empty label lists. A match of a notice counts for certain if its words lie within BLOCK_STEP words; spread
+    over BLOCK_STEP + 1 to BLOCK_WORDS words it is found or missed by its place in the text, over more it is missed. Notices of
+    more than BLOCK_STEP words are refused with a ValueError. Rows with equal id and text get equal results; null ids are rows of their own. An empty
     table gives an empty result; other columns are not read.
     """
+    long = [label for label, words in notices if len(words.split()) > BLOCK_STEP]
+    if long:
+        raise ValueError(f"notices of more than {BLOCK_STEP} words don't surely lie in one block: {long}")
     spark = docs.sparkSession
     known = _notices(notices, threshold)
     vocabulary = sorted({w for _, _, words, _ in known for w in words})

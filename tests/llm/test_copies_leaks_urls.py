@@ -148,6 +148,12 @@ def test_items_without_an_id(spark, docs_of, monkeypatch):
         assert [r["doc_id"] for r in contamination.keep_documents(docs, bench).collect()] == [2]
 
 
+def test_long_notices_are_refused(docs_of):
+    long = " ".join(f"word{i}" for i in range(licenses.BLOCK_STEP + 1))
+    with pytest.raises(ValueError, match="long"):
+        licenses.scan_licenses(docs_of([long]), notices=[("long", long)])
+
+
 def test_license_rows_with_equal_or_null_ids(docs_of):
     got = licenses.scan_licenses(docs_of(["under the mit license"] * 3 + ["released under the mit license"], ids=[None, 1, 1, None])).collect()
     assert len(got) == 4 and all(r["labels"] == "mit" for r in got)
