@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -64,33 +65,58 @@ def shingle_hashes(words: np.ndarray, k: int = SHINGLE_WORDS) -> np.ndarray:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset a new local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, local mode gets a new one; a cluster is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="navloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def tables_dir(spark: SparkSession) -> str:
+    """Where this application's tables are written."""
+    return f"{checkpoint_dir(spark)}/navloom/{spark.sparkContext.applicationId}"
+
+
+def remove_tables(spark: SparkSession) -> None:
+    """Deletes all tables that this application has written. DataFrames that read them can't be used afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(tables_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: cuts lineage, survives lost executors."""
-    path = f"{checkpoint_dir(df.sparkSession)}/navloom/{tag}-{uuid.uuid4().hex}"
+    """Writes df as a table in the shared folder and reads it back: cuts lineage, survives lost executors. remove_tables deletes it."""
+    path = f"{tables_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Rows of an Arrow batch between Spark and Python: whole texts are long, and two tasks share an executor's memory.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch between Spark and Python: whole texts are long, and two tasks share an executor's memory.
+BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """df, in a session whose Arrow batches have BATCH_ROWS rows at most."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(key, "10000")) <= BATCH_ROWS:
-        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    """df, in a session whose Arrow batches have BATCH_ROWS rows and BATCH_BYTES bytes at most (one row at least).
+
+    Spark reads these settings when a plan runs, so they stay set; stricter ones of the session are left as they are.
+    """
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(key, None)
+        if now is None or not str(now).isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
     return df
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """name, or name with underscores after it, so that df has no such column."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def small_or_shuffled(df: DataFrame, most_rows: int) -> DataFrame:
     """df with a broadcast hint if it has most_rows rows at most (counted first), else as it is: then the join shuffles."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
