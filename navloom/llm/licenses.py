@@ -18,7 +18,7 @@ from navloom.llm.common import LOWER, UPPER, materialize, small_or_shuffled
 
 #: Phrases and their labels. Fixed values.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Notices as (label, words), at most BLOCK_STEP words each. Fixed values.
+#: Notices as (label, words). Fixed values.
 NOTICES = (
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
@@ -32,8 +32,8 @@ NOTICES = (
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
 )
 THRESHOLD = 0.9
-#: Words of a block, and from one block's start to the next: a notice of up to BLOCK_STEP words lies in one block.
-BLOCK_WORDS, BLOCK_STEP = 64, 32
+#: Words from one block's start to the next, at least; a block has twice as many.
+BLOCK_STEP = 32
 MOST_BROADCAST = 500_000
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -74,25 +74,27 @@ def _notices(notices, threshold: float) -> list[tuple[int, str, list[str], int]]
     return out
 
 
+def block_step(notices) -> int:
+    """Words from one block's start to the next: as many as the longest notice has, so that each notice lies whole in some block."""
+    return max([BLOCK_STEP, *(len(words.split()) for _, words in notices)])
+
+
 def scan_licenses(docs: DataFrame, phrases=PHRASES, notices=NOTICES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score) for every row of docs.
 
     score is 1 with a base phrase, else the largest containment of a matched notice, else 0. Null and empty texts have no words,
-    null positions and empty label lists. A match of a notice counts for certain if its words lie within BLOCK_STEP words; spread
-    over BLOCK_STEP + 1 to BLOCK_WORDS words it is found or missed by its place in the text, over more it is missed. Notices of
-    more than BLOCK_STEP words are refused with a ValueError. Rows with equal id and text get equal results; null ids are rows of their own. An empty
-    table gives an empty result; other columns are not read.
+    null positions and empty label lists. A notice matches a block of twice block_step words, so it is found wherever its words lie
+    within block_step words, whatever its length; spread over more it is found or missed by its place, over twice as many it is
+    missed. Without notices only phrases count. Rows with equal id and text get equal results; null ids are rows of their own. An
+    empty table gives an empty result; other columns are not read.
     """
-    long = [label for label, words in notices if len(words.split()) > BLOCK_STEP]
-    if long:
-        raise ValueError(f"notices of more than {BLOCK_STEP} words don't surely lie in one block: {long}")
     spark = docs.sparkSession
-    known = _notices(notices, threshold)
+    known, step = _notices(notices, threshold), block_step(notices)
     vocabulary = sorted({w for _, _, words, _ in known for w in words})
     keyed = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
     line = F.col("_line")
     scanned = keyed.select("_id", "_hash", words_line(F.col("_text")).alias("_line")).withColumn("n_words", (spaces(line) - 1).cast("long"))
-    found = F.array_intersect(F.array(*map(F.lit, vocabulary)), F.split(line, " "))
+    found = F.array_intersect(F.array(*map(F.lit, vocabulary)).cast("array<string>"), F.split(line, " "))
     base = materialize(scanned.select("_id", "_hash", "n_words", *(c.alias(n) for n, c in phrase_columns(line, F.col("n_words"), phrases).items()), found.alias("_found")), "license-base")
 
     # The global order: words of the vocabulary by the number of documents that hold them; a row for each word at most.
@@ -106,15 +108,16 @@ def scan_licenses(docs: DataFrame, phrases=PHRASES, notices=NOTICES, threshold:
     ]
     index = F.broadcast(spark.createDataFrame(prefixes, "_w string, _notice int, _label string, _need int, _size int, _at int, _words array<string>"))  # the notices
 
-    able = [F.size(F.array_intersect(F.array(*map(F.lit, words)), F.col("_found"))) >= need for _, _, words, need in known]
-    hopeful = base.where(sum((a.cast("int") for a in able[1:]), able[0].cast("int")) > 0).select("_id", "_hash").distinct()
+    # Length and prefix filters on whole texts: enough words of the vocabulary, one of them in some notice's prefix.
+    least = min((need for *_, need in known), default=1)
+    first = F.array(*map(F.lit, sorted({w for w, *_ in prefixes}))).cast("array<string>")
+    hopeful = base.where((F.size("_found") >= least) & F.arrays_overlap("_found", first)).select("_id", "_hash").distinct()
     hopeful = materialize(hopeful, "license-hopeful")
     few = small_or_shuffled(hopeful.select(F.col("_id").alias("_i"), F.col("_hash").alias("_h")), MOST_BROADCAST)
     texts = keyed.join(few, (F.col("_hash") == F.col("_h")) & F.col("_id").eqNullSafe(F.col("_i")), "left_semi").dropDuplicates(["_id", "_hash"])
     words = texts.select("_id", "_hash", F.split(F.trim(words_line(F.col("_text"))), " ").alias("_all"))
-    starts = words.select("_id", "_hash", "_all", F.explode(F.sequence(F.lit(1), F.size("_all"), F.lit(BLOCK_STEP))).alias("_start"))
-    blocks = starts.select("_id", "_hash", F.array_intersect(F.array(*map(F.lit, order)), F.slice("_all", F.col("_start"), F.lit(BLOCK_WORDS))).alias("_block"))
-    least = min(need for *_, need in known)
+    starts = words.select("_id", "_hash", "_all", F.explode(F.sequence(F.lit(1), F.size("_all"), F.lit(step))).alias("_start"))
+    blocks = starts.select("_id", "_hash", F.array_intersect(F.array(*map(F.lit, order)).cast("array<string>"), F.slice("_all", F.col("_start"), F.lit(2 * step))).alias("_block"))
     tokens = blocks.where(F.size("_block") >= least).distinct()  # length filter; equal blocks of a text count once
     tokens = tokens.select("_id", "_hash", "_block", F.posexplode(F.slice("_block", F.lit(1), F.size("_block") - least + 1)).alias("_pos", "_w"))
     n, at = F.size("_block"), F.col("_pos") + 1
@@ -154,8 +157,8 @@ d as (select row_number() over () as k, doc_id, case when l = '  ' then ' ' else
 w as (select *, len(regexp_replace(line, '[^ ]', '', 'g')) - 1 as n_words from d),
 b as (select k, doc_id, line, n_words, {n_base} as n_base, least({', '.join(before)}) as first_word, greatest({', '.join(after)}) as last_word,
              list_filter([{base}], lambda x: x is not null) as base from w),
-blocks as (select k, string_split(trim(line, ' '), ' ')[s : s + {BLOCK_WORDS - 1}] as block
-           from (select k, line, unnest(range(1, greatest(n_words, 1) + 1, {BLOCK_STEP})) as s from w where contains(line, ' license ') or contains(line, ' licensed ') or contains(line, ' redistribution ') or contains(line, ' permission '))),
+blocks as (select k, string_split(trim(line, ' '), ' ')[s : s + {2 * block_step(NOTICES) - 1}] as block
+           from (select k, line, unnest(range(1, greatest(n_words, 1) + 1, {block_step(NOTICES)})) as s from w)),
 notices(label, words) as (values {rows}),
 m as (select k, label, len(list_intersect(words, block)) / len(words) as share from blocks, notices where len(list_intersect(words, block)) >= ceil({THRESHOLD} * len(words) - 1e-9)),
 g as (select k, list(distinct label) as labels, max(share) as share from m group by k)
