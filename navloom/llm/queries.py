@@ -97,7 +97,7 @@ QUERIES = {
 
 _CANONICAL = r"""
     select page_id, url, host, path,
-           case when host = '' then '' else regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '')
+           case when host = '' then '' else regexp_replace(regexp_replace(regexp_replace(regexp_replace(host, '^[^@]*@', ''), '(:80|:443)?$', ''), '\.+$', ''), '^www\.', '') || regexp_replace(path, '/+$', '')
                 || case when query <> '' then '?' || query else '' end end as canonical
     from (select page_id, url,
                  translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,

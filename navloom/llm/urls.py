@@ -29,13 +29,14 @@ def path_of(url: Column) -> Column:
 
 
 def canonical_of(url: Column) -> Column:
-    """Host without a leading "www.", path without slashes at its end, and the query without utm_ parameters; no scheme, no fragment.
+    """Host without user, usual port, dots at its end and a leading "www.", path without slashes at its end, query without utm_ parameters.
 
-    A URL without a host gives the empty text, which no list holds.
+    Scheme and fragment don't count. A URL without a host gives the empty text, which no list holds.
     """
     query = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^?#]*\?([^#]*)", 1)
     query = F.regexp_replace(F.regexp_replace(query, r"(^|&)utm_[^&]*", ""), r"^&+", "")
-    host = F.regexp_replace(host_of(url), r"^www\.", "")
+    host = F.regexp_replace(F.regexp_replace(host_of(url), r"^[^@]*@", ""), r"(:80|:443)?$", "")
+    host = F.regexp_replace(F.regexp_replace(host, r"\.+$", ""), r"^www\.", "")
     whole = F.concat(host, F.regexp_replace(path_of(url), r"/+$", ""), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
     return F.when(host == "", F.lit("")).otherwise(whole)
 
@@ -65,6 +66,16 @@ def bloom_blocks(keys: DataFrame, key: str, n_blocks: int) -> DataFrame:
     return bits.groupBy("_block").agg(*(F.bit_or(f"_b{i}").alias(f"_w{i}") for i in range(WORDS)))
 
 
+def salt() -> Column:
+    """A number below SALTS for each row by its place in its input, whatever its values."""
+    return F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+
+
+def salted(df: DataFrame) -> DataFrame:
+    """Every row once for each salt."""
+    return df.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+
+
 def url_verdicts(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", listed_col: str = "url") -> DataFrame:
     """(id, host, path, rule, verdict, canonical, listed boolean) for every row of pages.
 
@@ -82,21 +93,22 @@ def url_verdicts(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str
         .select("_id", host_of(url).alias("host"), path_of(url).alias("path"), canonical_of(url).alias("canonical"))
         .select("*", rule.alias("rule"), verdict.alias("_verdict"))
     )
-    blocks = small_or_shuffled(bloom_blocks(keys, "_key", n_blocks), MOST_BLOCKS)
-    hit = reduce(lambda a, b: a & b, (F.col(f"_w{i}").bitwiseAND(b) == b for i, b in enumerate(_bits(F.col("canonical")))))
-    probed = judged.withColumn("_block", F.pmod(F.xxhash64("canonical"), F.lit(n_blocks))).join(blocks, "_block", "left")
-    probed = probed.withColumn("_maybe", F.coalesce(hit, F.lit(False))).select("_id", "host", "path", "canonical", "rule", "_verdict", "_maybe")
-    passed, rest = probed.where("_maybe"), probed.where("not _maybe")
-    exact = small_or_shuffled(keys, MOST_LISTED)
-    if exact is keys:  # the shuffled join: a URL that many pages share is spread over salts
-        exact = keys.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-        passed = passed.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int"))
-        on = (F.col("canonical") == F.col("_key")) & (passed["_salt"] == exact["_salt"])
+    blocks = bloom_blocks(keys, "_key", n_blocks)
+    key, block = F.col("canonical"), F.pmod(F.xxhash64("canonical"), F.lit(n_blocks))
+    few, small = small_or_shuffled(blocks, MOST_BLOCKS), small_or_shuffled(keys, MOST_LISTED)
+    if few is blocks:  # the shuffled join: every block goes to all salts, so that a URL of many pages, or of none, is spread
+        judged = judged.withColumn("_salt", salt())
+        probed = judged.withColumn("_block", block).join(salted(blocks), ["_block", "_salt"], "left")
+    else:
+        probed = judged.withColumn("_block", block).join(few, "_block", "left")
+    hit = reduce(lambda a, b: a & b, (F.col(f"_w{i}").bitwiseAND(b) == b for i, b in enumerate(_bits(key))))
+    names = ["_id", "host", "path", "canonical", "rule", "_verdict"]
+    probed = probed.select(*names, F.coalesce(hit, F.lit(False)).alias("_maybe"))
+    if small is keys:  # only what the filter passes is shuffled; all is written before, so that pages are read and judged once
+        probed = materialize(probed, "probed-urls")
+        passed = probed.where("_maybe").withColumn("_salt", salt()).withColumn("_key", key).join(salted(keys.withColumn("_on", F.lit(True))), ["_key", "_salt"], "left")
+        found = passed.select(*names, F.coalesce("_on", F.lit(False)).alias("listed")).unionByName(probed.where("not _maybe").select(*names, F.lit(False).alias("listed")))
     else:
-        on = F.col("canonical") == F.col("_key")
-    passed = passed.join(exact, on, "left").select("_id", "host", "path", "canonical", "rule", "_verdict", F.col("_key").isNotNull().alias("listed"))
-    rest = rest.select("_id", "host", "path", "canonical", "rule", "_verdict", F.lit(False).alias("listed"))
+        found = probed.join(small, F.when(F.col("_maybe"), key) == F.col("_key"), "left").select(*names, F.col("_key").isNotNull().alias("listed"))
     by_list = F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))
-    return passed.unionByName(rest).select(
-        F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce("_verdict", by_list).alias("verdict"), "canonical", "listed"
-    )
+    return found.select(F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce("_verdict", by_list).alias("verdict"), "canonical", "listed")
