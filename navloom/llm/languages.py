@@ -7,13 +7,12 @@ that single odd words don't break a span. The text's language is that of most of
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,15 +37,15 @@ SCRIPT_RANGES = (
 N_SCRIPTS = 12
 #: Labelled rows that the model is fitted on, at most about so many (by a hash of the id); slots for hashed letter runs.
 MOST_LABELLED, SLOTS = 6_000, 1 << 16
-#: Texts that advance together.
-GROUP = 1024
+#: Texts that advance together, and characters of texts whose words are held at a time (one text's at least).
+GROUP, MOST_CHARS = 1024, 1 << 21
 #: Cost of a change of language, share of a language's words from which it is written in a script.
 SWITCH, SCRIPT_SHARE = 12.0, 0.01
 #: Cells of score tables that a task holds: fewer words are kept where there are many languages, and fewer texts advance together.
 MOST_CELLS = 50_000_000
 UNKNOWN = "und"
-#: Runs of letters; the parts of a word longer than this are scored as words of their own.
-_LETTERS = re.compile(r"[^\W\d_]{1,40}")
+#: Letters (Unicode category L) with their marks; the parts of a word longer than this are scored as words of their own.
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]{0,39}")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -93,30 +92,31 @@ class LanguageModel:
         return np.add.reduceat(self.logs[slots], np.cumsum(counts) - counts) + self.scripts[list(map(script_of, words))]
 
 
-def model_of(counts: pd.DataFrame, scripts: pd.DataFrame) -> LanguageModel:
-    """From rows (lang, slot, n) and (lang, script, n)."""
-    names = sorted(counts["lang"].unique().tolist())
-    at = {name: i for i, name in enumerate(names)}
-    n = np.zeros((SLOTS, len(names)))
-    n[counts["slot"].to_numpy(int), counts["lang"].map(at).to_numpy(int)] = counts["n"].to_numpy(float)
+def model_of(counted: dict[str, tuple[np.ndarray, np.ndarray]]) -> LanguageModel:
+    """From the (slots, counts) of every label; slots from SLOTS on are scripts of words."""
+    names = sorted(name for name, (slots, _) in counted.items() if (slots < SLOTS).any())
+    logs, used = np.zeros((SLOTS, len(names)), np.float32), np.zeros((N_SCRIPTS, len(names)))
+    for i, name in enumerate(names):
+        n = np.zeros(SLOTS + N_SCRIPTS)
+        n[counted[name][0]] = counted[name][1]
+        logs[:, i] = np.log((n[:SLOTS] + 0.1) / (n[:SLOTS] + 0.1).sum())
+        used[:, i] = n[SLOTS:]
     if not names:
-        return LanguageModel([], n.astype(np.float32), np.zeros((N_SCRIPTS, 0), np.float32))
-    logs = np.log((n + 0.1) / (n + 0.1).sum(0))
-    used = np.zeros((N_SCRIPTS, len(names)))
-    used[scripts["script"].to_numpy(int), scripts["lang"].map(at).to_numpy(int)] = scripts["n"].to_numpy(float)
+        return LanguageModel([], logs, used.astype(np.float32))
     written = used >= SCRIPT_SHARE * np.maximum(used.sum(0), 1)
     written[~written.any(1)] = True  # a script that no language uses rules none out
-    return LanguageModel(names, (logs - logs.mean(1, keepdims=True)).astype(np.float32), np.where(written, 0.0, -50.0).astype(np.float32))
+    logs -= logs.mean(1, keepdims=True)
+    return LanguageModel(names, logs, np.where(written, 0.0, -50.0).astype(np.float32))
 
 
 def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_labelled: int = MOST_LABELLED, fold: int = 3, held_out: int = 1) -> LanguageModel:
     """Counts of letter runs by language over a bounded sample of labelled rows that are not held out.
 
-    The counts are summed in Spark; languages x SLOTS rows at most reach the driver, and the model takes 256 KB a label. Every label
+    The counts are summed in Spark and reach the driver as one row of (slots, counts) for a label; the model takes 256 KB a label. Every label
     that has a row with letters is learned: of its rows those with a 64-bit hash in the label's share stay, the least one always.
     """
     known = bounded_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("lang"))
-    known = known.where(F.col("lang").isNotNull() & F.col("_text").rlike(r"[\p{L}\p{Nl}\p{No}]") & (id_remainder(fold, "_id") != held_out))
+    known = known.where(F.col("lang").isNotNull() & F.col("_text").rlike(r"\p{L}") & (id_remainder(fold, "_id") != held_out))
     known = known.withColumn("_h", F.xxhash64("_id", "_text", F.lit("sample")))
     by_lang = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("_h").alias("least")).collect()
     cutoffs = [(r["lang"], max(r["least"], min((1 << 63) - 1, (most_labelled << 64) // (r["n"] * len(by_lang)) - (1 << 63)))) for r in by_lang]
@@ -137,10 +137,9 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             used = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used)), pa.array(used.astype(np.int32)), pa.array(n[used])], names=["lang", "slot", "n"])
 
-    counted = sample.select("_text", "lang").mapInArrow(count, "lang string, slot int, n bigint").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
-    scripts = counted[counted["slot"] >= SLOTS].assign(script=lambda x: x["slot"] - SLOTS)
-    counts = counted[counted["slot"] < SLOTS]
-    return model_of(counts, scripts[scripts["lang"].isin(counts["lang"])])
+    summed = sample.select("_text", "lang").mapInArrow(count, "lang string, slot int, n bigint").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+    packed = summed.groupBy("lang").agg(F.collect_list(F.struct("slot", "n")).alias("c")).select("lang", "c.slot", "c.n")  # SLOTS + N_SCRIPTS entries at most
+    return model_of({r["lang"]: (np.array(r["slot"]), np.array(r["n"])) for r in packed.toLocalIterator()})
 
 
 class Labeller:
@@ -214,6 +213,20 @@ def trace(state: int, back: np.ndarray, top: np.ndarray) -> np.ndarray:
     return path
 
 
+def word_groups(texts: pa.Array):
+    """Words of some texts at a time: GROUP texts and about MOST_CHARS characters at most."""
+    words, chars = [], 0
+    for t in texts:
+        text = t.as_py()
+        words.append(words_of(text))
+        chars += len(text or "")
+        if len(words) == GROUP or chars >= MOST_CHARS:
+            yield words
+            words, chars = [], 0
+    if words:
+        yield words
+
+
 _SPAN = T.StructType([T.StructField("lang", T.StringType()), T.StructField("first_word", T.IntegerType()), T.StructField("n_words", T.IntegerType())])
 _RESULT = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(_SPAN))])
 
@@ -222,7 +235,7 @@ def label_documents(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id
     """(id, lang_pred, score, spans array<struct<lang, first_word, n_words>>) for every row of docs.
 
     lang_pred is the language of most letters, score its share of them; `und` and 0 for a null text, a text without letters, or
-    a model without languages. Words are runs of letters, counted from 0. Ties go to the first language by name. Repeated rows
+    a model without languages. Words are runs of letters and their marks, counted from 0; numeric signs and lone marks are no letters. Ties go to the first language by name. Repeated rows
     are each labelled; an empty table gives an empty result; other columns are not read.
     """
     kept: list[Labeller] = []
@@ -232,8 +245,7 @@ def label_documents(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id
         if not kept:
             kept.append(Labeller(model))
         out = []
-        for start in range(0, len(texts), GROUP):
-            words = [words_of(t.as_py()) for t in texts[start : start + GROUP]]
+        for words in word_groups(texts):
             for own, path in zip(words, kept[0].paths(words) if model.names else [None] * len(words), strict=True):
                 if path is None or not own:
                     out.append({"lang": UNKNOWN, "score": 0.0, "spans": []})
