@@ -66,6 +66,8 @@ class MergeEncoder:
         plain = norm.name == "identity" and norm.add_dummy_prefix and not norm.remove_extra_whitespaces and norm.escape_whitespaces
         if not plain or kind.model_type != 2 or not kind.byte_fallback or kind.treat_whitespace_as_suffix:
             raise ValueError("only merge models with identity normalisation, a leading space and byte fallback")
+        if any(p.type in (4, 5) for p in model.pieces):
+            raise ValueError("pieces that a user defined, or that are unused, are matched before merging: not supported")
         sp = SentencePieceProcessor(model_file=model_file)
         self.end_id = sp.eos_id()
         self.scores = {p.piece: p.score for p in model.pieces if p.type == 1}
@@ -227,8 +229,12 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
 
 
 def decode_ids(df: DataFrame, model_file: str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
-    """Adds out_col: the text that the ids decode to (null ids: null). Control ids give nothing; unknown ids are an error."""
+    """Adds out_col: the text that the ids decode to (null ids: null). Control ids give nothing; unknown ids are an error.
 
+    A column of that name must not be there yet. Repeated rows are each decoded; an empty table gives an empty result.
+    """
+    if out_col in df.columns:
+        raise ValueError(f"there is a column {out_col} already")
     kept: list[MergeEncoder] = []
 
     @F.arrow_udf("string")
