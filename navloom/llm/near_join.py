@@ -1,17 +1,19 @@
 """N-gram Jaccard self-join by chosen paths: all documents with 0.8 of their five-word shingles in common.
 
-Documents with equal sets of shingles are one node. A node's set is embedded as COORDINATES MinHash values. In each of RUNS runs the
-nodes walk down a tree: a tree node draws one or two coordinates (1 / threshold on average) and sends every set to the child of its
-value there, so that sets as near as the threshold go on meeting while others part. A bucket of up to LEAF sets is compared by
-brute force on the embedding; a larger one is split again, up to DEPTH times. With 8 runs the chance to miss a pair at the
-threshold is below 0.001, at 0.9 below 0.00001. Pairs of the embedding only link a bucket's members to one of them; the connected
-components of these links are then compared exactly on their shingles, in blocks, so that no pair is ever a row.
+Documents with equal sets of shingles are one node. A node's set is embedded as COORDINATES MinHash values: a coordinate of two sets
+is equal where the shingle that a random order puts first is one they share, so a draw of coordinates samples shared tokens. In
+each run the nodes walk down a tree: a tree node draws one or two coordinates (1 / threshold on average) and sends every set to
+the child of its value there, so that sets as near as the threshold go on meeting while others part. A bucket of up to LEAF sets
+is compared by brute force on the embedding; a larger one is split again, up to DEPTH times, and what is then left of it is
+compared in pairs of blocks. Runs are repeated until a pair at the threshold is found with TARGET_RECALL. Pairs of the embedding
+only link a bucket's members to one of them; the connected components of these links are then compared exactly on their
+shingles, in pairs of blocks, so that no pair is ever a row.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,17 +22,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from navloom.llm.common import WordHashes, bounded_batches, materialize, mixed, shingle_hashes, small_or_shuffled, word_list
+from navloom.llm.common import NEAR, WordHashes, bounded_batches, materialize, mixed, shingle_hashes, small_or_shuffled, unused, word_list
 
-COORDINATES, RUNS, DEPTH, LEAF = 128, 8, 3, 512
+COORDINATES, DEPTH, LEAF, TARGET_RECALL = 128, 4, 512, 0.998
 #: Share of equal coordinates from which two sets go to the exact comparison: four standard deviations below 0.8.
 CANDIDATE = 0.66
-#: Sets compared in one task; larger buckets are linked unseen, larger components compared in pairs of blocks.
-MOST_IN_TASK, BLOCK = 4096, 1024
+#: Sets of a block; what is larger is compared in pairs of blocks. Buckets from LARGEST sets on, which DEPTH splits have not parted,
+#: are linked unseen: the exact comparison then sees all their pairs.
+BLOCK, LARGEST = 512, 16_384
+#: A key with more rows than this, and than the 100,000th part of all rows, is joined by a broadcast (of 100,000 keys at most).
+HOT_ROWS, MOST_HOT = 256, 100_000
 MOST_BROADCAST = 300_000
 _ODD = mixed(np.arange(1001, 1001 + COORDINATES, dtype=np.uint64)) | np.uint64(1)
 
 
+def missed(depth: int, similarity: float = NEAR) -> float:
+    """Chance that a pair is in no common bucket after so many splits of one run: one child, or for a quarter of the nodes two."""
+    gone = 0.0
+    for _ in range(depth):
+        parted = 1 - similarity * (1 - gone)
+        gone = 0.75 * parted + 0.25 * parted**2
+    return gone
+
+
+def runs_for(recall: float, depth: int) -> int:
+    """Runs after which a pair at the threshold is found with this chance, even if its buckets are split `depth` times."""
+    return math.ceil(math.log(1 - recall) / math.log(missed(depth)))
+
+
+def joined_by(many: DataFrame, one: DataFrame, key: str, rows: str, most_rows: int | None = None) -> DataFrame:
+    """many join one on key, where one has each key once, and in column `rows` how many rows of many have it; that column goes.
+
+    Keys with many rows are joined by a broadcast, so that none fills a task: of keys with over the 100,000th part of all rows
+    there are 100,000 at most.
+    """
+    least = HOT_ROWS if most_rows is None else most_rows
+    total = one.agg(F.sum(rows)).first()[0] or 0
+    hot = one.where(F.col(rows) > max(least, total // MOST_HOT))
+    if hot.isEmpty():
+        return many.join(one.drop(rows), key)
+    hot = F.broadcast(hot.drop(rows))
+    rest = many.join(hot.select(key), key, "left_anti").join(one.where(F.col(rows) <= max(least, total // MOST_HOT)).drop(rows), key)
+    return many.join(hot, key).unionByName(rest)
+
+
 def shingles_of(text: str | None, hashes: WordHashes) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles."""
     return np.unique(shingle_hashes(hashes.array(word_list(text))))
@@ -81,12 +116,13 @@ def _children(path: Column) -> Column:
 
 def buckets(sets: DataFrame) -> DataFrame:
     """(path, key, n): the leaves of all runs with two sets or more; n is the number of sets in the leaf."""
-    roots = sets.select("key", "mins", F.explode(F.array(*(F.xxhash64(F.lit("run"), F.lit(r)) for r in range(RUNS)))).alias("path"))
+    runs = runs_for(TARGET_RECALL, DEPTH)
+    roots = sets.select("key", "mins", F.explode(F.array(*(F.xxhash64(F.lit("run"), F.lit(r)) for r in range(runs)))).alias("path"))
     leaves = []
     for depth in range(1, DEPTH + 1):
-        rows = roots.select("key", F.explode(_children(F.col("path"))).alias("path"))
-        counts = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        level = materialize(rows.join(counts, "path"), f"paths-{depth}")
+        rows = materialize(roots.select("key", F.explode(_children(F.col("path"))).alias("path")), f"children-{depth}")
+        counts = materialize(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("_rows", F.col("n")), f"counts-{depth}")
+        level = materialize(joined_by(rows, counts, "path", "_rows").select("path", "key", "n"), f"paths-{depth}")
         large = level.where(F.col("n") > LEAF)
         if depth == DEPTH or large.isEmpty():
             leaves.append(level)
@@ -99,6 +135,25 @@ def buckets(sets: DataFrame) -> DataFrame:
     return out
 
 
+def in_blocks(rows: DataFrame, group: str, n: str) -> DataFrame:
+    """rows, each once for each comparison it is in, with task, block, lo and hi.
+
+    A group (of n rows with a key each) of up to BLOCK rows is one comparison; a larger one is cut into blocks by a hash of the key,
+    and each pair of blocks is a comparison.
+    """
+    blocks = F.when(F.col(n) <= BLOCK, F.lit(1)).otherwise(F.ceil(F.col(n) * 4 / (3 * BLOCK)).cast("int"))  # blocks vary in size
+    out = rows.withColumn("_blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("_blocks")).cast("int"))
+    out = out.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    out = out.withColumn("lo", F.least("block", "_other")).withColumn("hi", F.greatest("block", "_other"))
+    return out.withColumn("task", F.xxhash64(group, "lo", "hi")).drop("_blocks", "_other")
+
+
+def by_task(rows: DataFrame) -> DataFrame:
+    """rows (with task) dealt to tasks by their comparison, not by bytes: comparing takes time that grows with the square of a group."""
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartition(n, "task").sortWithinPartitions("task", "key")
+
+
 def in_groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.Table]:
     """Runs of equal values of a column of sorted batches, each as one table."""
     waiting: list[pa.Table] = []
@@ -138,7 +193,7 @@ def roots_of(linked: np.ndarray) -> np.ndarray:
 def _link_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b): each set of a bucket with the first of its component under CANDIDATE equal coordinates."""
     a, b = [], []
-    for group in in_groups(batches, "path"):
+    for group in in_groups(batches, "task"):
         n = group.num_rows
         mins = group.column("mins").combine_chunks().flatten().to_numpy().reshape(n, COORDINATES)
         linked = np.zeros((n, n), bool)
@@ -157,13 +212,13 @@ def _link_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def candidate_links(sets: DataFrame) -> DataFrame:
-    """(a, b) links whose components hold every pair that can reach the threshold; a row for each set and bucket at most."""
+    """(a, b) links whose components hold every pair that can reach the threshold; a row for each set and comparison at most."""
     leaves = buckets(sets)
-    small = leaves.where(F.col("n") <= MOST_IN_TASK).select("path", "key").join(sets.select("key", "mins"), "key")
-    near = small.repartition("path").sortWithinPartitions("path").mapInArrow(_link_buckets, "a string, b string")
-    large = leaves.where(F.col("n") > MOST_IN_TASK).select("path", "key")
-    first = large.groupBy("path").agg(F.min("key").alias("b"))
-    unseen = large.join(first, "path").where("key <> b").select(F.col("key").alias("a"), "b")
+    seen = in_blocks(leaves.where(F.col("n") < LARGEST).select("path", "key", "n"), "path", "n").select("task", "key")
+    near = by_task(seen.join(sets.select("key", "mins"), "key")).mapInArrow(_link_buckets, "a string, b string")
+    large = leaves.where(F.col("n") >= LARGEST).select("path", "key")
+    first = large.groupBy("path").agg(F.min("key").alias("b"), F.count(F.lit(1)).alias("_rows"))
+    unseen = joined_by(large, first, "path", "_rows").where("key <> b").select(F.col("key").alias("a"), "b")
     return near.unionByName(unseen).distinct()
 
 
@@ -171,17 +226,19 @@ def components(links: DataFrame, tag: str) -> DataFrame:
     """(key, root): the smallest key of every linked key's component, by alternating large and small stars.
 
     Every round writes its links to the shared folder; rounds end when no link changes (their number grows with the logarithm of
-    the longest chain). A star's centre is found by a minimum and joined back; its rays are never collected.
+    the longest chain). A star's centre is found by a minimum and joined back; its rays are never collected, and the centres
+    with many rays are joined by a broadcast.
     """
     edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{tag}-links")
     before = None
     while True:
         both = edges.union(edges.select("b", "a"))
-        centre = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(centre, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        centre = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("_rows"))
+        centre = materialize(centre, f"{tag}-centres")
+        large = joined_by(both, centre, "a", "_rows").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = materialize(large, f"{tag}-large")
-        centre = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(centre, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        centre = materialize(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("_rows")), f"{tag}-centres")
+        small = joined_by(large, centre, "a", "_rows").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = materialize(small.union(centre.select("a", F.col("m").alias("b"))).distinct(), f"{tag}-small")
         now = tuple(edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40))), F.lit(0))).first())
         if now == before:
@@ -190,13 +247,6 @@ def components(links: DataFrame, tag: str) -> DataFrame:
     return edges.select(F.col("a").alias("key"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("key"), F.col("b").alias("root")).distinct())
 
 
-@dataclass
-class _Members:
-    keys: list[str]
-    copies: np.ndarray
-    sets: list[np.ndarray]
-
-
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of every left with every right set, by products of 0/1 matrices in columns of shingles."""
     n, m = len(left), len(right)
@@ -226,19 +276,14 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for group in in_groups(batches, "task"):
         lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
         own = group.column("block").to_numpy()
-        first = {}
-        for i, k in enumerate(group.column("key").to_pylist()):
-            first.setdefault(k, i)  # documents with equal ids and texts give a set more than once
-        at = np.array(sorted(first.values()))
-        keys = [group.column("key")[i].as_py() for i in at.tolist()]
-        copies = group.column("copies").to_numpy()[at]
-        sets = [shingles_of(group.column("text")[i].as_py(), hashes) for i in at.tolist()]
-        sizes = np.array([len(s) for s in sets])
-        side = own[at]
-        n = len(at)
+        keys = group.column("key").to_pylist()
+        copies = group.column("copies").to_numpy()
+        sets = [shingles_of(t.as_py(), hashes) for t in group.column("text")]
+        sizes = np.array([len(x) for x in sets])
+        n = len(sets)
         linked = np.zeros((n, n), bool)
-        a = np.flatnonzero(side == lo)
-        b = a if lo == hi else np.flatnonzero(side == hi)
+        a = np.flatnonzero(own == lo)
+        b = a if lo == hi else np.flatnonzero(own == hi)
         if len(a) and len(b):
             shared = shared_counts([sets[i] for i in a], [sets[i] for i in b])
             near = 9 * shared >= 4 * (sizes[a][:, None] + sizes[b][None, :])  # shared / union >= 0.8
@@ -258,31 +303,27 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sets = sketched.where("key is not null").groupBy("key").agg(F.min(F.struct("_id", "_hash")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("mins").alias("mins"))
     sets = materialize(sets, "near-sets")
     parts = components(candidate_links(sets), "near-candidates")
-    sizes = parts.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("n_blocks"), F.count(F.lit(1)).alias("n"))
-    sizes = sizes.withColumn("n_blocks", F.when(F.col("n") <= MOST_IN_TASK // 2, F.lit(1)).otherwise(F.col("n_blocks")))
-    members = parts.join(sizes, "root").join(sets.select("key", "rep", "copies"), "key")
-    members = materialize(members.select("key", "root", "n_blocks", "copies", F.col("rep._id").alias("_i"), F.col("rep._hash").alias("_h")), "near-members")
+    sizes = materialize(parts.groupBy("root").agg(F.count(F.lit(1)).alias("n")).withColumn("_rows", F.col("n")), "near-sizes")
+    members = joined_by(parts, sizes, "root", "_rows").join(sets.select("key", "rep", "copies"), "key")
+    members = materialize(members.select("key", "root", "n", "copies", F.col("rep._id").alias("_i"), F.col("rep._hash").alias("_h")), "near-members")
     texts = keyed.join(small_or_shuffled(members, MOST_BROADCAST), (F.col("_hash") == F.col("_h")) & F.col("_id").eqNullSafe(F.col("_i")))
-    # Each member goes to the comparisons of its block with every block of its component; mostly there is one.
-    block = F.pmod(F.xxhash64("key"), F.col("n_blocks")).cast("int")
-    tasks = texts.withColumn("block", block).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    tasks = tasks.select("key", "root", "copies", "block", F.least("block", "_other").alias("lo"), F.greatest("block", "_other").alias("hi"), F.col("_text").alias("text"), "n_blocks")
-    tasks = tasks.withColumn("task", F.xxhash64("root", "lo", "hi"))
-    compared = tasks.repartition("task").sortWithinPartitions("task", "key").select("task", "key", "copies", "block", "lo", "hi", "text").mapInArrow(_compare, "key string, links bigint, root string")
+    texts = texts.groupBy("key", "root", "n", "copies").agg(F.min("_text").alias("text"))  # rows with equal ids and texts are one
+    tasks = in_blocks(texts, "root", "n").select("task", "key", "copies", "block", "lo", "hi", "text")
+    compared = by_task(tasks).mapInArrow(_compare, "key string, links bigint, root string")
     compared = materialize(compared, "near-compared")
     links = compared.groupBy("key").agg(F.sum("links").alias("links"), F.min("root").alias("one"), F.max("root").alias("other"))
-    if members.where("n_blocks > 1").isEmpty():
+    if members.where(F.col("n") > BLOCK).isEmpty():
         classes = links.select("key", "links", F.col("one").alias("root"))
     else:
         joined = components(compared.select(F.col("key").alias("a"), F.col("root").alias("b")), "near-classes").distinct()
         classes = links.select("key", "links").join(joined, "key", "left").withColumn("root", F.coalesce("root", "key"))
     info = sets.select("key", "rep", "copies").join(classes, "key", "left").withColumn("root", F.coalesce("root", "key"))
     info = materialize(info.select("key", "rep", "copies", "root", F.coalesce("links", F.lit(0)).alias("links")), "near-info")
-    first = info.groupBy("root").agg(F.min("rep").alias("first"))
-    info = info.join(first, "root").select(
+    first = materialize(info.groupBy("root").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("_rows")), "near-first")
+    info = joined_by(info, first, "root", "_rows").select(
         "key", F.col("first._id").alias("class_id"), F.col("first._hash").alias("class_hash"), (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies")
     )
-    return sketched.select("_id", "_hash", "key"), info
+    return sketched.select("_id", "_hash", "key"), materialize(info, "near-classes-of-sets")
 
 
 def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -294,26 +335,24 @@ def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     Ties go to the smallest id, null ids first. An empty table gives an empty result; other columns are not read.
     """
     rows, info = near_classes(docs, id_col, text_col)
-    joined = rows.join(info, "key", "left")
-    alone = F.col("key").isNull()
-    return joined.select(
-        F.col("_id").alias(id_col),
-        F.when(alone, F.col("_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
-    )
+    found = joined_by(rows.where("key is not null"), info.withColumn("_rows", F.col("n_copies")), "key", "_rows")
+    found = found.select("_id", "class_id", F.col("n_links").cast("long").alias("n_links"), F.col("n_copies").cast("long").alias("n_copies"))
+    alone = rows.where("key is null").select("_id", F.col("_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+    return found.unionByName(alone).withColumnRenamed("_id", id_col)
 
 
 def keep_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that come first (by id, then hash of the text) in their class, all columns; texts without words all stay.
 
-    Rows with equal ids and texts are one document and stay or go together.
+    Rows with equal ids and texts are one document and stay or go together. An empty table stays empty; columns may have any names.
     """
     rows, info = near_classes(docs, id_col, text_col)
     first = F.col("_id").eqNullSafe(F.col("class_id")) & (F.col("_hash") == F.col("class_hash"))
-    gone = materialize(rows.join(info, "key").where(~first).select(F.col("_id").alias("_gone_id"), F.col("_hash").alias("_gone_hash")).distinct(), "near-gone")
+    found = joined_by(rows.where("key is not null"), info.withColumn("_rows", F.col("n_copies")), "key", "_rows")
+    gone_id, gone_hash = unused("_gone_id", docs), unused("_gone_hash", docs)
+    gone = materialize(found.where(~first).select(F.col("_id").alias(gone_id), F.col("_hash").alias(gone_hash)).distinct(), "near-gone")
     gone = small_or_shuffled(gone, 1_000_000)
-    return docs.join(gone, (F.xxhash64(docs[text_col]) == F.col("_gone_hash")) & docs[id_col].eqNullSafe(F.col("_gone_id")), "left_anti")
+    return docs.join(gone, (F.xxhash64(docs[text_col]) == F.col(gone_hash)) & docs[id_col].eqNullSafe(F.col(gone_id)), "left_anti")
 
 
 def oracle_sql() -> str:
