@@ -22,7 +22,7 @@ def docs_of(spark):
     return make
 
 
-CLASHES = ["score", "key", "_id_", "task", "path", "n_words", "shard", "words"]
+CLASHES = ["score", "key", "_id_", "task", "path", "n_words", "shard", "words", "_gone_id", "_gone_hash", "_hash", "_text", "_row", "_m", "_s", "_c", "_r", "_block", "_salt", "_bucket"]
 
 
 @pytest.fixture

@@ -55,10 +55,12 @@ def test_near_join_as_brute_force(docs_of, odd_texts, clashes):
     assert [r["n_links"] for r in rows] == links
 
 
-def test_near_join_in_blocks(docs_of, monkeypatch):
-    monkeypatch.setattr(near_join, "MOST_IN_TASK", 8)
+@pytest.mark.parametrize("largest", [8, 10_000])
+def test_near_join_in_blocks(docs_of, monkeypatch, largest):
+    monkeypatch.setattr(near_join, "LARGEST", largest)
     monkeypatch.setattr(near_join, "BLOCK", 4)
     monkeypatch.setattr(near_join, "LEAF", 4)
+    monkeypatch.setattr(near_join, "HOT_ROWS", 3)
     base = [f"b{i}" for i in range(100)]
     texts = [" ".join([*base[:i], "new", *base[i + 1 :]]) for i in range(0, 100, 3)] + copies(7, 40)
     rows = sorted(near_join.near_join(docs_of(texts)).collect(), key=lambda r: r["doc_id"])
@@ -66,6 +68,26 @@ def test_near_join_in_blocks(docs_of, monkeypatch):
     assert [r["class_id"] for r in rows] == cls and [r["n_links"] for r in rows] == links
 
 
+def test_runs_reach_the_target():
+    rng = random.Random(2)
+    for depth in (1, 2, 4):
+        lost = 0
+        for _ in range(4000):
+            alive = 1
+            for _ in range(depth):
+                alive = sum(sum(rng.random() < 0.8 for _ in range(2 if rng.random() < 0.25 else 1)) for _ in range(alive))
+            lost += alive == 0
+        assert abs(lost / 4000 - near_join.missed(depth)) < 0.03
+        assert near_join.missed(depth) ** near_join.runs_for(0.998, depth) <= 0.002
+
+
+def test_rows_with_equal_ids_and_texts_are_one(docs_of):
+    base = [f"b{i}" for i in range(60)]
+    texts = [" ".join(base)] * 200 + [" ".join([*base[:30], "new", *base[31:]])] * 3
+    rows = near_join.near_join(docs_of(texts, ids=[1] * 200 + [2, 2, 3])).collect()
+    assert len(rows) == 203 and {(r["doc_id"], r["class_id"], r["n_links"], r["n_copies"]) for r in rows} == {(1, 1, 202, 200), (2, 1, 202, 3), (3, 1, 202, 3)}
+
+
 def test_keep_one_of_each(docs_of, clashes):
     texts = [*copies(3, 48), None, None, ""]
     docs = docs_of(texts, extra=clashes)
@@ -148,10 +170,38 @@ def test_items_without_an_id(spark, docs_of, monkeypatch):
         assert [r["doc_id"] for r in contamination.keep_documents(docs, bench).collect()] == [2]
 
 
-def test_long_notices_are_refused(docs_of):
-    long = " ".join(f"word{i}" for i in range(licenses.BLOCK_STEP + 1))
-    with pytest.raises(ValueError, match="long"):
-        licenses.scan_licenses(docs_of([long]), notices=[("long", long)])
+def brute_licenses(text, notices, step):
+    """(n_words, n_base, first_word, last_word, base labels, labels, score) in plain Python."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+    hits = [(i, label) for phrase, label in licenses.PHRASES.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+    labels, best = {label for _, label in hits}, 0.0
+    for label, notice in notices:
+        own = set(notice.split())
+        for start in range(0, len(words), step):
+            share = len(own & set(words[start : start + 2 * step])) / len(own)
+            if share >= licenses.THRESHOLD - 1e-9:
+                labels, best = labels | {label}, max(best, share)
+    places = [i for i, _ in hits]
+    return len(words), len(hits), min(places, default=None), max(places, default=None), ",".join(sorted({x for _, x in hits})), ",".join(sorted(labels)), 1.0 if hits else round(best, 9)
+
+
+def test_licenses_as_brute_force(docs_of, odd_texts):
+    rng = random.Random(4)
+    long = ("long", " ".join(f"clause{i}" for i in range(70)))
+    texts = [*odd_texts, "is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"]
+    for label, notice in (*licenses.NOTICES, long):
+        for changed in (0, 1, 3):
+            words = notice.split()
+            for _ in range(changed):
+                words[rng.randrange(len(words))] = "other"
+            filler = [rng.choice(["the", "of", "license", "software", "zeta"]) for _ in range(rng.randrange(200))]
+            at = rng.randint(0, len(filler))
+            texts.append(" ".join([*filler[:at], *words, *filler[at:]]))
+    for notices in (licenses.NOTICES, (*licenses.NOTICES, long), ()):
+        step = licenses.block_step(notices)
+        assert step == (70 if long in notices else 32)
+        got = {r["doc_id"]: tuple(round(v, 9) if isinstance(v, float) else v for v in r[1:]) for r in licenses.scan_licenses(docs_of(texts), notices=notices).collect()}
+        assert got == {i: brute_licenses(t, notices, step) for i, t in enumerate(texts)}
 
 
 def test_license_rows_with_equal_or_null_ids(docs_of):
@@ -159,11 +209,12 @@ def test_license_rows_with_equal_or_null_ids(docs_of):
     assert len(got) == 4 and all(r["labels"] == "mit" for r in got)
 
 
-@pytest.mark.parametrize("most", [100_000, 0])
-def test_url_filter(spark, clashes, monkeypatch, most):
-    monkeypatch.setattr(urls, "MOST_LISTED", most)
-    monkeypatch.setattr(urls, "MOST_BLOCKS", most)
-    hosts = ["a.example.com", "www.example.com", "example.com", "x.net", "net", "Spam.Example.org", "badexample.com", "spam.org"]
+@pytest.mark.parametrize("most_listed", [100_000, 0])
+@pytest.mark.parametrize("most_blocks", [100_000, 0])
+def test_url_filter(spark, clashes, monkeypatch, most_listed, most_blocks):
+    monkeypatch.setattr(urls, "MOST_LISTED", most_listed)
+    monkeypatch.setattr(urls, "MOST_BLOCKS", most_blocks)
+    hosts = ["me:pw@spam.org:80", "spam.org.:8080", "www.spam.org.", "a.example.com", "www.example.com", "example.com", "x.net", "net", "Spam.Example.org", "badexample.com", "spam.org"]
     paths = ["", "/", "/en/1", "/es/", "/fr/2?utm_source=a&q=1", "/en/#top", "/x?q=2&utm_medium=b"]
     listed = [None, "no scheme", "://", "http://", *(f"{s}://{h}{p}" for s in ("http", "https") for h in hosts for p in paths)]
     df = spark.createDataFrame([(i, u, "x") for i, u in enumerate([*listed, *listed[:9]])], "page_id bigint, url string, html string")

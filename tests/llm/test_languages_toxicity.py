@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from navloom.llm import languages, toxicity
 
@@ -37,6 +38,39 @@ def test_spans_and_scripts(spark, docs_of, clashes, odd_texts):
     assert {r["lang_pred"] for r in languages.label_documents(mixed, nothing).collect()} == {"und"}
 
 
+def test_letters_are_of_category_l():
+    assert languages.words_of("½ ² ① Ⅳ 12 _ \u0301") == []
+    assert languages.words_of("नमस्ते दुनिया ภาษาไทย a\u0301b") == ["नमस्ते", "दुनिया", "ภาษาไทย", "a\u0301b"]
+
+
+def test_numbers_are_undetermined(spark, docs_of):
+    fitted = languages.fit_languages(model(spark, docs_of))
+    rows = languages.label_documents(docs_of(["½ ² ①", "Ⅳ 3", "the and ½"]), fitted).orderBy("doc_id").collect()
+    assert [r["lang_pred"] for r in rows] == ["und", "und", "en"] and rows[0]["score"] == 0
+
+
+def test_words_are_held_in_groups(monkeypatch):
+    monkeypatch.setattr(languages, "MOST_CHARS", 10)
+    groups = list(languages.word_groups(pa.array(["ab cd", None, "efg hi", "j", "x" * 30, "", "y"])))
+    assert [len(g) for g in groups] == [3, 2, 2] and groups[0] == [["ab", "cd"], [], ["efg", "hi"]]
+
+
+def test_fitted_shares_equal_counts(spark):
+    texts = [("en", "this that there"), ("en", "those"), ("de", "über durch")]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(texts)], "doc_id bigint, text string, lang string")
+    fitted = languages.fit_languages(docs, held_out=-1)
+    want = []
+    for name in ("de", "en"):
+        runs = Counter(w[i : i + k] for lang, t in texts if lang == name for w in (f"<{x}>" for x in t.split()) for k in (2, 3, 4) for i in range(len(w) - k + 1))
+        assert sum(runs.values()) == sum(int(languages.letter_runs(t.split())[1].sum()) for lang, t in texts if lang == name)
+        shares = np.full(languages.SLOTS, 0.1)
+        for w in {x for lang, t in texts if lang == name for x in t.split()}:
+            np.add.at(shares, languages.letter_runs([w])[0], 1)
+        want.append(np.log(shares / shares.sum()))
+    want = np.array(want).T
+    assert np.allclose(fitted.logs, want - want.mean(1, keepdims=True), atol=1e-4)
+
+
 def test_every_label_is_learned(spark):
     rng = np.random.default_rng(9)
     words = ["".join(map(chr, rng.integers(97, 123, 12))) for _ in range(270 * 3)]
