@@ -18,16 +18,42 @@ def wide(rows: DataFrame, index: str, key: str, value: str) -> DataFrame:
     return rows.groupBy(index).pivot(key).agg(F.first(value, ignorenulls=True))
 
 
+#: Keys of a holding's weight, in the order in which they are tried. Fixed values.
+WEIGHT_KEYS = ("nav_share", "allocation", "allocationPct", "weight", "holdingPct", "percent", "pct", "holding_share", "portfolioShare")
+
+
+def _usable(key: str) -> str:
+    x = f"try_cast({key} as double)"
+    return f"case when {x} > 0 and {x} <= 1.0001e0 then {x} * 100 when {x} > 1 and {x} <= 100 then {x} end"
+
+
 OPERATORS = [
     Operator("prj01_clean_nav_last", "One positive value for each fund and timestamp, the last landed.", _KEEP.replace("{order}", "desc")),
     Operator("prj01_clean_nav_first", "The same, the first landed.", _KEEP.replace("{order}", "asc")),
-    Operator("prj02_universe", "Funds of a sector and of some subsectors, or with words in the subsector.", "select fund_id, name, sector, subsector from fund where (sector = '{sector}' and subsector in ('CHINA', 'INDIA', 'JAPAN')) or (subsector like '%UNITED%' and subsector like '%STATES%')", {"sector": "ASIA"}),
-    Operator("prj03_name_pattern", "Funds whose name has one of two patterns, by name.", "select fund_id, name from fund where name like '%01%' or name like '%7%' order by name"),
+    Operator(
+        "prj02_universe",
+        "Funds of a sector and of some subsectors, or with two words in the subsector.",
+        "select fund_id, name, sector, subsector from fund where (sector = '{sector}' and subsector in ({subsectors})) or (contains(subsector, '{word}') and contains(subsector, '{other}'))",
+        {"sector": "ASIA", "subsectors": "'NATION_2', 'NATION_12'", "word": "NATION", "other": "_1"},
+    ),
+    Operator("prj03_name_pattern", "Funds whose name has one of two patterns, by name.", "select fund_id, name from fund where contains(name, '{a}') or contains(name, '{b}') order by name", {"a": "01", "b": "7"}),
     Operator("prj04_point_in_time", "Rows of each series up to each as-of date: count, last day and value; later rows never count.", "with grid as (select distinct cast(date_trunc('year', ts) as date) as as_of from nav) select fund_id, as_of, count(*) as n, max(ts) as last_ts, max_by(nav, ts) as last_nav from nav join grid on nav.ts <= grid.as_of group by fund_id, as_of"),
     Operator("prj05_eligibility", "Enough rows, enough days, and no end long before the benchmark's; the rest are named with the reason.", "with s as (select fund.fund_id, fund.sector, coalesce(count(day), 0) as n, max(day) - min(day) as d, max(day) as d1 from fund left join navd on navd.fund_id = fund.fund_id group by 1, 2), b as (select index_id, max(day) as b1 from idxd group by 1) select fund_id, n, d, case when n < {rows} then 'rows' when d < {days} then 'days' when b1 - d1 > {late} then 'stale' else 'ok' end as status from s left join b on b.index_id = s.sector", {"rows": 60, "days": 1095, "late": 45}),
     Operator("prj06_sector_map", "Funds by sector and subsector, null keys left out: the ids of each pair in order.", "select sector, subsector, [[join|[[strlist|fund_id|fund_id]]|',']] as fund_ids from fund where sector is not null and subsector is not null and fund_id is not null group by sector, subsector"),
-    Operator("prj07_holding_weight", "A holding's weight in percent: the reported one up to 100, else another one where up to 1 is a share.", "select fund_id, sid, round(case when latest > 0 then least(latest, 100e0) when change3m > 0 and change3m <= 1.0001 then change3m * 100 when change3m > 0 and change3m <= 100 then change3m end, 8) as weight_pct from holding"),
-    Operator("prj08_presentation", "Percents with two digits as text, nulls as words.", "select fund_id, round(100 * cagr, 2) as cagr_pct, case when cagr is null then 'N/A (insufficient history)' else concat(cast(cast(round(cagr * 1e4, 0) as bigint) as varchar(20)), ' bp') end as cagr_text, coalesce(cast(cast(round(mdd * 1e4, 0) as bigint) as varchar(20)), '') as mdd_text from feat"),
+    Operator(
+        "prj07_holding_weight",
+        "A holding's weight in percent: the reported one, 100 at most, else the first usable of nine other keys, where up to 1.0001 is a share.",
+        f"select fund_id, sid, round(coalesce(case when latest > 0 then least(latest, 100e0) end, {', '.join(_usable(k) for k in WEIGHT_KEYS)}), 8) as weight_pct from holding_raw",
+    ),
+    Operator(
+        "prj08_presentation",
+        "Percents and ratios rounded and as text, nulls as words or empty.",
+        """
+        select fund_id, round(100 * cagr, 2) as cagr_pct, case when cagr is null then 'N/A (insufficient history)' else concat([[fixed|round(100 * cagr, 2)|2]], '%') end as cagr_text,
+               coalesce([[fixed|round(100 * mdd, 2)|2]], '') as mdd_text, round(ir, 3) as ir_ratio, round(beta, 4) as beta_ratio,
+               case when ir is null then 'N/A (not ranked)' else [[fixed|round(ir, 3)|3]] end as ir_text
+        from feat""",
+    ),
     Operator("ts01_daily_fill", "Every calendar day from a fund's first to its last, the last known value carried.", "select fund_id, [[date|day]] as ts, nav from daily"),
     Operator("ts02_weekly_friday", "Last value of each week that ends on Friday.", "select fund_id, [[date|w]] as week, nav from wk"),
     Operator("ts02_weekly_monday", "Last value of each week that ends on Monday.", f"select fund_id, [[date|{_week(4)}]] as week, max_by(nav, day) as nav from navd group by 1, 2"),
@@ -40,15 +66,41 @@ OPERATORS = [
     Operator("ts06_align_unlimited", "The same without a limit.", "with c as (select fund.fund_id, idxd.day from fund join idxd on idxd.index_id = fund.sector) select fund_id, [[date|day]] as ts, nav from (select c.fund_id, c.day, [[last|navd.nav]] over (partition by c.fund_id order by c.day rows between unbounded preceding and current row) as nav from c left join navd on navd.fund_id = c.fund_id and navd.day = c.day) x where nav is not null"),
     Operator("ts07_period_change", "Change over {n} rows; the first rows have none and are left out.", "select fund_id, ts, round(r, 10) as r from (select fund_id, ts, nav / lag(nav, {n}) over (partition by fund_id order by ts) - 1 as r from nav where nav > 0) x where r is not null", {"n": 1}),
     Operator("ts08_return_matrix", "Excerpt of ts08_period_changes: the change over 13 weeks of funds 1, 2 and 3, and number and mean over all funds.", "with cal as (select distinct w from wk), g as (select fund_id, cal.w from fund cross join cal), r as (select g.fund_id, g.w, wk.nav / lag(wk.nav, 13) over (partition by g.fund_id order by g.w) - 1 as r from g left join wk on wk.fund_id = g.fund_id and wk.w = g.w) select [[date|w]] as week, round(max(case when fund_id = '1' then r end), 10) as fund_1, round(max(case when fund_id = '2' then r end), 10) as fund_2, round(max(case when fund_id = '3' then r end), 10) as fund_3, count(r) as n_funds, round(avg(r), 10) as mean_r from r group by w"),
-    Operator("ts08_period_changes", "Each fund in each week that any fund has: change over 13 and over 26 calendar rows; values are not filled, so a gap gives a null. `wide` makes the matrix of it.", "with cal as (select distinct w from wk), f as (select distinct fund_id from wk), g as (select fund_id, cal.w from f cross join cal) select [[date|g.w]] as week, g.fund_id, round(wk.nav / lag(wk.nav, 13) over (partition by g.fund_id order by g.w) - 1, 10) as r13, round(wk.nav / lag(wk.nav, 26) over (partition by g.fund_id order by g.w) - 1, 10) as r26 from g left join wk on wk.fund_id = g.fund_id and wk.w = g.w"),
-    Operator("ts09_blended_baseline", "Index of three proxies on weeks that all have, weights .58/.17/.10 and 15 % cash at the risk-free rate, from 100.", "select [[date|w]] as week, round(100 * exp(sum(ln(1 + r)) over (order by w rows between unbounded preceding and current row)), 6) as level from (select w, 58e-2 * x1 + 17e-2 * x2 + 10e-2 * x3 + 15e-2 * ((pow(1065e-3, 1 / 52e0) - 1)) as r from fac) x"),
+    Operator(
+        "ts08_period_changes",
+        "Each fund on each day that it has a value: change over {short} and {long} days of the calendar of all funds; a gap gives a null. `wide` makes the matrix.",
+        """
+        with cal as (select day, row_number() over (order by day) as i from (select distinct day from navd) d),
+        x as (select navd.fund_id, cal.i, navd.day, nav from navd join cal on cal.day = navd.day)
+        select x.fund_id, [[date|x.day]] as ts, round(x.nav / p.nav - 1, 10) as r_short, round(x.nav / q.nav - 1, 10) as r_long
+        from x left join x p on p.fund_id = x.fund_id and p.i = x.i - {short} left join x q on q.fund_id = x.fund_id and q.i = x.i - {long}""",
+        {"short": 63, "long": 126},
+    ),
+    Operator("ts09_blended_baseline", "Index of three proxies on weeks that all have, weights .58/.17/.10 and 15 % cash at the risk-free rate, from 100.", "select [[date|w]] as week, round(100 * exp(sum(ln(1 + r)) over (order by w rows between unbounded preceding and current row)), 6) as level from (select w, 0.58e0 * x1 + 0.17e0 * x2 + 0.1e0 * x3 + 0.15e0 * ((pow(1.065e0, 1 / 52e0) - 1)) as r from fac) x"),
+    Operator(
+        "ts09_baseline_without_silver",
+        "The same of two proxies, weights .60/.25 and 15 % cash, on weeks that both have.",
+        """
+        with two as (select w, max(case when index_id = 'AFRICA' then r end) as x1, max(case when index_id = 'AMERICA' then r end) as x2 from bwr
+                     where index_id in ('AFRICA', 'AMERICA') group by w having count(*) = 2)
+        select [[date|w]] as week, round(100 * exp(sum(ln(1 + 0.6e0 * x1 + 0.25e0 * x2 + 0.15e0 * (pow(1.065e0, 1 / 52e0) - 1)))
+                                            over (order by w rows between unbounded preceding and current row)), 6) as level from two""",
+    ),
     Operator("jn01_aligned_returns", "Weekly returns of fund and benchmark on weeks that both have.", "select fund_id, [[date|w]] as week, round(f, 10) as fund_r, round(b, 10) as bench_r from al"),
     Operator("jn02_factor_join", "Fund returns with three factor returns on common weeks.", "select fund_id, [[date|w]] as week, round(f, 10) as r, round(x1, 10) as x1, round(x2, 10) as x2, round(x3, 10) as x3 from alf"),
-    Operator("jn03_score_outer_join", "All funds of any model with the score of each; the name from the fund table.", "select model_score.fund_id, max(fund.name) as name, max(case when model = 'M1' then score end) as score_m1, max(case when model = 'M2' then score end) as score_m2, max(case when model = 'M3' then score end) as score_m3, max(case when model = 'M4' then score end) as score_m4 from model_score left join fund on fund.fund_id = model_score.fund_id group by model_score.fund_id"),
+    Operator(
+        "jn03_score_outer_join",
+        "All funds of any model with the score of each; the name from the first model that has one.",
+        """
+        with n as (select fund_id, min_by(name, model) as name from model_name where name is not null group by 1)
+        select s.fund_id, max(n.name) as name, max(case when model = 'M1' then score end) as score_m1, max(case when model = 'M2' then score end) as score_m2,
+               max(case when model = 'M3' then score end) as score_m3, max(case when model = 'M4' then score end) as score_m4
+        from model_score s left join n on n.fund_id = s.fund_id group by s.fund_id""",
+    ),
     Operator("jn04_base_date_join", "Funds that have a value in the first year, with their value at each later year end.", "with y as (select fund_id, year(ts) as y, max_by(nav, ts) as nav from nav group by 1, 2), b as (select min(y) as y0 from y), f as (select fund_id from y join b on y = y0) select f.fund_id, y.y as run_year, y.nav from f left join y on y.fund_id = f.fund_id"),
     Operator("jn05_asof_forward", "First value on or after each quarter start, at most {days} days later.", "with t as (select distinct [[day|cast(date_trunc('quarter', ts) as date)]] as t from nav), u as (select fund_id, day, nav, 1 as k, cast(null as int) as t from navd union all select span.fund_id, t.t, null, 0, t.t from span cross join t), w as (select fund_id, t, day, [[first|nav]] over (partition by fund_id order by day, k rows between current row and unbounded following) as nav, [[first|case when k = 1 then day end]] over (partition by fund_id order by day, k rows between current row and unbounded following) as hit from u) select fund_id, [[date|t]] as target, nav, [[date|hit]] as at_ts from w where t is not null and hit - t <= {days}", {"days": 10}),
     Operator("jn06_asof_backward", "Last value on or before each quarter start, at most {days} days earlier.", "with t as (select distinct [[day|cast(date_trunc('quarter', ts) as date)]] as t from nav), u as (select fund_id, day, nav, 0 as k, cast(null as int) as t from navd union all select span.fund_id, t.t, null, 1, t.t from span cross join t), w as (select fund_id, t, [[last|nav]] over (partition by fund_id order by day, k rows between unbounded preceding and current row) as nav, [[last|case when k = 0 then day end]] over (partition by fund_id order by day, k rows between unbounded preceding and current row) as hit from u) select fund_id, [[date|t]] as target, nav, [[date|hit]] as at_ts from w where t is not null and t - hit <= {days}", {"days": 10}),
     Operator("jn07_nearest", "For each fund and month start the nearest benchmark day within 21 days; of two as near the later.", "with t as (select distinct fund.fund_id, fund.sector, [[day|m]] as t from mon join fund on fund.fund_id = mon.fund_id), c as (select t.fund_id, t.t, idxd.day, row_number() over (partition by t.fund_id, t.t order by abs(idxd.day - t.t), idxd.day desc) as k from t join idxd on idxd.index_id = t.sector and idxd.day between t.t - 21 and t.t + 21) select fund_id, [[date|t]] as start, [[date|day]] as nearest from c where k = 1"),
     Operator("jn08_key_intersection", "Weeks with at least five funds that have both a value and a value a year later.", "with p as (select a.fund_id, a.w from wk a join wk b on a.fund_id = b.fund_id and b.w = a.w + 364) select [[date|w]] as week, count(*) as n_funds from p group by w having count(*) >= 5"),
-    Operator("jn09_calendar_union", "All weeks of three indices, with the constant weekly cash return.", "select [[date|w]] as week, round((pow(1065e-3, 1 / 52e0) - 1), 10) as cash_r, count(*) as n_indices from (select distinct index_id, w from bwr where index_id in ('AFRICA', 'AMERICA', 'ASIA')) x group by w"),
+    Operator("jn09_calendar_union", "All weeks of three indices, with the constant weekly cash return.", "select [[date|w]] as week, round((pow(1.065e0, 1 / 52e0) - 1), 10) as cash_r, count(*) as n_indices from (select distinct index_id, w from bwr where index_id in ('AFRICA', 'AMERICA', 'ASIA')) x group by w"),
 ]

@@ -1,6 +1,7 @@
 """Training panels, rank correlations, learned weights, walk-forward checks, shrinkage, and whole scoring models."""
 
 from navloom.operators import benchmark, cashflow, factors, regimes, returns, risk, scoring
+from navloom.plans.panel import FEATURES
 from navloom.plans.text import Operator
 
 
@@ -12,8 +13,8 @@ def _corr(a: str, b: str) -> str:
 
 _WITHIN = f"select metric, {_corr('rx / peers', 'ry / peers')} as rho from panelr where peers >= 5 group by metric having count(*) >= 50"
 _POOLED = f"select metric, {_corr('rx', 'ry')} as rho, count(*) as n from (select metric, rank() over (partition by metric order by x) + (count(*) over (partition by metric, x) - 1) / 2e0 as rx, rank() over (partition by metric order by y) + (count(*) over (partition by metric, y) - 1) / 2e0 as ry from panell) p group by metric having count(*) >= 60"
-_PRIOR = "select 'mom' as metric, 1 as sign, 5e-1 as prior union all select 'dd', 1, 3e-1 union all select 'steady', 0, 2e-1"
-_RESOLVED = f"select p.metric, p.sign, w.rho, case when p.sign <> 0 and (p.sign * w.rho > 0 or abs(w.rho) < 5e-2) then greatest(abs(w.rho), 5e-2) when p.sign = 0 and abs(w.rho) >= 5e-2 then abs(w.rho) else 0e0 end as raw from ({_PRIOR}) p left join ({_WITHIN}) w on w.metric = p.metric"
+_PRIOR = "select 'mom' as metric, 1 as sign, 0.5e0 as prior union all select 'dd', 1, 0.3e0 union all select 'steady', 0, 0.2e0"
+_RESOLVED = f"select p.metric, p.sign, w.rho, case when p.sign <> 0 and (p.sign * w.rho > 0 or abs(w.rho) < 0.05e0) then greatest(abs(w.rho), 0.05e0) when p.sign = 0 and abs(w.rho) >= 0.05e0 then abs(w.rho) else 0e0 end as raw from ({_PRIOR}) p left join ({_WITHIN}) w on w.metric = p.metric"
 _BLOCKS = next(o.sql for o in benchmark.OPERATORS if o.name == "bm19_block_alphas")
 _MODULES = (returns, risk, benchmark, regimes, factors, cashflow, scoring)
 _BY_NAME = {o.name: o for m in _MODULES for o in m.OPERATORS}
@@ -53,18 +54,34 @@ OPERATORS = [
     Operator("lb01_training_panel", "Features of each fund and month from data up to it, and the outcome of the plan that starts then.", "select fund_id, cast(m as varchar(20)) as as_of_month, round(mom, 8) as mom, round(dd, 8) as dd, round(steady, 8) as steady, round(y, 6) as y from panel"),
     Operator("lb02_pooled_spearman", "Rank correlation of each feature with the outcome over the whole panel.", f"select metric, n, round(rho, 6) as rho from ({_POOLED}) p"),
     Operator("lb03_within_date_spearman", "Correlation of percentile ranks within each month, five funds at least, pooled.", f"select metric, round(rho, 6) as rho from ({_WITHIN}) w"),
-    Operator("lb04_resolved_weights", "Weights by agreement with a prior sign: kept, dropped or kept if strong; normalised, with the reason.", f"select metric, sign, round(rho, 6) as rho, round(raw / nullif(sum(raw) over (), 0), 6) as weight, case when raw = 0 then 'dropped' when abs(rho) < 5e-2 then 'prior' else 'learned' end as status from ({_RESOLVED}) r"),
-    Operator("lb05_blended_weights", "Learned shares of the positive rank correlations blended with priors (the priors alone if nothing is learned), capped, what is left spread by room, normalised.", f"with l as (select p.metric, prior, least(greatest(coalesce(w.rho, 0e0), 0e0), {{cap}}) as r from ({_PRIOR}) p left join ({_POOLED}) w on w.metric = p.metric), b as (select metric, case when sum(r) over () > 1e-9 then 42e-2 * r / nullif(sum(r) over (), 0) + 58e-2 * prior else prior end as b from l), c as (select metric, least(b, {{cap}}) as c, {{cap}} - least(b, {{cap}}) as room from b), d as (select metric, c + room * least(greatest(1 - sum(c) over (), 0e0) / nullif(sum(room) over (), 0), 1e0) as d from c) select metric, round(d / nullif(sum(d) over (), 0), 6) as weight from d".replace("{{cap}}", "{cap}"), {"cap": "40e-2"}),
-    Operator("lb06_ic_weights", "Mean rank correlation at the last two months with a panel, floor 0.01, normalised.", f"with d as (select m, row_number() over (order by m desc) as k from (select m from panelr group by m having count(*) >= 15) x), i as (select metric, panelr.m, {_corr('rx', 'ry')} as ic from panelr join d on d.m = panelr.m where d.k in (1, 2) group by 1, 2), a as (select metric, greatest(avg(ic), 1e-2) as w from i group by 1) select metric, round(w / sum(w) over (), 6) as weight from a"),
+    Operator("lb04_resolved_weights", "Weights by agreement with a prior sign: kept, dropped or kept if strong; normalised, with the reason.", f"select metric, sign, round(rho, 6) as rho, round(raw / nullif(sum(raw) over (), 0), 6) as weight, case when raw = 0 then 'dropped' when abs(rho) < 0.05e0 then 'prior' else 'learned' end as status from ({_RESOLVED}) r"),
+    Operator("lb05_blended_weights", "Learned shares of the positive rank correlations blended with priors (the priors alone if nothing is learned), capped, what is left spread by room, normalised.", f"with l as (select p.metric, prior, least(greatest(coalesce(w.rho, 0e0), 0e0), {{cap}}) as r from ({_PRIOR}) p left join ({_POOLED}) w on w.metric = p.metric), b as (select metric, case when sum(r) over () > 1e-9 then 0.42e0 * r / nullif(sum(r) over (), 0) + 0.58e0 * prior else prior end as b from l), c as (select metric, least(b, {{cap}}) as c, {{cap}} - least(b, {{cap}}) as room from b), d as (select metric, c + room * least(greatest(1 - sum(c) over (), 0e0) / nullif(sum(room) over (), 0), 1e0) as d from c) select metric, round(d / nullif(sum(d) over (), 0), 6) as weight from d".replace("{{cap}}", "{cap}"), {"cap": "0.4e0"}),
+    Operator("lb06_ic_weights", "Mean rank correlation at the last two months with a panel, floor 0.01, normalised.", f"with d as (select m, row_number() over (order by m desc) as k from (select m from panelr group by m having count(*) >= 15) x), i as (select metric, panelr.m, {_corr('rx', 'ry')} as ic from panelr join d on d.m = panelr.m where d.k in (1, 2) group by 1, 2), a as (select metric, greatest(avg(ic), 0.01e0) as w from i group by 1) select metric, round(w / sum(w) over (), 6) as weight from a"),
     Operator("lb07_walk_forward_ic", "Rank correlation of each feature with the outcome by month, and its mean.", f"with i as (select metric, m, {_corr('rx', 'ry')} as ic from panelr where peers >= 5 group by 1, 2) select metric, cast(m as varchar(20)) as as_of_month, round(ic, 6) + 0e0 as ic, round(avg(ic) over (partition by metric), 6) as mean_ic from i"),
     Operator("lb08_walk_forward_top", "By month: rank correlation of momentum, mean outcome of the best seven less the median, share of them above it; 12 funds at least.", f"with r as (select *, row_number() over (partition by m order by x desc, fund_id) as place, rank() over (partition by m order by y) as ky from panelr where metric = 'mom' and peers >= 12), md as (select m, median(y) as med from r group by 1) select cast(r.m as varchar(20)) as as_of_month, round({_corr('rx', 'ry')}, 6) + 0e0 as ic, round(avg(case when place <= 7 then y end) - max(med), 6) as top_less_median, round(avg(case when place <= 7 then case when y > med then 1e0 else 0e0 end end), 6) as hit_rate from r join md on md.m = r.m group by r.m"),
-    Operator("lb09_james_stein", "Block alphas shrunk towards the peers' mean by between over between plus within variance.", f"with g as (select fund_id, avg(alpha) as a, coalesce(var_samp(alpha), 16e-4) as within, count(*) as n from ({_BLOCKS}) b group by 1), t as (select *, avg(a) over () as mu, coalesce(var_samp(a) over (), 0e0) as between_var from g) select fund_id, round(mu + case when between_var + within / n < 1e-12 then 5e-1 else between_var / (between_var + within / n) end * (a - mu), 5) as shrunk from t"),
-    Operator("e2e01_adaptive_plan", "Small-cap model: summary of the rolling plans, drawdown, capture and trend; 0.85 under three years. Fixed weights on 6 columns; lacks the learned weights (LB01, LB03, LB04) and the other of 16 features.", composed([("cf07_sip_summary", "median_x", 0.25), ("cf07_sip_summary", "p25", 0.15), ("rk04_current_drawdown", "current_dd", 0.1), ("bm04_capture_means", "up_52", 0.15), ("bm04_capture_means", "down_52", -0.15), ("rt07_momentum_180d", "momentum", 0.2)], "percentile", "score * case when conf < 1 then 85e-2 else 1e0 end")),
+    Operator("lb09_james_stein", "Block alphas shrunk towards the peers' mean by between over between plus within variance.", f"with g as (select fund_id, avg(alpha) as a, coalesce(var_samp(alpha), 0.0016e0) as within, count(*) as n from ({_BLOCKS}) b group by 1), t as (select *, avg(a) over () as mu, coalesce(var_samp(a) over (), 0e0) as between_var from g) select fund_id, round(mu + case when between_var + within / n < 1e-12 then 0.5e0 else between_var / (between_var + within / n) end * (a - mu), 5) as shrunk from t"),
+    Operator(
+        "lb01_feature_panel",
+        "Sixteen features of each fund as of the start of each plan, from values up to then, and the plan's outcome.",
+        f"select fund_id, cast(m as varchar(20)) as as_of_month, round(y, 6) as y, {', '.join(f'round({f}, 6) as {f}' for f in FEATURES)} from p16",
+    ),
+    Operator("lb03_feature_spearman", "Correlation of percentile ranks of feature and outcome within sector and month, pooled by sector.", "select sector, metric, n, round(rho, 6) as rho from p16rho"),
+    Operator("lb04_feature_weights", "Learned weights of the sixteen features by sector: sign, weight, status; five equal ones where nothing can be learned.", "select sector, metric, round(rho, 6) as rho, sign, round(weight, 6) as weight, status from p16w"),
+    Operator(
+        "e2e01_adaptive_plan",
+        "Small-cap model: sixteen features, learned weights (lb04_feature_weights), weighted mean of z-scores, percentile within the sector, 0.85 under three years.",
+        """
+        select p.fund_id, p.sector, round(p * case when s.d1 - s.d0 + 1 < 1095 then 0.85e0 else 1e0 end, 2) as score,
+               rank() over (partition by p.sector order by round(p * case when s.d1 - s.d0 + 1 < 1095 then 0.85e0 else 1e0 end, 2) desc) as place
+        from (select fund_id, sector, 100 * (rank() over (partition by sector order by round(raw, 9)) + (count(*) over (partition by sector, round(raw, 9)) - 1) / 2e0)
+                     / count(*) over (partition by sector) as p from pscore) p
+        join span s on s.fund_id = p.fund_id""",
+    ),
     Operator("e2e02_regime_pillars", "Mid-cap model: expected regime alpha, block stability, drawdown at risk, skew, plan level, holdings. Fixed weights; lacks BM19 (has BM20), LB09, CF04 and RK21.", composed([("rg05_expected_alpha", "expected", 0.25), ("bm20_block_stability", "stability", 0.2), ("rk07_cdar", "cdar_two", 0.2), ("rk17_skew", "skew", 0.1), ("cf06_rolling_sip_return", "mean_ret", 0.15), ("hd02_equity_profile", "top_10", -0.1)], "zscore", "least(greatest(score, 0e0), 100e0)")),
     Operator("e2e03_style_allocation", "Multi-asset model: diversification, outlook fit, Sortino, Calmar, drawdown at risk, plan level. Fixed weights; lacks FX04 and FX05.", composed([("fx09_diversification", "diversification", 0.15), ("fx10_outlook_fit", "distance", -0.15), ("rk10_sortino", "growth", 0.25), ("rk13_calmar", "calmar", 0.2), ("rk07_cdar", "cdar_q", 0.1), ("cf07_sip_summary", "median_x", 0.15)], "zscore")),
     Operator("e2e04_hold_composite", "Total-market model: plan against peers, mean rolling alphas, ulcer performance, gains to pains, tails. Fixed weights; lacks CF05, LB09 (alphas are not shrunk) and RG05.", composed([("cf09_peer_hit_rate", "hit_rate", 0.3), ("bm21_rolling_alphas", "mean_alpha", 0.25), ("rk14_ulcer_performance", "upi", 0.2), ("rk15_gain_to_pain", "gain_to_pain", 0.15), ("rk16_tail_ratio", "tail_ratio", 0.1)], "percentile")),
-    Operator("e2e05_learned_weights", "Learned model: last features of each fund weighted by the blended weights, percentile within the sector.", f"with w as (select p.metric, 42e-2 * abs(c.rho) / nullif(sum(abs(c.rho)) over (), 0) + 58e-2 * prior as weight from ({_PRIOR}) p join ({_POOLED}) c on c.metric = p.metric), x as (select fund_id, max_by(mom, m) as mom, max_by(dd, m) as dd, max_by(steady, m) as steady from (select fund_id, m, mom, dd, -stddev_samp(r) over (partition by fund_id order by m rows between 11 preceding and current row) as steady from monr) z group by 1), l as (select fund_id, 'mom' as metric, round(mom, 12) as x from x union all select fund_id, 'dd', round(dd, 12) from x union all select fund_id, 'steady', round(steady, 12) from x), p as (select l.fund_id, fund.sector, w.weight, 100 * (rank() over (partition by fund.sector, l.metric order by l.x) + (count(*) over (partition by fund.sector, l.metric, l.x) - 1) / 2e0) / count(*) over (partition by fund.sector, l.metric) as p from l join fund on fund.fund_id = l.fund_id join w on w.metric = l.metric where l.x is not null), s as (select fund_id, sector, round(sum(weight * p) / sum(weight), 3) as score from p group by 1, 2) select fund_id, sector, score, row_number() over (partition by sector order by score desc, fund_id) as place from s"),
-    Operator("e2e06_scenario", "Scenario model: hits against index and peers, factor ratio, bear excess, momentum against overheating. Fixed weights; lacks CF05, FX02 and LB08.", composed([("cf08_hit_rate", "hit_rate", 0.25), ("cf09_peer_hit_rate", "hit_rate", 0.2), ("fx01_factor_alpha", "factor_ir", 0.2), ("rg07_masked_excess", "excess", 0.15), ("rt11_overheat", "r26", 0.2)], "percentile", "score * (78e-2 + 22e-2 * conf)")),
+    Operator("e2e05_learned_weights", "Learned model: last features of each fund weighted by the blended weights, percentile within the sector.", f"with w as (select p.metric, 0.42e0 * abs(c.rho) / nullif(sum(abs(c.rho)) over (), 0) + 0.58e0 * prior as weight from ({_PRIOR}) p join ({_POOLED}) c on c.metric = p.metric), x as (select fund_id, max_by(mom, m) as mom, max_by(dd, m) as dd, max_by(steady, m) as steady from (select fund_id, m, mom, dd, -stddev_samp(r) over (partition by fund_id order by m rows between 11 preceding and current row) as steady from monr) z group by 1), l as (select fund_id, 'mom' as metric, round(mom, 12) as x from x union all select fund_id, 'dd', round(dd, 12) from x union all select fund_id, 'steady', round(steady, 12) from x), p as (select l.fund_id, fund.sector, w.weight, 100 * (rank() over (partition by fund.sector, l.metric order by l.x) + (count(*) over (partition by fund.sector, l.metric, l.x) - 1) / 2e0) / count(*) over (partition by fund.sector, l.metric) as p from l join fund on fund.fund_id = l.fund_id join w on w.metric = l.metric where l.x is not null), s as (select fund_id, sector, round(sum(weight * p) / sum(weight), 3) as score from p group by 1, 2) select fund_id, sector, score, row_number() over (partition by sector order by score desc, fund_id) as place from s"),
+    Operator("e2e06_scenario", "Scenario model: hits against index and peers, factor ratio, bear excess, momentum against overheating. Fixed weights; lacks CF05, FX02 and LB08.", composed([("cf08_hit_rate", "hit_rate", 0.25), ("cf09_peer_hit_rate", "hit_rate", 0.2), ("fx01_factor_alpha", "factor_ir", 0.2), ("rg07_masked_excess", "excess", 0.15), ("rt11_overheat", "r26", 0.2)], "percentile", "score * (0.78e0 + 0.22e0 * conf)")),
     Operator("e2e07_fixed_percentiles", "Fixed-weight percentiles of growth, volatility, Sortino, omega, information ratio and down capture.", composed([("rt02_cagr_periods", "cagr_3y", 0.25), ("rk01_volatility", "vol", -0.15), ("rk10_sortino", "arithmetic", 0.2), ("rk11_omega", "omega", 0.1), ("bm02_information_ratio", "ir", 0.15), ("bm05_capture_sums", "down_capture", -0.15)], "percentile")),
     Operator("e2e08_robust_scores", "Robust z-scores of growth, acceleration, rebound, resilience, persistence and avoidance.", composed([("rt04_cagr_whole", "cagr", 0.25), ("rt10_acceleration", "acceleration", 0.1), ("bm15_rebound_resilience", "rebound", 0.15), ("bm15_rebound_resilience", "resilience", 0.2), ("rk20_autocorrelation", "lag1", 0.1), ("bm16_drawdown_avoidance", "avoidance", 0.2)], "robust")),
 ]

@@ -28,7 +28,8 @@ NAV = _series("cast(l_suppkey as varchar(20))", "fund_id", "lineitem", 500)
 INDEX_NAV = _series("r_name", "index_id", "lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey", 200)
 HOLDING = """
 select cast(l_suppkey as varchar(20)) as fund_id, case when p_type = 'PROMO' then 'Debt' else 'Equity' end as type, p_name as title,
-       cast(l_partkey as varchar(20)) as sid, p_type as sector, round(v * 1e2 / sum(v) over (partition by l_suppkey), 6) as latest,
+       cast(l_partkey as varchar(20)) as sid,
+       case p_type when 'MEDIUM' then 'Private Banks' when 'STANDARD' then 'Capital Goods' when 'PROMO' then 'FMCG' when 'LARGE' then 'Automobile' when 'SMALL' then 'Pharma' else 'Consumer IT' end as sector, round(v * 1e2 / sum(v) over (partition by l_suppkey), 6) as latest,
        round(dsum * 1e0 / n - 5e0, 4) as change3m
 from (select l_suppkey, l_partkey, sum(cast(round(l_extendedprice * 100) as bigint)) as v, sum(cast(round(l_discount * 100) as bigint)) as dsum,
              count(*) as n from lineitem group by 1, 2) h join part on l_partkey = p_partkey where l_suppkey % 13 <> 0"""
@@ -49,7 +50,21 @@ union all select fund_id, ts, round(nav * 1.01, 4), 2 from ({NAV}) b where [[day
 union all select fund_id, ts, -1e0, 3 from ({NAV}) c where [[day|ts]] % 70 = 0
 union all select fund_id, ts, null, 4 from ({NAV}) d where [[day|ts]] % 90 = 0"""
 
-INPUTS = {"fund": FUND, "nav": NAV, "index_nav": INDEX_NAV, "holding": HOLDING, "model_score": MODEL_SCORE, "nav_raw": NAV_RAW}
+#: holding as other providers report it: the weight under one of several keys, as text, as a share or in percent.
+HOLDING_RAW = f"""
+select fund_id, sid, case when k = 0 then latest when k = 5 then -1e0 end as latest,
+       case when k = 1 then 'n/a' end as nav_share, case when k = 1 then cast(latest / 100 as varchar(30)) end as allocation,
+       case when k = 2 then '120' end as allocationPct, case when k = 2 then cast(latest as varchar(30)) end as weight,
+       case when k = 3 then cast(latest as varchar(30)) end as holdingPct, case when k = 3 then '50' end as percent,
+       case when k = 4 then '0' end as pct, case when k = 4 then cast(latest / 100 as varchar(30)) end as holding_share,
+       case when k = 5 then cast(latest as varchar(30)) end as portfolioShare
+from (select *, cast(sid as int) % 7 as k from ({HOLDING}) h) h2"""
+#: Names of funds in the models' score tables; the first model has none for some.
+MODEL_NAME = f"""
+select model, fund_id, case when model = 'M1' and cast(fund_id as int) % 6 = 0 then null else concat('Fund ', fund_id, ' ', model) end as name
+from ({MODEL_SCORE}) m"""
+
+INPUTS = {"holding_raw": HOLDING_RAW, "model_name": MODEL_NAME, "fund": FUND, "nav": NAV, "index_nav": INDEX_NAV, "holding": HOLDING, "model_score": MODEL_SCORE, "nav_raw": NAV_RAW}
 SOURCES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 

@@ -1,5 +1,7 @@
 """Steps that many operators share, by name. `day` and `w` count days from 1970-01-01; a week is labelled by its Friday."""
 
+from navloom.plans.panel import PANEL
+
 WEEK = "day + ((1 - day) % 7 + 7) % 7"
 
 STEPS = {
@@ -33,10 +35,10 @@ STEPS = {
     "cagr3": "select fund_id, case when max(n) > 156 then pow(max(case when rd = 1 then nav end) / max(case when rd = 157 then nav end), 1 / 3e0) - 1 end as cagr from wkn group by fund_id",
     "vol": "select fund_id, stddev_samp(r) * sqrt(52) as vol, count(*) as n from wr group by fund_id",
     "mdd": "select fund_id, min(dd) as mdd, sqrt(avg(dd * dd * 1e4)) as ulcer, avg(dd) as pain from wdd group by fund_id",
-    "ab": "select fund_id, case when count(*) >= 20 and var_samp(b) > 1e-12 then regr_slope(f, b) end as beta, case when count(*) >= 20 and var_samp(b) > 1e-12 then 52 * (avg(f) - (pow(1065e-3, 1 / 52e0) - 1) - regr_slope(f, b) * (avg(b) - (pow(1065e-3, 1 / 52e0) - 1))) end as alpha, case when count(*) >= 12 and stddev_samp(f - b) > 1e-12 then avg(f - b) / stddev_samp(f - b) * sqrt(52) end as ir, stddev_samp(f - b) * sqrt(52) as te from al group by fund_id",
+    "ab": "select fund_id, case when count(*) >= 20 and var_samp(b) > 1e-12 then regr_slope(f, b) end as beta, case when count(*) >= 20 and var_samp(b) > 1e-12 then 52 * (avg(f) - (pow(1.065e0, 1 / 52e0) - 1) - regr_slope(f, b) * (avg(b) - (pow(1.065e0, 1 / 52e0) - 1))) end as alpha, case when count(*) >= 12 and stddev_samp(f - b) > 1e-12 then avg(f - b) / stddev_samp(f - b) * sqrt(52) end as ir, stddev_samp(f - b) * sqrt(52) as te from al group by fund_id",
     # Five measures of each fund, long, with the direction that is better.
     "feat": "select cagr3.fund_id, cagr, vol.vol, mdd, alpha, ir, beta from cagr3 left join vol on cagr3.fund_id = vol.fund_id left join mdd on cagr3.fund_id = mdd.fund_id left join ab on cagr3.fund_id = ab.fund_id",
-    "weights": "select 'cagr' as metric, 30e-2 as weight union all select 'vol', 15e-2 union all select 'mdd', 15e-2 union all select 'alpha', 25e-2 union all select 'ir', 15e-2",
+    "weights": "select 'cagr' as metric, 0.3e0 as weight union all select 'vol', 0.15e0 union all select 'mdd', 0.15e0 union all select 'alpha', 0.25e0 union all select 'ir', 0.15e0",
     "featl": "select fund_id, metric, case metric when 'cagr' then cagr when 'vol' then -vol when 'mdd' then mdd when 'alpha' then alpha else ir end as x, weight from feat cross join weights",
     # Average-rank percentile of each measure within a sector; nulls stay.
     "pct": "select featl.fund_id, fund.sector, metric, weight, x, case when x is not null then 100 * (rank() over (partition by fund.sector, metric, x is null order by x) + (count(*) over (partition by fund.sector, metric, x) - 1) / 2e0) / count(x) over (partition by fund.sector, metric) end as p from featl join fund on featl.fund_id = fund.fund_id",
@@ -51,6 +53,7 @@ STEPS = {
     "panell": "select fund_id, m, metric, round(case metric when 'mom' then mom when 'dd' then dd else steady end, 12) as x, round(y, 9) as y from panel cross join panelm",
     "panelr": "select fund_id, m, metric, x, y, count(*) over (partition by metric, m) as peers, rank() over (partition by metric, m order by x) + (count(*) over (partition by metric, m, x) - 1) / 2e0 as rx, rank() over (partition by metric, m order by y) + (count(*) over (partition by metric, m, y) - 1) / 2e0 as ry from panell",
     # Market regimes of each index by the change over 26 weeks and the drawdown from the peak of 52.
-    "reg": "select index_id, w, case when dd <= -20e-2 or mom <= -10e-2 then 'Bear' when dd <= -10e-2 or mom < 0 then 'Correction' when mom >= 15e-2 and dd > -5e-2 then 'StrongBull' else 'MildBull' end as regime from (select index_id, w, nav / max(nav) over (partition by index_id order by w rows between 51 preceding and current row) - 1 as dd, nav / lag(nav, 26) over (partition by index_id order by w) - 1 as mom from bwk) x where mom is not null",
+    "reg": "select index_id, w, case when dd <= -0.2e0 or mom <= -0.1e0 then 'Bear' when dd <= -0.1e0 or mom < 0 then 'Correction' when mom >= 0.15e0 and dd > -0.05e0 then 'StrongBull' else 'MildBull' end as regime from (select index_id, w, nav / max(nav) over (partition by index_id order by w rows between 51 preceding and current row) - 1 as dd, nav / lag(nav, 26) over (partition by index_id order by w) - 1 as mom from bwk) x where mom is not null",
     "alreg": "select al.fund_id, al.w, al.f, al.b, al.rd, reg.regime from al join fund on al.fund_id = fund.fund_id join reg on reg.index_id = fund.sector and reg.w = al.w where reg.regime is not null",
 }
+STEPS |= PANEL

@@ -51,6 +51,7 @@ MARKS: dict[str, tuple[Callable[..., str], Callable[..., str]]] = {
     "join": (lambda x, s: f"array_join({x}, {s})", lambda x, s: f"array_to_string({x}, {s})"),
     "json": (lambda x, p: f"get_json_object({x}, '$.{p}')", lambda x, p: f"json_extract_string({x}, '$.{p}')"),
     "matches": (lambda x, p: f"({x} rlike '(?i){p}')", lambda x, p: f"regexp_matches({x}, '(?i){p}')"),
+    "fixed": (lambda x, d: f"format_string('%.{d}f', {x})", lambda x, d: f"printf('%.{d}f', {x})"),
     "ymd": (lambda x: f"date_format({x}, 'yyyy-MM-dd')", lambda x: f"strftime({x}, '%Y-%m-%d')"),
 }
 

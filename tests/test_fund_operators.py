@@ -125,9 +125,9 @@ def test_whole_matrices_in_long_form(spark):
     navs = {f"f{i}": walk(60 + i, 40 + 20 * i) for i in range(5)} | {"late": walk(70, 60)[53:]}
     made = tables(spark, navs)
     both = pd.DataFrame(navs).sort_index()
-    long = ALL["ts08_period_changes"](made)
-    for column, n in (("r13", 13), ("r26", 26)):
-        got = wide(long, "week", "fund_id", column).toPandas().set_index("week").sort_index()
+    long = ALL["ts08_period_changes"](made, short=13, long=26)
+    for column, n in (("r_short", 13), ("r_long", 26)):
+        got = wide(long, "ts", "fund_id", column).toPandas().set_index("ts").sort_index()
         assert sorted(got.columns) == sorted(navs)
         pd.testing.assert_frame_equal(got[both.columns], both.pct_change(n, fill_method=None), check_names=False, check_index_type=False, atol=1e-9)
     ranks = ALL["en04_run_ranks"](made)
@@ -152,9 +152,11 @@ def test_fallback_over_all_indices(spark):
 def test_compiled_scores_by_hand(spark):
     rows = [("A", "x", 1.0), ("A", "y", 2.0), ("A", "z", 3.0), ("B", "x", 5.0), ("B", "y", 5.0), ("C", "z", 7.0)]
     scores = spark.createDataFrame([(m, f, s, "10", "5%") for m, f, s in rows], "model string, fund_id string, score double, data_days string, cagr_3y string")
-    got = one(spark, "en02_total_rank", {"model_score": scores})
-    assert {k: v["final_score"] for k, v in got.items()} == {"x": 0.167, "y": 0.333, "z": 0.5}
-    assert {k: v["total_rank"] for k, v in got.items()} == {"z": 1, "y": 2, "x": 3}
+    fund = spark.createDataFrame([(f, "S") for f in "xyz"] + [("q", "T")], "fund_id string, sector string")
+    more = scores.union(spark.createDataFrame([("A", "q", 9.0, "10", "5%")], scores.schema))
+    got = one(spark, "en02_total_rank", {"model_score": more, "fund": fund})
+    assert {k: v["final_score"] for k, v in got.items()} == {"x": 0.167, "y": 0.333, "z": 0.5, "q": 0.5}
+    assert {k: v["total_rank"] for k, v in got.items()} == {"z": 1, "y": 2, "x": 3, "q": 1}
 
 
 def test_learned_weights_sum_to_one(spark):
