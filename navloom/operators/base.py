@@ -39,7 +39,6 @@ OPERATORS = [
     Operator("prj03_name_pattern", "Funds whose name has one of two patterns, by name.", "select fund_id, name from fund where contains(name, '{a}') or contains(name, '{b}') order by name", {"a": "01", "b": "7"}),
     Operator("prj04_point_in_time", "Rows of each series up to each as-of date: count, last day and value; later rows never count.", "with grid as (select distinct cast(date_trunc('year', ts) as date) as as_of from nav) select fund_id, as_of, count(*) as n, max(ts) as last_ts, max_by(nav, ts) as last_nav from nav join grid on nav.ts <= grid.as_of group by fund_id, as_of"),
     Operator("prj05_eligibility", "Enough rows, enough days, and no end long before the benchmark's; the rest are named with the reason.", "with s as (select fund.fund_id, fund.sector, coalesce(count(day), 0) as n, max(day) - min(day) as d, max(day) as d1 from fund left join navd on navd.fund_id = fund.fund_id group by 1, 2), b as (select index_id, max(day) as b1 from idxd group by 1) select fund_id, n, d, case when n < {rows} then 'rows' when d < {days} then 'days' when b1 - d1 > {late} then 'stale' else 'ok' end as status from s left join b on b.index_id = s.sector", {"rows": 60, "days": 1095, "late": 45}),
-    Operator("prj06_sector_map", "Funds by sector and subsector, null keys left out: the ids of each pair in order.", "select sector, subsector, [[join|[[strlist|fund_id|fund_id]]|',']] as fund_ids from fund where sector is not null and subsector is not null and fund_id is not null group by sector, subsector"),
     Operator(
         "prj07_holding_weight",
         "A holding's weight in percent: the reported one, 100 at most, else the first usable of nine other keys, where up to 1.0001 is a share.",

@@ -39,9 +39,27 @@ def holding_rows(raw: DataFrame, id_col: str = "fund_id", column: str = "raw") -
 
 
 def read_entity_files(spark: SparkSession, folder: str, schema: str = "ts date, nav double") -> DataFrame:
-    """One long table of a folder of CSV files, one for each entity; the id is the name of the file's folder or of the file."""
-    table = spark.read.schema(schema).option("header", True).csv(f"{folder}/*")
-    return table.withColumn("entity", F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]+)/[^/]+$", 1))
+    """One long table of a folder of CSV files, one for each entity: entity is the file's name without .csv. No file, no row."""
+    table = spark.read.schema(schema).option("header", True).csv(folder)
+    return table.withColumn("entity", F.url_decode(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1)))
+
+
+def write_entity_files(table: DataFrame, id_col: str, folder: str) -> None:
+    """One CSV file for each entity, named by its id with dots as underscores, as read_entity_files takes them; other columns are its rows.
+
+    A leading dot is left out, because Spark does not read files whose names begin with an underscore or a dot.
+    Spark writes a folder for each entity in one file; only their names are then changed, one rename an entity.
+    """
+    spark = table.sparkSession
+    work = f"{folder}/_parts"
+    named = table.withColumn("_file", F.regexp_replace(F.regexp_replace(F.col(id_col), r"^[._]+", ""), r"\.", "_")).drop(id_col)
+    named.repartition("_file").write.mode("overwrite").partitionBy("_file").option("header", True).csv(work)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(work).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in files.globStatus(path(f"{work}/_file=*/part-*.csv")) or []:
+        entity = found.getPath().getParent().getName().removeprefix("_file=")
+        files.rename(found.getPath(), path(path(folder), f"{entity}.csv"))
+    files.delete(path(work), True)
 
 
 def write_snapshot(table: DataFrame, path: str, date_col: str = "snapshot_date") -> None:
@@ -81,9 +99,16 @@ def load_report(wanted: DataFrame, landed: DataFrame, failed: DataFrame, key: st
     return marked.select(F.when(F.col("_l") == 1, "skipped").when(F.col("_f") == 1, "failed").otherwise("success").alias("status")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def resolve_index(names: DataFrame, catalogue: DataFrame, column: str = "name") -> DataFrame:
-    """Adds index_id: the catalogue's (index_id, display) id of a display name, or the input itself."""
-    known = F.broadcast(catalogue.select("index_id", F.col("display").alias("_display")))  # a fixed few rows
+def index_catalogue(spark: SparkSession) -> DataFrame:
+    """(index_id, display) of the known indices."""
+    return spark.createDataFrame(list(INDICES), "index_id string, display string")
+
+
+def resolve_index(names: DataFrame, catalogue: DataFrame, column: str = "name", most_broadcast: int = 100_000) -> DataFrame:
+    """Adds index_id: the catalogue's (index_id, display) id of a display name, or the input itself. A catalogue of counted size is broadcast."""
+    known = catalogue.select("index_id", F.col("display").alias("_display"))
+    if known.limit(most_broadcast + 1).count() <= most_broadcast:
+        known = F.broadcast(known)
     return names.join(known, F.col(column) == F.col("_display"), "left").select(*names.columns, F.coalesce("index_id", F.col(column)).alias("index_id"))
 
 

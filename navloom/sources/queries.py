@@ -43,9 +43,10 @@ def src03_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def src04_entity_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = new_folder(spark, "entity-files")
-    fund_tables(spark, sf_dir)["index_nav"].withColumn("id", F.col("index_id")).repartition("id").select("ts", "nav", "id").write.partitionBy("id").option("header", True).csv(path)
-    return landing.read_entity_files(spark, path).select(F.regexp_replace("entity", "%20", " ").alias("index_id"), F.date_format("ts", "yyyy-MM-dd").alias("ts"), "nav")
+    """Index series landed as index/{id}.csv and read back as one table."""
+    path = f"{new_folder(spark, 'entity-files')}/index"
+    landing.write_entity_files(fund_tables(spark, sf_dir)["index_nav"].select(F.concat(F.lit(".IDX."), "index_id").alias("index_id"), "ts", "nav"), "index_id", path)
+    return landing.read_entity_files(spark, path).select(F.col("entity").alias("index_id"), F.date_format("ts", "yyyy-MM-dd").alias("ts"), "nav")
 
 
 def src05_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,10 +75,19 @@ def src08_load_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def src09_index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each fund's index by its display name, or by an id as it is; an unknown name stays."""
     fund = fund_tables(spark, sf_dir)["fund"]
-    catalogue = fund.select("sector").distinct().select(F.concat(F.lit("IDX_"), F.substring("sector", 1, 4)).alias("index_id"), F.col("sector").alias("display"))
-    asked = fund.select("fund_id", F.when(F.col("fund_id").cast("int") % 3 == 0, F.lit("IDX_ASIA")).otherwise(F.col("sector")).alias("name"))
-    return landing.resolve_index(asked, catalogue)
+    asked = {"AFRICA": "Large Cap", "AMERICA": "Mid Cap", "ASIA": ".NISM250", "EUROPE": "Gold"}
+    name = F.coalesce(*(F.when(F.col("sector") == k, v) for k, v in asked.items()), F.lit("Unknown"))
+    return landing.resolve_index(fund.select("fund_id", name.alias("name")), landing.index_catalogue(spark))
+
+
+def prj06_sector_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """{subsector: [ids]} of each sector, null keys left out; as JSON, so that every engine writes it alike."""
+    fund = fund_tables(spark, sf_dir)["fund"].where("sector is not null and subsector is not null and fund_id is not null")
+    ids = fund.groupBy("sector", "subsector").agg(F.sort_array(F.collect_list("fund_id")).alias("ids"))
+    nested = ids.groupBy("sector").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("subsector", "ids")))).alias("funds"))
+    return nested.select("sector", F.to_json("funds").alias("funds"))
 
 
 def src10_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +144,7 @@ def fx05_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution(aligned, _rolled(aligned))
 
 
-QUERIES = {f.__name__: f for f in (src01_screener, src02_chart, src03_holdings, src04_entity_files, src05_snapshot, src06_discover, src07_contract, src08_load_report, src09_index_lookup, src10_fallback, src10_fallback_all, src11_ranked_sink, fx04_style_weights, fx05_attribution)}
+QUERIES = {f.__name__: f for f in (src01_screener, src02_chart, src03_holdings, src04_entity_files, src05_snapshot, prj06_sector_map, src06_discover, src07_contract, src08_load_report, src09_index_lookup, src10_fallback, src10_fallback_all, src11_ranked_sink, fx04_style_weights, fx05_attribution)}
 
 _F, _N, _I, _H = (f"({written(x, 'duckdb')})" for x in (FUND, NAV, INDEX_NAV, HOLDING))
 
@@ -142,12 +152,13 @@ ORACLE_SQL = {
     "src01_screener": f"select fund_id, name, sector, aum, subsector from {_F} f",
     "src02_chart": f"select fund_id, strftime(ts, '%Y-%m-%d') as ts, nav from {_N} n",
     "src03_holdings": f"select fund_id, type, title, sid, latest, change3m from {_H} h",
-    "src04_entity_files": f"select index_id, strftime(ts, '%Y-%m-%d') as ts, nav from {_I} i",
+    "src04_entity_files": f"select 'IDX_' || index_id as index_id, strftime(ts, '%Y-%m-%d') as ts, nav from {_I} i",
     "src05_snapshot": f"select fund_id, strftime(ts, '%Y-%m-%d') as ts, nav, '2001-12-31' as snapshot_date from {_N} n where year(ts) = 2001",
     "src06_discover": f"select distinct f.sector, m.model from ({written(MODEL_SCORE, 'duckdb')}) m join {_F} f on f.fund_id = m.fund_id",
     "src07_contract": f"select 'model_score' as table_name, x as missing, count(*) as n_rows from ({written(MODEL_SCORE, 'duckdb')}) m, (select unnest(['name']) as x) u group by x",
     "src08_load_report": f"select case when l.fund_id is not null then 'skipped' when f.aum is null then 'failed' else 'success' end as status, count(*) as n from {_F} f left join (select distinct fund_id from {_H} h where cast(fund_id as int) % 2 = 0) l on l.fund_id = f.fund_id group by 1",
-    "src09_index_lookup": f"select fund_id, case when cast(fund_id as int) % 3 = 0 then 'IDX_ASIA' else sector end as name, case when cast(fund_id as int) % 3 = 0 then 'IDX_ASIA' else 'IDX_' || substr(sector, 1, 4) end as index_id from {_F} f",
+    "src09_index_lookup": f"select fund_id, case sector when 'AFRICA' then 'Large Cap' when 'AMERICA' then 'Mid Cap' when 'ASIA' then '.NISM250' when 'EUROPE' then 'Gold' else 'Unknown' end as name, case sector when 'AFRICA' then '.NSEI' when 'AMERICA' then '.NIMI150' when 'ASIA' then '.NISM250' when 'EUROPE' then 'GBES' else 'Unknown' end as index_id from {_F} f",
+    "prj06_sector_map": f"select sector, '{{' || string_agg('\"' || subsector || '\":' || ids, ',' order by subsector) || '}}' as funds from (select sector, subsector, '[' || string_agg('\"' || fund_id || '\"', ',' order by fund_id) || ']' as ids from {_F} f group by 1, 2) x group by 1",
     "src10_fallback_all": f"with p as (select * from (values ('equity', 'AFRICA'), ('gold', 'AMERICA'), ('silver', 'ASIA')) v(asset, proxy)), n as (select index_id, count(*) as n from {_I} i group by 1), k as (select asset, index_id as source from p cross join n where n >= 30 qualify row_number() over (partition by asset order by index_id <> proxy, index_id) = 1) select asset, source, strftime(ts, '%Y-%m-%d') as ts, nav from k join {_I} j on j.index_id = k.source",
     "src11_ranked_sink": f"select f.sector, m.model, m.fund_id, m.score from ({written(MODEL_SCORE, 'duckdb')}) m join {_F} f on f.fund_id = m.fund_id",
     "src10_fallback": f"with c as (select 'equity' as asset, 1 as priority, 'AFRICA' as source, ts, nav from {_I} i where index_id = 'AFRICA' and ts < DATE '1995-01-20' union all select 'equity', 2, 'ASIA', ts, nav from {_I} j where index_id = 'ASIA'), k as (select source from c group by priority, source having count(*) >= 30 order by priority limit 1) select asset, source, strftime(ts, '%Y-%m-%d') as ts, nav from c join k using (source)",

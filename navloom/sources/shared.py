@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import SparkSession
 
 
 def new_folder(spark: SparkSession, tag: str) -> str:
-    """A new path below spark.checkpoint.dir; where that is unset (tests) below a local folder that becomes it."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new path below spark.checkpoint.dir. Where that is unset, local mode gets a new folder; a cluster is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="navloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/navloom/{tag}-{uuid.uuid4().hex}"
