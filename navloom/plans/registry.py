@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from navloom.operators import ALL
 from navloom.plans.fixtures import INPUTS, fund_tables
+from navloom.plans import twins
 from navloom.plans.text import Operator, written
 from navloom.sources import queries as sources
 
@@ -54,4 +55,5 @@ def oracle(op: Operator) -> str:
     return f"select * replace ({dates}) from ({text}) q" if dates else text
 
 
-ORACLE_SQL = {**sources.ORACLE_SQL, **{name: oracle(op) for name, op in ALL.items()}}
+#: SQL written apart where there is some, else the operator's text in DuckDB's dialect.
+ORACLE_SQL = {**sources.ORACLE_SQL, **{name: oracle(op) for name, op in ALL.items()}, **twins.SQL}
