@@ -14,15 +14,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from navloom.llm.common import NEAR, SHINGLE_WORDS, WordHashes, bounded_batches, mixed, shingle_hashes, word_list
 
 BANDS = 48
-#: Items that one pass over the documents carries; more are searched in several passes. About 2 KB an item.
-MOST_ITEMS = 20_000
+#: Items that one pass over the documents carries; more are searched in several passes. About 0.6 KB an item besides its text.
+MOST_ITEMS = 100_000
+#: Sets of shingles of items that a task keeps.
+MOST_SETS = 20_000
 #: Shingles that are hashed at a time.
 AT_ONCE = 1 << 19
 _ODD = mixed(np.arange(1, BANDS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -42,34 +44,42 @@ def _id_order(item_id: int | None) -> tuple[bool, int]:
 
 @dataclass
 class ItemIndex:
-    """Items by partition: their shingles, and for each band the minima with the items that have them."""
+    """Items by partition: for each band the minima in order, with the items that have them."""
 
     ids: list[int | None]
-    sets: list[set[bytes]]
-    partitions: dict[int, list[tuple[np.ndarray, np.ndarray, dict[int, list[int]]]]]  # bits: per band (table, minima, items)
+    texts: list[str]
+    partitions: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]  # bits: per band (table, minima, items)
+    sets: dict[int, set[bytes]]
 
     @classmethod
     def build(cls, items: list[tuple[int | None, str | None]]) -> ItemIndex:
-        hashes, ids, sets, parts = WordHashes(), [], [], defaultdict(lambda: [defaultdict(list) for _ in range(BANDS)])
+        hashes, ids, texts, parts = WordHashes(), [], [], defaultdict(list)
         for item_id, text in items:
             words = word_list(text)
             if not words:
                 continue
             own = shingle_hashes(hashes.array(words))
+            parts[len(shingle_set(words)).bit_length() - 1].append((len(ids), np.array([(own * odd).min() for odd in _ODD])))
             ids.append(item_id)
-            sets.append(shingle_set(words))
-            bands = parts[len(sets[-1]).bit_length() - 1]
-            for b in range(BANDS):
-                bands[b][int((own * _ODD[b]).min())].append(len(ids) - 1)
+            texts.append(text)
         found = {}
-        for bits, bands in parts.items():
+        for bits, rows in parts.items():
+            number, low = np.array([i for i, _ in rows], np.int32), np.array([m for _, m in rows])
             found[bits] = []
-            for band in bands:
-                minima = np.array(sorted(band), np.uint64)
+            for b in range(BANDS):
+                order = np.argsort(low[:, b], kind="stable")
                 table = np.zeros(1 << 16, bool)  # by the low bits: minima have few high ones
-                table[(minima & np.uint64(0xFFFF)).astype(np.int64)] = True
-                found[bits].append((table, minima, dict(band)))
-        return cls(ids, sets, found)
+                table[(low[:, b] & np.uint64(0xFFFF)).astype(np.int64)] = True
+                found[bits].append((table, low[order, b], number[order]))
+        return cls(ids, texts, found, {})
+
+    def shingles(self, i: int) -> set[bytes]:
+        """The shingles of an item, kept for MOST_SETS items."""
+        if i not in self.sets:
+            if len(self.sets) >= MOST_SETS:
+                self.sets.clear()
+            self.sets[i] = shingle_set(word_list(self.texts[i]))
+        return self.sets[i]
 
     def candidates(self, shingles: np.ndarray, owner: np.ndarray, block: int) -> set[tuple[int, int]]:
         """(document, item) pairs from the block-aligned shingles of many documents; owner: the document of each block."""
@@ -90,12 +100,12 @@ class ItemIndex:
                 table, minima, items = bands[b]
                 maybe = np.flatnonzero(table[(window & np.uint64(0xFFFF)).astype(np.int64)])
                 if len(maybe):
-                    at = np.searchsorted(minima, window[maybe])
-                    hit = maybe[minima[np.minimum(at, len(minima) - 1)] == window[maybe]]
-                    for w in hit.tolist():
+                    first, last = (np.searchsorted(minima, window[maybe], side) for side in ("left", "right"))
+                    hit = first < last
+                    for w, lo, hi in zip(maybe[hit].tolist(), first[hit].tolist(), last[hit].tolist(), strict=True):
                         start = w * max(1, (1 << bits) // block)
                         for d in set(owner[start : start + max(1, (4 << bits) // block)].tolist()):
-                            out.update((d, i) for i in items[int(window[w])])
+                            out.update((d, i) for i in items[lo:hi].tolist())
         return out
 
     def search(self, texts: list[str | None], hashes: WordHashes, threshold: float) -> list[list[tuple[int | None, int, float]]]:
@@ -122,9 +132,10 @@ class ItemIndex:
                 for k, found in by_text.items():
                     there = shingle_set(words_of[k])
                     for i in found:
-                        shared = len(self.sets[i] & there)
-                        if shared >= threshold * len(self.sets[i]) - 1e-9:
-                            out[k].append((self.ids[i], shared, shared / len(self.sets[i])))
+                        item = self.shingles(i)
+                        shared = len(item & there)
+                        if shared >= threshold * len(item) - 1e-9:
+                            out[k].append((self.ids[i], shared, shared / len(item)))
                     out[k].sort(key=lambda hit: (*_id_order(hit[0]), *hit[1:]))
                 parts, owners, waiting = [], [], 0
                 words_of.clear()
@@ -135,14 +146,15 @@ _HIT = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("n_sh
 _ARROW_HITS = pa.list_(pa.struct([("item_id", pa.int64()), ("n_shared", pa.int64()), ("containment", pa.float64())]))
 
 
-def _hits(index: ItemIndex, threshold: float):
+def _hits(spark: SparkSession, index: ItemIndex, threshold: float):
     kept: list[WordHashes] = []
+    shared = spark.sparkContext.broadcast(index)  # MOST_ITEMS items at most; a worker loads it once
 
     @F.arrow_udf(T.ArrayType(_HIT))
     def hits(texts: pa.Array) -> pa.Array:
         if not kept:
             kept.append(WordHashes())
-        found = index.search([t.as_py() for t in texts], kept[0], threshold)
+        found = shared.value.search([t.as_py() for t in texts], kept[0], threshold)
         return pa.array([[{"item_id": i, "n_shared": n, "containment": c} for i, n, c in own] for own in found], _ARROW_HITS)
 
     return hits
@@ -167,15 +179,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = NEAR,
     """
     out = None
     for index in item_blocks(benchmark, item_id_col, item_text_col):
-        found = bounded_batches(docs).select(F.col(id_col), F.explode(_hits(index, threshold)(F.col(text_col))).alias("_h")).select(id_col, "_h.*")
+        found = bounded_batches(docs).select(F.col(id_col), F.explode(_hits(docs.sparkSession, index, threshold)(F.col(text_col))).alias("_h")).select(id_col, "_h.*")
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def keep_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = NEAR, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of docs that hold no item, all columns; texts are searched in place, not shuffled. Ids of items are not read."""
+    """The rows of docs that hold no item, all columns; texts are searched in place, not shuffled. Ids of items are not read.
+
+    Null and empty texts hold nothing and stay; repeated rows stay or go together; an empty table of either kind is no error.
+    """
     for index in item_blocks(benchmark, None, item_text_col):
-        docs = bounded_batches(docs).where(F.size(_hits(index, threshold)(F.col(text_col))) == 0)
+        docs = bounded_batches(docs).where(F.size(_hits(docs.sparkSession, index, threshold)(F.col(text_col))) == 0)
     return docs
 
 
