@@ -27,6 +27,8 @@ from navloom.llm.ranking import labelled_sample
 
 #: Labelled rows that are the examples, at most about so many (by a hash of the id). The index takes about 10 bytes a word of theirs.
 MOST_LABELLED = 3_000
+#: Examples under which votes prove nothing.
+LEAST_LABELLED = 20
 #: Examples that vote; examples of a block; share of the examples from which a term's list is long; examples that set the first bar.
 NEIGHBOURS, BLOCK, LONG_SHARE, FIRST = 15, 32, 0.25, 64
 
@@ -217,7 +219,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             voted = [index.votes(np.searchsorted(vocabulary, t.values.to_numpy().view(np.uint64)), c.values.to_numpy(), without=i)[:2] for i, t, c in rows]
             yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array([v[j] for v in voted], pa.float64()) for j in (0, 1))], names=["toxic", "vote", "top"])
 
-    if len(np.unique(y)) < 2:
+    if len(np.unique(y)) < 2 or len(y) < LEAST_LABELLED:
         return ToxicityModel(index, np.array([-3.0, 0.0, 0.0]))
     voted = examples.repartition("_id").mapInArrow(vote, "toxic int, vote double, top double").toPandas().sort_values(["toxic", "vote", "top"])
     return ToxicityModel(index, fit_logistic(np.column_stack([voted["vote"], voted["vote"] * voted["top"]]), voted["toxic"].to_numpy(float)))
@@ -251,7 +253,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     score is the calibrated chance of label 1, predicted is 1 from 0.5 on, evidence are the nearest labelled examples. Only labels
     of ids with crc32(id as text) mod 5 other than 0 are learned from. Words that no example has don't count, in the norm
     either. Null and empty texts and texts without a word of any example have no neighbours and get the score of no votes; so
-    does every text where there are no labels of both kinds. Ids must be integers; of several texts with one labelled id the
+    does every text where there are no labels of both kinds, or under LEAST_LABELLED in all. Ids must be integers; of several texts with one labelled id the
     first by content is the example. Repeated rows are each scored; an empty table gives an empty result; other columns are not read.
     """
     model = fit_toxicity(docs, labels, id_col, text_col)
@@ -263,7 +265,7 @@ def keep_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """The rows of docs that are not predicted toxic, all columns; texts are scored in place, not shuffled.
 
     Null and empty texts and texts without a word of any example stay; repeated rows stay or go together; an empty table stays
-    empty; without labels of both kinds all rows stay.
+    empty; without labels of both kinds, or under LEAST_LABELLED, all rows stay.
     """
     model = fit_toxicity(docs, labels, id_col, text_col)
     return bounded_batches(docs).where(scores(model)(F.col(text_col))["score"] < 0.5)
