@@ -229,15 +229,3 @@ def test_url_filter(spark, clashes, monkeypatch, most_listed, most_blocks):
 def test_registered_queries_run(spark, sf_dir):
     for name in ("op3_shuffle_shards", "op4_decontamination", "op10_url_filter"):
         assert QUERIES[name](spark, sf_dir).count() > 0
-
-
-def test_pipeline_stages(spark, sf_dir):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, sf_dir)
-        assert out.columns == docs.columns
-        docs = corpus_pipeline.materialize(out, "test")
-    want = docs.count()
-    assert 0 < want and corpus_pipeline.run(spark, sf_dir).count() == want

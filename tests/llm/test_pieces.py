@@ -52,3 +52,19 @@ def test_round_trip_and_empty(docs_of, odd_texts):
     back = pieces.decode_ids(pieces.encode_documents(docs_of(odd_texts), model_path()), model_path())
     assert all(r["text"] == (odd_texts[r["doc_id"]] or "") for r in back.collect())
     assert pieces.encode_documents(docs_of([]), model_path()).count() == 0
+
+
+def test_other_models_and_taken_columns_are_refused(docs_of, tmp_path):
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(model_path(), "rb") as f:
+        model.ParseFromString(f.read())
+    model.pieces[400].type = 4
+    path = str(tmp_path / "own.model")
+    with open(path, "wb") as f:
+        f.write(model.SerializeToString())
+    with pytest.raises(ValueError, match="user defined"):
+        pieces.MergeEncoder(path)
+    with pytest.raises(ValueError, match="already"):
+        pieces.decode_ids(docs_of(["a"]), model_path())

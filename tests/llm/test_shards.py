@@ -60,3 +60,47 @@ def test_written_shards(spark, docs_of, tmp_path):
     rows = list(shards.read_shard(spark, str(tmp_path / "out"), 2))
     want = dealt.where(F.col("shard") == 2).orderBy("slot").collect()
     assert [r["doc_id"] for r in rows] == [r["doc_id"] for r in want]
+
+
+def test_order_as_brute_force(docs_of):
+    texts, ids = [f"text {i} " * (1 + i % 5) for i in range(400)], [i % 90 or None for i in range(400)]
+    docs = docs_of(texts, ids=ids)
+    got = shards.shuffle_shards(docs.repartition(3), 8, seed=3, bucket_bytes=2000)
+    n_buckets = len({r["bucket"] for r in got.collect()})
+    size = sum(len(t.encode()) + 1 for t in texts)
+    assert n_buckets <= max(-(-size // 2000), 1)
+    n = max(1, -(-size // 2000), min(shards.MOST_SMALL, -(-size // shards.SMALL_BYTES)))
+    hashed = docs.select("doc_id", "text", F.xxhash64(F.lit(3), F.col("doc_id").cast("string"), F.col("text")).alias("h")).collect()
+    buckets = {}
+    for r in hashed:
+        buckets.setdefault(r["h"] % n, []).append((r["h"], r["doc_id"], r["text"]))
+    want, place = {}, 0
+    for b in sorted(buckets):
+        rows = sorted(buckets[b], key=lambda x: (x[0], x[1] is None, x[1] or 0, x[2]))
+        draws = np.random.default_rng([3, b]).integers(0, np.arange(len(rows), 1, -1)) if len(rows) > 1 else []
+        for i, j in zip(range(len(rows) - 1, 0, -1), draws, strict=True):
+            rows[i], rows[j] = rows[j], rows[i]
+        for _, i, t in rows:
+            want[place] = (i, t, b)
+            place += 1
+    assert {r["position"]: (r["doc_id"], r["text"], r["bucket"]) for r in got.collect()} == want
+    assert all((r["shard"], r["slot"]) == (r["position"] % 8, r["position"] // 8) for r in got.collect())
+
+
+def test_law_in_sql(spark, sf_dir):
+    """What SQL can say of the query: sizes and checksums of the whole table, counts at most one apart, gapless slots."""
+    import os
+
+    import duckdb
+
+    from navloom.llm.queries import op3_shuffle_shards
+
+    con = duckdb.connect()
+    con.register("arrow", op3_shuffle_shards(spark, sf_dir).toArrow())
+    con.sql("create table dealt as select * from arrow")
+    con.sql(f"create view documents as select * from read_parquet('{os.path.join(sf_dir, 'documents.parquet')}')")
+    assert con.sql("select count(*) from (select doc_id, size from dealt except select doc_id, strlen(coalesce(text, '')) + 1 from documents)").fetchall() == [(0,)]
+    assert con.sql("select (select count(*) from dealt) = (select count(*) from documents)").fetchall() == [(True,)]
+    assert con.sql("select max(n) - min(n) <= 1, bool_and(n = d and lo = 0 and hi = n - 1), count(*) from (select count(*) as n, count(distinct slot) as d, min(slot) as lo, max(slot) as hi from dealt group by shard)").fetchall() == [(True, True, 8)]
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text_crc32().alias("crc")).collect()
+    assert dict(con.sql("select doc_id, text_crc32 from dealt").fetchall()) == {r["doc_id"]: r["crc"] for r in rows} and {zlib.crc32(b"")} <= {0}
