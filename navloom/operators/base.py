@@ -37,7 +37,14 @@ OPERATORS = [
         {"sector": "ASIA", "subsectors": "'NATION_2', 'NATION_12'", "word": "NATION", "other": "_1"},
     ),
     Operator("prj03_name_pattern", "Funds whose name has one of two patterns, by name.", "select fund_id, name from fund where contains(name, '{a}') or contains(name, '{b}') order by name", {"a": "01", "b": "7"}),
-    Operator("prj04_point_in_time", "Rows of each series up to each as-of date: count, last day and value; later rows never count.", "with grid as (select distinct cast(date_trunc('year', ts) as date) as as_of from nav) select fund_id, as_of, count(*) as n, max(ts) as last_ts, max_by(nav, ts) as last_nav from nav join grid on nav.ts <= grid.as_of group by fund_id, as_of"),
+    Operator("prj04_point_in_time", "Rows of each series up to each as-of date: count, last day and value; later rows never count.", """
+        with grid as (select distinct cast(date_trunc('year', ts) as date) as as_of from nav),
+        y as (select fund_id, count(*) as k, max(ts) as last_ts, max_by(nav, ts) as last_nav,
+                     case when ts = cast(date_trunc('year', ts) as date) then ts else cast(date_trunc('year', [[months|ts|12]]) as date) end as as_of from nav group by fund_id, 5),
+        g as (select s.fund_id, grid.as_of from (select distinct fund_id from nav) s cross join grid),
+        r as (select g.fund_id, g.as_of, sum(y.k) over w as n, [[last|y.last_ts]] over w as last_ts, [[last|y.last_nav]] over w as last_nav
+              from g left join y on y.fund_id = g.fund_id and y.as_of = g.as_of window w as (partition by g.fund_id order by g.as_of rows between unbounded preceding and current row))
+        select fund_id, as_of, cast(n as bigint) as n, last_ts, last_nav from r where n is not null"""),
     Operator("prj05_eligibility", "Enough rows, enough days, and no end long before the benchmark's; the rest are named with the reason.", "with s as (select fund.fund_id, fund.sector, coalesce(count(day), 0) as n, max(day) - min(day) as d, max(day) as d1 from fund left join navd on navd.fund_id = fund.fund_id group by 1, 2), b as (select index_id, max(day) as b1 from idxd group by 1) select fund_id, n, d, case when n < {rows} then 'rows' when d < {days} then 'days' when b1 - d1 > {late} then 'stale' else 'ok' end as status from s left join b on b.index_id = s.sector", {"rows": 60, "days": 1095, "late": 45}),
     Operator(
         "prj07_holding_weight",

@@ -56,7 +56,7 @@ OPERATORS = [
     Operator("bm18_timing_convexity", "Coefficient of the squared benchmark return in a fit of fund returns on it, clipped to 0.01 (two-regressor least squares from sums).", "with s as (select fund_id, covar_pop(f, b) as cy1, covar_pop(f, b * b) as cy2, var_pop(b) as c11, var_pop(b * b) as c22, covar_pop(b, b * b) as c12 from al group by 1 having count(*) >= 40) select fund_id, round(least(greatest((cy2 * c11 - cy1 * c12) / nullif(c11 * c22 - c12 * c12, 0), -0.01e0), 0.01e0), 6) as convexity from s"),
     Operator("bm19_block_alphas", "Regression alpha of each of the last ten blocks of 26 weeks, full blocks only.", "select fund_id, cast(floor((rd - 1) / 26) as int) as block, round(52 * (avg(f) - (pow(1.065e0, 1 / 52e0) - 1) - regr_slope(f, b) * (avg(b) - (pow(1.065e0, 1 / 52e0) - 1))), 6) as alpha from al where rd <= 260 group by fund_id, cast(floor((rd - 1) / 26) as int) having count(*) = 26 and var_samp(b) > 1e-12"),
     Operator("bm20_block_stability", "Mean over 1 + deviation + 0.02 of the block alphas, three blocks at least.", "with b as (select fund_id, cast(floor((rd - 1) / 26) as int) as k, 52 * (avg(f) - (pow(1.065e0, 1 / 52e0) - 1) - regr_slope(f, b) * (avg(b) - (pow(1.065e0, 1 / 52e0) - 1))) as a from al where rd <= 260 group by 1, 2 having count(*) = 26 and var_samp(b) > 1e-12) select fund_id, round(avg(a) / (1 + stddev_samp(a) + 0.02e0), 6) as stability, count(*) as n_blocks from b group by fund_id having count(*) >= 3"),
-    Operator("bm21_rolling_alphas", "Alphas of 52-week windows that end every four weeks, 30 at most; mean and share above 0 from three on.", "with e as (select 1 + 4 * i as e0 from (select [[seq|0|29]] as i) x), a as (select al.fund_id, e.e0, 52 * (avg(f) - (pow(1.065e0, 1 / 52e0) - 1) - regr_slope(f, b) * (avg(b) - (pow(1.065e0, 1 / 52e0) - 1))) as a from al join e on al.rd between e.e0 and e.e0 + 51 group by 1, 2 having count(*) = 52 and var_samp(b) > 1e-12) select fund_id, count(*) as n_windows, round(avg(a), 6) as mean_alpha, round(avg(case when a > 0 then 1e0 else 0e0 end), 6) as share_positive from a where abs(a) < 1 group by fund_id having count(*) >= 3"),
+    Operator("bm21_rolling_alphas", "Alphas of 52-week windows that end every four weeks, 30 at most; mean and share above 0 from three on.", "with e as (select fund_id, f, b, 4 * j + 1 as e0 from (select fund_id, f, b, [[seq|cast(greatest(floor((rd - 49) / 4e0), 0) as int)|cast(least(floor((rd - 1) / 4e0), 29) as int)]] as j from al where rd <= 168) e1), a as (select fund_id, e0, 52 * (avg(f) - (pow(1.065e0, 1 / 52e0) - 1) - regr_slope(f, b) * (avg(b) - (pow(1.065e0, 1 / 52e0) - 1))) as a from e group by 1, 2 having count(*) = 52 and var_samp(b) > 1e-12) select fund_id, count(*) as n_windows, round(avg(a), 6) as mean_alpha, round(avg(case when a > 0 then 1e0 else 0e0 end), 6) as share_positive from a where abs(a) < 1 group by fund_id having count(*) >= 3"),
     Operator("bm22_sleeve_excess", "Mean excess over each sleeve in its rising weeks, and the last 26 weeks' beta to the third.", "select fund_id, round(avg(case when x1 > 0 then f - x1 end), 10) as equity_up, round(avg(case when x2 > 0 then f - x2 end), 10) as gold_up, round(covar_samp(case when rd <= 26 then f end, case when rd <= 26 then x3 end) / nullif(var_pop(case when rd <= 26 then x3 end), 0), 6) as silver_beta from alf group by fund_id"),
     Operator("bm23_quadrant_persistence", "Mean over the four sign quadrants with over 8 weeks of mean(f - 0.5 e - 0.3 g).", "with q as (select fund_id, case when x1 > 0 then 1 else 0 end as e, case when x2 > 0 then 1 else 0 end as g, avg(f - 0.5e0 * x1 - 0.3e0 * x2) as m from alf group by 1, 2, 3 having count(*) > 8) select fund_id, round(avg(m), 10) as persistence, count(*) as n_quadrants from q group by fund_id"),
 ]

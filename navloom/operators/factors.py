@@ -15,7 +15,7 @@ _B1 = f"(t1 * (s22 * s33 - s23 * s23) - s12 * (t2 * s33 - s23 * t3) + s13 * (t2
 _B2 = f"(s11 * (t2 * s33 - s23 * t3) - t1 * (s12 * s33 - s23 * s13) + s13 * (s12 * t3 - t2 * s13)) / nullif({_DET}, 0)"
 _B3 = f"(s11 * (s22 * t3 - t2 * s23) - s12 * (s12 * t3 - t2 * s13) + t1 * (s12 * s23 - s22 * s13)) / nullif({_DET}, 0)"
 _FIT = f"select fund_id, k, b1, b2, b3, mf - (b1 * m1 + b2 * m2 + b3 * m3) as a, greatest(vf - (b1 * t1 + b2 * t2 + b3 * t3), 0e0) as ve from (select fund_id, k, mf, m1, m2, m3, vf, t1, t2, t3, {_B1} as b1, {_B2} as b2, {_B3} as b3 from (select fund_id, {_centred()} from alf where rd <= 156 group by fund_id having count(*) >= 52) g) h"
-_WINDOWS = f"select fund_id, e0, {_B1} as b1, {_B2} as b2, {_B3} as b3, mf - (({_B1}) * m1 + ({_B2}) * m2 + ({_B3}) * m3) as a from (select alf.fund_id, e.e0, {_centred()} from alf join (select 13 * i + 1 as e0 from (select [[seq|0|24]] as i) y) e on alf.rd between e.e0 and e.e0 + 51 group by 1, 2 having count(*) = 52) g"
+_WINDOWS = f"select fund_id, e0, {_B1} as b1, {_B2} as b2, {_B3} as b3, mf - (({_B1}) * m1 + ({_B2}) * m2 + ({_B3}) * m3) as a from (select fund_id, e0, {_centred()} from (select fund_id, f, x1, x2, x3, 13 * j + 1 as e0 from (select *, [[seq|cast(greatest(floor((rd - 40) / 13e0), 0) as int)|cast(least(floor((rd - 1) / 13e0), 24) as int)]] as j from alf where rd <= 364) e1) e group by 1, 2 having count(*) = 52) g"
 #: Exposures without an intercept, of returns less the risk-free rate: raw second moments, clipped to 0 .. 1.2 and scaled down to a sum of 1 at most.
 _RF = "((pow(1.065e0, 1 / 52e0) - 1))"
 _RAW = ", ".join([f"avg((x{i} - {_RF}) * (x{j} - {_RF})) as s{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3) if i <= j] + [f"avg((f - {_RF}) * (x{i} - {_RF})) as t{i}" for i in (1, 2, 3)])

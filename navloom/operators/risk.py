@@ -23,7 +23,7 @@ OPERATORS = [
     Operator("rk16_tail_ratio", "95 % quantile over the size of the 5 % quantile, at most 5.", "select fund_id, round(least(5e0, [[q|r|0.95]] / nullif(abs([[q|r|0.05]]), 0)), 6) as tail_ratio from wr group by fund_id"),
     Operator("rk17_skew", "Bias-corrected skewness from 30 rows on; deviation of losses over that of gains.", "select fund_id, round(case when count(r) >= 30 then [[skew|r]] end, 6) as skew, round(stddev_samp(case when r < 0 then r end) / nullif(stddev_samp(case when r > 0 then r end), 0), 6) as down_up from wr group by fund_id"),
     Operator("rk18_vol_contraction", "Volatility of 13 weeks over that of 52.", "select fund_id, round(case when max(n) >= 52 then stddev_samp(case when rd <= 13 then r end) / nullif(stddev_samp(case when rd <= 52 then r end), 0) end, 6) as contraction from wr group by fund_id"),
-    Operator("rk19_hurst", "Slope of the log deviation of lagged differences on the log lag, lags 2 to 19.", "with l as (select fund_id, ra, ln(nav) as v from wkn), d as (select a.fund_id, k.lag, stddev_pop(b.v - a.v) as s from l a join (select [[seq|2|19]] as lag) k on 1 = 1 join l b on b.fund_id = a.fund_id and b.ra = a.ra + k.lag group by 1, 2) select fund_id, round(regr_slope(ln(s), ln(cast(lag as double))), 6) as hurst from d where s > 1e-12 group by fund_id"),
+    Operator("rk19_hurst", "Slope of the log deviation of lagged differences on the log lag, lags 2 to 19.", "with l as (select fund_id, ra, ln(nav) as v from wkn), e as (select fund_id, ra, v, [[seq|2|19]] as lag from l), d as (select a.fund_id, a.lag, stddev_pop(b.v - a.v) as s from e a join l b on b.fund_id = a.fund_id and b.ra = a.ra + a.lag group by 1, 2) select fund_id, round(regr_slope(ln(s), ln(cast(lag as double))), 6) as hurst from d where s > 1e-12 group by fund_id"),
     Operator("rk20_autocorrelation", "Correlation of a week's return with the week's before.", "select fund_id, round(corr(r, p), 6) as lag1 from (select fund_id, r, lag(r) over (partition by fund_id order by w) as p from wr) x where p is not null group by fund_id having count(*) >= 10"),
     Operator("rk21_recovery_half_life", "Weeks from the deepest trough until half of the drawdown is made good; null if no deeper than 5 % or under 30 rows, the rows left if never.", "with t as (select fund_id, min(dd) as dd0, min_by(w, dd * 1e6 + ra * 1e-9) as w0 from wdd where n >= 30 group by 1) select t.fund_id, round(case when max(dd0) >= -0.05e0 then null else coalesce((min(case when d.dd >= dd0 / 2 then d.w end) - max(w0)) / 7e0, cast(count(*) as double)) end, 4) as half_life from t join wdd d on d.fund_id = t.fund_id and d.w >= t.w0 group by t.fund_id"),
     Operator(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from navloom.functions.style import attribution, style_weights
+from navloom.operators import ALL
 from navloom.plans.fixtures import FUND, HOLDING, INDEX_NAV, MODEL_SCORE, NAV, fund_tables
 from navloom.plans.text import Operator, written
 from navloom.sources import landing
@@ -144,7 +145,26 @@ def fx05_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution(aligned, _rolled(aligned))
 
 
-QUERIES = {f.__name__: f for f in (src01_screener, src02_chart, src03_holdings, src04_entity_files, src05_snapshot, prj06_sector_map, src06_discover, src07_contract, src08_load_report, src09_index_lookup, src10_fallback, src10_fallback_all, src11_ranked_sink, fx04_style_weights, fx05_attribution)}
+def e2e03_allocation_skill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The multi-asset model with its pillar of allocation skill: strategic, tactical and selection return of fx05 as percentiles beside e2e03."""
+    tables = fund_tables(spark, sf_dir)
+    ranked = Operator(
+        "skill",
+        "",
+        """
+        select a.fund_id, fund.sector, 0.35e0 * percent_rank() over (partition by fund.sector order by strategic) + 0.35e0 * percent_rank() over (partition by fund.sector order by tactical)
+               + 0.3e0 * percent_rank() over (partition by fund.sector order by selection) as skill
+        from attribution a join fund on fund.fund_id = a.fund_id""",
+    )({**tables, "attribution": fx05_attribution(spark, sf_dir)})
+    base = ALL["e2e03_style_allocation"](tables).select("fund_id", "sector", F.col("score").alias("_base"))
+    joined = base.join(ranked.select("fund_id", F.round(100 * F.col("skill"), 6).alias("skill")), "fund_id", "left")
+    score = F.when(F.col("skill").isNull(), F.col("_base")).otherwise(0.75 * F.col("_base") + 0.25 * F.col("skill"))
+    scored = joined.withColumn("score", F.round(score, 6))
+    place = F.row_number().over(Window.partitionBy("sector").orderBy(F.desc("score"), "fund_id"))
+    return scored.select("fund_id", "sector", "skill", "score", place.alias("place"))
+
+
+QUERIES = {f.__name__: f for f in (e2e03_allocation_skill, src01_screener, src02_chart, src03_holdings, src04_entity_files, src05_snapshot, prj06_sector_map, src06_discover, src07_contract, src08_load_report, src09_index_lookup, src10_fallback, src10_fallback_all, src11_ranked_sink, fx04_style_weights, fx05_attribution)}
 
 _F, _N, _I, _H = (f"({written(x, 'duckdb')})" for x in (FUND, NAV, INDEX_NAV, HOLDING))
 
