@@ -26,6 +26,20 @@ OPERATORS = [
     Operator("cf02_monthly_irr", "Rate of equally spaced monthly flows of the newest plan, annualised; without a change of sign from the totals.", "with s as (select fund_id, max(ra) as ra from sip group by 1), f as (select a.fund_id, [[flows|case when b.ra - a.ra < 12 then -1e0 else u.units * b.nav end|(b.ra - a.ra) * 1e0|b.ra]] as flows, max(u.units * b.nav) as value from mon a join s on s.fund_id = a.fund_id and s.ra = a.ra join mon b on b.fund_id = a.fund_id and b.ra between a.ra and a.ra + 12 join sipu u on u.fund_id = a.fund_id and u.ra = a.ra group by a.fund_id) select fund_id, round(coalesce(pow(1 + [[xirr|flows|-0.9|1.0]], 12) - 1, pow(value / 12, 12 / 12e0) - 1), 6) as irr from f"),
     Operator("cf03_rolling_sip_xirr", "Rate of return of every 12-month plan.", "select fund_id, start, round(xirr, 6) as xirr from sipx"),
     Operator("cf04_dated_sip_xirr", "Plans that start every third month, bought at the first observed value of a month and valued at the last of the year.", "with m as (select fund_id, cast(date_trunc('month', ts) as date) as m, min_by(nav, ts) as nav, min([[day|ts]]) as d, max_by(nav, ts) as last_nav, max([[day|ts]]) as last_d from nav where nav > 0 group by 1, 2), n as (select *, row_number() over (partition by fund_id order by m) as ra, count(*) over (partition by fund_id) as n from m), t as (select a.fund_id, a.m as start, b.d - a.d as t, -1e0 as a, 1 / b.nav as units, b.ra from n a join n b on b.fund_id = a.fund_id and b.ra between a.ra and a.ra + 11 where a.ra % 3 = 1 and a.ra + 11 <= a.n), e as (select a.fund_id, a.m as start, b.last_d - a.d as t, b.last_nav from n a join n b on b.fund_id = a.fund_id and b.ra = a.ra + 11 where a.ra % 3 = 1), u as (select fund_id, start, t, a, ra from t union all select e.fund_id, e.start, e.t, e.last_nav * x.units, 1000000 from e join (select fund_id, start, sum(units) as units from t group by 1, 2) x on x.fund_id = e.fund_id and x.start = e.start), g as (select fund_id, start, [[flows|a|t / 365.25e0|ra]] as flows from u group by 1, 2) select fund_id, start, round([[xirr|flows]], 6) as xirr from g"),
+    Operator(
+        "cf04_rolling_windows",
+        "Plans of 52-week windows that end every four weeks: bought at the first weekly value on or after each month start in the window, six at least, valued at the window's last.",
+        """
+        with x as (select fund_id, w, nav, rd, n, [[day|cast(date_trunc('month', [[date|w]]) as date)]] as md, lag(w) over (partition by fund_id order by w) as pw from wkn),
+        e as (select *, [[seq|cast(greatest(ceil((rd - 53) / 4e0), 0) as int)|cast(floor((rd - 1) / 4e0) as int)]] as j from x),
+        y as (select fund_id, j, w, nav, n, md, case when pw is null or pw < md then 1 else 0 end as buy, max(w) over (partition by fund_id, j) as w1,
+                     max(case when rd = 4 * j + 1 then nav end) over (partition by fund_id, j) as nav1 from e where n >= 4 * j + 53),
+        b as (select * from y where buy = 1 and md >= w1 - 364),
+        u as (select fund_id, j, w1, max(nav1) as nav1, sum(1 / nav) as units from b group by 1, 2, 3 having count(*) >= 6),
+        t as (select b.fund_id, b.j, b.w as d, -1e0 as a, 0 as k, b.w1 from b join u on u.fund_id = b.fund_id and u.j = b.j union all select fund_id, j, w1, units * nav1, 1, w1 from u),
+        g as (select fund_id, w1, [[flows|a|(d - w1) / 365.25e0|d * 2 + k]] as flows from t group by 1, 2)
+        select fund_id, [[date|w1]] as week, round([[xirr|flows]], 6) as xirr from g""",
+    ),
     Operator("cf05_sip_then_hold", "Twelve monthly purchases, held for twelve months more and sold: rate of return for every start.", f"select fund_id, start, round(xirr, 6) as xirr from ({_HOLDX}) x"),
     Operator("cf06_rolling_sip_return", "Simple return of every 12-month plan at the first values of months, less that of the index's plan; level, stability from 12 plans on, trend of the last 12.", "with fm as (select fund_id, cast(date_trunc('month', ts) as date) as m, min_by(nav, ts) as f from nav where nav > 0 group by 1, 2), im as (select index_id, cast(date_trunc('month', ts) as date) as m, min_by(nav, ts) as b from index_nav where nav > 0 group by 1, 2), j as (select fm.fund_id, fm.m, f, b from fm join fund on fund.fund_id = fm.fund_id join im on im.index_id = fund.sector and im.m = fm.m), p as (select fund_id, m, sum(1 / f) over w12 * lead(f, 12) over (partition by fund_id order by m) / 12 - 1 as fr, sum(1 / b) over w12 * lead(b, 12) over (partition by fund_id order by m) / 12 - 1 as br from j window w12 as (partition by fund_id order by m rows between current row and 11 following)), r as (select fund_id, fr, fr - br as alpha, row_number() over (partition by fund_id order by m desc) as k, row_number() over (partition by fund_id order by m) as i from p where fr is not null) select fund_id, count(*) as n_windows, round(avg(fr), 6) as mean_ret, round(avg(alpha), 6) as mean_alpha, round(case when count(*) >= 12 then avg(fr) / case when stddev_samp(fr) > 1e-12 then stddev_samp(fr) end end, 5) as stability, round(case when count(*) >= 3 then regr_slope(case when k <= 12 then alpha end, case when k <= 12 then cast(i as double) end) end, 6) as trend from r group by fund_id"),
     Operator("cf07_sip_summary", "Summary of a fund's rolling rates of return.", "with r as (select fund_id, xirr, row_number() over (partition by fund_id order by ra desc) as k from sipx where xirr is not null) select fund_id, count(*) as n_windows, round(median(xirr), 6) as median_x, round([[q|xirr|0.25]], 6) as p25, round([[q|xirr|0.05]], 6) as p5, round(min(xirr), 6) as worst, round(avg(xirr), 6) as mean_x, round(stddev_samp(xirr), 6) as std_x, round(max(case when k = 1 then xirr end), 6) as latest, round(avg(case when k <= 3 then xirr end), 6) as newest_3, round(avg(case when xirr > 0.08e0 then 1e0 else 0e0 end), 6) as share_8 from r group by fund_id"),

@@ -8,7 +8,7 @@ from navloom.plans.text import Operator
 
 def _corr(a: str, b: str) -> str:
     """Correlation, null where a side doesn't vary."""
-    return f"case when stddev_samp({a}) > 1e-9 and stddev_samp({b}) > 1e-9 then corr({a}, {b}) end"
+    return f"case when stddev_pop({a}) > 1e-9 and stddev_pop({b}) > 1e-9 then covar_pop({a}, {b}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0) end"
 
 
 _WITHIN = f"select metric, {_corr('rx / peers', 'ry / peers')} as rho from panelr where peers >= 5 group by metric having count(*) >= 50"
@@ -127,7 +127,26 @@ OPERATORS = [
     Operator("lb05_blended_weights", "Learned shares of the positive rank correlations blended with priors (the priors alone if nothing is learned), capped, what is left spread by room, normalised.", f"with l as (select p.metric, prior, least(greatest(coalesce(w.rho, 0e0), 0e0), {{cap}}) as r from ({_PRIOR}) p left join ({_POOLED}) w on w.metric = p.metric), b as (select metric, case when sum(r) over () > 1e-9 then 0.42e0 * r / nullif(sum(r) over (), 0) + 0.58e0 * prior else prior end as b from l), c as (select metric, least(b, {{cap}}) as c, {{cap}} - least(b, {{cap}}) as room from b), d as (select metric, c + room * least(greatest(1 - sum(c) over (), 0e0) / nullif(sum(room) over (), 0), 1e0) as d from c) select metric, round(d / nullif(sum(d) over (), 0), 6) as weight from d".replace("{{cap}}", "{cap}"), {"cap": "0.4e0"}),
     Operator("lb06_ic_weights", "Mean rank correlation at the last two months with a panel, floor 0.01, normalised.", f"with d as (select m, row_number() over (order by m desc) as k from (select m from panelr group by m having count(*) >= 15) x), i as (select metric, panelr.m, {_corr('rx', 'ry')} as ic from panelr join d on d.m = panelr.m where d.k in (1, 2) group by 1, 2), a as (select metric, greatest(avg(ic), 0.01e0) as w from i group by 1) select metric, round(w / sum(w) over (), 6) as weight from a"),
     Operator("lb07_walk_forward_ic", "Rank correlation of each feature with the outcome by month, and its mean.", f"with i as (select metric, m, {_corr('rx', 'ry')} as ic from panelr where peers >= 5 group by 1, 2) select metric, cast(m as varchar(20)) as as_of_month, round(ic, 6) + 0e0 as ic, round(avg(ic) over (partition by metric), 6) as mean_ic from i"),
-    Operator("lb08_walk_forward_top", "By month: rank correlation of momentum, mean outcome of the best seven less the median, share of them above it; 12 funds at least.", f"with r as (select *, row_number() over (partition by m order by x desc, fund_id) as place, rank() over (partition by m order by y) as ky from panelr where metric = 'mom' and peers >= 12), md as (select m, median(y) as med from r group by 1) select cast(r.m as varchar(20)) as as_of_month, round({_corr('rx', 'ry')}, 6) + 0e0 as ic, round(avg(case when place <= 7 then y end) - max(med), 6) as top_less_median, round(avg(case when place <= 7 then case when y > med then 1e0 else 0e0 end end), 6) as hit_rate from r join md on md.m = r.m group by r.m"),
+    Operator(
+        "lb08_walk_forward_top",
+        "By month: rank correlation of momentum, mean outcome of the best seven less the median, shares of them above it and above their index's plan; 12 funds at least.",
+        f"""
+        with r as (select panelr.*, row_number() over (partition by panelr.m order by x desc, panelr.fund_id) as place, b.xirr as bench from panelr
+                   join fund on fund.fund_id = panelr.fund_id left join bsipx b on b.index_id = fund.sector and b.start = panelr.m where metric = 'mom' and peers >= 12),
+        md as (select m, median(y) as med from r group by 1)
+        select cast(r.m as varchar(20)) as as_of_month, round({_corr('rx', 'ry')}, 6) + 0e0 as ic, round(avg(case when place <= 7 then y end) - max(med), 6) as top_less_median,
+               round(avg(case when place <= 7 then case when y > med then 1e0 else 0e0 end end), 6) as hit_rate,
+               round(avg(case when place <= 7 and bench is not null then case when y > round(bench, 9) then 1e0 else 0e0 end end), 6) as bench_hit_rate
+        from r join md on md.m = r.m group by r.m""",
+    ),
+    Operator(
+        "lb07_feature_ic",
+        "Rank correlation of each of the sixteen features with the outcome by sector and month, five funds at least, and its mean.",
+        """
+        with i as (select sector, metric, m, """
+        + _corr("rx", "ry") + """ as ic from p16r where peers >= 5 group by 1, 2, 3)
+        select sector, metric, cast(m as varchar(20)) as as_of_month, round(ic, 6) + 0e0 as ic, round(avg(ic) over (partition by sector, metric), 6) as mean_ic from i""",
+    ),
     Operator("lb09_james_stein", "Block alphas shrunk towards the peers' mean by between over between plus within variance.", _LB09),
     Operator(
         "lb01_feature_panel",

@@ -146,11 +146,11 @@ PANEL = {
     "pnowl": f"select fund_id, sector, metric, case metric {_CASES} end as x from pnow cross join pnames",
     # Percentile ranks within sector and month, five funds at least; their correlation by sector from 50 pairs on.
     "p16r": """
-        select sector, metric, count(*) over g as peers, (rank() over (partition by sector, metric, m order by x) + (count(*) over (partition by sector, metric, m, x) - 1) / 2e0) / count(*) over g as rx,
+        select sector, metric, m, count(*) over g as peers, (rank() over (partition by sector, metric, m order by x) + (count(*) over (partition by sector, metric, m, x) - 1) / 2e0) / count(*) over g as rx,
                (rank() over (partition by sector, metric, m order by y) + (count(*) over (partition by sector, metric, m, y) - 1) / 2e0) / count(*) over g as ry
         from p16l where x is not null window g as (partition by sector, metric, m)""",
     "p16rho": """
-        select sector, metric, count(*) as n, case when stddev_samp(rx) > 1e-9 and stddev_samp(ry) > 1e-9 then corr(rx, ry) end as rho
+        select sector, metric, count(*) as n, case when stddev_pop(rx) > 1e-9 and stddev_pop(ry) > 1e-9 then covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0) end as rho
         from p16r where peers >= 5 group by 1, 2 having count(*) >= 50""",
     # Weights: a known sign is kept unless the data contradict it; an unknown one is learned where it is strong enough.
     "p16raw": """
