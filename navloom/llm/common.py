@@ -90,7 +90,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: cuts lineage, survives lost executors. remove_tables deletes it."""
     path = f"{tables_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._written_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what materialize wrote for these DataFrames, once nothing that is still to run reads them."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table.__dict__["_written_at"])
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Rows and bytes of an Arrow batch between Spark and Python: whole texts are long, and two tasks share an executor's memory.

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from navloom.llm.common import NEAR, WordHashes, bounded_batches, materialize, mixed, shingle_hashes, small_or_shuffled, unused, word_list
+from navloom.llm.common import NEAR, WordHashes, bounded_batches, discard, materialize, mixed, shingle_hashes, small_or_shuffled, unused, word_list
 
 COORDINATES, DEPTH, LEAF, TARGET_RECALL = 128, 4, 512, 0.998
 #: Share of equal coordinates from which two sets go to the exact comparison: four standard deviations below 0.8.
@@ -114,15 +114,17 @@ def _children(path: Column) -> Column:
     return F.array_compact(F.array(_child(path, 0), second))
 
 
-def buckets(sets: DataFrame) -> DataFrame:
-    """(path, key, n): the leaves of all runs with two sets or more; n is the number of sets in the leaf."""
+def buckets(sets: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(path, key, n): the leaves of all runs with two sets or more, n the number of sets in the leaf; and the tables they are in."""
     runs = runs_for(TARGET_RECALL, DEPTH)
     roots = sets.select("key", "mins", F.explode(F.array(*(F.xxhash64(F.lit("run"), F.lit(r)) for r in range(runs)))).alias("path"))
-    leaves = []
+    leaves, tables = [], []
     for depth in range(1, DEPTH + 1):
         rows = materialize(roots.select("key", F.explode(_children(F.col("path"))).alias("path")), f"children-{depth}")
         counts = materialize(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("_rows", F.col("n")), f"counts-{depth}")
         level = materialize(joined_by(rows, counts, "path", "_rows").select("path", "key", "n"), f"paths-{depth}")
+        discard(rows, counts)
+        tables.append(level)
         large = level.where(F.col("n") > LEAF)
         if depth == DEPTH or large.isEmpty():
             leaves.append(level)
@@ -132,7 +134,7 @@ def buckets(sets: DataFrame) -> DataFrame:
     out = leaves[0]
     for leaf in leaves[1:]:
         out = out.unionByName(leaf)
-    return out
+    return out, tables
 
 
 def in_blocks(rows: DataFrame, group: str, n: str) -> DataFrame:
@@ -211,15 +213,15 @@ def _link_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
 
 
-def candidate_links(sets: DataFrame) -> DataFrame:
-    """(a, b) links whose components hold every pair that can reach the threshold; a row for each set and comparison at most."""
-    leaves = buckets(sets)
+def candidate_links(sets: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(a, b) links whose components hold every pair that can reach the threshold, a row for each set and comparison at most; and the tables they are made of."""
+    leaves, tables = buckets(sets)
     seen = in_blocks(leaves.where(F.col("n") < LARGEST).select("path", "key", "n"), "path", "n").select("task", "key")
     near = by_task(seen.join(sets.select("key", "mins"), "key")).mapInArrow(_link_buckets, "a string, b string")
     large = leaves.where(F.col("n") >= LARGEST).select("path", "key")
     first = large.groupBy("path").agg(F.min("key").alias("b"), F.count(F.lit(1)).alias("_rows"))
     unseen = joined_by(large, first, "path", "_rows").where("key <> b").select(F.col("key").alias("a"), "b")
-    return near.unionByName(unseen).distinct()
+    return near.unionByName(unseen).distinct(), tables
 
 
 def components(links: DataFrame, tag: str) -> DataFrame:
@@ -237,9 +239,12 @@ def components(links: DataFrame, tag: str) -> DataFrame:
         centre = materialize(centre, f"{tag}-centres")
         large = joined_by(both, centre, "a", "_rows").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = materialize(large, f"{tag}-large")
+        discard(centre)
         centre = materialize(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("_rows")), f"{tag}-centres")
         small = joined_by(large, centre, "a", "_rows").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = materialize(small.union(centre.select("a", F.col("m").alias("b"))).distinct(), f"{tag}-small")
+        changed = materialize(small.union(centre.select("a", F.col("m").alias("b"))).distinct(), f"{tag}-small")
+        discard(edges, large, centre)
+        edges = changed
         now = tuple(edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40))), F.lit(0))).first())
         if now == before:
             break
@@ -302,10 +307,15 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sketched = materialize(sketched, "near-sketches")
     sets = sketched.where("key is not null").groupBy("key").agg(F.min(F.struct("_id", "_hash")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("mins").alias("mins"))
     sets = materialize(sets, "near-sets")
-    parts = components(candidate_links(sets), "near-candidates")
+    rows = materialize(sketched.select("_id", "_hash", "key"), "near-rows")  # without the embedding, which is most of the table
+    discard(sketched)
+    links, tables = candidate_links(sets)
+    parts = components(links, "near-candidates")
+    discard(*tables)
     sizes = materialize(parts.groupBy("root").agg(F.count(F.lit(1)).alias("n")).withColumn("_rows", F.col("n")), "near-sizes")
     members = joined_by(parts, sizes, "root", "_rows").join(sets.select("key", "rep", "copies"), "key")
     members = materialize(members.select("key", "root", "n", "copies", F.col("rep._id").alias("_i"), F.col("rep._hash").alias("_h")), "near-members")
+    discard(sizes)
     texts = keyed.join(small_or_shuffled(members, MOST_BROADCAST), (F.col("_hash") == F.col("_h")) & F.col("_id").eqNullSafe(F.col("_i")))
     texts = texts.groupBy("key", "root", "n", "copies").agg(F.min("_text").alias("text"))  # rows with equal ids and texts are one
     tasks = in_blocks(texts, "root", "n").select("task", "key", "copies", "block", "lo", "hi", "text")
@@ -319,11 +329,14 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         classes = links.select("key", "links").join(joined, "key", "left").withColumn("root", F.coalesce("root", "key"))
     info = sets.select("key", "rep", "copies").join(classes, "key", "left").withColumn("root", F.coalesce("root", "key"))
     info = materialize(info.select("key", "rep", "copies", "root", F.coalesce("links", F.lit(0)).alias("links")), "near-info")
+    discard(sets, members, compared)
     first = materialize(info.groupBy("root").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("_rows")), "near-first")
-    info = joined_by(info, first, "root", "_rows").select(
+    result = joined_by(info, first, "root", "_rows").select(
         "key", F.col("first._id").alias("class_id"), F.col("first._hash").alias("class_hash"), (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies")
     )
-    return sketched.select("_id", "_hash", "key"), materialize(info, "near-classes-of-sets")
+    result = materialize(result, "near-classes-of-sets")
+    discard(info, first)
+    return rows, result
 
 
 def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
