@@ -26,7 +26,7 @@ MOST_ITEMS = 100_000
 #: Sets of shingles of items that a task keeps.
 MOST_SETS = 20_000
 #: Shingles that are hashed at a time.
-AT_ONCE = 1 << 19
+AT_ONCE = 1 << 18
 _ODD = mixed(np.arange(1, BANDS + 1, dtype=np.uint64)) | np.uint64(1)
 _TOP = np.iinfo(np.uint64).max
 

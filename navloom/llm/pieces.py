@@ -24,7 +24,11 @@ from navloom.llm.common import bounded_batches
 
 SPACE = "▁"
 #: Longest chunk that goes to the cache, and how many chunks each of its two generations holds.
-_CACHED_CHARS, _CACHED_CHUNKS = 48, 250_000
+_CACHED_CHARS, _CACHED_CHUNKS = 48, 120_000
+#: Pairs of pieces whose fit is remembered.
+_KNOWN_PAIRS = 100_000
+#: Characters of chunks that one scan goes through, and what stands between them: no piece holds it.
+_SCANNED_CHARS, _BETWEEN = 100_000, "\0"
 
 
 def _cutter(pieces) -> re.Pattern:
@@ -71,6 +75,8 @@ class MergeEncoder:
         self.scores = {p.piece: p.score for p in model.pieces if p.type == 1}
         if any(SPACE in p.lstrip(SPACE) for p in self.scores):
             raise ValueError("a piece goes on after a later space mark")
+        if any(_BETWEEN in p for p in self.scores):
+            raise ValueError("a piece holds the sign between chunks")
         self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type == 1}
         byte_id = {int(p.piece[1:-1], 16): i for i, p in enumerate(model.pieces) if p.type == 6}
         self.byte_ids = [byte_id[b] for b in range(256)]
@@ -80,20 +86,31 @@ class MergeEncoder:
         for b, i in byte_id.items():
             self.texts[i] = bytes([b])
         self.found, self.reach = ahocorasick.Automaton(), set()
+        self.rank = {p: i for i, p in enumerate(sorted(self.scores, key=lambda p: -self.scores[p]))}  # in the order of merging
+        self.made: dict[str, tuple[str, str]] = {}  # the two parts of each piece's last merge
         for piece in self.scores:
             if len(piece) > 1 and self.merged(piece) == [piece]:  # the others never come out of merging
                 self.found.add_word(piece, len(piece))
                 self.reach.add(piece)
+                self.made[piece] = tuple(self.merged(piece, 2))
         self.found.make_automaton()
+        # Merges can be played back where each piece has a score of its own and comes after its parts; the others (runs of spaces) and what
+        # they are in or may come out of at a boundary are merged again from their characters.
+        seen: dict[float, int] = {}
+        for score in self.scores.values():
+            seen[score] = seen.get(score, 0) + 1
+        odd = [p for p, parts in self.made.items() if seen[self.scores[p]] > 1 or any(part in self.made and self.rank[part] > self.rank[p] for part in parts)]
+        self.odd = {p for p in self.scores if any(o in p for o in odd)}
+        self.odd_pairs = {(x, y) for o in odd for x, y in zip(o, o[1:], strict=False)}
         self.fits: dict[tuple[str, str], bool] = {}
         self.cut = _cutter(self.scores)
         self.chunks: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
-    def merged(self, text: str) -> list[str]:
-        """Plain merging of a short text: the neighbours with the best joined piece first, the leftmost of equals."""
+    def merged(self, text: str, stop: int = 1) -> list[str]:
+        """Plain merging of a short text, to `stop` parts at least: the neighbours with the best joined piece first, the leftmost of equals."""
         parts = list(text)
-        while len(parts) > 1:
+        while len(parts) > stop:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 score = self.scores.get(parts[i] + parts[i + 1])
@@ -107,20 +124,45 @@ class MergeEncoder:
     def compatible(self, left: str, right: str) -> bool:
         known = self.fits.get((left, right))
         if known is None:
-            if len(self.fits) > 100_000:
+            if len(self.fits) > _KNOWN_PAIRS:
                 self.fits.clear()
-            known = self.fits[left, right] = self.merged(left + right) == [left, right]
+            again = left in self.odd or right in self.odd or (left[-1], right[0]) in self.odd_pairs
+            known = self.fits[left, right] = self.merged(left + right) == [left, right] if again else self.stay(left, right)
         return known
 
-    def split(self, text: str) -> list[str]:
+    def stay(self, left: str, right: str) -> bool:
+        """Whether merging the joined text gives the two pieces: the same as merging it, played back from its last merge.
+
+        Each turn undoes the later of the two pieces' last merges. A merge over the boundary must not have come before it; of
+        equal ones the left comes first.
+        """
+        rank, made, before = self.rank, self.made, len(self.rank) + 1
+        while True:
+            if rank.get(left + right, before) < before:
+                return False
+            a, b = rank[left] if left in made else -1, rank[right] if right in made else -1
+            if a > b:
+                before, left = a, made[left][1]
+            elif b >= 0:
+                before, right = b + 1, made[right][0]
+            else:
+                return True
+
+    def scan(self, text: str) -> list[int]:
+        """Length of the longest piece from each place; the automaton's matches come by their ends, so later ones are longer."""
+        longest = [1] * len(text)
+        for end, length in self.found.iter(text):
+            longest[end - length + 1] = length
+        return longest
+
+    def split(self, text: str, longest: list[int] | None = None) -> list[str]:
         """Pieces (or single unknown characters) of a text, by backtracking."""
         n = len(text)
         if n < 2:
             return list(text)
         fits, reach = self.fits.get, self.reach
-        longest = [1] * n  # the longest piece from each place; matches come by their ends, so later ones are longer
-        for end, length in self.found.iter(text):
-            longest[end - length + 1] = length
+        if longest is None:
+            longest = self.scan(text)
         failed = None  # bitfield of positions from which there is no way on
         out: list[str] = []
         at, last = 0, ""
@@ -151,9 +193,9 @@ class MergeEncoder:
                 last = out[-1] if out else ""
         return out
 
-    def chunk_ids(self, chunk: str) -> tuple[int, ...]:
+    def chunk_ids(self, chunk: str, longest: list[int]) -> tuple[int, ...]:
         ids: list[int] = []
-        for piece in self.split(chunk):
+        for piece in self.split(chunk, longest):
             known = self.ids.get(piece)
             if known is None:
                 ids.extend([self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")])
@@ -161,13 +203,24 @@ class MergeEncoder:
                 ids.append(known)
         return tuple(ids)
 
-    def learned(self, chunk: str) -> tuple[int, ...]:
-        """Ids of a chunk that wasn't in the newer cache, kept there if it is short."""
-        known = self.chunks.get(chunk) or self.older.get(chunk) or self.chunk_ids(chunk)
-        if len(chunk) <= _CACHED_CHARS:
-            if len(self.chunks) >= _CACHED_CHUNKS:
-                self.chunks, self.older = {}, self.chunks
-            self.chunks[chunk] = known
+    def learned(self, chunks: list[str]) -> dict[str, tuple[int, ...]]:
+        """Ids of chunks that aren't in the newer cache, kept there if they are short. Many chunks are scanned at once."""
+        known = {c: self.older.get(c) for c in dict.fromkeys(chunks)}
+        new = [c for c, ids in known.items() if ids is None]
+        while new:
+            size, n = 0, 0
+            while n < len(new) and (not n or size + len(new[n]) < _SCANNED_CHARS):
+                size, n = size + len(new[n]) + 1, n + 1
+            longest, at = self.scan(_BETWEEN.join(new[:n])), 0
+            for chunk in new[:n]:
+                known[chunk] = self.chunk_ids(chunk, longest[at : at + len(chunk)])
+                at += len(chunk) + 1
+            new = new[n:]
+        for chunk, ids in known.items():
+            if len(chunk) <= _CACHED_CHARS:
+                if len(self.chunks) >= _CACHED_CHUNKS:
+                    self.chunks, self.older = {}, self.chunks
+                self.chunks[chunk] = ids
         return known
 
     def encode(self, text: str | None) -> list[int]:
@@ -176,8 +229,11 @@ class MergeEncoder:
             return [self.end_id]
         found = self.cut.findall(SPACE + text.replace(" ", SPACE))
         parts = list(map(self.chunks.get, found))
-        for i in [i for i, part in enumerate(parts) if part is None]:
-            parts[i] = self.learned(found[i])
+        missing = [i for i, part in enumerate(parts) if part is None]
+        if missing:
+            known = self.learned([found[i] for i in missing])
+            for i in missing:
+                parts[i] = known[found[i]]
         ids = list(chain.from_iterable(parts))
         ids.append(self.end_id)
         return ids

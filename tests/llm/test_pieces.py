@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -68,3 +69,25 @@ def test_other_models_and_taken_columns_are_refused(docs_of, tmp_path):
         pieces.MergeEncoder(path)
     with pytest.raises(ValueError, match="already"):
         pieces.decode_ids(docs_of(["a"]), model_path())
+
+
+def test_pieces_stay_as_merging_says(encoder):
+    rng, by = random.Random(5), {}
+    every = [*encoder.reach, *(p for p in encoder.scores if len(p) == 1)]
+    for p in every:
+        by.setdefault(p[0], []).append(p)
+    n = {True: 0, False: 0}
+    for _ in range(20_000):
+        whole, left = rng.choice(every), rng.choice(every)
+        right = rng.choice(by.get(whole[rng.randrange(len(whole))], every))
+        if rng.random() < 0.5 and len(whole) > 1:  # the two halves of a piece mostly do not stay
+            cut = rng.randrange(1, len(whole))
+            left, right = whole[:cut], whole[cut:]
+            if left not in encoder.rank or right not in encoder.rank:
+                continue
+        if pieces.SPACE in right.lstrip(pieces.SPACE):
+            continue
+        want = encoder.merged(left + right) == [left, right]
+        assert encoder.compatible(left, right) == want
+        n[want] += 1
+    assert min(n.values()) > 2000
