@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navloom.llm import contamination, languages, licenses, near_join, pieces, quality_rules, ranking, shards, toxicity, tries, urls
+from navloom.llm import collocations, contamination, languages, licenses, near_join, pieces, quality_rules, ranking, shards, toxicity, tries, urls
 from navloom.llm.common import id_remainder, read, text_crc32
 
 #: Rules (verdict, host, path) of the URL filter. Fixed values.
@@ -82,6 +82,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_verdicts(pages, listed, URL_RULES).drop("canonical", "listed")
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 collocations of each language; null texts have no words, a null language is und, an empty table gives no row."""
+    return collocations.mine_phrases(read(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the trie of rebuilt conversations; rows without a conv_id belong to no conversation, an empty table has no node."""
     return tries.conversation_trie(read(spark, sf_dir, "conversations"))
@@ -98,6 +103,7 @@ QUERIES = {
     "op9_language_spans": op9_language_spans,
     "op10_url_filter": op10_url_filter,
     "op8_piece_codec": op8_piece_codec,
+    "op11_phrase_mining": op11_phrase_mining,
     "op12_prefix_trie": op12_prefix_trie,
 }
 
@@ -116,6 +122,7 @@ ORACLE_SQL: dict[str, str] = {
     "op1_ngram_join": near_join.oracle_sql(),
     "op2_license_scan": licenses.oracle_sql(),
     "op4_decontamination": contamination.oracle_sql(),
+    "op11_phrase_mining": collocations.oracle_sql(),
     "op12_prefix_trie": tries.oracle_sql(),
     "op10_url_filter": rf"""
 with c as ({_CANONICAL}),
