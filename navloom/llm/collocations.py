@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from navloom.llm.common import bounded_batches, discard, materialize, mixed
 
@@ -87,8 +88,7 @@ def word_hash(word: bytes) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(word) or 1)))
 
 
-@F.arrow_udf("long")
-def _hashed(words: pa.Array) -> pa.Array:
+def _hash_words(words: pa.Array) -> pa.Array:
     return pa.array([None if w is None else word_hash(w) for w in words.cast(pa.binary()).to_pylist()], pa.int64())
 
 
@@ -297,7 +297,7 @@ def mine_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     routed = bounded_batches(routed).repartition(parts, "part").sortWithinPartitions("part", "lang")
     runs = materialize(routed.mapInArrow(_sort_parts(least), "lang string, depth int, first long, second long, third long, n long"), "phrase-runs")
 
-    words = materialize(singles.where(F.col("n") >= least).select("lang", "word", F.col("n").alias("f"), _hashed("word").alias("h")), "phrase-frequent")
+    words = materialize(singles.where(F.col("n") >= least).select("lang", "word", F.col("n").alias("f"), F.arrow_udf(_hash_words, T.LongType())("word").alias("h")), "phrase-frequent")
     word = lambda i, h: words.select("lang", F.col("h").alias(h), F.col("word").alias(f"w{i}"), F.col("f").alias(f"f{i}"))
     pairs = runs.where("depth = 2").select("lang", "first", "second", "n")
     common = runs.where("depth = 0").groupBy("lang", "first", "second").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
