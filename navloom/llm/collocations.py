@@ -28,6 +28,8 @@ LEAST_COUNT, TOP, COVERED = 10, 2000, 50
 HELD_WORDS, HELD_DISTINCT, PART_POINTERS = 1 << 21, 400_000, 1 << 21
 #: A pair of words with over the HOT-th part of all words is routed by the third word too; there are HOT such pairs at most.
 HOT = 2000
+#: The best of a language are first found in so many parts.
+SALTS = 4
 #: Partitions up to this size are sorted at once.
 SMALL = 4096
 #: A-Z to lower case, separators of pieces to 0xFF (no byte of UTF-8), tab to space.
@@ -318,7 +320,9 @@ def mine_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     pick = lambda one, other: F.when(F.col("_one") <= F.col("_two"), F.col(one)).otherwise(F.col(other))
     three = three.select("lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "a", pick("f1", "f12").alias("l"), pick("f23", "f3").alias("r"), F.least("_one", "_two").alias("score"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = two.unionByName(three).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)  # limited before the shuffle
+    salted = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).orderBy(F.desc("score"), F.desc("a"), "phrase")
+    best = two.unionByName(three).withColumn("rank", F.row_number().over(salted)).where(F.col("rank") <= top)
+    best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)  # of SALTS * top rows of a language
     out = best.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", F.col("total").alias("n"), "score")
     out = materialize(out, "phrase-top")
     discard(counted, runs, words, pairs, triples)
