@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navloom.llm import collocations, contamination, languages, licenses, near_join, pieces, quality_rules, ranking, shards, toxicity, tries, urls
+from navloom.llm import collocations, contamination, forest, languages, licenses, near_join, pieces, quality_rules, ranking, shards, toxicity, tries, urls
 from navloom.llm.common import id_remainder, read, text_crc32
 
 #: Rules (verdict, host, path) of the URL filter. Fixed values.
@@ -87,6 +87,11 @@ def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine_phrases(read(spark, sf_dir, "documents"))
 
 
+def op13_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near copies by two-word shingles; texts without words stand alone, an empty table gives no row."""
+    return forest.near_components(read(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the trie of rebuilt conversations; rows without a conv_id belong to no conversation, an empty table has no node."""
     return tries.conversation_trie(read(spark, sf_dir, "conversations"))
@@ -105,6 +110,7 @@ QUERIES = {
     "op8_piece_codec": op8_piece_codec,
     "op11_phrase_mining": op11_phrase_mining,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_minhash_forest": op13_minhash_forest,
 }
 
 _CANONICAL = r"""
@@ -124,6 +130,7 @@ ORACLE_SQL: dict[str, str] = {
     "op4_decontamination": contamination.oracle_sql(),
     "op11_phrase_mining": collocations.oracle_sql(),
     "op12_prefix_trie": tries.oracle_sql(),
+    "op13_minhash_forest": forest.oracle_sql(),
     "op10_url_filter": rf"""
 with c as ({_CANONICAL}),
 rules(what, rule_host, rule_path) as (values ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
