@@ -2,9 +2,7 @@
 
 from navloom.operators import benchmark, cashflow, factors, regimes, returns, risk, scoring
 from navloom.plans.panel import FEATURES
-from navloom.plans.text import Operator
-
-
+from navloom.plans.text import Model, Operator
 
 def _corr(a: str, b: str) -> str:
     """Correlation, null where a side doesn't vary."""
@@ -27,29 +25,6 @@ def _sql(name: str) -> str:
     return text
 
 
-def composed(parts: list[tuple[str, str, float]], how: str, final: str = "score") -> str:
-    """A scoring model: measures (operator, column, signed weight; negative: less is better), how they are made comparable within
-    a sector ("percentile", "zscore" or "robust"), and an expression of score and conf for the final score."""
-    union = " union all ".join(f"select fund_id, '{n}.{c}' as metric, {'-' if w < 0 else ''}cast({c} as double) as x, {abs(w)}e0 as weight from ({_sql(n)}) s{i}" for i, (n, c, w) in enumerate(parts))
-    per = "(partition by l.sector, l.metric)"
-    scaled = {
-        "percentile": "100 * (rank() over (partition by l.sector, l.metric, x is null order by x) + (count(*) over (partition by l.sector, l.metric, x) - 1) / 2e0) / nullif(count(x) over (partition by l.sector, l.metric), 0)",
-        "zscore": f"50 + 15 * case when coalesce(stddev_samp(x) over {per}, 0e0) < 1e-12 then 0e0 else (x - avg(x) over {per}) / nullif(stddev_samp(x) over {per}, 0) end",
-        "robust": "50 + 15 * least(greatest((x - med) / case when mad > 1e-12 then 1.4826e0 * mad else 1e0 end, -3e0), 3e0)",
-    }[how]
-    source = "l"
-    steps = f"l as (select u.fund_id, fund.sector, metric, x, weight from ({union}) u join fund on fund.fund_id = u.fund_id)"
-    if how == "robust":
-        steps += ", med as (select sector, metric, median(x) as med from l group by 1, 2), mad as (select l.sector, l.metric, median(abs(x - med)) as mad from l join med on med.sector = l.sector and med.metric = l.metric group by 1, 2)"
-        source = "l join med on med.sector = l.sector and med.metric = l.metric join mad on mad.sector = l.sector and mad.metric = l.metric"
-    return (
-        f"with {steps}, p as (select l.fund_id, l.sector, l.metric, weight, case when x is not null then {scaled} end as p from {source}), "
-        "c as (select p.fund_id, p.sector, sum(weight * p) / nullif(sum(case when p is not null then weight end), 0) as score, max(least(greatest((d1 - d0) / 365.25e0 / 3, 0e0), 1e0)) as conf from p join span on span.fund_id = p.fund_id group by 1, 2), "
-        f"f as (select fund_id, sector, round({final}, 3) as score from c) "
-        "select fund_id, sector, score, row_number() over (partition by sector order by score desc, fund_id) as place from f where score is not null"
-    )
-
-
 #: Texts that only the models use: shrunk block alphas, dated plans by fund, plans with a year of holding by fund.
 _LB09 = f"""
     with g as (select fund_id, avg(alpha) as a, coalesce(var_samp(alpha), 0.0016e0) as within, count(*) as n from ({_BLOCKS}) b group by 1),
@@ -70,50 +45,55 @@ _MORE = {
 }
 
 
-def measured(parts: list[tuple]) -> str:
-    """Steps up to l (fund_id, sector, pillar, pillar_weight, metric, weight, x) of (pillar, its weight, source, column, weight) parts.
+def measured(parts: list[tuple]) -> dict[str, str]:
+    """Steps up to measures_long (fund_id, sector, pillar, pillar_weight, metric, weight, x) of (pillar, its weight, source, column, weight) parts.
 
     A source is an operator or a text of _MORE, each computed once; a negative weight means that less is better.
     """
-    steps, rows = [], []
+    steps, rows = {}, []
     for source in dict.fromkeys(p[2] for p in parts):
         name = f"o_{source}"
-        steps.append(f"{name} as ({_MORE.get(source) or _sql(source)})")
+        steps[name] = _MORE.get(source) or _sql(source)
         own = [p for p in parts if p[2] == source]
         names = " union all ".join(f"select '{pillar}' as pillar, {pw}e0 as pillar_weight, '{c}' as metric, {abs(w)}e0 as weight" for pillar, pw, _, c, w in own)
         values = " ".join(f"when m.pillar = '{pillar}' and m.metric = '{c}' then {'-' if w < 0 else ''}cast(o.{c} as double)" for pillar, _, _, c, w in own)
         rows.append(f"select o.fund_id, m.pillar, m.pillar_weight, concat('{source}.', m.metric) as metric, m.weight, case {values} end as x from {name} o cross join ({names}) m")
-    return ", ".join(steps) + f", l as (select u.*, fund.sector from ({' union all '.join(rows)}) u join fund on fund.fund_id = u.fund_id)"
+    return {**steps, "measures_long": f"select u.*, fund.sector from ({' union all '.join(rows)}) u join fund on fund.fund_id = u.fund_id"}
+
 
+_PERCENTILE = "100 * (rank() over (partition by sector, pillar, metric, x is null order by x) + (count(*) over (partition by sector, pillar, metric, x) - 1) / 2e0) / nullif(count(x) over (partition by sector, pillar, metric), 0)"
 
-def pillared(parts: list[tuple], confidence: str = "1e0") -> str:
-    """Percentiles within the sector, weighted means by pillar and over pillars of what a fund has, times a confidence (of c: scr10, scr11)."""
-    p = "100 * (rank() over (partition by sector, pillar, metric, x is null order by x) + (count(*) over (partition by sector, pillar, metric, x) - 1) / 2e0) / nullif(count(x) over (partition by sector, pillar, metric), 0)"
-    return f"""
-        with {measured(parts)}, p as (select *, case when x is not null then {p} end as p from l),
-        s as (select fund_id, sector, pillar, max(pillar_weight) as pw, sum(weight * p) / nullif(sum(case when p is not null then weight end), 0) as s from p group by 1, 2, 3),
-        r as (select fund_id, sector, sum(pw * s) / nullif(sum(case when s is not null then pw end), 0) as raw, max(case when pillar = 'plans' then s end) as plans from s group by 1, 2),
-        conf as ({_sql("scr10_confidence_tables")}), steps as ({_sql("scr10_history_confidence")}), room as ({_sql("scr11_capacity")}),
-        f as (select r.fund_id, r.sector, round(least(greatest(raw * {confidence}, 0e0), 100e0), 6) as score
-              from r join conf on conf.fund_id = r.fund_id join steps on steps.fund_id = r.fund_id join room on room.fund_id = r.fund_id)
-        select fund_id, sector, score, row_number() over (partition by sector order by score desc, fund_id) as place from f where score is not null"""
 
+def pillared(name: str, doc: str, parts: list[tuple], confidence: str = "1e0") -> Model:
+    """Percentiles within the sector, weighted means by pillar (pillar_scores) and over the pillars that a fund has (model_scores), times a confidence (of conf, steps, room)."""
+    steps = measured(parts) | {
+        "pillar_scores": f"""
+            select fund_id, sector, pillar, max(pillar_weight) as pw, sum(weight * p) / nullif(sum(case when p is not null then weight end), 0) as s
+            from (select *, case when x is not null then {_PERCENTILE} end as p from measures_long) p group by 1, 2, 3""",
+        "model_scores": f"""
+            select r.fund_id, r.sector, round(least(greatest(raw * {confidence}, 0e0), 100e0), 6) as score
+            from (select fund_id, sector, sum(pw * s) / nullif(sum(case when s is not null then pw end), 0) as raw, max(case when pillar = 'plans' then s end) as plans from pillar_scores group by 1, 2) r
+            join ({_sql("scr10_confidence_tables")}) conf on conf.fund_id = r.fund_id join ({_sql("scr10_history_confidence")}) steps on steps.fund_id = r.fund_id
+            join ({_sql("scr11_capacity")}) room on room.fund_id = r.fund_id""",
+    }
+    return Model(name, doc, "select fund_id, sector, score, row_number() over (partition by sector order by score desc, fund_id) as place from model_scores where score is not null", steps=steps)
 
-def robust(parts: list[tuple[str, str, float]], clip: float, divisor: float, days: int, high: float, low: float, room: str, least: float, most: float) -> str:
+
+def robust(name: str, doc: str, parts: list[tuple[str, str, float]], clip: float, divisor: float, days: int, high: float, low: float, room: str, least: float, most: float) -> Model:
     """Robust z-scores within the sector, clipped; the normal distribution function of their weighted sum; times confidence and capacity, clipped.
 
     Weights keep their sign: a negative one counts the measure itself the other way round.
     """
     z = f"coalesce(least(greatest((x - med) / (1.4826e0 * case when mad > 1e-12 then mad else 1e0 end), -{clip}e0), {clip}e0), 0e0)"
-    return f"""
-        with {measured([("all", 1, *p) for p in parts])},
-        med as (select sector, metric, median(x) as med from l group by 1, 2),
-        mad as (select l.sector, l.metric, median(abs(x - med)) as mad from l join med on med.sector = l.sector and med.metric = l.metric group by 1, 2),
-        r as (select l.fund_id, l.sector, sum(weight * {z}) as raw from l join med on med.sector = l.sector and med.metric = l.metric
+    text = f"""
+        with med as (select sector, metric, median(x) as med from measures_long group by 1, 2),
+        mad as (select l.sector, l.metric, median(abs(x - med)) as mad from measures_long l join med on med.sector = l.sector and med.metric = l.metric group by 1, 2),
+        r as (select l.fund_id, l.sector, sum(weight * {z}) as raw from measures_long l join med on med.sector = l.sector and med.metric = l.metric
               join mad on mad.sector = l.sector and mad.metric = l.metric group by 1, 2),
         f as (select r.fund_id, r.sector, round(least(greatest({scoring._PHI.format(z=f"raw / {divisor}e0")} * 100 * case when s.d1 - s.d0 >= {days} then {high}e0 else {low}e0 end
                      * {room}, {least}e0), {most}e0), 2) as score from r join span s on s.fund_id = r.fund_id join fund on fund.fund_id = r.fund_id)
         select fund_id, sector, score, dense_rank() over (partition by sector order by score desc) as place from f"""
+    return Model(name, doc, text, steps=measured([("all", 1, *p) for p in parts]))
 
 
 _SMALL_ROOM = "case when coalesce(aum, 500e0) < 400 then 1.07e0 when coalesce(aum, 500e0) < 1500 then 1.05e0 when coalesce(aum, 500e0) < 4000 then 1.02e0 when coalesce(aum, 500e0) < 12000 then 0.99e0 else 0.95e0 end"
@@ -153,9 +133,9 @@ OPERATORS = [
         "Sixteen features of each fund as of the start of each plan, from values up to then, and the plan's outcome.",
         f"select fund_id, cast(m as varchar(20)) as as_of_month, round(y, 6) as y, {', '.join(f'round({f}, 6) as {f}' for f in FEATURES)} from p16",
     ),
-    Operator("lb03_feature_spearman", "Correlation of percentile ranks of feature and outcome within sector and month, pooled by sector.", "select sector, metric, n, round(rho, 6) as rho from p16rho"),
-    Operator("lb04_feature_weights", "Learned weights of the sixteen features by sector: sign, weight, status; five equal ones where nothing can be learned.", "select sector, metric, round(rho, 6) as rho, sign, round(weight, 6) as weight, status from p16w"),
-    Operator(
+    Model("lb03_feature_spearman", "Correlation of percentile ranks of feature and outcome within sector and month, pooled by sector.", "select sector, metric, n, round(rho, 6) as rho from p16rho"),
+    Model("lb04_feature_weights", "Learned weights of the sixteen features by sector: sign, weight, status; five equal ones where nothing can be learned.", "select sector, metric, round(rho, 6) as rho, sign, round(weight, 6) as weight, status from p16w"),
+    Model(
         "e2e01_adaptive_plan",
         "Small-cap model: sixteen features, learned weights (lb04_feature_weights), weighted mean of z-scores, percentile within the sector, 0.85 under three years.",
         """
@@ -165,30 +145,30 @@ OPERATORS = [
                      / count(*) over (partition by sector) as p from pscore) p
         join span s on s.fund_id = p.fund_id""",
     ),
-    Operator(
+    pillared(
         "e2e02_regime_pillars",
         "Mid-cap model: five pillars (regime alpha, shrunk skill, dated plans, tails and recovery, holdings) of percentiles, times confidence by days. The holdings pillar has no haircut by assets.",
-        pillared([
+        [
             ("regime", 0.35, "rg05_expected_alpha", "expected", 0.75), ("regime", 0.35, "rg06_capture_spread", "spread", 0.25),
             ("skill", 0.2, "lb09", "shrunk", 0.7), ("skill", 0.2, "bm20_block_stability", "stability", 0.3),
             ("plans", 0.2, "dated_plans", "p50", 0.45), ("plans", 0.2, "dated_plans", "p25", 0.35), ("plans", 0.2, "cf08_hit_rate", "hit_rate", 0.2),
             ("tails", 0.15, "rk07_cdar", "cdar_two", 0.4), ("tails", 0.15, "rk21_recovery_half_life", "half_life", -0.25), ("tails", 0.15, "rk17_skew", "down_up", -0.2), ("tails", 0.15, "rk17_skew", "skew", 0.15),
             ("holdings", 0.1, "hd02_equity_profile", "top_10", -0.45), ("holdings", 0.1, "hd02_equity_profile", "n_holdings", 0.3), ("holdings", 0.1, "hd02_equity_profile", "mean_change", 0.25),
-        ], "conf.by_days"),
+        ], "conf.by_days",
     ),
-    Operator(
+    pillared(
         "e2e03_style_allocation",
         "Multi-asset model: four pillars (allocation profile, outlook fit, downside, plan history) of percentiles. The pillar of allocation skill (FX05) is in e2e03_allocation_skill.",
-        pillared([
+        [
             ("profile", 0.25, "fx09_diversification", "diversification", 0.6), ("profile", 0.25, "fx09_diversification", "balance", 0.4), ("outlook", 0.15, "fx10_outlook_fit", "distance", -1),
             ("downside", 0.25, "rk10_sortino", "growth", 0.4), ("downside", 0.25, "rk13_calmar", "calmar", 0.35), ("downside", 0.25, "rk07_cdar", "cdar_q", 0.25),
             ("plans", 0.1, "cf07_sip_summary", "median_x", 0.6), ("plans", 0.1, "cf07_sip_summary", "p25", 0.4),
-        ]),
+        ],
     ),
-    Operator(
+    pillared(
         "e2e04_hold_composite",
         "Total-market model: five pillars (held plans, alpha consistency, resilience, conviction and capacity, path) of percentiles, times confidence by weeks. Lacks the share of windows with an alpha above the peers'.",
-        pillared([
+        [
             ("plans", 0.3, "held_plans", "p50", 0.3), ("plans", 0.3, "held_plans", "p25", 0.2), ("plans", 0.3, "held_plans", "newest", 0.15), ("plans", 0.3, "cf08_hit_rate", "hit_rate", 0.2), ("plans", 0.3, "held_plans", "peer_hits", 0.15),
             ("skill", 0.22, "bm21_rolling_alphas", "share_positive", 0.3), ("skill", 0.22, "lb09", "shrunk", 0.25), ("skill", 0.22, "bm02_information_ratio", "ir", 0.15),
             ("hold", 0.23, "rg05_expected_alpha", "expected", 0.3), ("hold", 0.23, "rg06_capture_spread", "spread", 0.2), ("hold", 0.23, "rg07_masked_excess", "excess", 0.15),
@@ -196,13 +176,13 @@ OPERATORS = [
             ("conviction", 0.1, "bm03_active_skill", "skill", 0.45), ("conviction", 0.1, "rg08_beta_stability", "stability", 0.35), ("conviction", 0.1, "scr11_capacity", "piecewise", 0.2),
             ("path", 0.15, "rk15_gain_to_pain", "gain_to_pain", 0.2), ("path", 0.15, "rk16_tail_ratio", "tail_ratio", 0.15), ("path", 0.15, "rk14_ulcer_performance", "upi", 0.2),
             ("path", 0.15, "rt13_vol_drag", "adjusted", 0.3), ("path", 0.15, "rk04_current_drawdown", "current_dd", 0.15),
-        ], "conf.by_weeks"),
+        ], "conf.by_weeks",
     ),
     Operator("e2e05_learned_weights", "Learned model: last features of each fund weighted by the blended weights, percentile within the sector.", f"with w as (select p.metric, 0.42e0 * abs(c.rho) / nullif(sum(abs(c.rho)) over (), 0) + 0.58e0 * prior as weight from ({_PRIOR}) p join ({_POOLED}) c on c.metric = p.metric), x as (select fund_id, max_by(mom, m) as mom, max_by(dd, m) as dd, max_by(steady, m) as steady from (select fund_id, m, mom, dd, -stddev_samp(r) over (partition by fund_id order by m rows between 11 preceding and current row) as steady from monr) z group by 1), l as (select fund_id, 'mom' as metric, round(mom, 12) as x from x union all select fund_id, 'dd', round(dd, 12) from x union all select fund_id, 'steady', round(steady, 12) from x), p as (select l.fund_id, fund.sector, w.weight, 100 * (rank() over (partition by fund.sector, l.metric order by l.x) + (count(*) over (partition by fund.sector, l.metric, l.x) - 1) / 2e0) / count(*) over (partition by fund.sector, l.metric) as p from l join fund on fund.fund_id = l.fund_id join w on w.metric = l.metric where l.x is not null), s as (select fund_id, sector, round(sum(weight * p) / sum(weight), 3) as score from p group by 1, 2) select fund_id, sector, score, row_number() over (partition by sector order by score desc, fund_id) as place from s"),
-    Operator(
+    pillared(
         "e2e06_scenario",
         "Scenario model: five pillars (held plans, recovery, resilience, factor skill, confidence) of percentiles, times confidence, capacity and coverage. Confidence and capacity count as percentiles in their pillar.",
-        pillared([
+        [
             ("plans", 0.34, "held_plans", "p50", 0.28), ("plans", 0.34, "held_plans", "p25", 0.24), ("plans", 0.34, "held_plans", "newest", 0.16), ("plans", 0.34, "cf08_hit_rate", "hit_rate", 0.16),
             ("plans", 0.34, "held_plans", "peer_hits", 0.12), ("plans", 0.34, "held_plans", "n_windows", 0.04),
             ("recovery", 0.18, "bm14_swing_participation", "participation", 0.3), ("recovery", 0.18, "bm10_defense_recovery", "recovery", 0.24), ("recovery", 0.18, "rt11_overheat", "r26", 0.2),
@@ -212,46 +192,44 @@ OPERATORS = [
             ("skill", 0.18, "fx01_factor_alpha", "alpha", 0.34), ("skill", 0.18, "fx01_factor_alpha", "factor_ir", 0.22), ("skill", 0.18, "fx02_alpha_stability", "stability", 0.18),
             ("skill", 0.18, "bm01_alpha_beta", "beta", -0.14), ("skill", 0.18, "rt03_cagr_calendar", "cagr", 0.12),
             ("confidence", 0.08, "scr10_history_confidence", "step", 0.6), ("confidence", 0.08, "scr11_capacity", "piecewise", 0.4),
-        ], "steps.step * room.piecewise"),
+        ], "steps.step * room.piecewise",
     ),
-    Operator(
+    pillared(
         "e2e07_small_cap",
         "Six percentiles: information ratio, plan alpha trend, captures, omega, volatility contraction.",
-        pillared([("all", 1, "bm02_information_ratio", "ir", 0.25), ("all", 1, "cf06_rolling_sip_return", "trend", 0.2), ("all", 1, "bm04_capture_windows", "up_26", 0.15),
-                  ("all", 1, "bm04_capture_means", "down_52", -0.15), ("all", 1, "rk11_omega", "omega_zero", 0.15), ("all", 1, "rk18_vol_contraction", "contraction", -0.1)]),
+        [("all", 1, "bm02_information_ratio", "ir", 0.25), ("all", 1, "cf06_rolling_sip_return", "trend", 0.2), ("all", 1, "bm04_capture_windows", "up_26", 0.15),
+                  ("all", 1, "bm04_capture_means", "down_52", -0.15), ("all", 1, "rk11_omega", "omega_zero", 0.15), ("all", 1, "rk18_vol_contraction", "contraction", -0.1)],
     ),
-    Operator(
+    pillared(
         "e2e07_multi_asset",
         "Four percentiles: agility, gains over gold, Sortino, plan stability; times the share of three years of rows.",
-        pillared([("all", 1, "bm07_side_betas", "agility", 0.3), ("all", 1, "bm22_sleeve_excess", "gold_up", 0.3), ("all", 1, "rk10_sortino", "arithmetic", 0.2), ("all", 1, "cf06_rolling_sip_return", "stability", 0.2)], "conf.by_rows"),
+        [("all", 1, "bm07_side_betas", "agility", 0.3), ("all", 1, "bm22_sleeve_excess", "gold_up", 0.3), ("all", 1, "rk10_sortino", "arithmetic", 0.2), ("all", 1, "cf06_rolling_sip_return", "stability", 0.2)], "conf.by_rows",
     ),
-    Operator(
+    pillared(
         "e2e07_total_market",
         "Five percentiles: mean and least rate of held plans, factor alpha, longest drawdown, geometric down capture; times confidence by days.",
-        pillared([("all", 1, "held_plans", "mean_x", 0.25), ("all", 1, "fx01_factor_alpha", "alpha", 0.15), ("all", 1, "held_plans", "least_x", 0.2), ("all", 1, "rk23_drawdown_episodes", "longest_days", -0.2),
-                  ("all", 1, "bm06_capture_geometric", "down_capture", -0.2)], "conf.by_long_days"),
+        [("all", 1, "held_plans", "mean_x", 0.25), ("all", 1, "fx01_factor_alpha", "alpha", 0.15), ("all", 1, "held_plans", "least_x", 0.2), ("all", 1, "rk23_drawdown_episodes", "longest_days", -0.2),
+                  ("all", 1, "bm06_capture_geometric", "down_capture", -0.2)], "conf.by_long_days",
     ),
-    Operator(
+    robust(
         "e2e08_small_cap",
         "Robust model of eight measures: rebound, plan stability, recovery, excess over its deviation, resilience, persistence, avoidance, acceleration.",
-        robust([("bm15_rebound_resilience", "rebound", 0.18), ("cf06_rolling_sip_return", "stability", 0.15), ("bm12_recovery_ratio", "ratio", 0.14), ("bm17_vol_adjusted_alpha", "ratio", 0.13),
+        [("bm15_rebound_resilience", "rebound", 0.18), ("cf06_rolling_sip_return", "stability", 0.15), ("bm12_recovery_ratio", "ratio", 0.14), ("bm17_vol_adjusted_alpha", "ratio", 0.13),
                 ("bm15_rebound_resilience", "resilience", 0.12), ("rk20_autocorrelation", "lag1", 0.1), ("bm16_drawdown_avoidance", "avoidance", 0.1), ("rt10_acceleration", "acceleration", 0.08)],
-               3.5, 1.15, 900, 0.96, 0.68, _SMALL_ROOM, 18, 94),
+               3.5, 1.15, 900, 0.96, 0.68, _SMALL_ROOM, 18, 94,
     ),
-    Operator(
+    robust(
         "e2e08_mid_cap",
         "Robust model of nine measures: swing, down capture, rebound, block stability, convexity, style purity and drift, recovery, momentum.",
-        robust([("bm08_swing", "elasticity", 0.18), ("bm04_capture_windows", "down_or_one", -0.15), ("bm11_rebound_elasticity", "elasticity", 0.15), ("bm20_block_stability", "stability", 0.12),
+        [("bm08_swing", "elasticity", 0.18), ("bm04_capture_windows", "down_or_one", -0.15), ("bm11_rebound_elasticity", "elasticity", 0.15), ("bm20_block_stability", "stability", 0.12),
                 ("bm18_timing_convexity", "convexity", 0.1), ("fx03_style_purity", "purity", 0.1), ("fx03_style_purity", "drift", -0.08), ("rk21_recovery_growth", "half_life", -0.07),
-                ("rt08_momentum_less_overextension", "quality", 0.07)], 3, 1.2, 365, 0.95, 0.7, _LARGE_ROOM, 22, 92),
+                ("rt08_momentum_less_overextension", "quality", 0.07)], 3, 1.2, 365, 0.95, 0.7, _LARGE_ROOM, 22, 92,
     ),
-    Operator(
+    robust(
         "e2e08_multi_asset",
         "Robust model of nine measures: gains over gold and equity, silver beta, down capture, rebound, pain, beta dispersion, noise, persistence.",
-        robust([("bm22_sleeve_excess", "gold_up", 0.18), ("bm22_sleeve_excess", "equity_up", 0.15), ("bm22_sleeve_excess", "silver_beta", 0.1), ("bm04_capture_windows", "down_clipped", -0.14),
+        [("bm22_sleeve_excess", "gold_up", 0.18), ("bm22_sleeve_excess", "equity_up", 0.15), ("bm22_sleeve_excess", "silver_beta", 0.1), ("bm04_capture_windows", "down_clipped", -0.14),
                 ("bm11_rebound_elasticity", "elasticity", 0.13), ("rk06_pain", "pain_fall", -0.1), ("fx11_beta_dispersion", "dispersion", -0.09), ("rk26_tactical_noise", "noise", -0.08),
-                ("bm23_quadrant_persistence", "persistence", 0.12)], 3, 1.15, 365, 0.95, 0.7, _LARGE_ROOM, 20, 90),
+                ("bm23_quadrant_persistence", "persistence", 0.12)], 3, 1.15, 365, 0.95, 0.7, _LARGE_ROOM, 20, 90,
     ),
-    Operator("e2e07_fixed_percentiles", "Fixed-weight percentiles of growth, volatility, Sortino, omega, information ratio and down capture.", composed([("rt02_cagr_periods", "cagr_3y", 0.25), ("rk01_volatility", "vol", -0.15), ("rk10_sortino", "arithmetic", 0.2), ("rk11_omega", "omega", 0.1), ("bm02_information_ratio", "ir", 0.15), ("bm05_capture_sums", "down_capture", -0.15)], "percentile")),
-    Operator("e2e08_robust_scores", "Robust z-scores of growth, acceleration, rebound, resilience, persistence and avoidance.", composed([("rt04_cagr_whole", "cagr", 0.25), ("rt10_acceleration", "acceleration", 0.1), ("bm15_rebound_resilience", "rebound", 0.15), ("bm15_rebound_resilience", "resilience", 0.2), ("rk20_autocorrelation", "lag1", 0.1), ("bm16_drawdown_avoidance", "avoidance", 0.2)], "robust")),
 ]

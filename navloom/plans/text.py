@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,40 +66,57 @@ def written(text: str, engine: str) -> str:
     return text
 
 
+_READ = re.compile(r"\b(?:from|join)\s+([a-z_][a-z0-9_]*)")
+
+
 @dataclass(frozen=True)
 class Operator:
     """A query over named tables.
 
     sql may use the tables of the data model (fund, nav, index_nav, holding, model_score, ...), the shared steps and its own steps
-    by name; {name} stands for a parameter. Calling it gives a lazy DataFrame; nothing is collected.
+    by name; {name} stands for a parameter. steps are more named steps, which may take the place of shared steps and of tables; a
+    table that they replace is still there as <name>_all. Calling it gives a lazy DataFrame; nothing is collected.
     """
 
     name: str
     doc: str
     sql: str
     params: Mapping[str, object] = field(default_factory=dict)
+    steps: Mapping[str, str] = field(default_factory=dict)
 
-    def text(self, engine: str, inputs: Mapping[str, str], **params) -> str:
+    def resolved(self, inputs: Mapping[str, str], ready: Mapping[str, str] | None = None, target: str | None = None, **params) -> tuple[list[tuple[str, str]], str]:
+        """(steps in the order in which they need each other, as name and text; the text itself, or that of the target step)."""
         from navloom.plans.steps import STEPS
 
-        values = {**self.params, **params}
-        body = self.sql
-        for key, value in values.items():
+        ready = ready or {}
+        given = {**inputs, **{f"{k}_all": v for k, v in inputs.items()}}
+        own = {**STEPS, **self.steps}
+        body = f"select * from {target}" if target else self.sql
+        for key, value in {**self.params, **params}.items():
             body = body.replace("{" + key + "}", str(value))
-        order: list[str] = []
+        order: list[tuple[str, str]] = []
         seen: set[str] = set()
 
         def need(text: str) -> None:
             for word in dict.fromkeys(re.findall(r"[a-z_][a-z0-9_]*", text)):
-                if word in seen or word not in inputs and word not in STEPS:
+                if word in seen or not (word in ready or word in given or word in own):
                     continue
                 seen.add(word)
-                if word not in inputs:
-                    need(STEPS[word])
-                order.append(word)
+                if word in ready:
+                    found = ready[word]
+                elif word in self.steps or word not in given:
+                    found = own[word]
+                    need(found)
+                else:
+                    found = given[word]
+                order.append((word, found))
 
         need(body)
-        withs = [f"{name} as ({inputs[name] if name in inputs else STEPS[name]})" for name in order]
+        return order, body
+
+    def text(self, engine: str, inputs: Mapping[str, str], ready: Mapping[str, str] | None = None, target: str | None = None, **params) -> str:
+        order, body = self.resolved(inputs, ready, target, **params)
+        withs = [f"{name} as ({found})" for name, found in order]
         own = re.match(r"\s*with\s+", body)
         if own:
             body = body[own.end() :]
@@ -105,8 +124,50 @@ class Operator:
         return written(f"with {', '.join(withs)} {body}" if withs else body, engine)
 
     def __call__(self, tables: Mapping[str, DataFrame], **params) -> DataFrame:
+        return self.over(tables, {}, **params)
+
+    def over(self, tables: Mapping[str, DataFrame], ready: Mapping[str, DataFrame], target: str | None = None, **params) -> DataFrame:
+        """The query (or one of its steps) over tables, with the steps in ready taken from there."""
         names = {name: f"select * from {{{name}}}" for name in tables}
-        text = self.text("spark", names, **params)
-        used = {name: df for name, df in tables.items() if "{" + name + "}" in text}
-        spark = next(iter(tables.values())).sparkSession if tables else SparkSession.active()
+        text = self.text("spark", names, {name: f"select * from {{ready_{name}}}" for name in ready}, target, **params)
+        frames = {**tables, **{f"ready_{name}": df for name, df in ready.items()}}
+        used = {name: df for name, df in frames.items() if "{" + name + "}" in text}
+        spark = next(iter(frames.values())).sparkSession if frames else SparkSession.active()
         return spark.sql(text, **used)
+
+
+#: Steps of a model that are written at a time.
+AT_ONCE = 6
+
+
+class Model(Operator):
+    """An operator of many measures that share steps: each step that is read more than once is computed once.
+
+    Spark puts the text of a named step wherever it is read, so a step that ten measures read would run ten times, and so would all
+    below it. Calling a model writes these steps as tables to the shared folder, in the order in which they need each other, and
+    reads them back; what is left is one plan over a few tables. Jobs run while the query is built.
+    """
+
+    def shared(self, tables: Mapping[str, DataFrame], **params) -> list[str]:
+        """Names of the steps that are read more than once, in the order in which they need each other."""
+        order, body = self.resolved({name: "" for name in tables}, **params)
+        reads = Counter(name for text in [body, *(t for _, t in order)] for name in _READ.findall(text))
+        reads.update({name: 2 for name, _ in order if name.startswith(("o_", "measures_"))})  # what ends a measure, or all of them
+        return [name for name, text in order if reads[name] > 1 and text and not re.fullmatch(r"select '[^()]*", text)]
+
+    def __call__(self, tables: Mapping[str, DataFrame], **params) -> DataFrame:
+        from navloom.sources.shared import stored
+
+        names = {name: "" for name in tables}
+        waiting = {name: set() for name in self.shared(tables, **params)}
+        for name in waiting:
+            below, _ = self.resolved(names, dict.fromkeys(waiting.keys() - {name}, ""), name, **params)
+            waiting[name] = {n for n, _ in below} & waiting.keys() - {name}
+        ready: dict[str, DataFrame] = {}
+        with ThreadPoolExecutor(AT_ONCE) as pool:  # steps that do not need each other are written side by side
+            while waiting:
+                now = [name for name, needs in waiting.items() if needs <= ready.keys()]
+                found = pool.map(lambda name: stored(self.over(tables, ready, name, **params), f"step-{name}"), now)
+                ready |= dict(zip(now, list(found), strict=True))
+                waiting = {name: needs for name, needs in waiting.items() if name not in ready}
+        return self.over(tables, ready, **params)

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def new_folder(spark: SparkSession, tag: str) -> str:
@@ -18,3 +18,10 @@ def new_folder(spark: SparkSession, tag: str) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="navloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/navloom/{tag}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """Writes df as a table in the shared folder and reads it back: computed once, and still there when executors are lost."""
+    path = new_folder(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
