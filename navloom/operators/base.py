@@ -19,7 +19,7 @@ def wide(rows: DataFrame, index: str, key: str, value: str) -> DataFrame:
 
 
 #: Keys of a holding's weight, in the order in which they are tried. Fixed values.
-WEIGHT_KEYS = ("nav_share", "allocation", "allocationPct", "weight", "holdingPct", "percent", "pct", "holding_share", "portfolioShare")
+WEIGHT_KEYS = ("nav", "allocation", "allocationPct", "weight", "holdingPct", "percent", "pct", "holding", "portfolioShare")
 
 
 def _usable(key: str) -> str:

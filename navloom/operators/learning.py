@@ -2,6 +2,7 @@
 
 from navloom.operators import benchmark, cashflow, factors, regimes, returns, risk, scoring
 from navloom.plans.panel import FEATURES
+from navloom.plans.replay import replayed, snapshot_steps
 from navloom.plans.text import Model, Operator
 
 def _corr(a: str, b: str) -> str:
@@ -233,3 +234,174 @@ OPERATORS = [
                 ("bm23_quadrant_persistence", "persistence", 0.12)], 3, 1.15, 365, 0.95, 0.7, _LARGE_ROOM, 20, 90,
     ),
 ]
+_MODELS = {o.name: o for o in OPERATORS}
+_HOLD = _sql("cf05_sip_then_hold")
+#: What is to be ranked, and what came of it: snapshots as k, day; scores of a fund as of then; the fund's first plan from that day on.
+_OUTCOMES = {
+    "replay_plans": _HOLD,
+    "replay_first": """
+        select p.fund_id, r.k, r.day, min(p.start) as start from replay_plans p join replay_days r on [[day|p.start]] >= r.day group by 1, 2, 3""",
+    "replay_outcomes": """
+        select f.fund_id, f.k, f.day, p.xirr as y from replay_first f join replay_plans p on p.fund_id = f.fund_id and p.start = f.start where p.xirr is not null""",
+    "replay_scores": """
+        select split_part(s.fund_id, '@', 1) as fund_id, split_part(s.sector, '@', 1) as sector, cast(split_part(s.fund_id, '@', 2) as int) as k, s.score
+        from model_scores s where s.sector like '%@%' and s.score is not null""",
+}
+
+
+def _ranked(by: str, x: str, y: str) -> str:
+    """Average ranks of two columns within groups."""
+    one = lambda c: f"rank() over (partition by {by} order by {c}) + (count(*) over (partition by {by}, {c}) - 1) / 2e0"
+    return f"{one(x)} as rx, {one(y)} as ry"
+
+
+def _score_report(least: int, top: int) -> str:
+    return f"""
+        with j as (select s.sector, s.fund_id, s.k, o.day, s.score, o.y, b.y as bench, count(*) over (partition by s.sector, s.k) as n,
+                          row_number() over (partition by s.sector, s.k order by s.score desc, s.fund_id) as place, {_ranked("s.sector, s.k", "s.score", "o.y")}
+                   from replay_scores s join replay_outcomes o on o.fund_id = s.fund_id and o.k = s.k
+                   left join replay_outcomes b on b.fund_id = concat('index:', s.sector) and b.k = s.k),
+        m as (select sector, k, median(y) as med from j group by 1, 2)
+        select j.sector, cast([[date|max(j.day)]] as varchar(10)) as snapshot, max(n) as n_funds, round({_corr("rx", "ry")}, 6) + 0e0 as ic,
+               round(avg(case when place <= {top} then y end) - max(med), 6) as top_less_median, round(avg(case when place <= {top} then case when y > med then 1e0 else 0e0 end end), 6) as peer_hits,
+               round(avg(case when place <= {top} and bench is not null then case when y > bench then 1e0 else 0e0 end end), 6) as bench_hits,
+               round(max(med), 6) as peer_median, round(avg(case when place <= {top} then y end), 6) as top_mean
+        from j join m on m.sector = j.sector and m.k = j.k where n >= {least} group by j.sector, j.k"""
+
+
+_PILLAR_IC = f"""
+    with x as (select split_part(s.fund_id, '@', 1) as fund_id, split_part(s.sector, '@', 1) as sector, cast(split_part(s.fund_id, '@', 2) as int) as k, s.pillar, round(s.s, 9) as s
+               from pillar_scores s where s.sector like '%@%' and s.s is not null),
+    r as (select x.sector, x.pillar, x.k, o.day, count(*) over (partition by x.sector, x.pillar, x.k) as n, {_ranked("x.sector, x.pillar, x.k", "x.s", "o.y")}
+          from x join replay_outcomes o on o.fund_id = x.fund_id and o.k = x.k),
+    i as (select sector, pillar, k, max(day) as day, max(n) as n_funds, {_corr("rx", "ry")} as ic from r where n >= 6 group by 1, 2, 3)
+    select sector, pillar, cast([[date|day]] as varchar(10)) as snapshot, n_funds, round(ic, 6) + 0e0 as ic, round(avg(ic) over (partition by sector, pillar), 6) + 0e0 as mean_ic from i"""
+
+#: Alpha of the year before and of the year after each of eight dates, thirteen weeks apart; a date counts from eight funds on.
+_ALPHA_IC = f"""
+    with e as (select [[seq|0|7]] as k, w1 from (select max(w) as w1 from bwr) x), d as (select k, w1 - 7 * (53 + 13 * k) as day from e),
+    a as (select al.fund_id, d.k, d.day, case when al.w <= d.day then 0 else 1 end as side, regr_slope(f, b) as beta, avg(f) as mf, avg(b) as mb, count(*) as n, var_samp(b) as v
+          from al join d on al.w > d.day - 364 and al.w <= d.day + 364 group by 1, 2, 3, 4),
+    s as (select fund_id, k, day, side, round(52 * (mf - {{rf}} - beta * (mb - {{rf}})), 12) as alpha from a where n >= {{least}} and v > 1e-12),
+    p as (select fund.sector, x.k, x.day, x.fund_id, x.alpha as past, y.alpha as later, count(*) over (partition by fund.sector, x.k) as n, {_ranked("fund.sector, x.k", "x.alpha", "y.alpha")}
+          from s x join s y on y.fund_id = x.fund_id and y.k = x.k and y.side = 1 join fund on fund.fund_id = x.fund_id where x.side = 0),
+    i as (select sector, k, max(day) as day, max(n) as n_funds, {_corr("rx", "ry")} as ic from p where n >= 8 group by 1, 2)
+    select sector, cast([[date|day]] as varchar(10)) as as_of_day, n_funds, round(ic, 6) + 0e0 as ic, round(avg(ic) over (partition by sector), 6) + 0e0 as mean_ic from i""".replace("{rf}", "(pow(1.065e0, 1 / 52e0) - 1)")
+
+#: The plan that ended when another starts (24 months before) against that one, at six months that are three apart.
+_HOLD_IC = f"""
+    with h as ({_HOLD}), z as (select max(start) as last_start from h),
+    d as (select [[seq|0|5]] as k, last_start from z),
+    e as (select k, [[months|cast(last_start as date)|-3 * k]] as start, [[months|cast(last_start as date)|-3 * k - 24]] as before from d),
+    p as (select fund.sector, e.k, e.start, n.fund_id, o.xirr as past, n.xirr as later, count(*) over (partition by fund.sector, e.k) as n, {_ranked("fund.sector, e.k", "o.xirr", "n.xirr")}
+          from e join h n on n.start = e.start join h o on o.fund_id = n.fund_id and o.start = e.before join fund on fund.fund_id = n.fund_id where n.xirr is not null and o.xirr is not null),
+    i as (select sector, k, max(start) as start, max(n) as n_funds, {_corr("rx", "ry")} as ic from p where n >= 8 group by 1, 2)
+    select sector, cast(start as varchar(10)) as start_month, n_funds, round(ic, 6) + 0e0 as ic, round(avg(ic) over (partition by sector), 6) + 0e0 as mean_ic from i"""
+
+#: Six measures of a fund up to the last day e of its index, and one-year plans from dates on, of funds and (as bench:<index>) indices.
+_TUNED = {
+    "tuned_end": "select fund.fund_id, fund.sector, max(idxd.day) as e from fund join idxd on idxd.index_id = fund.sector group by 1, 2",
+    "tuned_nav": """
+        select n.fund_id, n.day, n.nav, z.sector, z.e from navd n join tuned_end z on z.fund_id = n.fund_id and n.day <= z.e
+        join (select fund_id from navd group by 1 having count(*) >= 250) k on k.fund_id = n.fund_id""",
+    "tuned_series": "select fund_id as id, day, nav from tuned_nav union all select concat('bench:', index_id), day, nav from idxd",
+    "tuned_first": "select id, cast(date_trunc('month', [[date|day]]) as date) as m, min(day) as day, min_by(nav, day) as nav from tuned_series group by 1, 2",
+    "tuned_months": "select id, [[monthseq|m0|m1]] as m from (select id, min(m) as m0, max(m) as m1 from tuned_first group by 1) x",
+    "tuned_next": """
+        select a.id, [[day|a.m]] as md, [[first|b.day]] over later as day, [[first|b.nav]] over later as nav
+        from (select id, cast(m as date) as m from tuned_months) a left join tuned_first b on b.id = a.id and b.m = a.m
+        window later as (partition by a.id order by a.m rows between current row and unbounded following)""",
+    # Plans of a year from each month end of the year that began two years before e, and from each past date on in full series.
+    "tuned_starts": """
+        select id, e, [[monthseq|cast(date_trunc('month', [[date|e - 730]]) as date)|cast(date_trunc('month', [[date|e - 364]]) as date)]] as m
+        from (select fund_id as id, e from tuned_end union all select distinct concat('bench:', sector), e from tuned_end) x""",
+    "tuned_plans": """
+        select id, 'past' as kind, [[day|m]] - 1 as d from tuned_starts where [[day|m]] - 1 between e - 730 and e - 365
+        union all select fund_id, 'later', r.day from fund cross join replay_days r where sector not like '%@%'""",
+    "tuned_buys": """
+        select p.id, p.kind, p.d, n.day, n.nav from tuned_plans p join tuned_next n on n.id = p.id and n.md between p.d and p.d + 365 and n.day <= p.d + 365""",
+    "tuned_last": """
+        select p.id, p.kind, p.d, max(s.day) as day, max_by(s.nav, s.day) as nav from tuned_plans p join tuned_series s on s.id = p.id and s.day between p.d and p.d + 365 group by 1, 2, 3""",
+    "tuned_flows": """
+        select b.id, b.kind, b.d, b.day, b.day * 2 as o, -1e0 as a from tuned_buys b
+        union all select l.id, l.kind, l.d, l.day, l.day * 2 + 1, u.units * l.nav from tuned_last l
+        join (select id, kind, d, sum(1 / nav) as units from tuned_buys group by 1, 2, 3 having count(*) >= 6) u on u.id = l.id and u.kind = l.kind and u.d = l.d""",
+    "tuned_rates": """
+        select id, kind, d, [[xirr|flows|-0.99|10.0]] as x
+        from (select f.id, f.kind, f.d, [[flows|f.a|(f.day - f.d) / 365e0|f.o]] as flows from tuned_flows f group by 1, 2, 3 having count(*) >= 7) y""",
+    "tuned_wins": """
+        select z.fund_id, avg(case when round(f.x, 9) > round(b.x, 9) then 1e0 else 0e0 end) as v from tuned_end z join tuned_rates f on f.id = z.fund_id and f.kind = 'past'
+        join tuned_rates b on b.id = concat('bench:', z.sector) and b.kind = 'past' and b.d = f.d where f.x is not null and b.x is not null group by 1""",
+    # Weeks that end on Sundays.
+    "tuned_weeks": "select fund_id, sector, e, day + (3 - day % 7 + 7) % 7 as w, max_by(nav, day) as nav from tuned_nav group by 1, 2, 3, 4",
+    "tuned_cut": "select fund_id, sector, e, day + (3 - day % 7 + 7) % 7 as w, max_by(nav, day) as nav from tuned_nav where day >= e - 1095 group by 1, 2, 3, 4",
+    "tuned_bench": "select z.sector, day + (3 - day % 7 + 7) % 7 as w, max_by(i.nav, i.day) as nav from (select distinct sector, e from tuned_end) z join idxd i on i.index_id = z.sector and i.day >= z.e - 1095 group by 1, 2",
+    "tuned_pairs": """
+        select fund_id, nav / lag(nav) over (partition by fund_id order by w) - 1 as f, b / lag(b) over (partition by fund_id order by w) - 1 as b
+        from (select c.fund_id, c.w, c.nav, [[last|t.nav]] over (partition by c.fund_id order by c.w rows between unbounded preceding and current row) as b
+              from tuned_cut c left join tuned_bench t on t.sector = c.sector and t.w = c.w) x""",
+    "tuned_swing": """
+        select p.fund_id, case when count(*) < 50 or max(k.n) < 250 then 0e0 when avg(case when b < 0 then b end) < 0 then avg(case when b < 0 then f end) / avg(case when b < 0 then b end) else 1e0 end as down,
+               case when count(*) < 50 or max(k.n) < 250 then 0e0 when avg(case when b > 0 then b end) > 0 then avg(case when b > 0 then f end) / avg(case when b > 0 then b end) else 1e0 end as up
+        from tuned_pairs p join tuned_end z on z.fund_id = p.fund_id
+        join (select z.sector, count(*) as n from (select distinct sector, e from tuned_end) z join idxd i on i.index_id = z.sector and i.day >= z.e - 1095 group by 1) k on k.sector = z.sector
+        where p.f is not null and p.b is not null group by 1""",
+    "tuned_sortino": """
+        select fund_id, coalesce(case when stddev_samp(case when x < 0 then x end) > 0 then avg(x) / stddev_samp(case when x < 0 then x end) * sqrt(52) else 0e0 end, 0e0) as v
+        from (select fund_id, nav / lag(nav) over (partition by fund_id order by w) - 1 - 0.065e0 / 52 as x from tuned_weeks) y group by 1""",
+    "tuned_momentum": _sql("rt09_information_momentum"),
+    "tuned_long": """
+        select k.fund_id, k.sector, m.metric, round(case m.metric when 'win_rate' then coalesce(w.v, 0.5e0) when 'swing_elasticity' then coalesce(s.up - s.down, 0e0) when 'down_capture' then coalesce(s.down, 0e0)
+               when 'ir_3m' then t.m90 when 'ir_6m' then t.m180 else o.v end, 9) as x
+        from (select distinct fund_id, sector from tuned_nav) k cross join (select 'win_rate' as metric union all select 'swing_elasticity' union all select 'down_capture' union all select 'ir_3m' union all select 'ir_6m' union all select 'sortino') m
+        left join tuned_wins w on w.fund_id = k.fund_id left join tuned_swing s on s.fund_id = k.fund_id left join tuned_momentum t on t.fund_id = k.fund_id left join tuned_sortino o on o.fund_id = k.fund_id""",
+    # Rank correlation with the next year's plan at each past date, ten funds at least; mean, sign of down_capture turned, 0.01 at least.
+    "tuned_ranked": f"""
+        select sector, metric, k, rx, ry, n from (
+          select split_part(l.sector, '@', 1) as sector, l.metric, r.k, count(*) over (partition by l.sector, l.metric) as n, {_ranked("l.sector, l.metric", "l.x", "round(p.x, 9)")}
+          from tuned_long l join replay_days r on l.sector = concat(split_part(l.sector, '@', 1), '@', cast(r.k as varchar(9)))
+          join tuned_rates p on p.id = split_part(l.fund_id, '@', 1) and p.kind = 'later' and p.d = r.day where l.x is not null and p.x is not null) x where n >= 10""",
+    "tuned_ic": f"select sector, metric, k, {_corr('rx', 'ry')} as ic from tuned_ranked group by 1, 2, 3",
+    "tuned_weights": """
+        select s.sector, s.metric, mean_ic, greatest(case when s.metric = 'down_capture' then -coalesce(mean_ic, 0e0) else coalesce(mean_ic, 0e0) end, 0.01e0) as w
+        from (select distinct sector, metric from tuned_long where sector not like '%@%') s
+        left join (select sector, metric, avg(ic) as mean_ic from tuned_ic group by 1, 2) i on i.sector = s.sector and i.metric = s.metric""",
+    "tuned_ranks": """
+        select fund_id, sector, metric, case when metric = 'down_capture' then 100 * (n + 1 - rk) / n else 100 * rk / n end as p
+        from (select fund_id, sector, metric, rank() over (partition by sector, metric order by x) + (count(*) over (partition by sector, metric, x) - 1) / 2e0 as rk, count(*) over (partition by sector, metric) as n
+              from tuned_long where sector not like '%@%' and x is not null) y""",
+}
+_TUNED_DAYS = snapshot_steps(2, 365, 365, "max(day)")
+
+OPERATORS += [
+    replayed(
+        "lb08_score_report",
+        "Scenario model replayed at six snapshots 26 weeks apart: rank correlation of score and the first later plan, the best seven against the peers' median and their index; 12 funds at least.",
+        _MODELS["e2e06_scenario"], _score_report(12, 7), 6, 182, 756, _OUTCOMES,
+    ),
+    replayed(
+        "lb07_pillar_ic",
+        "Mid-cap model replayed at eight snapshots 26 weeks apart: rank correlation of each pillar with the first later plan, six funds at least, and its mean.",
+        _MODELS["e2e02_regime_pillars"], _PILLAR_IC, 8, 182, 756, _OUTCOMES,
+    ),
+    Operator("lb07_alpha_ic", "Rank correlation of the alpha of the year before with that of the year after, at eight dates 13 weeks apart, eight funds with {least} weeks on both sides at least, and its mean.", _ALPHA_IC, {"least": 40}),
+    Model("lb07_hold_ic", "Rank correlation of held plans that have just ended with those that start, at six months three apart, eight funds at least, and its mean.", _HOLD_IC),
+    Model(
+        "lb06_tuned_weights",
+        "Rank correlations of six measures with the next year's plan at one and two years ago, ten funds at least; their mean, the sign of down_capture turned, 0.01 at least; normalised by sector.",
+        "select sector, metric, round(mean_ic, 6) + 0e0 as mean_ic, round(w / sum(w) over (partition by sector), 6) as weight from tuned_weights",
+        steps={**_TUNED, **_TUNED_DAYS},
+    ),
+    Model(
+        "e2e07_mid_cap",
+        "Self-tuning model: percentiles of six measures weighted by lb06_tuned_weights, less for large assets and for under three years.",
+        """
+        with w as (select sector, metric, w / sum(w) over (partition by sector) as weight from tuned_weights),
+        r as (select p.fund_id, p.sector, sum(p.p * w.weight) as raw from tuned_ranks p join w on w.sector = p.sector and w.metric = p.metric group by 1, 2),
+        f as (select r.fund_id, r.sector, round(raw * case when f.aum > 40000 then 0.85e0 when f.aum > 25000 then 0.9e0 when f.aum > 15000 then 0.95e0 else 1e0 end
+                     * case when s.d1 - s.d0 < 1095 then 0.8e0 else 1e0 end, 2) as score
+              from r join fund f on f.fund_id = r.fund_id join span s on s.fund_id = r.fund_id)
+        select fund_id, sector, score, rank() over (partition by sector order by score desc) as place from f""",
+        steps={**_TUNED, **_TUNED_DAYS},
+    ),
+]

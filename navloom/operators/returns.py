@@ -42,7 +42,18 @@ OPERATORS = [
         select fund_id, round(case when max(n) < 60 then 0e0 else 0.3e0 * {change(13)} + 0.4e0 * {change(26)} + 0.3e0 * {change(52)}
                  - 2 * greatest(0e0, max(case when rd = 1 then nav / ma end) - 1 - 0.08e0) end, 6) as quality from m group by fund_id""",
     ),
-    Operator("rt09_information_momentum", "Mean over deviation of excess in the last 13 and 26 weeks, annualised; 0 when short or constant.", "select fund_id, round(coalesce(case when count(case when rd <= 13 then 1 end) >= 10 then avg(case when rd <= 13 then f - b end) / nullif(stddev_samp(case when rd <= 13 then f - b end), 0) * sqrt(52) end, 0e0), 6) as m13, round(coalesce(case when count(case when rd <= 26 then 1 end) >= 20 then avg(case when rd <= 26 then f - b end) / nullif(stddev_samp(case when rd <= 26 then f - b end), 0) * sqrt(52) end, 0e0), 6) as m26 from al group by fund_id"),
+    Operator(
+        "rt09_information_momentum",
+        "Mean over deviation of the daily excess of the last 90 and 180 days, annualised; the index carried forward onto the fund's days; 0 under 20 values or without deviation.",
+        """
+        with s as (select navd.fund_id, navd.day, navd.nav, h.days, idxd.nav as b0
+                   from navd join span on span.fund_id = navd.fund_id join fund on fund.fund_id = navd.fund_id cross join (select 90 as days union all select 180) h
+                   left join idxd on idxd.index_id = fund.sector and idxd.day = navd.day where navd.day >= span.d1 - h.days),
+        f as (select fund_id, days, day, nav, [[last|b0]] over (partition by fund_id, days order by day rows between unbounded preceding and current row) as b from s),
+        x as (select fund_id, days, nav / lag(nav) over (partition by fund_id, days order by day) - b / lag(b) over (partition by fund_id, days order by day) as excess from f),
+        g as (select fund_id, days, case when count(*) < 20 or count(excess) = 0 or stddev_samp(excess) < 1e-15 then 0e0 else avg(excess) / stddev_samp(excess) * sqrt(252) end as v from x group by 1, 2)
+        select fund_id, round(max(case when days = 90 then v end), 6) as m90, round(max(case when days = 180 then v end), 6) as m180 from g group by fund_id""",
+    ),
     Operator("rt10_acceleration", "Mean of the last 8 returns less that of the last 26.", "select fund_id, round(case when max(n) >= 26 then avg(case when rd <= 8 then r end) - avg(case when rd <= 26 then r end) end, 10) as acceleration from wr group by fund_id"),
     Operator("rt11_overheat", "Changes over 13 and 26 weeks, and how near to its peak the fund is.", f"select fund_id, round({change(13)}, 8) as r13, round({change(26)}, 8) as r26, round(greatest(0e0, max(case when rd = 1 then dd end) + 0.015e0), 8) as overheat from wdd group by fund_id"),
     Operator("rt12_cagr_stability", "Three-year growth less its distance from five-year growth, horizons cut to the history.", "with h as (select *, least(156, n - 1) as h3, least(260, n - 1) as h5 from wkn), c as (select fund_id, pow(max(case when rd = 1 then nav end) / max(case when rd = h3 + 1 then nav end), 52e0 / nullif(max(h3), 0)) - 1 as c3, pow(max(case when rd = 1 then nav end) / max(case when rd = h5 + 1 then nav end), 52e0 / nullif(max(h5), 0)) - 1 as c5 from h group by fund_id) select fund_id, round(c3 - abs(c3 - c5), 8) as stability from c"),

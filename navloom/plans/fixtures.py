@@ -53,10 +53,10 @@ union all select fund_id, ts, null, 4 from ({NAV}) d where [[day|ts]] % 90 = 0""
 #: holding as other providers report it: the weight under one of several keys, as text, as a share or in percent.
 HOLDING_RAW = f"""
 select fund_id, sid, case when k = 0 then latest when k = 5 then -1e0 end as latest,
-       case when k = 1 then 'n/a' end as nav_share, case when k = 1 then cast(latest / 100 as varchar(30)) end as allocation,
+       case when k = 1 then 'n/a' end as nav, case when k = 1 then cast(latest / 100 as varchar(30)) end as allocation,
        case when k = 2 then '120' end as allocationPct, case when k = 2 then cast(latest as varchar(30)) end as weight,
        case when k = 3 then cast(latest as varchar(30)) end as holdingPct, case when k = 3 then '50' end as percent,
-       case when k = 4 then '0' end as pct, case when k = 4 then cast(latest / 100 as varchar(30)) end as holding_share,
+       case when k = 4 then '0' end as pct, case when k = 4 then cast(latest / 100 as varchar(30)) end as holding,
        case when k = 5 then cast(latest as varchar(30)) end as portfolioShare
 from (select *, cast(sid as int) % 7 as k from ({HOLDING}) h) h2"""
 #: Names of funds in the models' score tables; the first model has none for some.

@@ -189,10 +189,19 @@ SQL = {
     "hd01_concentration": "select fund_id, " + ", ".join(f"round(list_sum(l[1:{n}]), 2) as top_{n}" for n in (5, 10, 20)) + f" from (select fund_id, list_reverse_sort(list(latest)) as l from {_TABLES['holding']} h where latest > 0 group by 1)",
     "hd03_conviction": f"select f.fund_id, coalesce(len(l), 0) as n_holdings, round(case when l is null or len(l) < 5 or list_sum(l) <= 0 then 0.5 else least(greatest((1 - len(l) / 200.0) * 0.6 + (list_sum(list_reverse_sort(l)[1:10]) / list_sum(l) - 0.4) * 0.8, 0), 1) end, 4) as conviction from {_TABLES['fund']} f left join (select fund_id, list(coalesce(latest, 0)) as l from {_TABLES['holding']} h group by 1) a on a.fund_id = f.fund_id",
     "hd04_theme_tilt": f"select f.fund_id, round(case when n is null or n < 5 then 0 else least(greatest((themed / total - 0.45) * 2, -0.3), 0.4) end, 4) as tilt from {_TABLES['fund']} f left join (select fund_id, count(*) as n, sum(latest) as total, sum(case when regexp_matches(sector, 'financial|bank|nbfc|insurance|capital markets', 'i') then latest else 0 end) + sum(case when regexp_matches(sector, 'auto|cement|construction|infrastructure|real estate|utilities', 'i') then latest else 0 end) + sum(case when regexp_matches(sector, 'fmcg|consumer|retail|two wheeler|tractor|durables', 'i') then latest else 0 end) + sum(case when regexp_matches(sector, 'manufacturing|capital goods|renewable|power|telecom|it', 'i') then latest else 0 end) as themed from {_TABLES['holding']} h group by 1) a on a.fund_id = f.fund_id",
-    "prj07_holding_weight": f"select fund_id, sid, round(case when latest > 0 then least(latest, 100) else list_filter([case when e > 0 and e <= 1.0001 then e * 100 when e > 1 and e <= 100 then e end for e in [try_cast(nav_share as double), try_cast(allocation as double), try_cast(allocationPct as double), try_cast(weight as double), try_cast(holdingPct as double), try_cast(percent as double), try_cast(pct as double), try_cast(holding_share as double), try_cast(portfolioShare as double)]], lambda e: e is not null)[1] end, 8) as weight_pct from {_TABLES['holding_raw']} h",
+    "prj07_holding_weight": f"select fund_id, sid, round(case when latest > 0 then least(latest, 100) else list_filter([case when e > 0 and e <= 1.0001 then e * 100 when e > 1 and e <= 100 then e end for e in [try_cast(nav as double), try_cast(allocation as double), try_cast(allocationPct as double), try_cast(weight as double), try_cast(holdingPct as double), try_cast(percent as double), try_cast(pct as double), try_cast(holding as double), try_cast(portfolioShare as double)]], lambda e: e is not null)[1] end, 8) as weight_pct from {_TABLES['holding_raw']} h",
     "en01_compiled_score": f"select fund_id, sector, round(list_avg([coalesce(list_filter(own, lambda o: o.model = m.model)[1].z, 0) for m in models]), 3) as final_score from (select s.fund_id, f.sector, list({{'model': s.model, 'z': case when coalesce(sd, 0) < 1e-12 then 0.5 else (s.score - lo) / (hi - lo) end}}) as own from {_TABLES['model_score']} s join {_TABLES['fund']} f on f.fund_id = s.fund_id join (select sector, model, stddev_samp(score) as sd, min(score) as lo, max(score) as hi from {_TABLES['model_score']} a join {_TABLES['fund']} b on a.fund_id = b.fund_id group by 1, 2) g on g.sector = f.sector and g.model = s.model group by 1, 2) x join (select sector, list(distinct {{'model': model}}) as models from {_TABLES['model_score']} a join {_TABLES['fund']} b on a.fund_id = b.fund_id group by 1) y using (sector)",
     "rt08_momentum_over_volatility": _query("weeks", "iweeks", "rets", "fund")(f"select fund_id, round({mean('[e for e in a if e is not null]')} / case when vol > 0 then vol else 1 end, 6) as quality from (select r.fund_id, [r.v[-1] / r.v[-14] - 1, r.v[-1] / r.v[-27] - 1, r.v[-1] / r.v[-53] - 1, r.v[-1] / r.v[-27] - i.v[-1] / i.v[-27]] as a, {std('r.r[-52:]')} * sqrt(52) as vol from rets r join fund on fund.fund_id = r.fund_id join iweeks i on i.index_id = fund.sector) x"),
-    "rt09_information_momentum": _B(f"select fund_id, round(coalesce(case when len(a) >= 10 and {std('a[-13:]')} > 0 then {mean('a[-13:]')} / {std('a[-13:]')} * sqrt(52) end, 0), 6) as m13, round(coalesce(case when len(a) >= 20 and {std('a[-26:]')} > 0 then {mean('a[-26:]')} / {std('a[-26:]')} * sqrt(52) end, 0), 6) as m26 from (select fund_id, [f[i] - b[i] for i in range(1, len(f) + 1)] as a from joint)"),
+    "rt09_information_momentum": _query("days", "fund")(
+        """, idays as (select index_id, map(list(ts), list(nav)) as at from {index_nav} where nav > 0 group by 1),
+        cuts as (select d.fund_id, h, x[len(x) - n + 1:] as x, [i.at[e] for e in t[len(t) - n + 1:]] as b0
+                 from (select *, len([e for e in t if e >= t[-1] - to_days(h::int)]) as n from days, (values (90), (180)) v(h)) d
+                 join fund on fund.fund_id = d.fund_id join idays i on i.index_id = fund.sector),
+        carried as (select fund_id, h, x, [[e for e in b0[1:i] if e is not null][-1] for i in range(1, len(b0) + 1)] as b from cuts),
+        excess as (select fund_id, h, len(x) as n, [e for e in [(x[i] / x[i - 1] - 1) - (b[i] / b[i - 1] - 1) for i in range(2, len(x) + 1)] if e is not null] as a from carried),
+        done as (select fund_id, h, case when n < 20 or len(a) = 0 or list_aggregate(a, 'stddev_samp') < 1e-15 then 0 else list_aggregate(a, 'avg') / list_aggregate(a, 'stddev_samp') * sqrt(252) end as v from excess)
+        select fund_id, round(max(v) filter (h = 90), 6) as m90, round(max(v) filter (h = 180), 6) as m180 from done group by 1"""
+    ),
     "rk16_tail_ratio": _R(f"select fund_id, round(least(5, {quantile('s', 0.95)} / abs({quantile('s', 0.05)})), 6) as tail_ratio from (select fund_id, list_sort(r) as s from rets)"),
     "rk23_drawdown_episodes": _D(f"select fund_id, len(c) as n_runs, round({mean('c')}, 6) as mean_weeks, list_max(c) as longest_weeks, list_max([(k[e[2] - 1] - k[e[1]])::bigint for e in p]) as longest_days from (select fund_id, k, [[i, coalesce([j for j in range(i, len(d) + 1) if d[j] >= -1e-9][1], len(d) + 1)] for i in range(1, len(d) + 1) if d[i] < -1e-9 and (i = 1 or d[i - 1] >= -1e-9)] as p, [e[2] - e[1] for e in p] as c from falls) x where len(c) > 0"),
     "bm07_side_betas": _B(f"select fund_id, round(case when len(bd) >= 8 then {slope('fd', 'bd')} end, 8) as beta_down, round(case when len(bu) >= 8 then {slope('fu', 'bu')} end, 8) as beta_up, round({slope('fu', 'bu')} - {slope('fd', 'bd')}, 8) as agility from (select fund_id, {pairs('b[i] < 0', 'f[i]')} as fd, {pairs('b[i] < 0', 'b[i]')} as bd, {pairs('b[i] > 0', 'f[i]')} as fu, {pairs('b[i] > 0', 'b[i]')} as bu from joint)"),
