@@ -7,6 +7,7 @@ from collections import Counter
 from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -98,7 +99,7 @@ class Operator:
         seen: set[str] = set()
 
         def need(text: str) -> None:
-            for word in dict.fromkeys(re.findall(r"[a-z_][a-z0-9_]*", text)):
+            for word in dict.fromkeys(_READ.findall(text)):
                 if word in seen or not (word in ready or word in given or word in own):
                     continue
                 seen.add(word)
@@ -145,16 +146,28 @@ class Model(Operator):
 
     Spark puts the text of a named step wherever it is read, so a step that ten measures read would run ten times, and so would all
     below it. Calling a model writes these steps as tables to the shared folder, in the order in which they need each other, and
-    reads them back; what is left is one plan over a few tables. Jobs run while the query is built.
+    reads them back; what is left is one plan over a few tables. Jobs run while the query is built. A step in computed is made by
+    DataFrame operations from other steps, where SQL would need a window over all rows of a group; its text says what it computes.
     """
 
+    computed: ClassVar[dict[str, tuple[tuple[str, ...], Callable[..., DataFrame]]]] = {}
+
     def shared(self, tables: Mapping[str, DataFrame], **params) -> list[str]:
         """Names of the steps that are read more than once, in the order in which they need each other."""
         order, body = self.resolved({name: "" for name in tables}, **params)
         reads = Counter(name for text in [body, *(t for _, t in order)] for name in _READ.findall(text))
+        known = {name for name, _ in order}
+        for name in known & self.computed.keys():
+            reads.update(dict.fromkeys((name, *self.computed[name][0]), 2))
         reads.update({name: 2 for name, _ in order if name.startswith(("o_", "measures_"))})  # what ends a measure, or all of them
         return [name for name, text in order if reads[name] > 1 and text and not re.fullmatch(r"select '[^()]*", text)]
 
+    def made(self, tables: Mapping[str, DataFrame], ready: Mapping[str, DataFrame], name: str, **params) -> DataFrame:
+        if name in self.computed:
+            needs, function = self.computed[name]
+            return function(*(ready[n] for n in needs))
+        return self.over(tables, ready, name, **params)
+
     def __call__(self, tables: Mapping[str, DataFrame], **params) -> DataFrame:
         from navloom.sources.shared import stored
 
@@ -167,7 +180,7 @@ class Model(Operator):
         with ThreadPoolExecutor(AT_ONCE) as pool:  # steps that do not need each other are written side by side
             while waiting:
                 now = [name for name, needs in waiting.items() if needs <= ready.keys()]
-                found = pool.map(lambda name: stored(self.over(tables, ready, name, **params), f"step-{name}"), now)
+                found = pool.map(lambda name: stored(self.made(tables, ready, name, **params), f"step-{name}"), now)
                 ready |= dict(zip(now, list(found), strict=True))
                 waiting = {name: needs for name, needs in waiting.items() if name not in ready}
         return self.over(tables, ready, **params)
