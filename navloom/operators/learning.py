@@ -11,7 +11,7 @@ def _corr(a: str, b: str) -> str:
 
 
 _WITHIN = f"select metric, {_corr('rx / peers', 'ry / peers')} as rho from panelr where peers >= 5 group by metric having count(*) >= 50"
-_POOLED = f"select metric, {_corr('rx', 'ry')} as rho, count(*) as n from (select metric, rank() over (partition by metric order by x) + (count(*) over (partition by metric, x) - 1) / 2e0 as rx, rank() over (partition by metric order by y) + (count(*) over (partition by metric, y) - 1) / 2e0 as ry from panell) p group by metric having count(*) >= 60"
+_POOLED = "select metric, rho, n from pooled_rho where n >= 60"
 _PRIOR = "select 'mom' as metric, 1 as sign, 0.5e0 as prior union all select 'dd', 1, 0.3e0 union all select 'steady', 0, 0.2e0"
 _RESOLVED = f"select p.metric, p.sign, w.rho, case when p.sign <> 0 and (p.sign * w.rho > 0 or abs(w.rho) < 0.05e0) then greatest(abs(w.rho), 0.05e0) when p.sign = 0 and abs(w.rho) >= 0.05e0 then abs(w.rho) else 0e0 end as raw from ({_PRIOR}) p left join ({_WITHIN}) w on w.metric = p.metric"
 _BLOCKS = next(o.sql for o in benchmark.OPERATORS if o.name == "bm19_block_alphas")
@@ -102,10 +102,10 @@ _LARGE_ROOM = "case when aum is null or aum <= 15000 then 1e0 when aum <= 25000
 
 OPERATORS = [
     Operator("lb01_training_panel", "Features of each fund and month from data up to it, and the outcome of the plan that starts then.", "select fund_id, cast(m as varchar(20)) as as_of_month, round(mom, 8) as mom, round(dd, 8) as dd, round(steady, 8) as steady, round(y, 6) as y from panel"),
-    Operator("lb02_pooled_spearman", "Rank correlation of each feature with the outcome over the whole panel.", f"select metric, n, round(rho, 6) as rho from ({_POOLED}) p"),
+    Model("lb02_pooled_spearman", "Rank correlation of each feature with the outcome over the whole panel.", f"select metric, n, round(rho, 6) as rho from ({_POOLED}) p"),
     Operator("lb03_within_date_spearman", "Correlation of percentile ranks within each month, five funds at least, pooled.", f"select metric, round(rho, 6) as rho from ({_WITHIN}) w"),
     Operator("lb04_resolved_weights", "Weights by agreement with a prior sign: kept, dropped or kept if strong; normalised, with the reason.", f"select metric, sign, round(rho, 6) as rho, round(raw / nullif(sum(raw) over (), 0), 6) as weight, case when raw = 0 then 'dropped' when abs(rho) < 0.05e0 then 'prior' else 'learned' end as status from ({_RESOLVED}) r"),
-    Operator("lb05_blended_weights", "Learned shares of the positive rank correlations blended with priors (the priors alone if nothing is learned), capped, what is left spread by room, normalised.", f"with l as (select p.metric, prior, least(greatest(coalesce(w.rho, 0e0), 0e0), {{cap}}) as r from ({_PRIOR}) p left join ({_POOLED}) w on w.metric = p.metric), b as (select metric, case when sum(r) over () > 1e-9 then 0.42e0 * r / nullif(sum(r) over (), 0) + 0.58e0 * prior else prior end as b from l), c as (select metric, least(b, {{cap}}) as c, {{cap}} - least(b, {{cap}}) as room from b), d as (select metric, c + room * least(greatest(1 - sum(c) over (), 0e0) / nullif(sum(room) over (), 0), 1e0) as d from c) select metric, round(d / nullif(sum(d) over (), 0), 6) as weight from d".replace("{{cap}}", "{cap}"), {"cap": "0.4e0"}),
+    Model("lb05_blended_weights", "Learned shares of the positive rank correlations blended with priors (the priors alone if nothing is learned), capped, what is left spread by room, normalised.", f"with l as (select p.metric, prior, least(greatest(coalesce(w.rho, 0e0), 0e0), {{cap}}) as r from ({_PRIOR}) p left join ({_POOLED}) w on w.metric = p.metric), b as (select metric, case when sum(r) over () > 1e-9 then 0.42e0 * r / nullif(sum(r) over (), 0) + 0.58e0 * prior else prior end as b from l), c as (select metric, least(b, {{cap}}) as c, {{cap}} - least(b, {{cap}}) as room from b), d as (select metric, c + room * least(greatest(1 - sum(c) over (), 0e0) / nullif(sum(room) over (), 0), 1e0) as d from c) select metric, round(d / nullif(sum(d) over (), 0), 6) as weight from d".replace("{{cap}}", "{cap}"), {"cap": "0.4e0"}),
     Operator("lb06_ic_weights", "Mean rank correlation at the last two months with a panel, floor 0.01, normalised.", f"with d as (select m, row_number() over (order by m desc) as k from (select m from panelr group by m having count(*) >= 15) x), i as (select metric, panelr.m, {_corr('rx', 'ry')} as ic from panelr join d on d.m = panelr.m where d.k in (1, 2) group by 1, 2), a as (select metric, greatest(avg(ic), 0.01e0) as w from i group by 1) select metric, round(w / sum(w) over (), 6) as weight from a"),
     Operator("lb07_walk_forward_ic", "Rank correlation of each feature with the outcome by month, and its mean.", f"with i as (select metric, m, {_corr('rx', 'ry')} as ic from panelr where peers >= 5 group by 1, 2) select metric, cast(m as varchar(20)) as as_of_month, round(ic, 6) + 0e0 as ic, round(avg(ic) over (partition by metric), 6) as mean_ic from i"),
     Operator(
@@ -179,7 +179,7 @@ OPERATORS = [
             ("path", 0.15, "rt13_vol_drag", "adjusted", 0.3), ("path", 0.15, "rk04_current_drawdown", "current_dd", 0.15),
         ], "conf.by_weeks",
     ),
-    Operator("e2e05_learned_weights", "Learned model: last features of each fund weighted by the blended weights, percentile within the sector.", f"with w as (select p.metric, 0.42e0 * abs(c.rho) / nullif(sum(abs(c.rho)) over (), 0) + 0.58e0 * prior as weight from ({_PRIOR}) p join ({_POOLED}) c on c.metric = p.metric), x as (select fund_id, max_by(mom, m) as mom, max_by(dd, m) as dd, max_by(steady, m) as steady from (select fund_id, m, mom, dd, -stddev_samp(r) over (partition by fund_id order by m rows between 11 preceding and current row) as steady from monr) z group by 1), l as (select fund_id, 'mom' as metric, round(mom, 12) as x from x union all select fund_id, 'dd', round(dd, 12) from x union all select fund_id, 'steady', round(steady, 12) from x), p as (select l.fund_id, fund.sector, w.weight, 100 * (rank() over (partition by fund.sector, l.metric order by l.x) + (count(*) over (partition by fund.sector, l.metric, l.x) - 1) / 2e0) / count(*) over (partition by fund.sector, l.metric) as p from l join fund on fund.fund_id = l.fund_id join w on w.metric = l.metric where l.x is not null), s as (select fund_id, sector, round(sum(weight * p) / sum(weight), 3) as score from p group by 1, 2) select fund_id, sector, score, row_number() over (partition by sector order by score desc, fund_id) as place from s"),
+    Model("e2e05_learned_weights", "Learned model: last features of each fund weighted by the blended weights, percentile within the sector.", f"with w as (select p.metric, 0.42e0 * abs(c.rho) / nullif(sum(abs(c.rho)) over (), 0) + 0.58e0 * prior as weight from ({_PRIOR}) p join ({_POOLED}) c on c.metric = p.metric), x as (select fund_id, max_by(mom, m) as mom, max_by(dd, m) as dd, max_by(steady, m) as steady from (select fund_id, m, mom, dd, -stddev_samp(r) over (partition by fund_id order by m rows between 11 preceding and current row) as steady from monr) z group by 1), l as (select fund_id, 'mom' as metric, round(mom, 12) as x from x union all select fund_id, 'dd', round(dd, 12) from x union all select fund_id, 'steady', round(steady, 12) from x), p as (select l.fund_id, fund.sector, w.weight, 100 * (rank() over (partition by fund.sector, l.metric order by l.x) + (count(*) over (partition by fund.sector, l.metric, l.x) - 1) / 2e0) / count(*) over (partition by fund.sector, l.metric) as p from l join fund on fund.fund_id = l.fund_id join w on w.metric = l.metric where l.x is not null), s as (select fund_id, sector, round(sum(weight * p) / sum(weight), 3) as score from p group by 1, 2) select fund_id, sector, score, row_number() over (partition by sector order by score desc, fund_id) as place from s"),
     pillared(
         "e2e06_scenario",
         "Scenario model: five pillars (held plans, recovery, resilience, factor skill, confidence) of percentiles, times confidence, capacity and coverage. Confidence and capacity count as percentiles in their pillar.",

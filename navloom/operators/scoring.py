@@ -1,6 +1,6 @@
 """Cross-sectional scores, ranks, ensembles, rank histories, holdings and reports."""
 
-from navloom.plans.text import Operator
+from navloom.plans.text import Model, Operator
 
 #: Model scores scaled within each sector and model: z-score, then 0 .. 1; a fund that a model does not rank has 0.
 _COMPILED = """
@@ -28,7 +28,7 @@ _HR = "select fund_id, sid, title, type, sector, latest, change3m, row_number()
 
 OPERATORS = [
     Operator("scr01_percentile_rank", "Average-rank percentile of each measure within its sector; nulls stay.", "select fund_id, metric, round(p, 6) as p, round(100 - p, 6) as reversed, round(coalesce(p, 50e0), 6) as filled from pct"),
-    Operator("scr02_winsorised_percentile", "Percentile rank after clipping to the 5 % and 95 % quantiles.", "with q as (select fund.sector, metric, [[q|x|0.05]] as lo, [[q|x|0.95]] as hi from featl join fund on fund.fund_id = featl.fund_id group by 1, 2), c as (select featl.fund_id, q.sector, featl.metric, case when x is not null then least(greatest(x, lo), hi) end as x from featl join fund on fund.fund_id = featl.fund_id join q on q.sector = fund.sector and q.metric = featl.metric) select fund_id, metric, round(case when x is not null then 100 * (rank() over (partition by sector, metric, x is null order by x) + (count(*) over (partition by sector, metric, x) - 1) / 2e0) / count(x) over (partition by sector, metric) end, 6) as p from c"),
+    Model("scr02_winsorised_percentile", "Percentile rank after clipping to the 5 % and 95 % quantiles.", "with c as (select featl.fund_id, fund.sector, featl.metric, case when x is not null then least(greatest(x, lo), hi) end as x from featl join fund on fund.fund_id = featl.fund_id left join measure_quantiles q on q.sector = fund.sector and q.metric = featl.metric) select fund_id, metric, round(case when x is not null then 100 * (rank() over (partition by sector, metric, x is null order by x) + (count(*) over (partition by sector, metric, x) - 1) / 2e0) / count(x) over (partition by sector, metric) end, 6) as p from c"),
     Operator("scr03_zscore", "z-score within the sector, 0 where all are equal.", "select featl.fund_id, metric, round(case when x is null then null when coalesce(stddev_samp(x) over (partition by fund.sector, metric), 0e0) < 1e-12 then 0e0 else (x - avg(x) over (partition by fund.sector, metric)) / nullif(stddev_samp(x) over (partition by fund.sector, metric), 0) end, 5) as z from featl join fund on fund.fund_id = featl.fund_id"),
     Operator(
         "scr04_robust_zscore",
@@ -74,14 +74,12 @@ OPERATORS = [
                round(least(greatest(narrow * 100 * case when days >= 365 then 0.95e0 else 0.7e0 end * room, 20e0), 90e0), 4) as score_20_90 from p""",
     ),
     Operator("scr10_history_confidence", "Confidence by years of history: a step table, and linear up to three years.", "select fund_id, case when (d1 - d0) / 365.25e0 < 1 then 0.55e0 when (d1 - d0) / 365.25e0 < 2 then 0.72e0 when (d1 - d0) / 365.25e0 < 3 then 0.88e0 when (d1 - d0) / 365.25e0 < 5 then 0.96e0 else 1e0 end as step, round(least(greatest((d1 - d0) / 365.25e0 / 3, 0e0), 1e0), 8) as linear from span"),
-    Operator(
+    Model(
         "scr10_confidence_tables",
         "Confidence by other tables of days, weeks and rows, and blended with plan windows and capacity.",
         """
-        with q as (select [[q|ln(1 + case when aum >= 0 then aum end)|0.05]] as q05, [[q|ln(1 + case when aum >= 0 then aum end)|0.25]] as q25,
-                          [[q|ln(1 + case when aum >= 0 then aum end)|0.75]] as q75, [[q|ln(1 + case when aum >= 0 then aum end)|0.95]] as q95 from fund),
-        a as (select fund_id, case when aum >= 0 then least(greatest(1 - 0.15e0 * least(greatest((q25 - ln(1 + aum)) / greatest(q25 - q05, 1e-6), 0e0), 1e0)
-                       - 0.25e0 * least(greatest((ln(1 + aum) - q75) / greatest(q95 - q75, 1e-6), 0e0), 1e0), 0.55e0), 1e0) else 0.7e0 end as room from fund cross join q),
+        with a as (select fund_id, case when aum >= 0 then least(greatest(1 - 0.15e0 * least(greatest((q25 - ln(1 + aum)) / greatest(q25 - q05, 1e-6), 0e0), 1e0)
+                       - 0.25e0 * least(greatest((ln(1 + aum) - q75) / greatest(q95 - q75, 1e-6), 0e0), 1e0), 0.55e0), 1e0) else 0.7e0 end as room from fund left join aum_quantiles q on q.one = 1),
         k as (select fund_id, count(xirr) as n from sipx group by 1), v as (select fund_id, count(*) as weeks from wk group by 1),
         s as (select span.fund_id, d1 - d0 as days, (d1 - d0 + 1) / 365.25e0 as years, n_days, v.weeks, coalesce(k.n, 0) as plans, a.room
               from span join v on v.fund_id = span.fund_id join a on a.fund_id = span.fund_id left join k on k.fund_id = span.fund_id)
@@ -91,7 +89,7 @@ OPERATORS = [
                round(least(greatest(0.58e0 * least(greatest(years / 4, 0.5e0), 1e0) + 0.24e0 * least(greatest(plans / 48e0, 0.45e0), 1e0) + 0.18e0 * room, 0.45e0), 1e0), 8) as with_plans,
                round(least(greatest(0.72e0 * least(1e0, greatest(0.55e0, years / 3)) + 0.28e0 * room, 0.5e0), 1e0), 8) as with_room from s""",
     ),
-    Operator("scr11_capacity", "Capacity by assets: a step table, piecewise with a logarithmic tail, a smooth form with a sweet spot, and penalties by quantiles of log assets.", "with q as (select [[q|ln(1 + case when aum >= 0 then aum end)|0.05]] as q05, [[q|ln(1 + case when aum >= 0 then aum end)|0.25]] as q25, [[q|ln(1 + case when aum >= 0 then aum end)|0.75]] as q75, [[q|ln(1 + case when aum >= 0 then aum end)|0.95]] as q95 from fund) select fund_id, case when aum is null or aum <= 15000 then 1e0 when aum <= 25000 then 0.95e0 when aum <= 40000 then 0.85e0 when aum <= 60000 then 0.75e0 else 0.65e0 end as step, round(case when aum is null or aum <= 0 then 0.94e0 when aum < 500 then 0.93e0 when aum <= 25000 then 1e0 when aum <= 75000 then 0.98e0 - 0.05e0 * ((aum - 25000) / 50000) else greatest(0.86e0, 0.93e0 - 0.04e0 * ln(aum / 75000 + 1) / ln(10e0)) end, 8) as piecewise, round(case when aum is null or aum <= 0 then 0.55e0 else least(greatest(0.55e0 + 0.35e0 / (1 + exp(-(ln(aum) - ln(700e0)) * 2)) + 0.2e0 * exp(-0.5e0 * pow((ln(aum) - ln(12000e0)) / 1.45e0, 2)) - 0.18e0 / (1 + exp(-(ln(aum) - ln(65000e0)) * 3)), 0.35e0), 1e0) end, 6) as smooth, round(case when aum >= 0 then least(greatest(1 - 0.15e0 * least(greatest((q25 - ln(1 + aum)) / greatest(q25 - q05, 1e-6), 0e0), 1e0) - 0.25e0 * least(greatest((ln(1 + aum) - q75) / greatest(q95 - q75, 1e-6), 0e0), 1e0), 0.55e0), 1e0) else 0.7e0 end, 6) as penalised from fund cross join q"),
+    Model("scr11_capacity", "Capacity by assets: a step table, piecewise with a logarithmic tail, a smooth form with a sweet spot, and penalties by quantiles of log assets.", "select fund_id, case when aum is null or aum <= 15000 then 1e0 when aum <= 25000 then 0.95e0 when aum <= 40000 then 0.85e0 when aum <= 60000 then 0.75e0 else 0.65e0 end as step, round(case when aum is null or aum <= 0 then 0.94e0 when aum < 500 then 0.93e0 when aum <= 25000 then 1e0 when aum <= 75000 then 0.98e0 - 0.05e0 * ((aum - 25000) / 50000) else greatest(0.86e0, 0.93e0 - 0.04e0 * ln(aum / 75000 + 1) / ln(10e0)) end, 8) as piecewise, round(case when aum is null or aum <= 0 then 0.55e0 else least(greatest(0.55e0 + 0.35e0 / (1 + exp(-(ln(aum) - ln(700e0)) * 2)) + 0.2e0 * exp(-0.5e0 * pow((ln(aum) - ln(12000e0)) / 1.45e0, 2)) - 0.18e0 / (1 + exp(-(ln(aum) - ln(65000e0)) * 3)), 0.35e0), 1e0) end, 6) as smooth, round(case when aum >= 0 then least(greatest(1 - 0.15e0 * least(greatest((q25 - ln(1 + aum)) / greatest(q25 - q05, 1e-6), 0e0), 1e0) - 0.25e0 * least(greatest((ln(1 + aum) - q75) / greatest(q95 - q75, 1e-6), 0e0), 1e0), 0.55e0), 1e0) else 0.7e0 end, 6) as penalised from fund left join aum_quantiles q on q.one = 1"),
     Operator("scr12_adjusted", "100 (0.88 base + 0.12 confidence) (0.78 + 0.22 confidence) times the evidence of plan windows, clipped to 0 .. 100.", "with c as (select fund_id, sum(weight * coalesce(p / 100, 0.45e0)) / nullif(sum(weight), 0) as base from pct group by 1), k as (select fund_id, count(xirr) as n from sipx group by 1) select c.fund_id, round(least(greatest(100 * (0.88e0 * base + 0.12e0 * conf) * (0.78e0 + 0.22e0 * conf) * (0.55e0 + 0.45e0 * least(coalesce(k.n, 0) / 24e0, 1e0)), 0e0), 100e0), 5) as adjusted from c join (select fund_id, least(greatest((d1 - d0) / 365.25e0 / 3, 0.45e0), 1e0) as conf from span) s on s.fund_id = c.fund_id left join k on k.fund_id = c.fund_id"),
     Operator("scr13_ranks", "Rank, dense rank and ordinal rank of the composite in its sector, ties by id.", "with c as (select fund_id, sector, round(sum(weight * p) / nullif(sum(case when p is not null then weight end), 0), 5) as s from pct group by 1, 2) select fund_id, sector, rank() over (partition by sector order by s desc) as rank_min, dense_rank() over (partition by sector order by s desc) as rank_dense, row_number() over (partition by sector order by s desc, fund_id) as rank_ordinal from c where s is not null"),
     Operator("scr14_top_k", "The {k} best funds of all by the composite.", "with c as (select fund_id, sector, round(sum(weight * p) / nullif(sum(case when p is not null then weight end), 0), 5) as score from pct group by 1, 2) select fund_id, sector, score from c where score is not null order by score desc, fund_id limit {k}", {"k": 10}),

@@ -19,14 +19,26 @@ def snapshot_steps(n: int, apart: int, horizon: int, last: str = f"max({_FRIDAY}
         "replay_days": f"""
             select k, w1 - ({horizon} + {apart} * k) as day
             from (select [[seq|0|{n - 1}]] as k, w1 from (select {last} as w1 from (select [[day|ts]] as day from index_nav_all) x) y) z""",
-        "replay_navs": "select concat(n.fund_id, '@', cast(k as varchar(9))) as fund_id, n.ts, n.nav from nav_all n join replay_days r on [[day|n.ts]] <= r.day",
-        "nav": "select fund_id, ts, nav from nav_all union all select fund_id, ts, nav from replay_navs union all select concat('index:', index_id), ts, nav from index_nav_all",
-        "index_nav": """
+        **copied("replay_days r on 1 = 1", "replay_days r on 1 = 1", "r"),
+        "nav": f"{_NAV} union all select concat('index:', index_id), ts, nav from index_nav_all",
+    }
+
+
+_NAV = "select fund_id, ts, nav from nav_all union all select fund_id, ts, nav from replay_navs"
+
+
+def copied(of_fund: str, of_index: str, days: str) -> dict[str, str]:
+    """Steps that replace nav, index_nav and fund by them and their copies up to each day; joins to the days (k, day) of a fund and of an index."""
+    name = lambda column: f"concat({column}, '@', cast({days}.k as varchar(9)))"
+    return {
+        "replay_navs": f"select {name('n.fund_id')} as fund_id, n.ts, n.nav from nav_all n join {of_fund.format(id='n.fund_id')} and [[day|n.ts]] <= {days}.day",
+        "nav": _NAV,
+        "index_nav": f"""
             select index_id, ts, nav from index_nav_all
-            union all select concat(n.index_id, '@', cast(k as varchar(9))), n.ts, n.nav from index_nav_all n join replay_days r on [[day|n.ts]] <= r.day""",
-        "fund": """
+            union all select {name('n.index_id')}, n.ts, n.nav from index_nav_all n join {of_index} and [[day|n.ts]] <= {days}.day""",
+        "fund": f"""
             select fund_id, name, sector, subsector, aum from fund_all
-            union all select concat(fund_id, '@', cast(k as varchar(9))), name, concat(sector, '@', cast(k as varchar(9))), subsector, aum from fund_all cross join replay_days""",
+            union all select {name('f.fund_id')}, f.name, {name('f.sector')}, f.subsector, f.aum from fund_all f join {of_fund.format(id='f.fund_id')}""",
     }
 
 

@@ -1,5 +1,6 @@
 """Steps that many operators share, by name. `day` and `w` count days from 1970-01-01; a week is labelled by its Friday."""
 
+from navloom.plans.learned import LEARNED
 from navloom.plans.panel import PANEL
 
 WEEK = "day + ((1 - day) % 7 + 7) % 7"
@@ -56,4 +57,13 @@ STEPS = {
     "reg": "select index_id, w, case when dd <= -0.2e0 or mom <= -0.1e0 then 'Bear' when dd <= -0.1e0 or mom < 0 then 'Correction' when mom >= 0.15e0 and dd > -0.05e0 then 'StrongBull' else 'MildBull' end as regime from (select index_id, w, nav / max(nav) over (partition by index_id order by w rows between 51 preceding and current row) - 1 as dd, nav / lag(nav, 26) over (partition by index_id order by w) - 1 as mom from bwk) x where mom is not null",
     "alreg": "select al.fund_id, al.w, al.f, al.b, al.rd, reg.regime from al join fund on al.fund_id = fund.fund_id join reg on reg.index_id = fund.sector and reg.w = al.w where reg.regime is not null",
 }
+#: Order statistics and rank correlations of groups of any size; models compute them over many tasks (functions.ranks).
+STEPS |= {
+    "aum_logs": "select 1 as one, ln(1 + case when aum >= 0 then aum end) as x from fund where fund_id not like '%@%'",
+    "aum_quantiles": "select one, [[q|x|0.05]] as q05, [[q|x|0.25]] as q25, [[q|x|0.75]] as q75, [[q|x|0.95]] as q95 from aum_logs group by one",
+    "measures_by_sector": "select fund.sector, metric, x from featl join fund on fund.fund_id = featl.fund_id",
+    "measure_quantiles": "select sector, metric, [[q|x|0.05]] as lo, [[q|x|0.95]] as hi from measures_by_sector group by 1, 2",
+    "pooled_rho": "select metric, count(*) as n, case when stddev_pop(rx) > 1e-9 and stddev_pop(ry) > 1e-9 then covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0) end as rho from (select metric, rank() over (partition by metric order by x) + (count(*) over (partition by metric, x) - 1) / 2e0 as rx, rank() over (partition by metric order by y) + (count(*) over (partition by metric, y) - 1) / 2e0 as ry from panell where x is not null and y is not null) p group by metric",
+}
 STEPS |= PANEL
+STEPS |= {name: text for name, text in LEARNED.items() if name.startswith("learn_")}

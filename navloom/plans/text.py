@@ -36,6 +36,19 @@ def _xirr_duck(flows: str, lo: str = "-0.99", hi: str = "5.0") -> str:
     return f"case when {_npv(flows, f'{lo}::double')[1]} * {_npv(flows, f'{hi}::double')[1]} < 0 then ({root}.lo + {root}.hi) / 2 end"
 
 
+def _capped_spark(w: str, cap: str, passes: str) -> str:
+    total, room = "aggregate(s, 0D, (a, b) -> a + b)", f"aggregate(s, 0D, (a, b) -> a + greatest({cap} - b, 0D))"
+    step = f"case when abs(1 - {total}) < 1e-9 or {room} <= 1e-12 then s else transform(s, x -> least(greatest(x + (1 - {total}) * greatest({cap} - x, 0D) / {room}, 0D), double({cap}))) end"
+    return f"aggregate(sequence(1, {passes}), transform({w}, x -> least(greatest(x, 0D), double({cap}))), (s, i) -> {step})"
+
+
+def _capped_duck(w: str, cap: str, passes: str) -> str:
+    start = f"[least(greatest(e, 0), {cap}) for e in {w}]"
+    total, room = "list_sum(s)", f"list_sum(list_transform(s, lambda b: greatest({cap} - b, 0)))"
+    step = f"case when abs(1 - {total}) < 1e-9 or {room} <= 1e-12 then s else list_transform(s, lambda x: least(greatest(x + (1 - {total}) * greatest({cap} - x, 0) / {room}, 0), {cap})) end"
+    return f"list_reduce(list_transform(range({passes} + 1), lambda i: {start}), lambda s, i: {step})"
+
+
 #: Spark's and DuckDB's form of each mark.
 MARKS: dict[str, tuple[Callable[..., str], Callable[..., str]]] = {
     "day": (lambda x: f"datediff({x}, DATE'1970-01-01')", lambda x: f"date_diff('day', DATE '1970-01-01', cast({x} as date))"),
@@ -49,6 +62,9 @@ MARKS: dict[str, tuple[Callable[..., str], Callable[..., str]]] = {
     "skew": (lambda x: f"(skewness({x}) * sqrt(count({x}) * (count({x}) - 1D)) / nullif(count({x}) - 2, 0))", lambda x: f"skewness({x})"),
     "flows": (lambda a, t, o: f"transform(array_sort(collect_list(named_struct('o', {o}, 'a', {a}, 't', {t}))), x -> named_struct('a', x.a, 't', x.t))", lambda a, t, o: f"list({{'a': {a}, 't': {t}}} order by {o})"),
     "xirr": (_xirr_spark, _xirr_duck),
+    "capped": (_capped_spark, _capped_duck),
+    "total": (lambda x: f"aggregate({x}, 0D, (a, b) -> a + b)", lambda x: f"list_sum({x})"),
+    "item": (lambda x, i: f"element_at({x}, cast({i} as int) + 1)", lambda x, i: f"{x}[{i} + 1]"),
     "unnest": (lambda x: f"explode({x})", lambda x: f"unnest({x})"),
     "strlist": (lambda x, o: f"transform(array_sort(collect_list(named_struct('o', {o}, 'x', {x}))), s -> s.x)", lambda x, o: f"list({x} order by {o})"),
     "join": (lambda x, s: f"array_join({x}, {s})", lambda x, s: f"array_to_string({x}, {s})"),
