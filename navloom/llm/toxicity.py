@@ -1,9 +1,10 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes, distance-weighted votes.
 
-Terms are words, as 64-bit hashes. The examples are a bounded sample of labelled rows with all their terms; the terms' document
-frequencies are counted over all documents. A term weighs (1 + ln count) * idf * relevance^2, where relevance = log2(2 + labelled 1 /
-max(1, labelled 0)) counts the examples with the term: plain TF-IDF looks for texts alike in all their words and finds 0.41 of held-out
-toxic texts on sf0.1, this 0.93. No term is left out: a text with any word of any example has neighbours.
+Terms are words, as 64-bit hashes; a term weighs (1 + ln count) * idf. The examples are a bounded sample of labelled rows with all
+their terms; document frequencies are counted over all documents. The NEIGHBOURS nearest examples by plain cosine vote. A neighbour's
+vote is the part of its cosine that comes from telling words: each product of weights counts with the square of the word's relevance,
+log2(2 + labelled 1 / max(1, labelled 0)) - 1 over the examples with it. No term is left out: a text with any word of any example has
+neighbours. One example with the same text is left out, so no score rests on a document's own label; its copies vote.
 
 The index is a block-max inverted index: a posting list of examples for each term. Lists of terms that more than a quarter of the
 examples hold are kept by example, with the largest weight in each block of examples. A search reads the short lists and adds to
@@ -18,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,7 +32,7 @@ MOST_LABELLED = 3_000
 #: Examples under which votes prove nothing.
 LEAST_LABELLED = 20
 #: Examples that vote; examples of a block; share of the examples from which a term's list is long; examples that set the first bar.
-NEIGHBOURS, BLOCK, LONG_SHARE, FIRST = 15, 32, 0.25, 64
+NEIGHBOURS, BLOCK, LONG_SHARE, FIRST = 100, 32, 0.25, 128
 
 
 def term_counts(text: str | None, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
@@ -38,6 +40,11 @@ def term_counts(text: str | None, hashes: WordHashes) -> tuple[np.ndarray, np.nd
     return np.unique(hashes.array(word_list(text)), return_counts=True)
 
 
+def text_hash(text: str | None) -> int:
+    """A signed 64-bit hash of a whole text; null counts as empty."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass"))).view(np.int64))
+
+
 def places_in(vocabulary: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(places ascending, counts) of the terms that an ascending vocabulary has."""
     if not len(vocabulary):
@@ -55,8 +62,8 @@ def spread(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def relevance(with_1: np.ndarray, with_0: np.ndarray) -> np.ndarray:
-    """Square of the relevance frequency of terms held by so many examples of label 1 and 0; 1 for terms that only the latter have."""
-    return np.log2(2 + with_1 / np.maximum(1, with_0)) ** 2
+    """Square of how telling terms are that so many examples of label 1 and 0 hold; 0 for terms that only the latter have."""
+    return (np.log2(2 + with_1 / np.maximum(1, with_0)) - 1) ** 2
 
 
 @dataclass
@@ -64,8 +71,10 @@ class ExampleIndex:
     """Unit vectors of labelled examples as posting lists; examples without words are near to nothing."""
 
     vocabulary: np.ndarray  # hashes, ascending
-    factor: np.ndarray  # idf * relevance of each term
+    factor: np.ndarray  # idf of each term
+    telling: np.ndarray  # relevance of each term, for votes only
     ids: np.ndarray
+    texts: np.ndarray  # hashes of the examples' texts
     labels: np.ndarray
     first: np.ndarray  # of each term, its first posting in a short list; one more at the end
     example: np.ndarray  # of each posting
@@ -81,7 +90,7 @@ class ExampleIndex:
         return w / norm if norm else w
 
     @classmethod
-    def build(cls, vocabulary: np.ndarray, factor: np.ndarray, ids, labels, terms: list[np.ndarray], counts: list[np.ndarray]) -> ExampleIndex:
+    def build(cls, vocabulary: np.ndarray, factor: np.ndarray, telling: np.ndarray, ids, texts, labels, terms: list[np.ndarray], counts: list[np.ndarray]) -> ExampleIndex:
         """From the places and counts of every example's terms."""
         own = [cls.weights(factor, t, c) for t, c in zip(terms, counts, strict=True)]
         heaviest = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in zip(terms, own, strict=True)]
@@ -99,38 +108,47 @@ class ExampleIndex:
         term, weight, example = term[~apart], weight[~apart], example[~apart]
         by_term = np.argsort(term, kind="stable")
         first = np.searchsorted(term[by_term], np.arange(len(vocabulary) + 1)).astype(np.int64)
-        every_id, every_label = (np.array([x[i] for i in order], np.int64) for x in (ids, labels))
-        return cls(vocabulary, factor, every_id, every_label, first, example[by_term], weight[by_term].astype(np.float64), column, rows, largest)
+        every_id, every_text, every_label = (np.array([x[i] for i in order], np.int64) for x in (ids, texts, labels))
+        return cls(vocabulary, factor, telling, every_id, every_text, every_label, first, example[by_term], weight[by_term].astype(np.float64), column, rows, largest)
 
-    def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int = NEIGHBOURS, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(places, cosines) of the k nearest examples with a positive cosine, nearest first, ties by place; exact."""
+    def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int = NEIGHBOURS, without: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places, cosines, votes) of the k nearest examples with a positive cosine, nearest first, ties by place; exact. without: hash of a text; one example with it is left out."""
         n = len(self.ids)
         if not len(terms) or not n:
-            return np.zeros(0, np.int64), np.zeros(0)
+            return np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
         own = self.weights(self.factor, terms, counts)
+        told = own * self.telling[terms]
         column = self.column[terms]
         first, last = self.first[terms], self.first[terms + 1]
         postings = spread(first, last)
-        known = np.bincount(self.example[postings], np.repeat(own, last - first) * self.weight[postings], n)
-        long, w = column[column >= 0], own[column >= 0]
-        bounds = known + np.repeat(self.largest[:, long] @ w * (1 + 1e-9), BLOCK)[:n]
+        who, weight, times = self.example[postings], self.weight[postings], last - first
+        known = np.bincount(who, np.repeat(own, times) * weight, n)
+        long = column >= 0
+        column, w = column[long], own[long]
+        bounds = known + np.repeat(self.largest[:, column] @ w * (1 + 1e-9), BLOCK)[:n]
         if without is not None:
-            bounds[self.ids == without] = 0
+            bounds[np.flatnonzero(self.texts == without)[:1]] = 0
         bar = 0.0
         if n > FIRST:
             some = np.argpartition(bounds, n - FIRST)[n - FIRST :]
-            bar = float(np.partition(known[some] + self.rows[np.ix_(some, long)] @ w, FIRST - k)[FIRST - k]) if k <= FIRST else 0.0
+            reached = np.where(bounds[some] > 0, known[some] + self.rows[np.ix_(some, column)] @ w, 0)
+            bar = float(np.partition(reached, FIRST - k)[FIRST - k]) if k <= FIRST else 0.0
         here = np.flatnonzero((bounds >= bar - 1e-12) & (bounds > 0))
-        cosines = known[here] + self.rows[np.ix_(here, long)] @ w
+        cosines = known[here] + self.rows[np.ix_(here, column)] @ w
         here, cosines = here[cosines > 0], cosines[cosines > 0]
         best = np.lexsort((here, -np.round(cosines, 12)))[:k]
-        return here[best], cosines[best]
+        here, cosines = here[best], cosines[best]
+        some = told > 0
+        votes = self.rows[np.ix_(here, self.column[terms[some & long]])] @ told[some & long]
+        at = spread(first[some], last[some])
+        votes = votes + np.bincount(self.example[at], np.repeat(told[some], times[some]) * self.weight[at], n)[here]
+        return here, cosines, votes
 
     def votes(self, terms: np.ndarray, counts: np.ndarray, without: int | None = None) -> tuple[float, float, np.ndarray, np.ndarray]:
-        """(share of toxic votes weighted by cosine, largest cosine, places, cosines); terms and counts by places in the vocabulary."""
-        places, cosines = self.nearest(terms, counts, without=without)
-        total = float(cosines.sum())
-        return (float(cosines @ self.labels[places]) / total if total else 0.0), (float(cosines[0]) if len(cosines) else 0.0), places, cosines
+        """(share of the votes for label 1, largest cosine, places, cosines); terms and counts by places in the vocabulary."""
+        places, cosines, votes = self.nearest(terms, counts, without=without)
+        total = float(votes.sum())
+        return (float(votes @ self.labels[places]) / total if total > 0 else 0.0), (float(cosines[0]) if len(cosines) else 0.0), places, cosines
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
@@ -151,14 +169,14 @@ class ToxicityModel:
     index: ExampleIndex
     calibration: np.ndarray
 
-    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """(calibrated chance of label 1, ids of the nearest examples, their cosines) of a text's term_counts."""
-        vote, top, places, cosines = self.index.votes(*places_in(self.index.vocabulary, terms, counts))
+    def score(self, text: str | None, hashes: WordHashes) -> tuple[float, np.ndarray, np.ndarray]:
+        """(calibrated chance of label 1, ids of the nearest examples, their cosines) of a text."""
+        vote, top, places, cosines = self.index.votes(*places_in(self.index.vocabulary, *term_counts(text, hashes)), without=text_hash(text))
         z = self.calibration @ np.array([1.0, vote, vote * top])
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), self.index.ids[places], cosines
 
 
-_VECTOR = T.StructType([T.StructField("terms", T.ArrayType(T.LongType())), T.StructField("counts", T.ArrayType(T.LongType()))])
+_VECTOR = T.StructType([T.StructField("text", T.LongType()), T.StructField("terms", T.ArrayType(T.LongType())), T.StructField("counts", T.ArrayType(T.LongType()))])
 
 
 def _vectors():
@@ -167,7 +185,8 @@ def _vectors():
         hashes = WordHashes()
         rows = [term_counts(t.as_py(), hashes) for t in texts]
         lists = pa.list_(pa.int64())
-        return pa.StructArray.from_arrays([pa.array([r[0].view(np.int64) for r in rows], lists), pa.array([r[1] for r in rows], lists)], names=["terms", "counts"])
+        own = pa.array([text_hash(t.as_py()) for t in texts], pa.int64())
+        return pa.StructArray.from_arrays([own, pa.array([r[0].view(np.int64) for r in rows], lists), pa.array([r[1] for r in rows], lists)], names=["text", "terms", "counts"])
 
     return vectors
 
@@ -210,12 +229,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     n, frequency = document_frequencies(docs, vocabulary, text_col)
     placed = [np.searchsorted(vocabulary, h) for h in hashed]
     with_1, with_0 = (np.bincount(np.concatenate([np.zeros(0, np.int64), *(p for p, label in zip(placed, y, strict=True) if label == k)]), minlength=len(vocabulary)) for k in (1, 0))
-    factor = (np.log((1 + n) / (1 + frequency)) + 1e-3) * relevance(with_1, with_0)
-    index = ExampleIndex.build(vocabulary, factor, ids, y.tolist(), placed, counts)
+    idf = np.log((1 + n) / (1 + frequency)) + 1e-3
+    index = ExampleIndex.build(vocabulary, idf, relevance(with_1, with_0), ids, got["text"].tolist(), y.tolist(), placed, counts)
 
     def vote(batches):
         for batch in batches:
-            rows = zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True)
+            rows = zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True)
             voted = [index.votes(np.searchsorted(vocabulary, t.values.to_numpy().view(np.uint64)), c.values.to_numpy(), without=i)[:2] for i, t, c in rows]
             yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array([v[j] for v in voted], pa.float64()) for j in (0, 1))], names=["toxic", "vote", "top"])
 
@@ -237,7 +256,7 @@ def scores(model: ToxicityModel):
     def score(texts: pa.Array) -> pa.Array:
         if not kept:
             kept.append(WordHashes())
-        found = [model.score(*term_counts(t.as_py(), kept[0])) for t in texts]
+        found = [model.score(t.as_py(), kept[0]) for t in texts]
         ends = np.cumsum([0, *(len(f[1]) for f in found)]).astype(np.int32)
         near = pa.StructArray.from_arrays(
             [pa.array(np.concatenate([f[i] for f in found]) if found else [], kind) for i, kind in ((1, pa.int64()), (2, pa.float64()))], names=["doc_id", "cosine"]
@@ -250,7 +269,7 @@ def scores(model: ToxicityModel):
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, score, predicted, evidence array<struct<doc_id, cosine>>) for every row of docs.
 
-    score is the calibrated chance of label 1, predicted is 1 from 0.5 on, evidence are the nearest labelled examples. Only labels
+    score is the calibrated chance of label 1, predicted is 1 from 0.5 on, evidence are the nearest labelled examples, without one of the same text. Only labels
     of ids with crc32(id as text) mod 5 other than 0 are learned from. Words that no example has don't count, in the norm
     either. Null and empty texts and texts without a word of any example have no neighbours and get the score of no votes; so
     does every text where there are no labels of both kinds, or under LEAST_LABELLED in all. Ids must be integers; of several texts with one labelled id the

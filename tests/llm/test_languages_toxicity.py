@@ -113,7 +113,7 @@ def test_block_max_search_is_exact():
     often = np.r_[np.full(6, 0.8), np.full(v - 6, 0.06)]  # some long lists
     terms = [np.flatnonzero(rng.random(v) < often * (i % 9 > 0)) for i in range(n)]
     counts = [rng.integers(1, 5, len(t)) for t in terms]
-    index = toxicity.ExampleIndex.build(np.arange(v, dtype=np.uint64), rng.uniform(0.5, 4, v), list(range(n)), rng.integers(0, 2, n).tolist(), terms, counts)
+    index = toxicity.ExampleIndex.build(np.arange(v, dtype=np.uint64), rng.uniform(0.5, 4, v), rng.uniform(0, 2, v), list(range(n)), list(range(n)), rng.integers(0, 2, n).tolist(), terms, counts)
     assert 0 < index.rows.shape[1] < v and len(index.example)
 
     def dense(t, c):
@@ -126,7 +126,8 @@ def test_block_max_search_is_exact():
         want = rows @ dense(terms[q], counts[q])
         want[index.ids == q] = 0
         want = np.sort(want)[::-1][: toxicity.NEIGHBOURS]
-        places, cosines = index.nearest(terms[q], counts[q], without=q)
+        places, cosines, votes = index.nearest(terms[q], counts[q], without=q)
+        assert np.allclose(votes, rows[places] @ (dense(terms[q], counts[q]) * index.telling), atol=1e-6)
         assert np.allclose(cosines, want[want > 0], atol=1e-6)
         assert len(set(places.tolist())) == len(places)
 
@@ -139,22 +140,23 @@ def brute_scores(texts, labels):
     known = {w for i in examples for w in words[i]}
     idf = {w: math.log((1 + len(texts)) / (1 + sum(w in set(x) for x in words))) + 1e-3 for w in known}
     with_label = {w: [sum(w in words[i] for i in examples if labels[i] == k) for k in (0, 1)] for w in known}
-    factor = {w: idf[w] * math.log2(2 + with_label[w][1] / max(1, with_label[w][0])) ** 2 for w in known}
+    telling = {w: (math.log2(2 + with_label[w][1] / max(1, with_label[w][0])) - 1) ** 2 for w in known}
 
     def vector(i):
-        x = {w: (1 + math.log(c)) * factor[w] for w, c in Counter(words[i]).items() if w in known}
+        x = {w: (1 + math.log(c)) * idf[w] for w, c in Counter(words[i]).items() if w in known}
         norm = math.sqrt(sum(v * v for v in x.values()))
         return {w: v / norm for w, v in x.items()}
 
     vectors = [vector(i) for i in range(len(texts))]
 
-    def votes(i, without=None):
-        near = sorted(((sum(v * vectors[e].get(w, 0) for w, v in vectors[i].items()), e) for e in examples if e != without), key=lambda x: -x[0])[: toxicity.NEIGHBOURS]
-        near = [x for x in near if x[0] > 0]
-        total = sum(c for c, _ in near)
-        return (sum(c * labels[e] for c, e in near) / total, near[0][0]) if near else (0.0, 0.0)
+    def votes(i):
+        near = sorted(((sum(v * vectors[e].get(w, 0) for w, v in vectors[i].items()), e) for e in examples if texts[e] != texts[i]), key=lambda x: -round(x[0], 9))
+        near = [x for x in near if x[0] > 0][: toxicity.NEIGHBOURS]
+        told = [(sum(v * vectors[e].get(w, 0) * telling[w] for w, v in vectors[i].items()), labels[e]) for _, e in near]
+        total = sum(t for t, _ in told)
+        return (sum(t * k for t, k in told) / total if total else 0.0, near[0][0] if near else 0.0)
 
-    x = np.array([(1.0, v, v * t) for v, t in (votes(e, e) for e in examples)])
+    x = np.array([(1.0, v, v * t) for v, t in map(votes, examples)])
     y, w = np.array([labels[e] for e in examples]), np.zeros(3)
     for _ in range(200_000):
         step = x.T @ (y - 1 / (1 + np.exp(-x @ w))) - np.array([1e-3, 1, 1]) * w
@@ -167,13 +169,13 @@ def brute_scores(texts, labels):
 def test_toxicity_equals_brute_force(spark, docs_of):
     rng = np.random.default_rng(7)
     rude = ["idiotword", "trashword"]
-    texts = [" ".join([*(f"w{x}" for x in rng.zipf(1.4, rng.integers(3, 30)) % 200), *(rude[: 1 + i % 2] if i % 5 < 2 else [])]) for i in range(130)] + ["", "unseen", None]
-    labels = {i: int(i % 5 < 2) ^ int(i % 29 == 0) for i in range(100)}
+    texts = [" ".join([*(f"w{x}" for x in rng.zipf(1.4, rng.integers(3, 30)) % 200), *(rude[: 1 + i % 2] if i % 5 < 2 else [])]) for i in range(230)] + ["", "unseen", None]
+    labels = {i: int(i % 5 < 2) ^ int(i % 29 == 0) for i in range(200)}
     frame = spark.createDataFrame([(i, 1, t) for i, t in labels.items()], "doc_id bigint, quality int, toxic int")
     got = {r["doc_id"]: r for r in toxicity.score_documents(docs_of(texts), frame).collect()}
     want = brute_scores(texts, labels)
     assert max(abs(got[i]["score"] - want[i]) for i in range(len(texts))) < 1e-4
-    assert all(got[i]["evidence"] for i in range(130)) and not any(got[i]["evidence"] for i in range(130, 133))
+    assert all(got[i]["evidence"] for i in range(230)) and not any(got[i]["evidence"] for i in range(230, 233))
 
 
 def test_toxic_documents(spark, docs_of, odd_texts, clashes):
@@ -185,7 +187,7 @@ def test_toxic_documents(spark, docs_of, odd_texts, clashes):
     assert all(rows[i]["predicted"] == int(i % 4 == 0) for i in range(600))
     assert all(rows[i]["predicted"] == 0 and rows[i]["evidence"] == [] for i in range(600, 605))
     assert all(r["evidence"] for i, r in rows.items() if i < 600)
-    assert all(e["doc_id"] % 4 == 0 for e in rows[0]["evidence"])
+    assert sum(e["doc_id"] % 4 == 0 for e in rows[0]["evidence"]) > 40
     kept = toxicity.keep_documents(docs, labels)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i in rows if not rows[i]["predicted"]}
     assert toxicity.score_documents(docs_of([]), labels).count() == 0
