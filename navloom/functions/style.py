@@ -17,8 +17,11 @@ from pyspark.sql import types as T
 CASH = 1.065 ** (1 / 52) - 1
 
 
-def simplex_weights(gram: np.ndarray, cross: np.ndarray) -> np.ndarray:
-    """For each group the weights w >= 0 with sum 1 that minimise w'Gw - 2 w'c; the first of equally good sets of sleeves."""
+def simplex_weights(gram: np.ndarray, cross: np.ndarray, there: np.ndarray | None = None) -> np.ndarray:
+    """For each group the weights w >= 0 with sum 1 that minimise w'Gw - 2 w'c; the first of equally good sets of sleeves.
+
+    there: which sleeves a group has; a set with another one is no choice for it.
+    """
     n, k = cross.shape
     best, out = np.full(n, np.inf), np.zeros((n, k))
     for size in range(1, k + 1):
@@ -34,6 +37,8 @@ def simplex_weights(gram: np.ndarray, cross: np.ndarray) -> np.ndarray:
             total = full.sum(1)
             fits = (w >= -1e-9).all(1) & (np.abs(total - 1) < 1e-6)
             value = np.einsum("ni,nij,nj->n", full, gram, full) - 2 * np.einsum("ni,ni->n", full, cross)
+            if there is not None:
+                fits &= there[:, own].all(1)
             take = fits & (value < best - 1e-15)
             best[take], out[take] = value[take], full[take]
     return out
@@ -68,6 +73,42 @@ def style_weights(rows: DataFrame, by: list[str], y: str = "f", sleeves: tuple[s
     return solved.select(*by, "n", *(F.col("_w")[i].alias(f"w_{s}") for i, s in enumerate([*sleeves, "cash"])))
 
 
+def varying_style_weights(rows: DataFrame, by: list[str], y: str = "f", sleeves: tuple[str, ...] = ("x1", "x2"), later: str = "x3", least: int = 12, least_later: int = 13) -> DataFrame:
+    """(by..., n, has_<later>, w_<sleeve>..., w_<later>, w_cash): style weights of groups where one sleeve has a shorter history than the others.
+
+    A group with least_later weeks or more of that sleeve is solved with it, over the weeks that have it; the others are solved
+    without it, over all their weeks, and give it the weight 0. Groups of fewer than `least` such weeks give no row.
+    """
+    columns = [*(F.col(s).cast("double") for s in sleeves), F.coalesce(F.col(later).cast("double"), F.lit(0.0)), F.lit(CASH)]
+    k, names = len(columns), [*sleeves, later, "cash"]
+    known = rows.dropna(subset=[y, *sleeves]).withColumn("_there", F.col(later).isNotNull())
+    with_it = lambda c: F.avg(F.when(F.col("_there"), c))
+    sums = [f(columns[i] * columns[j]).alias(f"_{t}g{i}_{j}") for t, f in (("a", F.avg), ("b", with_it)) for i in range(k) for j in range(i, k)]
+    sums += [f(F.col(y) * c).alias(f"_{t}c{i}") for t, f in (("a", F.avg), ("b", with_it)) for i, c in enumerate(columns)]
+    summed = known.groupBy(*by).agg(F.count(F.lit(1)).alias("_all"), F.count(F.when(F.col("_there"), 1)).alias("_with"), *sums)
+    has = F.col("_with") >= least_later
+    summed = summed.withColumn("_has", has).withColumn("n", F.when(has, F.col("_with")).otherwise(F.col("_all"))).where(F.col("n") >= least)
+    own = lambda name: F.when(F.col("_has"), F.col(f"_b{name}")).otherwise(F.col(f"_a{name}"))
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def solve(has: pa.Array, *parts: pa.Array) -> pa.Array:
+        values = [p.to_numpy(zero_copy_only=False) for p in parts]
+        m = len(has)
+        gram, at = np.zeros((m, k, k)), 0
+        for i in range(k):
+            for j in range(i, k):
+                gram[:, i, j] = gram[:, j, i] = values[at]
+                at += 1
+        there = np.ones((m, k), bool)
+        there[:, k - 2] = has.to_numpy(zero_copy_only=False).astype(bool)
+        cross = np.column_stack(values[at:]) if m else np.zeros((0, k))
+        return pa.array(list(simplex_weights(gram, cross, there)), pa.list_(pa.float64()))
+
+    inputs = [own(f"g{i}_{j}") for i in range(k) for j in range(i, k)] + [own(f"c{i}") for i in range(k)]
+    solved = summed.select(*by, "n", F.col("_has").alias(f"has_{later}"), solve("_has", *inputs).alias("_w"))
+    return solved.select(*by, "n", f"has_{later}", *(F.col("_w")[i].alias(f"w_{s}") for i, s in enumerate(names)))
+
+
 def attribution(aligned: DataFrame, weights: DataFrame, id_col: str = "fund_id") -> DataFrame:
     """(id, strategic, tactical, selection), annual, from 26 weeks on.
 

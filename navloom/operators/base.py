@@ -71,7 +71,6 @@ OPERATORS = [
     Operator("ts06_align_limit_one", "A fund's values on the benchmark's calendar: the last at or before, for one unmatched date after a match at most.", "with c as (select fund.fund_id, idxd.day from fund join idxd on idxd.index_id = fund.sector join span on span.fund_id = fund.fund_id and idxd.day >= d0), m as (select c.fund_id, c.day, navd.nav as exact from c left join navd on navd.fund_id = c.fund_id and navd.day = c.day), g as (select fund_id, day, exact, [[last|exact]] over (partition by fund_id order by day rows between 1 preceding and current row) as nav from m) select fund_id, [[date|day]] as ts, nav from g where nav is not null"),
     Operator("ts06_align_unlimited", "The same without a limit.", "with c as (select fund.fund_id, idxd.day from fund join idxd on idxd.index_id = fund.sector) select fund_id, [[date|day]] as ts, nav from (select c.fund_id, c.day, [[last|navd.nav]] over (partition by c.fund_id order by c.day rows between unbounded preceding and current row) as nav from c left join navd on navd.fund_id = c.fund_id and navd.day = c.day) x where nav is not null"),
     Operator("ts07_period_change", "Change over {n} rows; the first rows have none and are left out.", "select fund_id, ts, round(r, 10) as r from (select fund_id, ts, nav / lag(nav, {n}) over (partition by fund_id order by ts) - 1 as r from nav where nav > 0) x where r is not null", {"n": 1}),
-    Operator("ts08_return_matrix", "Excerpt of ts08_period_changes: the change over 13 weeks of funds 1, 2 and 3, and number and mean over all funds.", "with cal as (select distinct w from wk), g as (select fund_id, cal.w from fund cross join cal), r as (select g.fund_id, g.w, wk.nav / lag(wk.nav, 13) over (partition by g.fund_id order by g.w) - 1 as r from g left join wk on wk.fund_id = g.fund_id and wk.w = g.w) select [[date|w]] as week, round(max(case when fund_id = '1' then r end), 10) as fund_1, round(max(case when fund_id = '2' then r end), 10) as fund_2, round(max(case when fund_id = '3' then r end), 10) as fund_3, count(r) as n_funds, round(avg(r), 10) as mean_r from r group by w"),
     Operator(
         "ts08_period_changes",
         "Each fund on each day that it has a value: change over {short} and {long} days of the calendar of all funds; a gap gives a null. `wide` makes the matrix.",

@@ -40,9 +40,36 @@ OPERATORS = [
         g as (select fund_id, w1, [[flows|a|(d - w1) / 365.25e0|d * 2 + k]] as flows from t group by 1, 2)
         select fund_id, [[date|w1]] as week, round([[xirr|flows]], 6) as xirr from g""",
     ),
+    Operator(
+        "cf04_trailing_plans",
+        "Plans that end on a fund's last day and began 12, 15, ... 33 months before: bought on each month start at the last value up to it; mean rate and steadiness from three plans on, else 0.",
+        """
+        with k as (select fund_id, d0, d1, [[seq|0|7]] as k from span),
+        p as (select fund_id, d0, d1, k, [[day|[[months|[[date|d1]]|-12 - 3 * k]]]] as s from k),
+        m as (select p.fund_id, p.k, p.s, p.d1, [[monthseq|cast(date_trunc('month', [[date|s]]) as date)|[[date|d1]]]] as m from p where p.s >= p.d0),
+        b as (select fund_id, k, s, d1, [[day|m]] as d from m where [[day|m]] >= s),
+        u as (select fund_id, d as day, cast(null as double) as nav, k, s, d1 from b union all select fund_id, day, nav, null, null, null from navd),
+        v as (select fund_id, k, s, d1, day, [[last|nav]] over (partition by fund_id order by day, case when k is null then 0 else 1 end rows between unbounded preceding and current row) as nav from u),
+        e as (select fund_id, max_by(nav, day) as nav from navd group by 1),
+        f as (select fund_id, k, s, d1, day, -1e0 as a, day * 2 as o from v where k is not null and nav is not null
+              union all select v.fund_id, v.k, v.s, v.d1, v.d1, sum(1 / v.nav) * max(e.nav), v.d1 * 2 + 1 from v join e on e.fund_id = v.fund_id where v.k is not null and v.nav is not null group by v.fund_id, v.k, v.s, v.d1),
+        g as (select fund_id, k, [[flows|a|(day - s) / 365.25e0|o]] as flows from f group by 1, 2),
+        x as (select fund_id, [[xirr|flows|-0.99|10.0]] as xirr from g)
+        select span.fund_id, count(xirr) as n_plans, round(case when count(xirr) >= 3 then avg(xirr) else 0e0 end, 6) as mean_x, round(case when count(xirr) >= 3 then 1 / (1 + stddev_pop(xirr)) else 0e0 end, 6) as steadiness from span left join x on x.fund_id = span.fund_id group by 1""",
+    ),
     Operator("cf05_sip_then_hold", "Twelve monthly purchases, held for twelve months more and sold: rate of return for every start.", f"select fund_id, start, round(xirr, 6) as xirr from ({_HOLDX}) x"),
     Operator("cf06_rolling_sip_return", "Simple return of every 12-month plan at the first values of months, less that of the index's plan; level, stability from 12 plans on, trend of the last 12.", "with fm as (select fund_id, cast(date_trunc('month', ts) as date) as m, min_by(nav, ts) as f from nav where nav > 0 group by 1, 2), im as (select index_id, cast(date_trunc('month', ts) as date) as m, min_by(nav, ts) as b from index_nav where nav > 0 group by 1, 2), j as (select fm.fund_id, fm.m, f, b from fm join fund on fund.fund_id = fm.fund_id join im on im.index_id = fund.sector and im.m = fm.m), p as (select fund_id, m, sum(1 / f) over w12 * lead(f, 12) over (partition by fund_id order by m) / 12 - 1 as fr, sum(1 / b) over w12 * lead(b, 12) over (partition by fund_id order by m) / 12 - 1 as br from j window w12 as (partition by fund_id order by m rows between current row and 11 following)), r as (select fund_id, fr, fr - br as alpha, row_number() over (partition by fund_id order by m desc) as k, row_number() over (partition by fund_id order by m) as i from p where fr is not null) select fund_id, count(*) as n_windows, round(avg(fr), 6) as mean_ret, round(avg(alpha), 6) as mean_alpha, round(case when count(*) >= 12 then avg(fr) / case when stddev_samp(fr) > 1e-12 then stddev_samp(fr) end end, 5) as stability, round(case when count(*) >= 3 then regr_slope(case when k <= 12 then alpha end, case when k <= 12 then cast(i as double) end) end, 6) as trend from r group by fund_id"),
     Operator("cf07_sip_summary", "Summary of a fund's rolling rates of return.", "with r as (select fund_id, xirr, row_number() over (partition by fund_id order by ra desc) as k from sipx where xirr is not null) select fund_id, count(*) as n_windows, round(median(xirr), 6) as median_x, round([[q|xirr|0.25]], 6) as p25, round([[q|xirr|0.05]], 6) as p5, round(min(xirr), 6) as worst, round(avg(xirr), 6) as mean_x, round(stddev_samp(xirr), 6) as std_x, round(max(case when k = 1 then xirr end), 6) as latest, round(avg(case when k <= 3 then xirr end), 6) as newest_3, round(avg(case when xirr > 0.08e0 then 1e0 else 0e0 end), 6) as share_8 from r group by fund_id"),
     Operator("cf08_hit_rate", "Share of shared starts at which the fund's plan beats the index's.", f"select sipx.fund_id, count(*) as n_shared, round(avg(case when round(sipx.xirr, 9) > round(b.xirr, 9) then 1e0 else 0e0 end), 6) as hit_rate from sipx join fund on fund.fund_id = sipx.fund_id join ({_BX}) b on b.index_id = fund.sector and b.start = sipx.start where sipx.xirr is not null and b.xirr is not null group by sipx.fund_id"),
+    Operator(
+        "cf09_alpha_hit_rate",
+        "Share of a fund's windows of 52 weeks (every four weeks, 30 at most) whose alpha is above the median of its peers' in the same weeks, five peers at least.",
+        """
+        with e as (select fund_id, w, f, b, 4 * j + 1 as e0 from (select fund_id, w, f, b, [[seq|cast(greatest(floor((rd - 49) / 4e0), 0) as int)|cast(least(floor((rd - 1) / 4e0), 29) as int)]] as j from al where rd <= 168) e1),
+        a as (select fund_id, max(w) as w, round(52 * (avg(f) - (pow(1.065e0, 1 / 52e0) - 1) - regr_slope(f, b) * (avg(b) - (pow(1.065e0, 1 / 52e0) - 1))), 9) as a from e group by fund_id, e0 having count(*) = 52 and var_samp(b) > 1e-12),
+        x as (select a.fund_id, fund.sector, a.w, a.a from a join fund on fund.fund_id = a.fund_id where abs(a.a) < 1),
+        m as (select sector, w, median(a) as peer from x group by 1, 2 having count(*) >= 5)
+        select x.fund_id, count(*) as n_windows, round(avg(case when x.a > m.peer then 1e0 else 0e0 end), 6) as hit_rate from x join m on m.sector = x.sector and m.w = x.w group by x.fund_id""",
+    ),
     Operator("cf09_peer_hit_rate", "Share of a fund's starts above the median of its peers at the start, five peers at least.", "with x as (select sipx.fund_id, fund.sector, start, xirr from sipx join fund on fund.fund_id = sipx.fund_id where xirr is not null), m as (select sector, start, median(xirr) as peer from x group by 1, 2 having count(*) >= 5) select x.fund_id, count(*) as n_windows, round(avg(case when round(xirr, 9) > round(peer, 9) then 1e0 else 0e0 end), 6) as hit_rate from x join m on m.sector = x.sector and m.start = x.start group by x.fund_id"),
 ]

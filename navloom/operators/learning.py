@@ -65,12 +65,18 @@ def measured(parts: list[tuple]) -> dict[str, str]:
 _PERCENTILE = "100 * (rank() over (partition by sector, pillar, metric, x is null order by x) + (count(*) over (partition by sector, pillar, metric, x) - 1) / 2e0) / nullif(count(x) over (partition by sector, pillar, metric), 0)"
 
 
-def pillared(name: str, doc: str, parts: list[tuple], confidence: str = "1e0") -> Model:
-    """Percentiles within the sector, weighted means by pillar (pillar_scores) and over the pillars that a fund has (model_scores), times a confidence (of conf, steps, room)."""
+def pillared(name: str, doc: str, parts: list[tuple], confidence: str = "1e0", haircuts: dict[str, str] | None = None) -> Model:
+    """Percentiles within the sector, weighted means by pillar (pillar_scores) and over the pillars that a fund has (model_scores), times a confidence (of conf, steps, room).
+
+    haircuts: factors of a pillar by the fund's aum. A pillar that no fund has takes no part, as its weight goes to those that a fund has.
+    """
+    cut = " ".join(f"when '{pillar}' then {factor}" for pillar, factor in (haircuts or {}).items())
+    cut = f" * case pillar {cut} else 1e0 end" if cut else ""
     steps = measured(parts) | {
         "pillar_scores": f"""
-            select fund_id, sector, pillar, max(pillar_weight) as pw, sum(weight * p) / nullif(sum(case when p is not null then weight end), 0) as s
-            from (select *, case when x is not null then {_PERCENTILE} end as p from measures_long) p group by 1, 2, 3""",
+            select s.fund_id, s.sector, s.pillar, s.pw, s.s{cut} as s
+            from (select fund_id, sector, pillar, max(pillar_weight) as pw, sum(weight * p) / nullif(sum(case when p is not null then weight end), 0) as s
+                  from (select *, case when x is not null then {_PERCENTILE} end as p from measures_long) p group by 1, 2, 3) s join fund on fund.fund_id = s.fund_id""",
         "model_scores": f"""
             select r.fund_id, r.sector, round(least(greatest(raw * {confidence}, 0e0), 100e0), 6) as score
             from (select fund_id, sector, sum(pw * s) / nullif(sum(case when s is not null then pw end), 0) as raw, max(case when pillar = 'plans' then s end) as plans from pillar_scores group by 1, 2) r
@@ -148,14 +154,14 @@ OPERATORS = [
     ),
     pillared(
         "e2e02_regime_pillars",
-        "Mid-cap model: five pillars (regime alpha, shrunk skill, dated plans, tails and recovery, holdings) of percentiles, times confidence by days. The holdings pillar has no haircut by assets.",
+        "Mid-cap model: five pillars (regime alpha, shrunk skill, dated plans, tails and recovery, holdings) of percentiles, times confidence by days. Large assets cut the holdings pillar.",
         [
             ("regime", 0.35, "rg05_expected_alpha", "expected", 0.75), ("regime", 0.35, "rg06_capture_spread", "spread", 0.25),
             ("skill", 0.2, "lb09", "shrunk", 0.7), ("skill", 0.2, "bm20_block_stability", "stability", 0.3),
             ("plans", 0.2, "dated_plans", "p50", 0.45), ("plans", 0.2, "dated_plans", "p25", 0.35), ("plans", 0.2, "cf08_hit_rate", "hit_rate", 0.2),
             ("tails", 0.15, "rk07_cdar", "cdar_two", 0.4), ("tails", 0.15, "rk21_recovery_half_life", "half_life", -0.25), ("tails", 0.15, "rk17_skew", "down_up", -0.2), ("tails", 0.15, "rk17_skew", "skew", 0.15),
             ("holdings", 0.1, "hd02_equity_profile", "top_10", -0.45), ("holdings", 0.1, "hd02_equity_profile", "n_holdings", 0.3), ("holdings", 0.1, "hd02_equity_profile", "mean_change", 0.25),
-        ], "conf.by_days",
+        ], "conf.by_days", {"holdings": _LARGE_ROOM},
     ),
     pillared(
         "e2e03_style_allocation",
@@ -168,10 +174,10 @@ OPERATORS = [
     ),
     pillared(
         "e2e04_hold_composite",
-        "Total-market model: five pillars (held plans, alpha consistency, resilience, conviction and capacity, path) of percentiles, times confidence by weeks. Lacks the share of windows with an alpha above the peers'.",
+        "Total-market model: five pillars (held plans, alpha consistency, resilience, conviction and capacity, path) of percentiles, times confidence by weeks.",
         [
             ("plans", 0.3, "held_plans", "p50", 0.3), ("plans", 0.3, "held_plans", "p25", 0.2), ("plans", 0.3, "held_plans", "newest", 0.15), ("plans", 0.3, "cf08_hit_rate", "hit_rate", 0.2), ("plans", 0.3, "held_plans", "peer_hits", 0.15),
-            ("skill", 0.22, "bm21_rolling_alphas", "share_positive", 0.3), ("skill", 0.22, "lb09", "shrunk", 0.25), ("skill", 0.22, "bm02_information_ratio", "ir", 0.15),
+            ("skill", 0.22, "bm21_rolling_alphas", "share_positive", 0.3), ("skill", 0.22, "cf09_alpha_hit_rate", "hit_rate", 0.3), ("skill", 0.22, "lb09", "shrunk", 0.25), ("skill", 0.22, "bm02_information_ratio", "ir", 0.15),
             ("hold", 0.23, "rg05_expected_alpha", "expected", 0.3), ("hold", 0.23, "rg06_capture_spread", "spread", 0.2), ("hold", 0.23, "rg07_masked_excess", "excess", 0.15),
             ("hold", 0.23, "rk21_recovery_rows", "half_life", -0.25), ("hold", 0.23, "rk04_current_drawdown", "current_dd", 0.1),
             ("conviction", 0.1, "bm03_active_skill", "skill", 0.45), ("conviction", 0.1, "rg08_beta_stability", "stability", 0.35), ("conviction", 0.1, "scr11_capacity", "piecewise", 0.2),
@@ -404,4 +410,43 @@ OPERATORS += [
         select fund_id, sector, score, rank() over (partition by sector order by score desc) as place from f""",
         steps={**_TUNED, **_TUNED_DAYS},
     ),
+    Model(
+        "e2e08_total_market",
+        "Fixed-range model: nine measures (held plans, recovery, down capture, monthly information ratio, factor alpha, themes, conviction) scaled between fixed bounds, weighted, less for large assets; 130 values at least.",
+        """
+        with n as (select fund_id from navd group by 1 having count(*) >= 130),
+        s as (select n.fund_id, fund.sector, fund.aum,
+                     0.22e0 * coalesce((least(greatest(p.mean_x, -0.05e0), 0.35e0) + 0.05e0) / 0.4e0, 0.5e0) + 0.13e0 * coalesce((least(greatest(p.p5, -0.25e0), 0.2e0) + 0.25e0) / 0.45e0, 0.5e0)
+                     + 0.08e0 * (least(greatest(1 / (coalesce(nullif(p.sd, 0), 0.15e0) + 0.01e0), 3e0), 20e0) - 3) / 17
+                     + 0.12e0 * (1 - (least(greatest(coalesce(nullif(r.days, 0), 400), 100), 700) - 100) / 600e0) + 0.1e0 * (1 - (least(greatest(coalesce(nullif(m.down, 0), 0.9e0), 0.4e0), 1.4e0) - 0.4e0))
+                     + 0.15e0 * (least(greatest(coalesce(m.ir, 0e0), -0.5e0), 1.5e0) + 0.5e0) / 2 + 0.08e0 * (least(greatest(coalesce(pow(1 + a.alpha / 52, 52) - 1, 0e0), -0.05e0), 0.15e0) + 0.05e0) / 0.2e0
+                     + 0.07e0 * least(greatest(t.tilt + 0.15e0, 0e0), 0.5e0) / 0.5e0 + 0.05e0 * c.conviction as score
+              from n join fund on fund.fund_id = n.fund_id left join fixed_plans p on p.fund_id = n.fund_id left join fixed_recovery r on r.fund_id = n.fund_id left join fixed_months m on m.fund_id = n.fund_id
+              left join o_alpha a on a.fund_id = n.fund_id left join o_tilt t on t.fund_id = n.fund_id left join o_conviction c on c.fund_id = n.fund_id),
+        f as (select fund_id, sector, round(100 * score * case when aum > 25000 then 0.92e0 when aum > 15000 then 0.97e0 else 1e0 end, 2) as score from s)
+        select fund_id, sector, score, row_number() over (partition by sector order by score desc, fund_id) as place from f""",
+        steps={
+            "fixed_plans": f"select fund_id, avg(xirr) as mean_x, [[q|xirr|0.05]] as p5, stddev_pop(xirr) as sd from ({_HOLD}) h where xirr is not null group by 1",
+            # The longest time from a fall of over 0.1 % below the peak to the end of it, or to the last day.
+            "fixed_recovery": """
+                select fund_id, max(case when began is not null then coalesce(next_start, last_day) - began else 0 end) as days
+                from (select fund_id, last_day, min(case when under then day end) as began, lead(min(day)) over (partition by fund_id order by run) as next_start
+                      from (select fund_id, day, under, last_day, sum(case when under then 0 else 1 end) over (partition by fund_id order by day rows between unbounded preceding and current row) as run
+                            from (select fund_id, day, nav / max(nav) over (partition by fund_id order by day rows between unbounded preceding and current row) - 1 < -0.001e0 as under, max(day) over (partition by fund_id) as last_day from navd) x) y
+                      group by fund_id, last_day, run) z group by 1""",
+            "fixed_pairs": """
+                select a.fund_id, 12 * year([[date|a.day]]) + month([[date|a.day]]) as m, max_by(a.nav, a.day) as f, max_by(b.nav, a.day) as b, count(*) as k
+                from navd a join fund on fund.fund_id = a.fund_id join idxd b on b.index_id = fund.sector and b.day = a.day group by 1, 2""",
+            "fixed_months": """
+                select fund_id, case when max(n) >= 36 and stddev_samp(f - b) > 1e-12 then avg(f - b) / stddev_samp(f - b) * sqrt(12) end as ir,
+                       case when max(n) >= 40 and count(case when b < 0 then 1 end) >= 3 and count(case when b > 0 then 1 end) >= 3
+                            then (exp(avg(case when b < 0 then ln(1 + f) end) * 12) - 1) / (exp(avg(case when b < 0 then ln(1 + b) end) * 12) - 1) end as down
+                from (select fund_id, k, sum(k) over (partition by fund_id) as n, f / case when lag(m) over (partition by fund_id order by m) = m - 1 then lag(f) over (partition by fund_id order by m) end - 1 as f,
+                             b / case when lag(m) over (partition by fund_id order by m) = m - 1 then lag(b) over (partition by fund_id order by m) end - 1 as b from fixed_pairs) x
+                where f is not null group by 1""",
+            "o_alpha": _sql("fx01_factor_alpha"),
+            "o_tilt": _sql("hd04_theme_tilt"),
+            "o_conviction": _sql("hd03_conviction"),
+        },
+    ),
 ]

@@ -106,7 +106,6 @@ OPERATORS = [
     Operator("en01_compiled_score", "Mean over all models of the scores scaled within sector and model.", f"select fund_id, sector, final_score from ({_FINAL}) f"),
     Operator("en02_total_rank", "Ordinal rank of the compiled score in its sector.", f"select fund_id, sector, final_score, row_number() over (partition by sector order by final_score desc, fund_id) as total_rank from ({_FINAL}) f"),
     Operator("en03_row_averages", "Mean of what is a number over the models; text is left out.", "select fund_id, round(avg(try_cast(data_days as double)), 0) as avg_data_days, round(avg(try_cast(cagr_3y as double)), 2) as avg_cagr_3y from model_score group by fund_id"),
-    Operator("en04_rank_history", "Excerpt of en04_run_ranks: ranks of 1997 to 2000 for the funds of 1997.", f"with h as ({_HISTORY}), b as (select fund_id from h where y = 1997) select b.fund_id, max(case when y = 1997 then k end) as rank_1997, max(case when y = 1998 then k end) as rank_1998, max(case when y = 1999 then k end) as rank_1999, max(case when y = 2000 then k end) as rank_2000 from b left join h on h.fund_id = b.fund_id group by b.fund_id"),
     Operator("en04_run_ranks", "Rank of each fund in each year that it has values in; in_first is 1 for the funds of the first year. `base.wide` makes the matrix of it.", f"with h as ({_RUNS}), b as (select min(y) as y0 from h) select fund_id, y as run_year, k as run_rank, max(case when y = y0 then 1 else 0 end) over (partition by fund_id) as in_first from h cross join b"),
     Operator("hd01_concentration", "Weight of the 5, 10 and 20 largest holdings.", f"select fund_id, round(sum(case when k <= 5 then latest end), 2) as top_5, round(sum(case when k <= 10 then latest end), 2) as top_10, round(sum(case when k <= 20 then latest end), 2) as top_20 from ({_HR}) h where latest > 0 group by fund_id"),
     Operator("hd02_equity_profile", "Equity holdings: weight of the 10 largest, number, mean size of the change.", "with e as (select *, row_number() over (partition by fund_id order by latest desc, sid) as k from holding where lower(type) = 'equity') select fund_id, round(sum(case when k <= 10 then latest end), 4) as top_10, count(case when latest > 0 then 1 end) as n_holdings, round(avg(abs(change3m)), 6) as mean_change from e group by fund_id"),

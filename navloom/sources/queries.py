@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from navloom.functions.style import attribution, style_weights
+from navloom.functions.style import attribution, style_weights, varying_style_weights
 from navloom.operators import ALL
 from navloom.plans.fixtures import FUND, HOLDING, INDEX_NAV, MODEL_SCORE, NAV, fund_tables
 from navloom.plans.text import Operator, written
@@ -91,22 +91,6 @@ def prj06_sector_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.select("sector", F.to_json("funds").alias("funds"))
 
 
-def src10_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A source that is too short, made of AFRICA's first days, and the one that takes its place; src10_fallback_all has all indices."""
-    index = fund_tables(spark, sf_dir)["index_nav"]
-    early = index.where("index_id = 'AFRICA' and ts < DATE'1995-01-20'").select(F.lit("equity").alias("asset"), F.lit(1).alias("priority"), F.lit("AFRICA").alias("source"), "ts", "nav")
-    later = index.where("index_id = 'ASIA'").select(F.lit("equity"), F.lit(2), F.lit("ASIA"), "ts", "nav")
-    return landing.first_source(early.union(later), 30).select("asset", "source", F.date_format("ts", "yyyy-MM-dd").alias("ts"), "nav")
-
-
-def candidates_by_asset(index: DataFrame) -> DataFrame:
-    """(asset, priority, source, ts, nav): every index as a candidate of each asset, its own proxy first, the others by name."""
-    proxies = index.sparkSession.createDataFrame(list(PROXIES.items()), "asset string, proxy string")
-    order = Window.partitionBy("asset").orderBy(F.col("index_id") != F.col("proxy"), "index_id")
-    ranked = index.select("index_id").distinct().crossJoin(F.broadcast(proxies)).select("asset", F.row_number().over(order).alias("priority"), F.col("index_id").alias("source"))
-    return index.withColumnRenamed("index_id", "source").join(F.broadcast(ranked), "source").select("asset", "priority", "source", "ts", "nav")
-
-
 def src10_fallback_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each asset all rows of its first candidate with enough points; all indices are candidates."""
     found = landing.first_source(candidates_by_asset(fund_tables(spark, sf_dir)["index_nav"]), 30)
@@ -139,6 +123,31 @@ def fx04_style_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weights.select("fund_id", "e0", *(F.round(f"w_{s}", 6).alias(f"w_{s}") for s in ("x1", "x2", "x3", "cash")))
 
 
+def _mix(tables: dict[str, DataFrame], weeks: int = 52) -> DataFrame:
+    """Style weights of each fund's last weeks by the calendar; the third index counts where it has 13 of them."""
+    rows = Operator(
+        "recent",
+        "",
+        """
+        with s as (select w, max(case when index_id = 'AFRICA' then r end) as x1, max(case when index_id = 'AMERICA' then r end) as x2, max(case when index_id = 'ASIA' then r end) as x3 from bwr group by w)
+        select wr.fund_id, wr.r as f, x1, x2, x3 from wr join (select fund_id, max(w) as last_w from wr group by 1) l on l.fund_id = wr.fund_id join s on s.w = wr.w where wr.w >= l.last_w - 7 * {weeks}""",
+        {"weeks": weeks},
+    )(tables)
+    return varying_style_weights(rows, ["fund_id"])
+
+
+def fx04_current_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Style weights of each fund's last 52 weeks, and from them diversification, balance and the distance to the target mix."""
+    mix = _mix(fund_tables(spark, sf_dir))
+    squares = sum((F.col(f"w_{s}") ** 2 for s in ("x1", "x2", "x3", "cash")), F.lit(0.0))
+    metal = lambda w, t: F.when(F.col(w) > t, 1.5).otherwise(1.0) * (F.col(w) - t) ** 2
+    fit = (F.col("w_x1") - 0.55) ** 2 + metal("w_x2", 0.15) + metal("w_x3", 0.05) + (F.col("w_cash") - 0.25) ** 2
+    return mix.select(
+        "fund_id", F.col("n").alias("n_weeks"), *(F.round(f"w_{s}", 6).alias(f"w_{s}") for s in ("x1", "x2", "x3", "cash")),
+        F.round(1 - squares, 5).alias("diversification"), F.round(F.least(F.greatest((1 - squares) / 0.75, F.lit(0.0)), F.lit(1.0)), 5).alias("balance"), F.round(fit, 5).alias("distance"),
+    )
+
+
 def fx05_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attribution of each fund over all weeks from the end of its first window on."""
     aligned = _aligned(spark, sf_dir)
@@ -164,7 +173,7 @@ def e2e03_allocation_skill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("fund_id", "sector", "skill", "score", place.alias("place"))
 
 
-QUERIES = {f.__name__: f for f in (e2e03_allocation_skill, src01_screener, src02_chart, src03_holdings, src04_entity_files, src05_snapshot, prj06_sector_map, src06_discover, src07_contract, src08_load_report, src09_index_lookup, src10_fallback, src10_fallback_all, src11_ranked_sink, fx04_style_weights, fx05_attribution)}
+QUERIES = {f.__name__: f for f in (e2e03_allocation_skill, src01_screener, src02_chart, src03_holdings, src04_entity_files, src05_snapshot, prj06_sector_map, src06_discover, src07_contract, src08_load_report, src09_index_lookup, src10_fallback_all, src11_ranked_sink, fx04_style_weights, fx04_current_mix, fx05_attribution)}
 
 _F, _N, _I, _H = (f"({written(x, 'duckdb')})" for x in (FUND, NAV, INDEX_NAV, HOLDING))
 
@@ -181,5 +190,4 @@ ORACLE_SQL = {
     "prj06_sector_map": f"select sector, '{{' || string_agg('\"' || subsector || '\":' || ids, ',' order by subsector) || '}}' as funds from (select sector, subsector, '[' || string_agg('\"' || fund_id || '\"', ',' order by fund_id) || ']' as ids from {_F} f group by 1, 2) x group by 1",
     "src10_fallback_all": f"with p as (select * from (values ('equity', 'AFRICA'), ('gold', 'AMERICA'), ('silver', 'ASIA')) v(asset, proxy)), n as (select index_id, count(*) as n from {_I} i group by 1), k as (select asset, index_id as source from p cross join n where n >= 30 qualify row_number() over (partition by asset order by index_id <> proxy, index_id) = 1) select asset, source, strftime(ts, '%Y-%m-%d') as ts, nav from k join {_I} j on j.index_id = k.source",
     "src11_ranked_sink": f"select f.sector, m.model, m.fund_id, m.score from ({written(MODEL_SCORE, 'duckdb')}) m join {_F} f on f.fund_id = m.fund_id",
-    "src10_fallback": f"with c as (select 'equity' as asset, 1 as priority, 'AFRICA' as source, ts, nav from {_I} i where index_id = 'AFRICA' and ts < DATE '1995-01-20' union all select 'equity', 2, 'ASIA', ts, nav from {_I} j where index_id = 'ASIA'), k as (select source from c group by priority, source having count(*) >= 30 order by priority limit 1) select asset, source, strftime(ts, '%Y-%m-%d') as ts, nav from c join k using (source)",
 }

@@ -264,3 +264,54 @@ def test_entry_without_text_operators(spark):
 
     assert entry.entry(spark).count() > 0
     assert len(entry.queries()) >= 140 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_mix_with_a_sleeve_of_short_history(spark):
+    """Windows with 13 weeks of the third sleeve are solved with it over those weeks, others without it; against a fine grid of weights."""
+    from navloom.functions.style import CASH, varying_style_weights
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(0.002, 0.02, (52, 3))
+    rows, series = [], {}
+    for g, known in (("none", 0), ("short", 12), ("enough", 13), ("all", 52)):
+        y = x @ [0.3, 0.1, 0.4] + 0.2 * CASH + rng.normal(0, 0.002, 52)
+        later = [None] * (52 - known) + x[52 - known :, 2].tolist()
+        rows += [(g, float(y[i]), float(x[i, 0]), float(x[i, 1]), later[i]) for i in range(52)]
+        series[g] = (y, known)
+    rows += [("few", 0.01, 0.01, 0.01, 0.01)] * 11
+    found = {r["g"]: r for r in varying_style_weights(spark.createDataFrame(rows, "g string, f double, x1 double, x2 double, x3 double"), ["g"]).collect()}
+    assert found.keys() == series.keys()
+    steps = np.linspace(0, 1, 41)
+    for g, (y, known) in series.items():
+        r = found[g]
+        use = known >= 13
+        assert r["has_x3"] == use and r["n"] == (known if use else 52)
+        part = slice(52 - known, 52) if use else slice(0, 52)
+        sleeves = np.column_stack([x[part], np.full(len(x[part]), CASH)])
+        loss = lambda w: float(np.mean((y[part] - sleeves @ w) ** 2))  # noqa: B023, E731
+        own = np.array([r["w_x1"], r["w_x2"], r["w_x3"], r["w_cash"]])
+        assert own.min() >= 0 and own.sum() == pytest.approx(1) and (use or own[2] == 0)
+        grid = [np.array([a, b, c, 1 - a - b - c]) for a in steps for b in steps for c in (steps if use else [0]) if a + b + c <= 1 + 1e-9]
+        assert loss(own) <= min(map(loss, grid)) + 1e-12
+
+
+def test_allocation_skill_joins_the_score(spark, sf_dir):
+    """A quarter of the score is the mean of three percentiles of fx05 within the sector; funds without them keep the score of e2e03."""
+    from navloom.sources.queries import QUERIES as own
+
+    parts = own["fx05_attribution"](spark, sf_dir).toPandas().set_index("fund_id")
+    from navloom.plans.registry import QUERIES
+
+    base = QUERIES["e2e03_style_allocation"](spark, sf_dir).toPandas().set_index("fund_id")
+    rows = own["e2e03_allocation_skill"](spark, sf_dir).collect()
+    assert len(rows) == len(base)
+    for r in rows:
+        f = r["fund_id"]
+        if f not in parts.index:
+            assert r["skill"] is None and r["score"] == pytest.approx(base.score[f], abs=1e-5)
+            continue
+        peers = parts[parts.index.isin(base.index[base.sector == base.sector[f]])]
+        share = lambda c: 0.0 if len(peers) < 2 else (peers[c] < peers[c][f]).sum() / (len(peers) - 1)  # noqa: B023, E731
+        skill = 100 * (0.35 * share("strategic") + 0.35 * share("tactical") + 0.3 * share("selection"))
+        assert r["skill"] == pytest.approx(skill, abs=1e-4)
+        assert r["score"] == pytest.approx(0.75 * base.score[f] + 0.25 * skill, abs=1e-4)

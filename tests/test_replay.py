@@ -181,3 +181,74 @@ def test_weight_keys_as_reported(spark):
     raw = spark.createDataFrame(rows, "fund_id string, sid string, latest double, " + ", ".join(f"{k} string" for k in keys))
     found = {r["fund_id"]: r["weight_pct"] for r in ALL["prj07_holding_weight"]({"holding_raw": raw}).collect()}
     assert found == {**{str(i): 25.0 for i in range(9)}, "x": 100.0, "y": 7.0}
+
+
+def test_fixed_range_measures_as_pandas(spark, series):
+    navs, index = series
+    tables = made(spark, navs, index)
+    model = ALL["e2e08_total_market"]
+    part = dataclasses.replace(model, sql="select r.fund_id, r.days, m.ir, m.down from fixed_recovery r left join fixed_months m on m.fund_id = r.fund_id")
+    found = {r["fund_id"]: r for r in part(tables).collect()}
+    for f, nav in navs.items():
+        fall = nav / nav.cummax() - 1
+        longest, began = 0, None
+        for d, v in fall.items():
+            if v < -0.001 and began is None:
+                began = d
+            elif v >= -0.001 and began is not None:
+                longest, began = max(longest, (d - began).days), None
+        if began is not None:
+            longest = max(longest, (nav.index[-1] - began).days)
+        assert found[f]["days"] == longest
+        both = pd.concat([nav, index], axis=1, join="inner")
+        both.index = pd.to_datetime(both.index)
+        r = both.resample("ME").last().pct_change().dropna()
+        excess, b = r.iloc[:, 0] - r.iloc[:, 1], r.iloc[:, 1]
+        assert found[f]["ir"] == pytest.approx(excess.mean() / excess.std() * np.sqrt(12), abs=1e-8)
+        fell = r[b < 0]
+        if len(fell) >= 3 and (b > 0).sum() >= 3:
+            grown = ((1 + fell).prod() ** (12 / len(fell)) - 1).to_numpy()
+            assert found[f]["down"] == pytest.approx(grown[0] / grown[1], abs=1e-8)
+    scores = model(tables).collect()
+    assert {r["fund_id"] for r in scores} == set(FUNDS) and all(0 <= r["score"] <= 100 for r in scores)
+
+
+def test_plans_bought_before_month_starts(spark, series):
+    """The rate of each plan that ends on the last day, bought at the last value up to each month start."""
+    navs, index = series
+    found = {r["fund_id"]: r for r in ALL["cf04_trailing_plans"](made(spark, navs, index)).collect()}
+    for f in ("f0", "f5", "f12"):
+        nav = navs[f]
+        end, rates = nav.index[-1], []
+        for k in range(8):
+            start = (pd.Timestamp(end) - pd.DateOffset(months=12 + 3 * k)).date()
+            if start < nav.index[0]:
+                continue
+            buys = [(d, nav[nav.index <= d].iloc[-1]) for d in pd.date_range(start, end, freq="MS").date]
+            flows = [(d, -1.0) for d, _ in buys] + [(end, sum(1 / v for _, v in buys) * nav.iloc[-1])]
+            lo, hi = -0.99, 10.0
+            for _ in range(120):
+                mid = (lo + hi) / 2
+                lo, hi = (mid, hi) if sum(a / (1 + mid) ** ((d - start).days / 365.25) for d, a in flows) > 0 else (lo, mid)
+            rates.append((lo + hi) / 2)
+        want = (np.mean(rates), 1 / (1 + np.std(rates))) if len(rates) >= 3 else (0, 0)
+        assert (found[f]["mean_x"], found[f]["steadiness"]) == pytest.approx(want, abs=2e-6)
+
+
+def test_a_pillar_that_nobody_has_takes_no_part(spark, series):
+    """Without holdings the weights of the other pillars make up the whole; with them, large assets cut the holdings pillar."""
+    navs, index = series
+    tables = made(spark, navs, index)
+    model = ALL["e2e02_regime_pillars"]
+    part = dataclasses.replace(model, sql="select fund_id, pillar, pw, s from pillar_scores")
+    raw = dataclasses.replace(model, sql="select s.fund_id, s.score, c.by_days from model_scores s join (" + ALL["scr10_confidence_tables"].sql + ") c on c.fund_id = s.fund_id")
+    pillars = part(tables).toPandas()
+    assert pillars[pillars.pillar == "holdings"].s.isna().all()
+    for r in raw(tables).collect():
+        own = pillars[(pillars.fund_id == r["fund_id"]) & pillars.s.notna()]
+        assert r["score"] == pytest.approx((own.pw * own.s).sum() / own.pw.sum() * r["by_days"], abs=1e-5)
+    held = [(f, "Equity", "t", str(j), "s", 5.0 + j + i, 0.1 * i) for i, f in enumerate(FUNDS) for j in range(6)]
+    with_them = tables | {"holding": spark.createDataFrame(held, tables["holding"].schema)}
+    large = with_them | {"fund": tables["fund"].withColumn("aum", tables["fund"].aum * 0 + 70000.0)}
+    small, cut = ({r["fund_id"]: r["s"] for r in part(x).collect() if r["pillar"] == "holdings"} for x in (with_them, large))
+    assert cut["f0"] == pytest.approx(0.65 * small["f0"]) and cut["f12"] == small["f12"]

@@ -51,4 +51,4 @@ def test_query(spark, duck, sf_dir, shared, name):
         assert sorted(want.columns) == sorted(df.columns)
         assert cells(got, df.columns) == cells(want.fetchall(), want.columns)
     else:
-        assert name in {"fx04_style_weights", "fx05_attribution", "e2e03_allocation_skill"}
+        assert name in {"fx04_style_weights", "fx04_current_mix", "fx05_attribution", "e2e03_allocation_skill"}
