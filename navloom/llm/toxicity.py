@@ -32,7 +32,7 @@ MOST_LABELLED = 3_000
 #: Examples under which votes prove nothing.
 LEAST_LABELLED = 20
 #: Examples that vote; examples of a block; share of the examples from which a term's list is long; examples that set the first bar.
-NEIGHBOURS, BLOCK, LONG_SHARE, FIRST = 100, 32, 0.25, 128
+NEIGHBOURS, BLOCK, LONG_SHARE, FIRST = 60, 32, 0.25, 96
 
 
 def term_counts(text: str | None, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +109,7 @@ class ExampleIndex:
         by_term = np.argsort(term, kind="stable")
         first = np.searchsorted(term[by_term], np.arange(len(vocabulary) + 1)).astype(np.int64)
         every_id, every_text, every_label = (np.array([x[i] for i in order], np.int64) for x in (ids, texts, labels))
-        return cls(vocabulary, factor, telling, every_id, every_text, every_label, first, example[by_term], weight[by_term].astype(np.float64), column, rows, largest)
+        return cls(vocabulary, factor, telling, every_id, every_text, every_label, first, example[by_term].astype(np.int32), weight[by_term], column, rows, largest)
 
     def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int = NEIGHBOURS, without: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(places, cosines, votes) of the k nearest examples with a positive cosine, nearest first, ties by place; exact. without: hash of a text; one example with it is left out."""
@@ -118,30 +118,28 @@ class ExampleIndex:
             return np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
         own = self.weights(self.factor, terms, counts)
         told = own * self.telling[terms]
-        column = self.column[terms]
         first, last = self.first[terms], self.first[terms + 1]
-        postings = spread(first, last)
-        who, weight, times = self.example[postings], self.weight[postings], last - first
+        postings, times = spread(first, last), last - first
+        who, weight = self.example[postings], self.weight[postings]
         known = np.bincount(who, np.repeat(own, times) * weight, n)
+        column = self.column[terms]
         long = column >= 0
-        column, w = column[long], own[long]
-        bounds = known + np.repeat(self.largest[:, column] @ w * (1 + 1e-9), BLOCK)[:n]
+        w, v = np.zeros((2, self.rows.shape[1]), np.float32)
+        w[column[long]], v[column[long]] = own[long], told[long]
+        bounds = known + np.repeat((self.largest @ w) * (1 + 1e-4) + 1e-6, BLOCK)[:n]  # single precision: a little above what it may reach
         if without is not None:
             bounds[np.flatnonzero(self.texts == without)[:1]] = 0
         bar = 0.0
-        if n > FIRST:
+        if n > FIRST and k <= FIRST:
             some = np.argpartition(bounds, n - FIRST)[n - FIRST :]
-            reached = np.where(bounds[some] > 0, known[some] + self.rows[np.ix_(some, column)] @ w, 0)
-            bar = float(np.partition(reached, FIRST - k)[FIRST - k]) if k <= FIRST else 0.0
-        here = np.flatnonzero((bounds >= bar - 1e-12) & (bounds > 0))
-        cosines = known[here] + self.rows[np.ix_(here, column)] @ w
+            reached = np.where(bounds[some] > 0, known[some] + self.rows[some] @ w, 0)
+            bar = float(np.partition(reached, FIRST - k)[FIRST - k])
+        here = np.flatnonzero((bounds >= bar - 1e-5) & (bounds > 0))
+        cosines = known[here] + self.rows[here].astype(np.float64) @ w
         here, cosines = here[cosines > 0], cosines[cosines > 0]
         best = np.lexsort((here, -np.round(cosines, 12)))[:k]
         here, cosines = here[best], cosines[best]
-        some = told > 0
-        votes = self.rows[np.ix_(here, self.column[terms[some & long]])] @ told[some & long]
-        at = spread(first[some], last[some])
-        votes = votes + np.bincount(self.example[at], np.repeat(told[some], times[some]) * self.weight[at], n)[here]
+        votes = self.rows[here].astype(np.float64) @ v + np.bincount(who, np.repeat(told, times) * weight, n)[here]
         return here, cosines, votes
 
     def votes(self, terms: np.ndarray, counts: np.ndarray, without: int | None = None) -> tuple[float, float, np.ndarray, np.ndarray]:
