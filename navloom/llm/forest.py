@@ -9,7 +9,8 @@ sets then go through EXTRA more orders, because long prefixes part more pairs.
 Copies of a family are first tied to one set: those that share the whole prefix of one of three orders are compared with the region's first
 set, exactly and as a stream. Regions whose sets are all tied together need no more. In the others, sets that are not tied yet
 are compared on their signatures, and what is near enough there is compared exactly on the shingles, in pairs of blocks, only
-between sets that are not tied yet; no pair is ever a row.
+between sets that are not tied yet; no pair is ever a row. In both comparisons the sets of the largest family go to the blocks of all
+others, but not to each other's.
 """
 
 from __future__ import annotations
@@ -170,30 +171,34 @@ def tied(sets: DataFrame, keyed: DataFrame) -> DataFrame:
     """(key, root): families of sets, tied by exact comparison with the first set of a region with the longest prefix."""
     rows = materialize(_prefixes(sets, range(TIES), DEPTHS[-1], "key"), "forest-ties")
     first = rows.groupBy("path").agg(F.min("key").alias("hub"), F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
+    first = materialize(first, "forest-hubs")
     links = joined_by(rows, first, "path", "_rows").where("key <> hub").select("key", "hub").distinct()
     links = materialize(links, "forest-tie-links")
-    many = links.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).withColumn("_rows", F.col("n"))
+    many = materialize(links.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).withColumn("_rows", F.col("n")), "forest-hub-sizes")
     streams = F.ceil(F.col("n") / STREAM).cast("int")
     members = joined_by(links, many, "hub", "_rows").select("key", F.xxhash64("hub", F.pmod(F.xxhash64("key"), streams)).alias("task"), F.lit(1).alias("place"))
     hubs = many.select(F.col("hub").alias("key"), F.explode(F.sequence(F.lit(0), streams - 1)).alias("_s")).select("key", F.xxhash64("key", F.col("_s").cast("long")).alias("task"), F.lit(0).alias("place"))
-    members = members.unionByName(hubs)
+    members = materialize(members.unionByName(hubs), "forest-streams")
     compared = _by_task(_with_texts(members, sets, keyed, "task", "place"), "place", "key").mapInArrow(_verify, "a binary, b binary")
-    compared = materialize(compared, "forest-tied")
-    discard(rows)
-    return components(compared, "forest-families").distinct()
+    found = components(compared, "forest-families")
+    discard(rows, first, links, many, members)
+    return found
 
 
 def regions(sets: DataFrame) -> DataFrame:
-    """(path, key, label, n): regions of the forest that hold sets with different labels; sets has key, label and mins."""
+    """(path, key, label, n, main): regions of the forest that hold sets with different labels, and the label of theirs that most sets have.
+
+    sets has key, label, family (the number of sets with the label) and mins.
+    """
 
     def level(rows: DataFrame, name: str) -> DataFrame:
-        counts = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("_least"), F.max("label").alias("_most")).where("_least <> _most")
-        counts = materialize(counts.select("path", "n", F.col("n").alias("_rows")), f"forest-{name}-counts")
-        return materialize(joined_by(rows, counts, "path", "_rows").select("path", "key", "label", "n"), f"forest-{name}")
+        counts = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("_least"), F.max("label").alias("_most"), F.max(F.struct("family", "label")).alias("_main")).where("_least <> _most")
+        counts = materialize(counts.select("path", "n", F.col("_main.label").alias("main"), F.col("n").alias("_rows")), f"forest-{name}-counts")
+        return materialize(joined_by(rows, counts, "path", "_rows").select("path", "key", "label", "n", "main"), f"forest-{name}")
 
     found, inner, dense = [], sets, None
     for depth in DEPTHS:
-        paths = materialize(_prefixes(inner, range(ORDERS), depth, "key", "label"), f"forest-paths-{depth}")
+        paths = materialize(_prefixes(inner, range(ORDERS), depth, "key", "label", "family"), f"forest-paths-{depth}")
         here = level(paths, f"depth-{depth}")
         discard(paths)
         large = here.where(F.col("n") > REGION)
@@ -201,10 +206,12 @@ def regions(sets: DataFrame) -> DataFrame:
             found.append(here)
             break
         found.append(here.where(F.col("n") <= REGION))
-        inner = large.select("key").distinct().join(sets, "key")
+        inner = materialize(large.select("key").distinct().join(sets, "key"), f"forest-inner-{depth}")
         dense = inner if dense is None else dense
     if dense is not None:
-        found.append(level(_prefixes(dense, range(ORDERS, ORDERS + EXTRA), DEPTHS[-1], "key", "label"), "extra"))
+        paths = materialize(_prefixes(dense, range(ORDERS, ORDERS + EXTRA), DEPTHS[-1], "key", "label", "family"), "forest-paths-extra")
+        found.append(level(paths, "extra"))
+        discard(paths)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -224,31 +231,43 @@ def in_blocks(rows: DataFrame, group: str, blocks: Column, main: Column, main_bl
     return out.withColumn("task", F.xxhash64(group, "lo", "hi")).drop("_b", "_m", "_other")
 
 
+def region_tasks(found: DataFrame) -> DataFrame:
+    """(task, key, label): a region of up to REGION sets is one comparison.
+
+    A larger one is cut into blocks by the keys: those of its main label are compared with the blocks of all others, which
+    are few where a family is tied, and not with each other. So a row of the main label occurs once for each block of others.
+    """
+    whole = found.where(F.col("n") <= REGION).select(F.xxhash64("path").alias("task"), "key", "label")
+    large = found.where(F.col("n") > REGION)
+    if large.isEmpty():
+        return whole
+    sizes = large.groupBy("path").agg(F.count_if(F.col("label") == F.col("main")).alias("n_main"), F.count(F.lit(1)).alias("_rows"))
+    large = joined_by(large, materialize(sizes, "forest-region-sizes"), "path", "_rows")
+    count = lambda n: F.greatest(F.ceil(n / F.lit(BLOCK)), F.lit(1)).cast("int")
+    cut = in_blocks(large, "path", count(F.col("n") - F.col("n_main")), F.col("label") == F.col("main"), count(F.col("n_main")))
+    return whole.unionByName(cut.select("task", "key", "label"))
+
+
 def linked_labels(sets: DataFrame, keyed: DataFrame) -> DataFrame | None:
     """(a, b): labels with near sets, from the regions of the forest; None if there is no candidate."""
-    found = regions(sets)
-    # a region of one comparison, or cut in pairs of blocks by their keys
-    blocks = F.when(F.col("n") <= REGION, F.lit(1)).otherwise(F.ceil(F.col("n") / BLOCK).cast("int"))
-    seen = in_blocks(found, "path", blocks, F.lit(False), F.lit(0)).select("task", "key", "label")
+    seen = region_tasks(regions(sets))
     near = _by_task(seen.join(sets.select("key", "mins"), "key"), "key").mapInArrow(_link_regions, "a binary, b binary")
-    near = materialize(near.distinct(), "forest-near")
-    if near.isEmpty():
+    groups = components(near, "forest-candidates")  # label and root
+    if groups.isEmpty():
         return None
-    groups = components(near, "forest-candidates").distinct()  # label and root
     groups = groups.select(F.col("key").alias("label"), F.col("root").alias("group"))
     sizes = sets.groupBy("label").agg(F.count(F.lit(1)).alias("_rows"), F.sum("size").alias("_s"))
     known = materialize(groups.join(sizes, "label"), "forest-groups")
-    main = known.groupBy("group").agg(F.max(F.struct("_rows", "label", "_s")).alias("_main"), F.sum("_rows").alias("_n"), F.sum("_s").alias("_all"))
-    main = main.select("group", F.col("_main.label").alias("main"), F.col("_main._rows").alias("n_main"), F.col("_main._s").alias("s_main"), "_n", "_all")
-    many = known.groupBy("group").agg(F.count(F.lit(1)).alias("_k")).select("group", F.col("_k").alias("_rows_in"))
-    known = joined_by(known, main.join(many, "group"), "group", "_rows_in")
+    main = known.groupBy("group").agg(F.max(F.struct("_rows", "label", "_s")).alias("_main"), F.sum("_rows").alias("_n"), F.sum("_s").alias("_all"), F.count(F.lit(1)).alias("_rows_in"))
+    main = main.select("group", F.col("_main.label").alias("main"), F.col("_main._rows").alias("n_main"), F.col("_main._s").alias("s_main"), "_n", "_all", "_rows_in")
+    known = materialize(joined_by(known, materialize(main, "forest-mains"), "group", "_rows_in"), "forest-known")
     members = joined_by(sets.select("key", "label", "size"), known, "label", "_rows")
     count = lambda n, s: F.greatest(F.ceil(n / F.lit(BLOCK)), F.ceil(s / F.lit(BLOCK_SHINGLES))).cast("int")
     others = F.greatest(count(F.col("_n") - F.col("n_main"), F.col("_all") - F.col("s_main")), F.lit(1))
     tasks = in_blocks(members, "group", others, F.col("label") == F.col("main"), F.greatest(count(F.col("n_main"), F.col("s_main")), F.lit(1)))
     tasks = materialize(tasks.select("key", "label", "task", "block", "lo", "hi"), "forest-tasks")
     compared = _by_task(_with_texts(tasks, sets, keyed, "label", "task", "block", "lo", "hi"), "key").mapInArrow(_compare, "a binary, b binary")
-    return materialize(compared.distinct(), "forest-linked")
+    return compared
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,17 +287,19 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = materialize(sketched.select("_id", "key", "size"), "forest-rows")
     discard(sketched)
     families = materialize(tied(sets, keyed), "forest-labels")
-    labelled = sets.join(families.withColumnRenamed("root", "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    sizes = materialize(families.groupBy(F.col("root").alias("label")).agg(F.count(F.lit(1)).alias("family")).withColumn("_rows", F.col("family")), "forest-family-sizes")
+    families = joined_by(families.withColumnRenamed("root", "label"), sizes, "label", "_rows")
+    labelled = sets.join(families, "key", "left").withColumn("label", F.coalesce("label", "key")).withColumn("family", F.coalesce("family", F.lit(1)))
     labelled = materialize(labelled, "forest-labelled")
     discard(sets)
     links = linked_labels(labelled, keyed)
     info = labelled.select("key", "label", "least", "copies")
-    if links is not None and not links.isEmpty():
-        joined = components(links, "forest-joined").distinct()
+    if links is not None:
+        joined = components(links, "forest-joined")
         info = info.join(joined.select(F.col("key").alias("label"), "root"), "label", "left").withColumn("label", F.coalesce("root", "label")).drop("root")
     info = materialize(info, "forest-info")
-    first = info.groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("_rows"))
-    result = joined_by(info, first, "label", "_rows").select("key", "component_id", F.col("copies").alias("_rows"))
+    first = materialize(info.groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("_rows")), "forest-first")
+    result = materialize(joined_by(info, first, "label", "_rows").select("key", "component_id", F.col("copies").alias("_rows")), "forest-result")
     found = joined_by(rows.where("key is not null"), result, "key", "_rows").select("_id", "size", "component_id")
     alone = rows.where("key is null").select("_id", "size", F.col("_id").alias("component_id"))
     out = found.unionByName(alone).withColumn("kept", F.col("_id").eqNullSafe(F.col("component_id")))

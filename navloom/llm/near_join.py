@@ -224,20 +224,26 @@ def candidate_links(sets: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     return near.unionByName(unseen).distinct(), tables
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every edge (a, b) leads to the centre b of its component: no ray a has two centres, and no centre is a ray."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("as_ray"), F.lit(0).alias("as_centre")).union(edges.select("b", F.lit(0), F.lit(1)))
+    ends = ends.groupBy("node").agg((F.sum("as_ray") + F.max("as_centre")).alias("n"))
+    return (ends.agg(F.max("n")).first()[0] or 0) <= 1
+
+
 def components(links: DataFrame, tag: str) -> DataFrame:
-    """(key, root): the smallest key of every linked key's component, by alternating large and small stars.
+    """(key, root): the smallest key of every linked key's component, once for each key, by alternating large and small stars.
 
-    Every round writes its links to the shared folder; rounds end when no link changes (their number grows with the logarithm of
-    the longest chain). A star's centre is found by a minimum and joined back; its rays are never collected, and the centres
-    with many rays are joined by a broadcast.
+    Every round writes its links to the shared folder; rounds end when all links lead to the centre of a star (their number grows
+    with the logarithm of the longest chain). A star's centre is found by a minimum and joined back; its rays are never collected,
+    and the centres with many rays are joined by a broadcast.
     """
     edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{tag}-links")
-    before = None
-    while True:
+    while not _are_stars(edges):
         both = edges.union(edges.select("b", "a"))
         centre = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("_rows"))
         centre = materialize(centre, f"{tag}-centres")
-        large = joined_by(both, centre, "a", "_rows").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = joined_by(both, centre, "a", "_rows").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")  # one row at most for each link
         large = materialize(large, f"{tag}-large")
         discard(centre)
         centre = materialize(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("_rows")), f"{tag}-centres")
@@ -245,10 +251,6 @@ def components(links: DataFrame, tag: str) -> DataFrame:
         changed = materialize(small.union(centre.select("a", F.col("m").alias("b"))).distinct(), f"{tag}-small")
         discard(edges, large, centre)
         edges = changed
-        now = tuple(edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40))), F.lit(0))).first())
-        if now == before:
-            break
-        before = now
     return edges.select(F.col("a").alias("key"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("key"), F.col("b").alias("root")).distinct())
 
 

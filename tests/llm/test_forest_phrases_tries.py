@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from navloom.llm import collocations, forest, tries
+from navloom.llm import collocations, forest, near_join, tries
 from navloom.llm.common import WordHashes
 
 TURNS = "conv_id bigint, turn int, role string, text string"
@@ -211,6 +211,47 @@ def test_forest_by_brute_force(spark, docs_of, odd_texts, clashes, monkeypatch,
     assert sorted(map(tuple, found)) == components_by_hand(texts, list(range(len(texts))))
 
 
+def test_a_large_family_is_not_compared_with_itself(spark):
+    """In a region of 6,000 sets, all but 40 of one family, every pair of two labels meets in a task, and a set is in few of them."""
+    n, others = 6000, 40
+    found = spark.range(n).selectExpr("7L as path", "cast(cast(id as string) as binary) as key", f"cast(if(id < {others}, 100 + id % 20, 1) as string) as label", f"{n}L as n", "'1' as main")
+    rows = forest.region_tasks(found).collect()
+    assert len(rows) <= 2 * n  # 96,000 when every pair of blocks met
+    tasks = defaultdict(lambda: (set(), set()))
+    for r in rows:
+        tasks[r.task][r.label == "1"].add(bytes(r.key))
+    met = defaultdict(set)
+    for few, many in tasks.values():
+        for k in few:
+            met[k] |= few | many
+    assert len(met) == others and all(len(x) == n for x in met.values())
+
+
+def test_components_by_brute_force(spark, monkeypatch):
+    """Each key once, with the smallest of its component; links that already are stars need no round."""
+    rng = random.Random(4)
+    stars = [(100 + i, 10 + i % 3) for i in range(50)]
+    chain = [(i, i + 1) for i in range(200, 260)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(80)]
+    written = []
+    keep = near_join.materialize
+    monkeypatch.setattr(near_join, "materialize", lambda df, tag: written.append(tag) or keep(df, tag))
+    for links, most in ((stars, 1), (stars + chain, 1000)):
+        written.clear()
+        graph = roots_by_hand(links)
+        found = near_join.components(spark.createDataFrame(links, "a int, b int"), "test").collect()
+        assert sorted((r.key, r.root) for r in found) == sorted(graph.items()) and len(written) <= most
+    assert near_join.components(spark.createDataFrame([], "a int, b int"), "test").count() == 0
+
+
+def roots_by_hand(links):
+    root = {x: x for a, b in links if a != b for x in (a, b)}
+    for _ in root:
+        for a, b in links:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
 def test_forest_of_repeated_null_and_no_ids(spark, docs_of):
     found = forest.near_components(docs_of(["a b c d", "a b c d", "", None, "a b c d"], ids=[7, 7, None, 3, None])).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in found), key=str) == sorted([(7, 3, 7, True), (7, 3, 7, True), (None, 0, None, True), (3, 0, 3, True), (None, 3, 7, False)], key=str)
