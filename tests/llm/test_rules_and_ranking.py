@@ -171,3 +171,34 @@ def test_ranking_fit_is_the_best_one(spark, docs_of):
     pairs = [(a, b) for a in np.flatnonzero(y) for b in np.flatnonzero(~y)]
     wins = np.mean([(z[a] - z[b]) @ ranker.weights > 0 for a, b in pairs])
     assert wins == 1 and np.isclose(ranker.cutoff, np.quantile(z @ ranker.weights, (~y).mean()))
+
+
+def test_ranking_learns_from_every_labelled_row(spark, docs_of):
+    """Means and cutoff are those of all 12,800 labelled rows that are not held out, not of a sample."""
+    texts = [f"Plain sentence number {i} with words." if i % 4 else f"$$ {i % 1000} # BUY" for i in range(16_000)]
+    labels = spark.range(len(texts)).selectExpr("id as doc_id", "cast(id % 4 > 0 as int) as quality", "0 as toxic")
+    docs = docs_of(texts)
+    ranker = ranking.fit_ranker(docs.union(docs.limit(50)), labels)
+    hashes = ranking.WordHashes()
+    known = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5]
+    rows = np.array([ranking.features(texts[i], hashes) for i in known])
+    assert len(known) > 12_000 and np.allclose(ranker.mean, rows.mean(0), rtol=1e-6, atol=1e-9)
+    z = (rows - ranker.mean) / ranker.scale
+    assert np.isclose(ranker.cutoff, np.quantile(z @ ranker.weights, np.mean([i % 4 == 0 for i in known])), atol=1e-4)
+
+
+def test_every_row_is_in_a_pair(spark, docs_of, monkeypatch):
+    """Buckets of few rows: rows of the rarer label are copied to them, and count once."""
+    monkeypatch.setattr(ranking, "BUCKET", 20)
+    monkeypatch.setattr(ranking, "RARER", 3)
+    labels = spark.range(400).selectExpr("id as doc_id", "cast(id % 50 > 0 as int) as quality", "0 as toxic")
+    docs = docs_of([f"text {i} of some words" for i in range(400)])
+    known = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    seen, pairs = [], 0
+    for r in ranking.pair_buckets(docs, labels, "doc_id", "text").collect():
+        rows = np.frombuffer(r.f, np.float32).reshape(-1, ranking.N_FEATURES)
+        good, first = (np.frombuffer(x, np.int8) for x in (r.good, r.first))
+        assert 0 < good.sum() < len(good) == len(rows)
+        seen += good[first == 1].tolist()
+        pairs += len(ranking.pair_differences(rows, good, 1))
+    assert sorted(seen) == sorted(int(i % 50 > 0) for i in known) and pairs == 5 * sum(i % 50 > 0 for i in known)
