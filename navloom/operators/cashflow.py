@@ -1,9 +1,11 @@
 """Dated cash flows: internal rates of return by a fixed number of halvings, rolling monthly purchase plans, their summaries."""
 
-from navloom.plans.text import Operator
+from navloom.plans.text import IN_SPARK, Operator
 
 _HOLD = "select a.fund_id, a.m as start, [[flows|case when b.ra - a.ra < 12 then -1e0 else u.units * b.nav end|([[day|b.m]] - [[day|a.m]]) / 365e0|b.ra]] as flows from mon a join mon b on a.fund_id = b.fund_id and (b.ra between a.ra and a.ra + 11 or b.ra = a.ra + 24) join (select fund_id, ra, units, n, lead(ra, 24) over (partition by fund_id order by ra) as last_ra from sipu) u on u.fund_id = a.fund_id and u.ra = a.ra where u.n = 12 and u.last_ra = a.ra + 24 group by a.fund_id, a.m"
 _HOLDX = f"select fund_id, start, [[xirr|flows|-0.95|20.0]] as xirr from ({_HOLD}) h"
+#: In Spark months are numbered from windows instead of a join with themselves, and models write these rates once.
+IN_SPARK[_HOLDX] = "select fund_id, start, xirr from o_held_rates"
 #: The same plan on the sector's index.
 _BMON = "select index_id, m, nav, row_number() over (partition by index_id order by m) as ra from (select index_id, cast(date_trunc('month', ts) as date) as m, min_by(nav, ts) as nav from index_nav where nav > 0 group by 1, 2) x"
 _BX = f"select index_id, start, [[xirr|flows]] as xirr from (select a.index_id, a.m as start, [[flows|case when b.ra - a.ra < 12 then -1e0 else u.units * b.nav end|[[day|b.m]] * 1e0 / 365.25e0 - [[day|a.m]] / 365.25e0|b.ra]] as flows from ({_BMON}) a join ({_BMON}) b on a.index_id = b.index_id and b.ra between a.ra and a.ra + 12 join (select index_id, ra, sum(1 / nav) over (partition by index_id order by ra rows between current row and 11 following) as units, lead(nav, 12) over (partition by index_id order by ra) as later from ({_BMON}) m) u on u.index_id = a.index_id and u.ra = a.ra where u.later is not null group by a.index_id, a.m) s"
