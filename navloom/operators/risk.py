@@ -1,8 +1,10 @@
 """Risk and drawdown measures: one row for each fund."""
 
-from navloom.plans.text import Operator
+from navloom.plans.text import IN_SPARK, Operator
 
 RF = "((pow(1.065e0, 1 / 52e0) - 1))"
+#: Of equal troughs the first, which DuckDB keeps; Spark's min_by keeps any.
+IN_SPARK["min_by(w, dd) as w0, min_by(nav / (1 + dd), dd) as peak from wdd"] = "min_by(w, struct(dd, w)) as w0, min_by(nav / (1 + dd), struct(dd, w)) as peak from wdd"
 
 OPERATORS = [
     Operator("rk01_volatility", "Annual volatility: sample and population, whole and last 13 and 52 weeks.", "select fund_id, round(stddev_samp(r) * sqrt(52), 8) as vol, round(stddev_pop(r) * sqrt(52), 8) as vol_pop, round(stddev_samp(case when rd <= 13 then r end) * sqrt(52), 8) as vol_13, round(stddev_samp(case when rd <= 52 then r end) * sqrt(52), 8) as vol_52 from wr group by fund_id"),
